@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
+    "op2_quality_rules": rules.query,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
+    "op2_quality_rules": rules.ORACLE,
 }
