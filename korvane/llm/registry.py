@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, rules, simhash
+from . import mixing, rules, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
     "op2_quality_rules": rules.query,
+    "op3_token_files": tokens.query,
     "op4_simhash": simhash.query,
 }
 ORACLES: dict[str, str] = {
