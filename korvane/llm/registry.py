@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, rules, simhash, tokens
+from . import chat, mixing, rules, simhash, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
     "op2_quality_rules": rules.query,
     "op3_token_files": tokens.query,
     "op4_simhash": simhash.query,
+    "op8_chat_format": chat.query,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op2_quality_rules": rules.ORACLE,
+    "op8_chat_format": chat.ORACLE,
 }
