@@ -56,13 +56,13 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches of about PIECE_BYTES each, with the text's bytes and offsets (from 0)."""
+def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches of about ``limit`` bytes of text each, with the text's bytes and offsets (from 0)."""
     for batch in batches:
         data, off = text_buffer(batch.column(column))
         at = 0
         while at < batch.num_rows:
-            to = int(np.searchsorted(off, off[at] + PIECE_BYTES, "right")) - 1
+            to = int(np.searchsorted(off, off[at] + limit, "right")) - 1
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at), data[off[at] : off[to]], off[at : to + 1] - off[at]
             at = to
