@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pieces, rules, simhash, tokencount, tokens
+from . import chat, mixing, pieces, rules, simhash, tokencount, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
     "op2_quality_rules": rules.query,
     "op3_token_files": tokens.query,
     "op4_simhash": simhash.query,
+    "op5_warc_archive": warc.query,
     "op8_chat_format": chat.query,
     "op9_token_counts": tokencount.query,
     "op10_sentencepiece": pieces.query,
@@ -20,5 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op2_quality_rules": rules.ORACLE,
+    "op5_warc_archive": warc.ORACLE,
     "op8_chat_format": chat.ORACLE,
 }
