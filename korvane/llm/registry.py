@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pieces, rules, simhash, tokencount, tokens, warc
+from . import chat, mixing, pieces, rules, simhash, tokencount, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_files": tokens.query,
     "op4_simhash": simhash.query,
     "op5_warc_archive": warc.query,
+    "op6_exact_topk": topk.query,
     "op8_chat_format": chat.query,
     "op9_token_counts": tokencount.query,
     "op10_sentencepiece": pieces.query,
@@ -22,5 +23,6 @@ ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
     "op2_quality_rules": rules.ORACLE,
     "op5_warc_archive": warc.ORACLE,
+    "op6_exact_topk": topk.ORACLE,
     "op8_chat_format": chat.ORACLE,
 }
