@@ -17,7 +17,9 @@ from ._common import binary_array, bounded_broadcast, materialize, new_path, pie
 #: A row of a file holds whole documents of about so many ids.
 ROW_IDS = 1 << 18
 #: Distinct units that a Python worker remembers the ids of.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 300_000
+#: Bytes of text that are encoded at a time.
+PIECE = 2 << 20
 
 FILE_SCHEMA = "shard int, row int, doc_ids array<long>, n_tokens array<int>, words binary, block_at array<int>, escapes binary"
 
@@ -72,8 +74,9 @@ class Encoder:
         self.known: dict[bytes, int] = {}
         self.pool, self.at, self.size = np.array([self.end_id or 0], np.uint32), np.array([0], np.int64), np.array([1], np.int64)
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> Iterator[list[int]]:
+        for i in range(0, len(texts), 64):  # a few at a time: the library's results take far more room than the ids
+            yield from [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
 
     def learn(self, units: list[bytes]) -> None:
         """Encode new units, those that may stand next to each other joined into longer texts."""
@@ -151,7 +154,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
         shard, row, coder = TaskContext.get().partitionId(), 0, encoder(tokenizer, end_id)
         schema = pa.schema([("shard", pa.int32()), ("row", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("words", pa.binary()), ("block_at", pa.list_(pa.int32())), ("escapes", pa.binary())])
-        for part, data, offsets in pieces(batches, "_t_text"):
+        for part, data, offsets in pieces(batches, "_t_text", PIECE):
             ids, counts = coder.encode(data, offsets)
             doc_ids, upto = part.column(0).to_pylist(), np.concatenate([[0], np.cumsum(counts)])
             i = 0
