@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, pieces, rules, simhash, tokencount, tokens, topk, warc
+from . import chat, classifier, mixing, pieces, rules, simhash, tokencount, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash": simhash.query,
     "op5_warc_archive": warc.query,
     "op6_exact_topk": topk.query,
+    "op7_perplexity_classifier": classifier.query,
     "op8_chat_format": chat.query,
     "op9_token_counts": tokencount.query,
     "op10_sentencepiece": pieces.query,
