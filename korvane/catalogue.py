@@ -1,14 +1,511 @@
-"""Queries over the driver's tables, one for each operator, with the SQL that gives the same rows."""
+"""Queries over the driver's tables, one or more for each operator, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from .functions import fields, predicates, texts, times
+from .operators import graph, rows, semantic, tables, vectors
+from .plans import pipelines
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Filters and projections
+
+
+@query("select l_orderkey, l_linenumber from lineitem where l_returnflag = 'R' and l_quantity > 10")
+def where_compare(spark, d):
+    df = table(spark, d, "lineitem")
+    return df.where(predicates.compare(F.col("l_returnflag"), "==", "R") & predicates.compare(F.col("l_quantity"), ">", 10, "number")).select("l_orderkey", "l_linenumber")
+
+
+@query("select o_orderkey from orders where not (o_orderstatus = 'F' or o_totalprice < 100000) and (o_orderpriority like '1%' or o_orderpriority like '2%')")
+def where_bool_tree(spark, d):
+    df = table(spark, d, "orders")
+    return df.where(~(predicates.compare(F.col("o_orderstatus"), "==", "F") | predicates.compare(F.col("o_totalprice"), "<", 100000, "number")) & predicates.matches(F.col("o_orderpriority"), "^[12]")).select("o_orderkey")
+
+
+@query("select doc_id from documents where regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])')")
+def where_has(spark, d):
+    return table(spark, d, "documents").where(predicates.has(F.col("text"), "the")).select("doc_id")
+
+
+@query("select doc_id from documents where contains(lower(text), 'idiot')")
+def where_contains(spark, d):
+    return table(spark, d, "documents").where(predicates.contains(F.col("text"), "IDIOT")).select("doc_id")
+
+
+@query("select doc_id from documents where regexp_matches(text, '[A-Z]{4,}!')")
+def where_matches(spark, d):
+    return table(spark, d, "documents").where(predicates.matches(F.col("text"), "[A-Z]{4,}!")).select("doc_id")
+
+
+@query("select d.doc_id, coalesce(l.toxic = 1, false) as toxic, not coalesce(l.toxic = 1, false) as other from documents d left join labels l using (doc_id)")
+def where_not_missing(spark, d):
+    """A leaf on a missing field is false, its negation true."""
+    df = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    leaf = predicates.compare(F.col("toxic"), "==", 1, "number")
+    return df.select("doc_id", leaf.alias("toxic"), (~leaf).alias("other"))
+
+
+@query("select o_orderkey from orders where o_orderdate >= timestamp '1996-01-01' and o_orderdate < timestamp '1997-01-01'")
+def where_temporal(spark, d):
+    c = F.col("o_orderdate")
+    return table(spark, d, "orders").where(predicates.compare(c, ">=", "1996-01-01", "time") & predicates.compare(c, "<", "1997-01-01", "time")).select("o_orderkey")
+
+
+@query("select event_id, cast(json_extract(props, '$.k') as bigint) as k from events where cast(json_extract(props, '$.k') as bigint) > 50")
+def where_props_path(spark, d):
+    k = fields.json_field(F.col("props"), "k", "bigint")
+    return table(spark, d, "events").where(predicates.compare(k, ">", 50, "number")).select("event_id", k.alias("k"))
+
+
+@query("select event_id, props, user_id from events")
+def project_fields(spark, d):
+    return fields.project(table(spark, d, "events"), ["event_id", "props", "user_id"])
+
+
+@query("select event_id, value from events")
+def bare(spark, d):
+    return fields.bare(table(spark, d, "events").select("event_id", "value", F.lit("x").alias("__source")))
+
+
+@query("select conv_id, role, unnest(string_split(text, '. ')) as sentence from conversations where text is not null")
+def explode_field(spark, d):
+    df = table(spark, d, "conversations").where("text is not null").select("conv_id", "role", F.split("text", r"\. ").alias("sentence"))
+    return rows.explode_field(df, "sentence")
+
+
+# Aggregation
+
+
+SUMMARY_SQL = "select l_linestatus, count(*) as count, round(sum(l_extendedprice), 2) as sum_l_extendedprice, round(list_sort(list(l_quantity))[cast(1 + round_even(0.95 * (count(l_quantity) - 1), 0) as bigint)], 4) as p95_l_quantity from lineitem where l_returnflag = 'R' and l_quantity > 10 group by l_linestatus"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/region.parquet")
+    df = table(spark, sf_dir, "lineitem")
+    df = df.where(predicates.compare(F.col("l_returnflag"), "==", "R") & predicates.compare(F.col("l_quantity"), ">", 10, "number"))
+    out = tables.summarize(df, [("count", None), ("sum", "l_extendedprice"), ("p95", "l_quantity")], ["l_linestatus"])
+    return out.withColumn("sum_l_extendedprice", F.round("sum_l_extendedprice", 2))
+
+
+@query(SUMMARY_SQL)
+def summarize_basic(spark, d):
+    return flagship(spark, d)
+
+
+@query("select l_returnflag, l_linestatus, count(*) as count, round(avg(l_quantity), 4) as avg_l_quantity, min(l_tax) as min_l_tax, max(l_discount) as max_l_discount from lineitem group by all")
+def summarize_multi_key(spark, d):
+    return tables.summarize(table(spark, d, "lineitem"), [("count", None), ("avg", "l_quantity"), ("min", "l_tax"), ("max", "l_discount")], ["l_returnflag", "l_linestatus"])
+
+
+_P = ", ".join(f"round(list_sort(list(value))[cast(1 + round_even({q} * (count(value) - 1), 0) as bigint)], 4) as {p}_value" for p, q in tables.QUANTILES.items())
+
+
+@query(f"select event_type, {_P} from events group by event_type")
+def summarize_percentiles(spark, d):
+    return tables.summarize(table(spark, d, "events"), [(p, "value") for p in tables.QUANTILES], ["event_type"])
+
+
+@query(f"select event_type, {_P} from events group by event_type")
+def percentiles_at_scale(spark, d):
+    out = tables.percentiles_at_scale(table(spark, d, "events"), ["event_type"], "value")
+    return out.select("event_type", *[F.round(f"{p}_value", 4).alias(f"{p}_value") for p in tables.QUANTILES])
+
+
+@query("select event_type, count(distinct user_id) as dcount_user_id from events group by event_type")
+def summarize_dcount(spark, d):
+    return tables.summarize(table(spark, d, "events"), [("dcount", "user_id")], ["event_type"])
+
+
+@query("select strftime(time_bucket(interval 1 hour, ts), '%H:%M') as ts_bin, count(*) as count from events group by 1")
+def summarize_bin_hour(spark, d):
+    return tables.summarize(table(spark, d, "events"), [("count", None)], bins={"ts": "1h"})
+
+
+@query("select strftime(ts, '%Y-%m-%d') as ts_bin, event_type, count(*) as count from events group by all")
+def summarize_bin_day(spark, d):
+    return tables.summarize(table(spark, d, "events"), [("count", None)], ["event_type"], {"ts": "1d"})
+
+
+@query("select quality, count(*) as count, sum(n_chars)::double as sum_n_chars from documents left join labels using (doc_id) group by quality")
+def summarize_null_group(spark, d):
+    df = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return tables.summarize(df, [("count", None), ("sum", "n_chars")], ["quality"])
+
+
+@query("select count(*) as count from region where r_regionkey < 0 having count(*) > 0")
+def summarize_empty(spark, d):
+    return tables.summarize(table(spark, d, "region").where("r_regionkey < 0"), [("count", None)])
+
+
+@query("select event_type as value, count(*) as count from events group by 1")
+def chart_tally(spark, d):
+    return tables.tally(table(spark, d, "events"), "event_type", order="event_id")
+
+
+@query("select facet, value, count from (select *, row_number() over (partition by facet order by count desc, value) as r from (select 'o_orderstatus' as facet, o_orderstatus as value, count(*) as count from orders group by all union all select 'o_orderpriority', o_orderpriority, count(*) from orders group by all)) where r <= 4")
+def chart_facets(spark, d):
+    return tables.facets(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], 4)
+
+
+@query("with c as (select epoch(time_bucket(interval 15 minute, ts))::bigint as s, count(*) as n from events where event_id % 7 = 0 group by 1) select b as bin_start, coalesce(n, 0)::bigint as count from (select unnest(range(min(s), max(s) + 1, 900)) as b from c) left join c on b = s")
+def chart_by_time_zero_fill(spark, d):
+    return tables.by_time(table(spark, d, "events").where("event_id % 7 = 0"), "ts", "15m")
+
+
+_DOC_TYPES = [("doc_id", "integer"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "integer")]
+
+
+@query(" union all ".join(f"select {i} as position, '{c}' as field, '{t}' as types, count({c}) as present, count(*) as rows, round(100 * count({c}) / count(*)::double, 1) as coverage from documents" for i, (c, t) in enumerate(_DOC_TYPES)))
+def getschema_typed(spark, d):
+    return tables.schema_profile(table(spark, d, "documents"))
+
+
+@query("select 'k' as field, 'integer' as types, count(json_extract(props, '$.k')) as present, count(*) as rows, round(100 * count(json_extract(props, '$.k')) / count(*)::double, 1) as coverage from events")
+def getschema_json(spark, d):
+    return tables.json_profile(table(spark, d, "events"), "props")
+
+
+_CONFUSION = "select cast(quality as varchar) as a_label, cast(toxic as varchar) as b_label, count(*) as count from labels where quality is not null and toxic is not null group by all"
+
+
+@query(_CONFUSION)
+def agree_matrix(spark, d):
+    df = table(spark, d, "labels")
+    return tables.agreement(df, df, "doc_id", "quality", "toxic")
+
+
+@query(f"""with c as ({_CONFUSION}), n as (select sum(count)::bigint as n, sum(case when a_label = b_label then count else 0 end)::bigint as same from c),
+  t as (select l, sum(a)::double as na, sum(b)::double as nb from (select a_label as l, count as a, 0 as b from c union all select b_label, 0, count from c) group by l),
+  s as (select sum(na * nb) as ab, sum((na + nb) * (na + nb - 1)) as cc from t)
+  select n as pairs, round(same / n::double, 4) as observed, round((same / n::double - ab / (n::double * n)) / (1 - ab / (n::double * n)), 4) as kappa,
+  round(1 - (1 - same / n::double) / (1 - cc / (2.0::double * n * (2 * n - 1))), 4) as alpha from n, s""")
+def agree_summary(spark, d):
+    df = table(spark, d, "labels")
+    return tables.agreement_statistics(tables.agreement(df, df, "doc_id", "quality", "toxic"))
+
+
+# Order and samples
+
+
+def _ranked(df: DataFrame, keys: list, name: str) -> DataFrame:
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(F.col(name).isNull()).orderBy(*keys)))
+
+
+@query("select p_partkey, row_number() over (order by p_retailprice, p_partkey) as place from part")
+def sort_num(spark, d):
+    df = table(spark, d, "part").select("p_partkey", "p_retailprice")
+    return rows.numbered(df, rows.sort_keys(df, "p_retailprice") + [F.col("p_partkey")]).select("p_partkey", F.col("_n").alias("place"))
+
+
+@query("select doc_id, row_number() over (order by quality desc nulls last, doc_id) as place from documents left join labels using (doc_id)")
+def sort_desc_missing_last(spark, d):
+    df = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select("doc_id", "quality")
+    return rows.numbered(df, rows.sort_keys(df, "quality", desc=True) + [F.col("doc_id")]).select("doc_id", F.col("_n").alias("place"))
+
+
+@query("select o_orderkey, row_number() over (order by strftime(o_orderdate, '%Y-%m-%d'), o_orderkey) as place from orders")
+def sort_temporal(spark, d):
+    df = table(spark, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return rows.numbered(df, rows.sort_keys(df, "day") + [F.col("o_orderkey")]).select("o_orderkey", F.col("_n").alias("place"))
+
+
+@query("select event_id, value from events order by md5(concat_ws('|', '7', cast(event_id as varchar))), event_id limit 500")
+def sample_seeded(spark, d):
+    return rows.sample(table(spark, d, "events"), 500, "event_id", 7).select("event_id", "value")
+
+
+_QUOTAS = """with s as (select event_type as stratum, count(*) as size from events group by 1), t as (select *, sum(size) over () as total, 300 as take from s),
+b as (select *, (size * take) // total as base, (size * take) % total as rest from t)
+select stratum, size, cast(base + case when row_number() over (order by rest desc, sha256(concat_ws('|', '0', coalesce(stratum, '(missing)')))) <= take - sum(base) over () then 1 else 0 end as bigint) as quota from b"""
+
+
+@query(_QUOTAS)
+def sample_stratified_quota(spark, d):
+    return rows.quotas(table(spark, d, "events"), 300, "event_type")
+
+
+@query(f"select event_id, event_type from (select e.event_id, e.event_type, quota, row_number() over (partition by e.event_type order by md5(concat_ws('|', '0', cast(event_id as varchar))), event_id) as r from events e join ({_QUOTAS}) q on e.event_type is not distinct from q.stratum) where r <= quota")
+def sample_stratified(spark, d):
+    return rows.sample_by(table(spark, d, "events"), 300, "event_type", "event_id").select("event_id", "event_type")
+
+
+# Joins, unions, duplicates
+
+
+@query("select o_orderkey, c_name from orders join customer on o_custkey = c_custkey")
+def join_key_inner(spark, d):
+    out = rows.join_on(table(spark, d, "orders"), table(spark, d, "customer"), [("o_custkey", "c_custkey")])
+    return out.select("left.o_orderkey", "right.c_name")
+
+
+@query("select d.doc_id, quality from documents d left join labels l using (doc_id)")
+def join_key_leftouter(spark, d):
+    out = rows.join_on(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), [("doc_id", "doc_id")], "leftouter")
+    return out.select("left.doc_id", "right.quality")
+
+
+@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)")
+def join_key_anti(spark, d):
+    out = rows.join_on(table(spark, d, "customer"), table(spark, d, "orders").where("o_totalprice > 300000").select("o_custkey"), [("c_custkey", "o_custkey")], "anti")
+    return out.select("c_custkey", "c_name")
+
+
+@query("select e.event_id, e.user_id from events e join (select distinct cast(c_custkey as varchar) as k, c_nationkey from customer) c on cast(e.user_id as varchar) = c.k where c_nationkey = 3")
+def join_key_mixed_types(spark, d):
+    """Keys of different types meet as text."""
+    right = table(spark, d, "customer").where("c_nationkey = 3").select(F.col("c_custkey").cast("string").alias("k"))
+    return rows.join_on(table(spark, d, "events").select("event_id", "user_id"), right, [("user_id", "k")]).select("left.*")
+
+
+@query("select a.l_orderkey, a.l_linenumber, b.l_quantity from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_linenumber = b.l_linenumber where a.l_quantity > 49")
+def join_key_multi(spark, d):
+    df = table(spark, d, "lineitem")
+    left = df.where("l_quantity > 49").select("l_orderkey", "l_linenumber")
+    out = rows.join_on(left, df.select("l_orderkey", "l_linenumber", "l_quantity"), [("l_orderkey", "l_orderkey"), ("l_linenumber", "l_linenumber")])
+    return out.select("left.l_orderkey", "left.l_linenumber", "right.l_quantity")
+
+
+@query("select doc_id as id, text from documents union all select item_id, text from benchmark")
+def union_chain(spark, d):
+    return rows.union_all([table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")])
+
+
+@query("select min(doc_id) as doc_id from documents group by text, lang")
+def distinct_exact(spark, d):
+    return rows.distinct_exact(table(spark, d, "documents").select("doc_id", "text", "lang"), "doc_id").select("doc_id")
+
+
+@query("select kept, count, list_filter(list_slice(l, 2, 4), lambda x: true) as duplicates from (select min(doc_id) as kept, count(*) as count, list_sort(list(doc_id)) as l from documents group by text)")
+def distinct_groups(spark, d):
+    return rows.distinct_groups(table(spark, d, "documents").select("doc_id", "text"), "doc_id", ["text"], 3)
+
+
+# Count windows
+
+
+def _window_sql(size: int, every: int, partial: bool) -> str:
+    full = f"select e as window_end, count(*) as rows, round(sum(value), 2) as total from n, (select unnest(range({size}, (select max(n) from n) + 1, {every})) as e) where n > e - {size} and n <= e group by e"
+    rest = f"select max(n) as window_end, count(*) as rows, round(sum(value), 2) as total from n where n > (select case when max(n) >= {size} then {size} + (max(n) - {size}) // {every} * {every} else 0 end from n) having count(*) > 0"
+    return f"with n as (select row_number() over (order by event_id) as n, value from events) {full}" + (f" union all {rest}" if partial else "")
+
+
+def _windows(spark, d, size, every=None, partial=True):
+    out = rows.count_windows(table(spark, d, "events").select("event_id", "value"), ["event_id"], size, every)
+    out = out if partial else out.where("not partial")
+    return out.groupBy("window_end").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query(_window_sql(100, 100, False))
+def window_count_tumbling(spark, d):
+    return _windows(spark, d, 100, partial=False)
+
+
+@query(_window_sql(100, 40, False))
+def window_count_sliding(spark, d):
+    return _windows(spark, d, 100, 40, partial=False)
+
+
+@query(_window_sql(97, 97, True))
+def window_count_partial(spark, d):
+    return _windows(spark, d, 97)
+
+
+# Vectors
+
+
+_COS = "(list_inner_product(list_transform(e.embedding, lambda x: x::double), q.v) / (sqrt(list_inner_product(list_transform(e.embedding, lambda x: x::double), list_transform(e.embedding, lambda x: x::double))) * sqrt(list_inner_product(q.v, q.v))))"
+_Q = "(select list_transform(embedding, lambda x: x::double) as v from embeddings where vec_id = 0)"
+
+
+def _near(spark, d) -> list[float]:
+    return list(table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"])
+
+
+@query(f"select vec_id, label, round((1 + {_COS}) / 2, 4) as __score from embeddings e, {_Q} q order by {_COS} desc, vec_id limit 20")
+def topk_near(spark, d):
+    return vectors.top_k(table(spark, d, "embeddings"), "embedding", _near(spark, d), 20, "vec_id")
+
+
+@query(f"select vec_id, label, round((1 + {_COS}) / 2, 4) as __score from embeddings e, {_Q} q where (1 + {_COS}) / 2 >= 0.7")
+def topk_threshold(spark, d):
+    return vectors.top_k(table(spark, d, "embeddings"), "embedding", _near(spark, d), 1_000_000, "vec_id", 0.7)
+
+
+_UNIT = "u as (select vec_id, label, list_transform(embedding, lambda x: x::double / n) as v from (select *, sqrt(list_inner_product(list_transform(embedding, lambda x: x::double), list_transform(embedding, lambda x: x::double))) as n from embeddings))"
+
+
+@query(f"with {_UNIT}, p as (select a.vec_id as left_id, b.vec_id as right_id, (1 + list_inner_product(a.v, b.v)) / 2 as s from u a join u b on a.label = b.label where a.vec_id % 50 = 0) select left_id, right_id, rank, round(s, 4) as __score from (select *, cast(row_number() over (partition by left_id order by round(s, 12) desc, right_id) as integer) as rank from p) where rank <= 5")
+def join_similarity_blocked(spark, d):
+    df = table(spark, d, "embeddings")
+    return vectors.similarity_join(df.where("vec_id % 50 = 0"), df, 5, "vec_id", "vec_id", "embedding", block_on=["label"])
+
+
+@query(f"with {_UNIT}, p as (select a.vec_id, 1 - list_inner_product(a.v, b.v) as d from u a join u b on a.vec_id <> b.vec_id), r as (select *, row_number() over (partition by vec_id order by d) as r from p) select vec_id, round(avg(d), 4) as __distance from r where r <= 5 group by vec_id order by 2 desc, 1 limit 5")
+def outliers_knn(spark, d):
+    return vectors.outliers(table(spark, d, "embeddings"), "vec_id", "embedding")
+
+
+@query()
+def distinct_near(spark, d):
+    return vectors.distinct_near(table(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id")
+
+
+@query()
+def cluster_sizes(spark, d):
+    return vectors.cluster_sizes(vectors.cluster(table(spark, d, "embeddings"), "vec_id", "embedding"), 10)
+
+
+@query()
+def diff_sides(spark, d):
+    df = table(spark, d, "embeddings")
+    return vectors.diff(df.where("label < 5"), df.where("label >= 5"), "vec_id", "embedding")
+
+
+# Text
+
+
+@query("select doc_id, greatest(cast(ceil(length(text) / 4.0) as bigint), len(regexp_extract_all(text, '[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]'))) as tokens from documents")
+def token_estimate(spark, d):
+    return table(spark, d, "documents").select("doc_id", texts.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query("select doc_id, text as joined from documents")
+def split_tokens(spark, d):
+    """Chunks join to the text they were cut from."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(texts.chunks(F.col("text"), 500), "").alias("joined"))
+
+
+@query()
+def split_chunks(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(texts.chunks(F.col("text"), 500)).alias("segment", "chunk"))
+
+
+@query()
+def sentence_windows(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(texts.sentences(F.col("text"))).alias("place", "sentence"))
+
+
+@query()
+def pages_html_text(spark, d):
+    return table(spark, d, "pages").select("page_id", texts.html_text(F.col("html")).alias("text"))
+
+
+@query("select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as day from orders")
+def coerce_dates(spark, d):
+    forms = F.element_at(F.array(F.lit("yyyy-MM-dd"), F.lit("MMM d yyyy"), F.lit("M/d/yyyy")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    written = F.when(forms == "yyyy-MM-dd", F.date_format("o_orderdate", "yyyy-MM-dd")).when(forms == "M/d/yyyy", F.date_format("o_orderdate", "M/d/yyyy")).otherwise(F.date_format("o_orderdate", "MMM d yyyy"))
+    return table(spark, d, "orders").select("o_orderkey", times.coerce_date(written).alias("day"))
+
+
+# Graphs
+
+
+@query("select cast(n_name as varchar) as source, 'in' as relation, r_name as target, cast(count(*) as bigint) as weight from nation join region on n_regionkey = r_regionkey group by all")
+def graph_edges_adopt(spark, d):
+    e = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("rel", F.lit("in"))
+    return graph.adopt(e, "n_name", "r_name", "rel")
+
+
+_MENTIONS = "m as (select distinct conv_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?:\\s[A-Z][a-z]+)*')) as name from conversations)"
+_FOLDED = f"with {_MENTIONS}, n as (select name, count(*) as n from m group by name), f as (select name, n, first_value(name) over (partition by lower(name) order by n desc, name) as canonical from n)"
+
+
+def _found(spark, d):
+    return graph.mentions(table(spark, d, "conversations"), "conv_id", "text")
+
+
+@query(_FOLDED + " select canonical as name, cast(sum(n) as bigint) as count from f group by 1")
+def graph_nodes(spark, d):
+    return graph.nodes(_found(spark, d))
+
+
+@query(_FOLDED + ", w as (select distinct conv_id, canonical as name from m join f using (name)) select a.name as source, b.name as target, count(*) as weight, cast(greatest(count(*) - 20, 0) as bigint) as hidden from w a join w b on a.conv_id = b.conv_id and a.name < b.name group by all having count(*) >= 2")
+def graph_cooccur(spark, d):
+    return graph.cooccurrence(_found(spark, d), 2).drop("sources")
+
+
+# Models, offline
+
+
+def _lang_rule(prompt: str) -> str:
+    return '{"shout": %s, "size": %d,}' % ("true" if "!!" in prompt else "false", len(prompt.encode("utf-16-le")) // 2)
+
+
+@query("select contains(text, '!!') as shout, cast(length(text) as bigint) as size from documents where text is not null")
+def map_rule(spark, d):
+    df = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return semantic.map_rows(df, "{text}", semantic.RuleChat(_lang_rule), "shout boolean, size bigint")
+
+
+@query("select doc_id, lang, contains(text, '!!') as shout, cast(length(text) as bigint) as size from documents where text is not null")
+def extend_rule(spark, d):
+    df = table(spark, d, "documents").where("text is not null").select("doc_id", "lang", "text")
+    return semantic.extend_rows(df, "{text}", semantic.RuleChat(_lang_rule), "shout boolean, size bigint").drop("text")
+
+
+@query("select doc_id from documents where not contains(text, '!!')")
+def filter_rule(spark, d):
+    df = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return semantic.filter_rows(df, "{text}", semantic.RuleChat(lambda p: "yes" if "!!" in p else "no"), invert=True).select("doc_id")
+
+
+@query("select role, max(length(text))::varchar as result from conversations where text is not null group by role")
+def reduce_group(spark, d):
+    df = table(spark, d, "conversations").where("text is not null").select("role", F.length("text").cast("string").alias("size"), F.concat_ws("-", "conv_id", "turn").alias("o"))
+    longest = semantic.RuleChat(lambda p: max(p.split("\n"), key=int))
+    return semantic.reduce_rows(df, "size", "o", "{items}", longest, ["role"], 50)
+
+
+@query()
+def embed_offline(spark, d):
+    return semantic.embed(table(spark, d, "benchmark"), "text", semantic.HashingEmbedder()).select("item_id", "vector", "__embedder")
+
+
+@query("select 'doc_id' as field, count(*) as rows, count(doc_id) as present, count(*) filter (doc_id >= 0) as valid from documents union all select 'lang', count(*), count(lang), count(*) filter (lang in ('en', 'de')) from documents")
+def schema_check_coverage(spark, d):
+    df = table(spark, d, "documents")
+    return semantic.check_records(df, {"doc_id": F.col("doc_id") >= 0, "lang": F.col("lang").isin("en", "de")}, ["doc_id", "lang"])
+
+
+# Pipelines
+
+
+PIPELINE = """
+[stage.hot]
+verb = "compare"
+field = "value"
+op = ">"
+to = 50
+
+[stage.count]
+verb = "summarize"
+aggs = [["count", ""], ["max", "value"]]
+by = ["event_type"]
+"""
+
+
+@query("select event_type, count(*) as count, round(max(value), 4) as max_value from events where value > 50 group by event_type")
+def pipeline_toml(spark, d):
+    return pipelines.run(PIPELINE, table(spark, d, "events"))
