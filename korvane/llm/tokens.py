@@ -147,7 +147,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     Rows are written by Spark, so shards of lost tasks are written again whole, to any store that Spark writes to.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t_text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), "_t_text")
+    ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_t_text")).repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
