@@ -77,7 +77,7 @@ def html_text(html: Column) -> Column:
     out = F.regexp_replace(out, r"(?s)<[^>]*>", "")
     for name, char in ENTITIES.items():
         out = F.replace(out, F.lit(name), F.lit(char))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t ]+", " "), r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t ]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def repaired(text: str) -> str | None:

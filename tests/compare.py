@@ -2,14 +2,18 @@
 
 import math
 
+import pandas as pd
+
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
+    if hasattr(v, "item"):
+        v = v.item()
     return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
 
