@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._common import pieces
-from .vocabulary import Vocabulary, units, vocabulary, with_prefix
+from .vocabulary import MARK, Vocabulary, units, vocabulary, with_prefix
 
 #: Units longer than this are encoded one by one, so that a long unit doesn't make a batch take as many steps.
 LONG_UNIT = 96
+#: Units that advance together, and bytes of text that are worked on at a time.
+UNITS, PIECE = 16_384, 2 << 20
 
 
 class DoubleArray:
@@ -94,12 +97,10 @@ class Unigram:
         n_long = int((lengths > LONG_UNIT).sum())
         texts = [self._one(data[offsets[i] : offsets[i + 1]]) for i in order[:n_long].tolist()]
         short = order[n_long:]
-        if len(short):
-            ids, counts = self._many(data, offsets[:-1][short], lengths[short])
-        else:
-            ids, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if texts:
-            ids, counts = np.concatenate([*texts, ids]), np.concatenate([[len(t) for t in texts], counts])
+        # By length, a few at a time: the tables are as wide as the longest unit among them.
+        done = [self._many(data, offsets[:-1][p], lengths[p]) for p in (short[i : i + UNITS] for i in range(0, len(short), UNITS))]
+        ids = np.concatenate([np.zeros(0, np.int64), *texts, *(d[0] for d in done)])
+        counts = np.concatenate([np.array([len(t) for t in texts], np.int64), *(d[1] for d in done)])
         # Back to the units' own order.
         begin = np.cumsum(counts) - counts
         where = np.empty(len(lengths), np.int64)
@@ -265,7 +266,7 @@ def encode_documents(docs: DataFrame, path: str, scores: str = "zipf") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, _ = coder(path, scores)
-        for part, data, offsets in pieces(batches, "text"):
+        for part, data, offsets in pieces(batches, "text", PIECE):
             ids, counts = model.encode(data, offsets)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*keep, "piece_ids"])
@@ -291,11 +292,38 @@ def decode_documents(coded: DataFrame, path: str, into: str = "text", scores: st
     return coded.select(*[F.col(f"`{c}`") for c in keep], "piece_ids").mapInArrow(run, schema)
 
 
+def encode_and_decode(docs: DataFrame, path: str, ids: bool = True, scores: str = "zipf") -> DataFrame:
+    """``docs`` with n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and round_trip (whether decoding
+    gives the text back, markers as spaces); with ``ids`` also piece_ids. Null text counts as empty; ``text`` goes.
+
+    Both ways in one pass, so a task needs one Python worker and the texts come to it once.
+    """
+    new = [("n_pieces", T.LongType(), pa.int64()), ("ids_crc32", T.LongType(), pa.int64()), ("round_trip", T.BooleanType(), pa.bool_())]
+    keep = [c for c in docs.columns if c not in ("text", "piece_ids", *(n for n, _, _ in new))]
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType, True) for c in keep), *(T.StructField(n, t) for n, t, _ in new)])
+    if ids:
+        schema = schema.add("piece_ids", T.ArrayType(T.IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, table = coder(path, scores)
+        for part, data, offsets in pieces(batches, "text", PIECE):
+            found, counts = model.encode(data, offsets)
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            texts = zip(decode_ids(found, upto, table), offsets[:-1].tolist(), offsets[1:].tolist())
+            same = [t == data[a:b].tobytes().replace(MARK.encode(), b" ") for t, a, b in texts]
+            small = found.astype("<i4")
+            crc = [zlib.crc32(small[a:b]) for a, b in zip(upto[:-1].tolist(), upto[1:].tolist())]
+            columns = [*(part.column(i) for i in range(len(keep))), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())]
+            if ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(upto.astype(np.int32)), pa.array(small)))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(run, schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document: number and checksum of its ids, and whether its text came back."""
     import public_tokenizers
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = decode_documents(encode_documents(docs, path).withColumn("_p_ids", F.col("piece_ids")), path, "_p_back")
-    return back.select("doc_id", F.size("_p_ids").cast("long").alias("n_pieces"), F.crc32(F.array_join("_p_ids", " ").cast("binary")).alias("ids_crc32"), (F.col("_p_back") == F.translate("text", "▁", " ")).alias("round_trip"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return encode_and_decode(docs, public_tokenizers.path("piece_bpe_32k.model"), ids=False)

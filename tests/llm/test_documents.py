@@ -335,6 +335,9 @@ def test_pieces_odd_rows(spark, odd, nothing):
     back = pieces.decode_documents(coded.drop("text"), PIECES)
     want = [(r.doc_id, (r.text or "").replace("▁", " ")) for r in odd.collect()]
     assert keyed((r.doc_id, r.text) for r in back.collect()) == keyed(want)
+    both = pieces.encode_and_decode(odd, PIECES)
+    assert both.where("not round_trip").count() == 0 and keyed((r.doc_id, r.piece_ids) for r in both.collect()) == keyed((r.doc_id, r.piece_ids) for r in coded.collect())
+    assert {r.ids_crc32 for r in both.collect()} == {zlib.crc32(np.array(r.piece_ids, "<i4").tobytes()) for r in coded.collect()}
     counts = tokencount.token_counts(odd, PIECES)
     assert keyed(tuple(r) for r in counts.collect()) == keyed((r.doc_id, len(r.piece_ids)) for r in coded.collect())
     assert tokencount.token_counts(nothing, PIECES).count() == pieces.encode_documents(nothing, PIECES).count() == 0
