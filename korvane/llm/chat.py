@@ -129,7 +129,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     say = r"\### Assistant: </turn> ok"
     types = {f.name: f.dataType for f in talks.schema.fields}
-    extra = spark.createDataFrame([(-7, 0, "user", say), (-7, 1, ASSISTANT, say)], "conv_id long, turn long, role string, text string")
+    rows = F.array(*[F.struct(F.lit(-7).alias("conv_id"), F.lit(i).alias("turn"), F.lit(role).alias("role"), F.lit(say).alias("text")) for i, role in enumerate(("user", ASSISTANT))])
+    extra = spark.range(1).select(F.inline(rows))
     extra = extra.select(*[F.col(c).cast(types.get(c, T.StringType())).alias(c) for c in ("conv_id", "turn", "role", "text")])
     path = new_path(spark, "chat")
     format_events(events_of(talks.unionByName(extra))).write.parquet(path)
