@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import fields, predicates, texts, times
+from .functions.vectors import unit_score
 from .operators import graph, rows, semantic, tables, vectors
 from .plans import pipelines
+from .shared import new_path
+from .streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,9 +174,9 @@ def chart_facets(spark, d):
     return tables.facets(table(spark, d, "orders"), ["o_orderstatus", "o_orderpriority"], 4)
 
 
-@query("with c as (select epoch(time_bucket(interval 15 minute, ts))::bigint as s, count(*) as n from events where event_id % 7 = 0 group by 1) select b as bin_start, coalesce(n, 0)::bigint as count from (select unnest(range(min(s), max(s) + 1, 900)) as b from c) left join c on b = s")
+@query("with c as (select epoch(time_bucket(interval 15 minute, ts))::bigint as s, count(*) as n from events where value > 90 group by 1) select b as bin_start, coalesce(n, 0)::bigint as count from (select unnest(range(min(s), max(s) + 1, 900)) as b from c) left join c on b = s")
 def chart_by_time_zero_fill(spark, d):
-    return tables.by_time(table(spark, d, "events").where("event_id % 7 = 0"), "ts", "15m")
+    return tables.by_time(table(spark, d, "events").where("value > 90"), "ts", "15m")
 
 
 _DOC_TYPES = [("doc_id", "integer"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "integer")]
@@ -383,6 +388,24 @@ def diff_sides(spark, d):
     return vectors.diff(df.where("label < 5"), df.where("label >= 5"), "vec_id", "embedding")
 
 
+@query(f"select vec_id, round((1 + {_COS}) / 2, 4) as __score from embeddings e, {_Q} q order by {_COS} desc, vec_id limit 20")
+def live_board_final(spark, d):
+    """The last state of a live board that the table streams through."""
+    score = unit_score(F.col("embedding"), F.array(*[F.lit(float(x)) for x in _near(spark, d)]))
+    board = live.Board(20, score, "vec_id")
+    stream = live.parquet_stream(spark, d, table(spark, d, "embeddings").schema, name="embeddings.parquet")
+    board.start(stream, new_path(spark, "board")).awaitTermination()
+    return spark.createDataFrame([(o, float(s)) for s, o in board.rows], "vec_id long, s double").select("vec_id", F.round("s", 4).alias("__score"))
+
+
+@query()
+def cluster_labels(spark, d):
+    """Clusters with the members nearest their mean, named without a model."""
+    df = table(spark, d, "embeddings")
+    examples = vectors.cluster_examples(vectors.cluster(df, "vec_id", "embedding"), df, "vec_id", "embedding", "label")
+    return semantic.label_clusters(examples)
+
+
 # Text
 
 
@@ -446,6 +469,35 @@ def graph_cooccur(spark, d):
     return graph.cooccurrence(_found(spark, d), 2).drop("sources")
 
 
+def _fact_rule(prompt: str) -> str:
+    found = re.search(r"<input>\n(.*) lies in (.*)\n</input>", prompt)
+    return json.dumps({"triples": [{"subject": found[1], "relation": "in", "object": found[2]}]})
+
+
+@query("select cast(n_name as varchar) as source, 'in' as relation, r_name as target, cast(count(*) as bigint) as weight from nation join region on n_regionkey = r_regionkey group by all")
+def graph_triples(spark, d):
+    """Edges from the facts that a model finds in texts."""
+    said = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    said = said.select("n_nationkey", F.concat("n_name", F.lit(" lies in "), "r_name").alias("text"))
+    return graph.adopt(graph.triples(said, "n_nationkey", "text", semantic.RuleChat(_fact_rule)), "subject", "object", "relation")
+
+
+@query(f"with w as (select conv_id, turn, unnest(string_split_regex(regexp_replace(text, '([.!?。！？][\"''”’)\\]]*)\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n\\s*\\n')) as s from conversations) select conv_id, count(*) as sentences from w where trim(s) <> '' group by conv_id")
+def graph_sentence_windows(spark, d):
+    df = table(spark, d, "conversations").select("conv_id", F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
+    parts = graph.windows(df, "key", "text", "sentence")
+    return parts.groupBy(F.split("window", "-")[0].cast("long").alias("conv_id")).agg(F.count(F.lit(1)).alias("sentences"))
+
+
+@query()
+def graph_named_edges(spark, d):
+    """The heaviest co-occurrences, named from their windows by a model."""
+    df = table(spark, d, "conversations").where("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
+    said = graph.windows(df, "key", "text")
+    found = graph.mentions(said, "window", "text")
+    return graph.name_edges(graph.cooccurrence(found, 2), said, semantic.RuleChat(lambda p: "seen together"))
+
+
 # Models, offline
 
 

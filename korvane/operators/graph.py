@@ -8,8 +8,29 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.texts import chunks, sentences
+from ..shared import materialize
+from . import semantic
+from .rows import numbered
+from .vectors import leaders
+
 #: References that an edge shows; the others are counted as hidden.
 REFS = 20
+#: Snippets of an edge that a model sees, and their characters.
+SNIPPETS, SNIPPET = 3, 400
+FACTS = 'Give the facts of the text as JSON: {{"triples": [{{"subject": "", "relation": "", "object": ""}}]}}\n<input>\n{text}\n</input>'
+NAMING = "How does {source} relate to {target}? Answer with a short relation.\n{snippets}"
+
+
+def windows(df: DataFrame, key: str, text: str, unit: str = "document", budget: int = 2000) -> DataFrame:
+    """(window, text): whole texts ("document"), their sentences, or their chunks of ``budget`` tokens, named key:place."""
+    if unit == "document":
+        return df.select(F.col(key).cast("string").alias("window"), F.col(text).alias("text"))
+    if unit not in ("sentence", "chunk"):
+        raise ValueError(f"no such unit: {unit}")
+    parts = sentences(F.col(text)) if unit == "sentence" else chunks(F.col(text), budget)
+    out = df.select(F.col(key).alias("_key"), F.posexplode(parts).alias("_place", "text"))
+    return out.select(F.concat_ws(":", F.col("_key").cast("string"), "_place").alias("window"), "text")
 
 
 def capitalised(text: Column) -> Column:
@@ -29,15 +50,25 @@ def folded_names(found: DataFrame) -> DataFrame:
     return counts.select("name", lead.alias("canonical"), "n")
 
 
+def fold_near(folded: DataFrame, model: semantic.EmbeddingModel, threshold: float = 0.9) -> DataFrame:
+    """``folded_names`` whose canonical names are folded again: by falling count, a name joins the first one whose
+    vector's cosine with its own is ``threshold`` or more."""
+    heads = folded.groupBy("canonical").agg(F.sum("n").alias("n"))
+    placed = materialize(numbered(semantic.embed(heads, "canonical", model), [F.col("n").desc(), F.col("canonical")]), "names")
+    target = placed.select(F.col("_n").alias("leader"), F.col("canonical").alias("_to"))
+    moves = placed.select("_n", F.col("canonical").alias("_from")).join(leaders(placed, "_n", "vector", threshold), "_n").join(target, "leader")
+    return folded.join(moves, F.col("canonical") == F.col("_from")).select("name", F.col("_to").alias("canonical"), "n")
+
+
 def nodes(found: DataFrame) -> DataFrame:
     """(name, count): canonical names and their windows."""
     return folded_names(found).groupBy(F.col("canonical").alias("name")).agg(F.sum("n").alias("count"))
 
 
-def cooccurrence(found: DataFrame, min_weight: int = 1) -> DataFrame:
+def cooccurrence(found: DataFrame, min_weight: int = 1, names: DataFrame | None = None) -> DataFrame:
     """(source, target, weight, sources, hidden): pairs of names in one window, source before target; weight counts
     windows, ``sources`` are the first REFS of them. The pairs are the result itself: an edge for each that occurs."""
-    names = folded_names(found).select("name", "canonical")
+    names = (folded_names(found) if names is None else names).select("name", "canonical")
     f = found.join(names, "name").select("window", F.col("canonical").alias("name")).distinct()
     pairs = f.select("window", F.col("name").alias("source")).join(f.select("window", F.col("name").alias("target")), "window").where("source < target")
     counts = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
@@ -53,12 +84,46 @@ def adopt(edges: DataFrame, source: str, target: str, relation: str | None = Non
     return e.groupBy("source", "relation", "target").agg(F.sum("w").alias("weight"))
 
 
+def triples(df: DataFrame, key: str, text: str, model: semantic.ChatModel, budget: int = 2000) -> DataFrame:
+    """(window, subject, relation, object): what a model finds in each chunk, each fact once a chunk. ``adopt`` sums
+    them up to edges. Invalid answers and facts that lack an end give none."""
+    parts = windows(df, key, text, "chunk", budget)
+    answers = semantic.validated(semantic.ask(parts, semantic.prompt(FACTS, parts), model), "triples array<struct<subject:string,relation:string,object:string>>")
+    facts = answers.where("not __invalid").select("window", F.explode("_record.triples").alias("t"))
+    facts = facts.select("window", *[F.trim(F.col("t").getField(c)).alias(c) for c in ("subject", "relation", "object")])
+    return facts.where("subject <> '' and object <> ''").distinct()
+
+
+def name_edges(edges: DataFrame, texts: DataFrame, model: semantic.ChatModel, top: int = 20) -> DataFrame:
+    """(source, target, weight, relation): the ``top`` heaviest co-occurrences, named by a model that sees SNIPPETS of
+    their windows' texts (window, text)."""
+    best = edges.orderBy(F.col("weight").desc(), "source", "target").limit(top)
+    refs = best.select("source", "target", "weight", F.posexplode(F.slice("sources", 1, SNIPPETS)).alias("place", "window"))
+    lists = F.array_sort(F.collect_list(F.struct("place", F.substring("text", 1, SNIPPET).alias("t"))))
+    seen = refs.join(texts, "window").groupBy("source", "target", "weight").agg(F.array_join(F.transform(lists, lambda x: x["t"]), "\n---\n").alias("snippets"))
+    return semantic.ask(seen, semantic.prompt(NAMING, seen), model).select("source", "target", "weight", F.trim("_answer").alias("relation"))
+
+
+def vault(edges: DataFrame, top: int = 500) -> dict[str, str]:
+    """Notes that link to each other, by file name: one for each name of the ``top`` heaviest edges."""
+    notes: dict[str, list[str]] = {}
+    for r in edges.orderBy(F.col("weight").desc(), "source", "target").select("source", "target", "weight").limit(top).collect():
+        for a, b in ((r.source, r.target), (r.target, r.source)):
+            notes.setdefault(a, [f"# {a}", ""]).append(f"- [[{b}]] ({r.weight})")
+    return {f"{name.replace('/', '-')}.md": "\n".join(lines) + "\n" for name, lines in notes.items()}
+
+
+def is_dense(n_nodes: int, n_edges: int) -> bool:
+    """Whether a graph is too dense to tell much: then a higher least weight helps."""
+    return n_nodes >= 20 and density(n_nodes, n_edges) >= 0.8
+
+
 def density(n_nodes: int, n_edges: int) -> float:
     return 0.0 if n_nodes < 2 else 2 * n_edges / (n_nodes * (n_nodes - 1))
 
 
 def export(edges: DataFrame, form: str, top: int = 500) -> str:
-    """The ``top`` heaviest edges as text: "dot", "mermaid", "graphml", "csv" or "json". For people to look at, so it is
+    """The ``top`` heaviest edges as text: "dot", "mermaid", "graphml", "html", "csv" or "json". For people to look at, so it is
     bounded; write the tables for all of it."""
     rows = edges.orderBy(F.col("weight").desc(), "source", "target").select("source", "target", "weight").limit(top).collect()
     quoted = lambda s: json.dumps(s, ensure_ascii=False)
@@ -73,6 +138,11 @@ def export(edges: DataFrame, form: str, top: int = 500) -> str:
         return "\n".join(["source,target,weight", *(f"{cell(r.source)},{cell(r.target)},{r.weight}" for r in rows)])
     if form == "json":
         return json.dumps({"nodes": names, "edges": [r.asDict() for r in rows]}, ensure_ascii=False)
+    if form == "html":
+        from html import escape
+
+        cells = "".join(f"<tr><td>{escape(r.source)}</td><td>{escape(r.target)}</td><td>{r.weight}</td></tr>" for r in rows)
+        return f"<!doctype html><meta charset='utf-8'><table><tr><th>source</th><th>target</th><th>weight</th></tr>{cells}</table>"
     if form == "graphml":
         from xml.sax.saxutils import quoteattr
 

@@ -82,6 +82,39 @@ class WithFallback(ChatModel):
             return self.second.complete(prompts)
 
 
+@dataclass
+class Guarded(ChatModel):
+    """Asks again, one by one, what failed together; a prompt that fails alone has no answer (null). The job halts after
+    ``in_row`` failures in a row, or once over half of ``least`` or more prompts have failed. Each task counts its own."""
+
+    model: ChatModel
+    in_row: int = 5
+    least: int = 20
+    seen: int = 0
+    failed: int = 0
+    row: int = 0
+
+    def complete(self, prompts: list[str]) -> list[str]:
+        try:
+            out = self.model.complete(prompts)
+        except Exception:  # whatever a provider raises
+            return [self._one(p) for p in prompts]
+        self.seen, self.row = self.seen + len(prompts), 0
+        return out
+
+    def _one(self, prompt: str) -> str | None:
+        self.seen += 1
+        try:
+            out = self.model.complete([prompt])[0]
+        except Exception as why:
+            self.failed, self.row = self.failed + 1, self.row + 1
+            if self.row >= self.in_row or (self.seen >= self.least and 2 * self.failed > self.seen):
+                raise RuntimeError(f"{self.failed} of {self.seen} prompts failed") from why
+            return None
+        self.row = 0
+        return out
+
+
 def embed(df: DataFrame, text: str, model: EmbeddingModel, into: str = "vector", budget: int | None = None) -> DataFrame:
     """``df`` with a vector of each text and the model's name as ``__embedder``. Texts over ``budget`` tokens are
     embedded in chunks whose mean counts. Null text has no vector."""
@@ -173,6 +206,17 @@ def filter_long(df: DataFrame, key: str, text: str, template: str, model: ChatMo
     return df.join(filter_rows(parts, template, model).select(key).distinct(), key, "left_semi")
 
 
+def label_clusters(examples: DataFrame, model: ChatModel | None = None) -> DataFrame:
+    """(cluster, label) from ``vectors.cluster_examples``: the model's name for a cluster, "cluster N" if it has none."""
+    lists = F.array_sort(F.collect_list(F.struct("rank", F.col("example").alias("t"))))
+    seen = examples.groupBy("cluster").agg(F.array_join(F.transform(lists, lambda x: x["t"]), "\n").alias("texts"))
+    plain = F.concat(F.lit("cluster "), F.col("cluster").cast("string"))
+    if model is None:
+        return seen.select("cluster", plain.alias("label"))
+    named = ask(seen, prompt("Name what these texts have in common in a few words.\n{texts}", seen), model)
+    return named.select("cluster", F.coalesce(F.when(F.trim("_answer") != "", F.trim("_answer")), plain).alias("label"))
+
+
 def judged_pairs(pairs: DataFrame, template: str, model: ChatModel) -> DataFrame:
     """Candidate pairs (of a similarity join) that the model confirms."""
     return filter_rows(pairs, template, model)

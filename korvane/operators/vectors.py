@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import unit_score
+from ..functions.vectors import cosine, unit_score
 from ..shared import materialize, small
 
 #: Rows whose leaders are found at a time, and rows of a block in all-pairs work.
@@ -169,6 +169,16 @@ def cluster_sizes(clusters: DataFrame, top: int | None = None) -> DataFrame:
     return sizes.withColumn("share", F.round(F.col("size") / F.sum("size").over(Window.partitionBy()), 4))
 
 
+def cluster_examples(clusters: DataFrame, df: DataFrame, order: str, vector: str, text: str, n: int = 3, width: int = 160) -> DataFrame:
+    """(cluster, rank, order, example): each cluster's n members nearest its mean vector, ties by ``order``."""
+    members = clusters.select(order, "cluster").join(df.select(order, F.col(vector).alias("_v"), F.col(text).cast("string").alias("_t")), order).where("_v is not null")
+    means = members.select("cluster", F.posexplode("_v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("x"))
+    means = means.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("_mean"))
+    near = members.join(means, "cluster").withColumn("_near", F.round(cosine(F.col("_v"), F.col("_mean")), 12))
+    rank = F.row_number().over(Window.partitionBy("cluster").orderBy(F.col("_near").desc(), order))
+    return near.withColumn("rank", rank).where(F.col("rank") <= n).select("cluster", "rank", order, F.substring("_t", 1, width).alias("example"))
+
+
 def diff(left: DataFrame, right: DataFrame, order: str, vector: str, threshold: float | None = None, least: float = 0.05, members: int = 2) -> DataFrame:
     """Clusters of both sides together: (cluster, left_share, right_share, lean). A cluster leans to a side if its share
     there is larger by ``least`` and it has ``members`` or more rows there."""

@@ -67,5 +67,7 @@ def timed_counts(stream: DataFrame, time: str, width: str, late: str, by: list[s
     return stream.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count(F.lit(1)).alias("count"))
 
 
-def parquet_stream(spark, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def parquet_stream(spark, path: str, schema: T.StructType, files_per_batch: int = 1, name: str | None = None) -> DataFrame:
+    """Parquet files of a folder as a stream, a few at a time; with ``name``, files of that name (or pattern) only."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    return (reader.option("pathGlobFilter", name) if name else reader).parquet(path)

@@ -168,12 +168,49 @@ def test_graph(spark):
     found = spark.createDataFrame([(1, "Ann"), (1, "Bob"), (2, "Ann"), (2, "bob"), (3, "Bob")], "window long, name string")
     edges = graph.cooccurrence(found)
     assert [(r.source, r.target, r.weight, r.sources) for r in edges.collect()] == [("Ann", "Bob", 2, [1, 2])]
-    for form in ("dot", "mermaid", "graphml", "csv", "json"):
+    for form in ("dot", "mermaid", "graphml", "html", "csv", "json"):
         assert "Bob" in graph.export(edges, form)
     e = spark.createDataFrame([("a", "b", 2), ("a", "b", 3), ("a", "A", 1), (None, "b", 1)], "s string, t string, w int")
     assert [(r.source, r.target, r.weight) for r in graph.adopt(e, "s", "t", None, "w").collect()] == [("a", "b", 5)]
 
 
+def test_graph_from_texts(spark):
+    df = spark.createDataFrame([(1, "Ann met Bob. Ann left."), (2, "Bob saw Ann."), (3, None)], "o long, t string")
+    assert [r.window for r in graph.windows(df, "o", "t", "sentence").orderBy("window").collect()] == ["1:0", "1:1", "2:0"]
+    said = graph.windows(df.where("t is not null"), "o", "t")
+    edges = graph.cooccurrence(graph.mentions(said, "window", "text"))
+    seen = semantic.RuleChat(lambda p: " met " if "Ann met" in p and "Bob saw" in p else "?")
+    assert [(r.source, r.target, r.relation) for r in graph.name_edges(edges, said, seen).collect()] == [("Ann", "Bob", "met")]
+    assert graph.vault(edges)["Ann.md"] == "# Ann\n\n- [[Bob]] (2)\n"
+    facts = semantic.RuleChat(lambda p: '{"triples":[{"subject":"Ann","relation":"met","object":"Bob"},{"subject":"Ann","relation":"met","object":"Bob"}]}' if "met Bob" in p else "none")
+    assert [tuple(r)[1:] for r in graph.triples(df, "o", "t", facts).collect()] == [("Ann", "met", "Bob")]
+    assert graph.is_dense(20, 190) and not graph.is_dense(5, 10)
+
+
+def test_names_fold_by_vector(spark):
+    found = spark.createDataFrame([(1, "Acme Corp"), (2, "Acme Corp"), (3, "Corp Acme"), (4, "Other")], "window long, name string")
+    folded = graph.fold_near(graph.folded_names(found), semantic.HashingEmbedder())
+    assert {r.name: r.canonical for r in folded.collect()} == {"Acme Corp": "Acme Corp", "Corp Acme": "Acme Corp", "Other": "Other"}
+
+
+def test_cluster_examples(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [1.0, 0.2], "b"), (3, [1.0, 0.1], "c"), (4, [0.0, 1.0], "d")], "o long, v array<double>, t string")
+    found = vectors.cluster_examples(vectors.cluster(df, "o", "v", 0.9), df, "o", "v", "t", 1)
+    assert {(r.cluster, r.o, r.example) for r in found.collect()} == {(1, 3, "c"), (2, 4, "d")}
+    assert {tuple(r) for r in semantic.label_clusters(found, semantic.RuleChat(lambda p: "cs" if p.endswith("c") else "")).collect()} == {(1, "cs"), (2, "cluster 2")}
+
+
+def test_guarded_models():
+    def odd(p):
+        if int(p) % 2:
+            raise ValueError(p)
+        return p
+
+    assert semantic.Guarded(semantic.RuleChat(odd)).complete(["1", "2", "3", "4"]) == [None, "2", None, "4"]
+    with pytest.raises(RuntimeError):
+        semantic.Guarded(semantic.RuleChat(odd)).complete(["1", "3", "5", "7", "9"])
+
+
 def test_semantic(spark):
     df = spark.createDataFrame([(1, "good"), (2, "bad")], "o int, t string")
     chat = semantic.RuleChat(lambda p: '{"n": %d}' % len(p) if "good" in p else "sorry")
