@@ -13,6 +13,7 @@
     by = ["event_type"]
 
 A stage is a function call on DataFrames, so Spark plans the whole; a stage without ``input`` takes the one before it.
+Verbs of two tables take the second as ``right``. Both name an earlier stage, or "input" for the pipeline's own input.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fields, predicates
-from ..operators import rows, tables
+from ..operators import graph, rows, tables, vectors
 
 Verb = Callable[..., DataFrame]
+#: The name of the pipeline's own input.
+INPUT = "input"
 
 
 def _kind(df: DataFrame, field: str) -> str:
@@ -50,6 +53,19 @@ VERBS: dict[str, Verb] = {
     "fields": lambda df, fields_: fields.project(df, fields_),
     "bare": lambda df: fields.bare(df),
     "schema": lambda df: tables.schema_profile(df),
+    "by_time": lambda df, field, width: tables.by_time(df, field, width, _kind(df, field)),
+    "facets": lambda df, fields_, top=20: tables.facets(df, fields_, top),
+    "windows": lambda df, order, size, every=None: rows.count_windows(df, list(order), size, every),
+    "join": lambda df, right, on, kind="inner": rows.join_on(df, right, [tuple(pair) for pair in on], kind),
+    "union": lambda df, right: rows.union_all([df, right]),
+    "agree": lambda df, right, on, label="label": tables.agreement(df, right, on, label),
+    "top_k": lambda df, vector, near, k, order, threshold=None: vectors.top_k(df, vector, near, k, order, threshold),
+    "similar": lambda df, right, k, left_id, right_id, vector, threshold=None, block_on=(): vectors.similarity_join(df, right, k, left_id, right_id, vector, threshold, block_on),
+    "distinct_near": lambda df, order, vector, threshold=0.9: vectors.distinct_near(df, order, vector, threshold),
+    "cluster": lambda df, order, vector, threshold=None, k=None: vectors.cluster(df, order, vector, threshold, k),
+    "diff": lambda df, right, order, vector: vectors.diff(df, right, order, vector),
+    "outliers": lambda df, order, vector, n=5: vectors.outliers(df, order, vector, n),
+    "edges": lambda df, source, target, relation=None, weight=None: graph.adopt(df, source, target, relation, weight),
 }
 
 
@@ -66,18 +82,21 @@ def stages(text: str) -> list[tuple[str, str, str | None, dict]]:
         verb, source = options.pop("verb"), options.pop("input", out[-1][0] if out else None)
         if verb not in VERBS:
             raise ValueError(f"stage {name}: no verb {verb!r}")
-        if source is not None and source not in [s[0] for s in out]:
-            raise ValueError(f"stage {name}: no earlier stage {source!r}")
+        for other in filter(None, (source, options.get("right"))):
+            if other not in (INPUT, *(s[0] for s in out)):
+                raise ValueError(f"stage {name}: no earlier stage {other!r}")
         out.append((name, verb, source, options))
     return out
 
 
 def run(text: str, df: DataFrame) -> DataFrame:
     """The last stage's result."""
-    made: dict[str, DataFrame] = {}
+    made = {INPUT: df}
     last = df
     for name, verb, source, options in stages(text):
-        last = made[name] = VERBS[verb](made[source] if source else df, **options)
+        if "right" in options:
+            options = options | {"right": made[options["right"]]}
+        last = made[name] = VERBS[verb](made[source or INPUT], **options)
     return last
 
 

@@ -264,3 +264,28 @@ def test_pipelines(spark):
     assert pipelines.describe(text)[1].startswith("two: fields")
     with pytest.raises(ValueError):
         pipelines.stages('[stage.x]\nverb = "nope"\n')
+
+
+def test_pipelines_of_two_tables(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 50), ("b", 60)], "g string, x int")
+    text = """
+[stage.large]
+verb = "compare"
+field = "x"
+op = ">"
+to = 55
+[stage.found]
+verb = "join"
+input = "input"
+right = "large"
+on = [["g", "g"]]
+[stage.rest]
+verb = "join"
+input = "input"
+right = "large"
+on = [["g", "g"]]
+kind = "anti"
+"""
+    assert [tuple(r) for r in pipelines.run(text, df).collect()] == [("a", 5)]
+    with pytest.raises(ValueError):
+        pipelines.stages('[stage.x]\nverb = "union"\nright = "later"\n')
