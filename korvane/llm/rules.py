@@ -27,6 +27,8 @@ N_LEVELS = 8
 #: False rejections of good documents stay below ALPHA in every stratum, with a chance of 1 - DELTA for all strata.
 ALPHA, DELTA = 0.05, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
+#: Bytes of text that are worked on at a time.
+PIECE = 2 << 20
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_exclaim")
 
@@ -117,7 +119,7 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in schema]
-        for part, data, offsets in pieces(batches, "_r_text"):
+        for part, data, offsets in pieces(batches, "_r_text", PIECE):
             stats = text_stats(data, offsets)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(n)), *(pa.array(stats[s].astype(np.int64)) for s in STATS)], names=names)
 

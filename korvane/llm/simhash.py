@@ -18,6 +18,8 @@ from .components import connected_components
 
 #: A bucket of more fingerprints than this is compared in pairs of parts, each pair a row group of its own.
 BUCKET_PART = 4096
+#: Bytes of text that are worked on at a time.
+PIECE = 2 << 20
 #: XXH64's seed, and the lower case of A to Z.
 SEED = 42
 LOWER = np.arange(256, dtype=np.uint8)
@@ -60,7 +62,7 @@ def fingerprint(docs: DataFrame, keep: list[str], shingle: int = 4) -> DataFrame
     names = [*keep, "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in pieces(batches, "_s_text"):
+        for part, data, offsets in pieces(batches, "_s_text", PIECE):
             fp = fingerprints_of(data, offsets, shingle).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(fp)], names=names)
 
