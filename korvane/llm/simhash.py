@@ -136,15 +136,21 @@ def near_links(distinct: DataFrame, distance: int = 4, blocks: int | None = None
     return lists.where(F.size("fps") > 1).select("fps").mapInArrow(run, "a long, b long").distinct()
 
 
+def roots(marked: DataFrame, distance: int = 4) -> DataFrame:
+    """(fp, first_id, root), a written table: the least fingerprint reachable over links from each one of the written
+    table ``marked`` (doc_id, fp), and its own smallest doc_id."""
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
+    found = connected_components(near_links(distinct, distance)).withColumnRenamed("node", "n_fp")
+    rooted = distinct.join(found, F.col("fp") == F.col("n_fp"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return materialize(rooted, "simhash-roots")
+
+
 def components(marked: DataFrame, distance: int = 4) -> DataFrame:
     """(fp, component_id) for the written table ``marked`` (doc_id, fp): the smallest doc_id reachable over links.
 
     A component of rows without a doc_id has none itself; null doc_ids take no part in the smallest otherwise.
     """
-    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-distinct")
-    roots = connected_components(near_links(distinct, distance)).withColumnRenamed("node", "n_fp")
-    rooted = distinct.join(roots, F.col("fp") == F.col("n_fp"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "simhash-roots")
+    rooted = roots(marked, distance)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")
 
@@ -161,13 +167,27 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.join(found, F.col("fp") == F.col("c_fp")).select("doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with _s_h1 and _s_h2, a 128-bit key of all columns: rows that are equal in every column share it."""
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    cells = [x for c in columns for x in (c.isNull(), c)]
+    return docs.withColumns({"_s_h1": F.xxhash64(*cells), "_s_h2": F.xxhash64(F.lit("second"), *cells)})
+
+
+def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """``docs`` (with ``row_keys``) with one row of each group, ``grouped`` (doc_id, _s_h1, _s_h2, root): the smallest
+    doc_id, null ids last, then the least key. Picks come from partial aggregates; no task sorts a group."""
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_s_h1", "_s_h2")
+    kept = grouped.groupBy("root").agg(F.min(row).alias("r")).select(F.col("r._s_h1").alias("_s_k1"), F.col("r._s_h2").alias("_s_k2"))
+    rows = docs.join(kept, (F.col("_s_h1") == F.col("_s_k1")) & (F.col("_s_h2") == F.col("_s_k2")), "left_semi")
+    return rows.dropDuplicates(["_s_h1", "_s_h2"]).drop("_s_h1", "_s_h2")
+
+
 def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = 4) -> DataFrame:
-    """``docs`` with one document of each component: the row with the smallest doc_id (null ids last); of rows that
-    repeat that id, one. All columns are kept. Texts without words are one group; the rest never joins it unless its
-    fingerprint is within reach of zero."""
-    marked = materialize(fingerprint(docs, ["doc_id"], shingle), "simhash-fp")
-    found = components(marked, distance)
-    keep = found.select("component_id").distinct().select(F.col("component_id").alias("_s_keep"))
-    rows = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_s_keep")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    return rows.withColumn("_s_row", F.row_number().over(first)).where("_s_row = 1").drop("_s_row")
+    """``docs`` with one document of each component, whatever its doc_ids are: the row with the smallest doc_id (null
+    ids last), of rows that share it the one with the least key. All columns are kept. Texts without words are one
+    group; the rest never joins it unless its fingerprint is within reach of zero."""
+    keyed = row_keys(docs)
+    marked = materialize(fingerprint(keyed, ["doc_id", "_s_h1", "_s_h2"], shingle), "simhash-fp")
+    found = roots(marked, distance).select(F.col("fp").alias("r_fp"), "root")
+    return one_of_each(keyed, marked.join(found, F.col("fp") == F.col("r_fp")))

@@ -189,6 +189,13 @@ def brute_components(fps, ids, distance=4):
     return [least.get(find(i)) for i in range(len(fps))]
 
 
+def test_deduplicate_keeps_one_row_of_each_group(spark):
+    first, second, third = ("the first text has words of its own", "another text that shares nothing with it", "and a third one about something else")
+    rows = [(None, first, "a"), (None, second, "a"), (None, second, "b"), (7, first, "a"), (7, third, "a"), (7, third, "a"), (7, third, "b"), (8, third, "a")]
+    left = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert keyed((r.doc_id, r.text) for r in left) == keyed([(7, first), (None, second), (7, third)])
+
+
 def test_simhash_odd_rows(spark, odd, nothing):
     docs = odd.collect()
     marked = materialize(simhash.fingerprint(odd, ["doc_id"]), "t")
