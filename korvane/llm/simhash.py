@@ -1,4 +1,5 @@
-"""SimHash near-duplicates: fingerprints, links by pigeonhole blocks, components."""
+"""Near-duplicates: SimHash fingerprints linked by pigeonhole blocks (op4), sets of word shingles linked by their Jaccard
+similarity (the pipeline), components."""
 
 from __future__ import annotations
 
@@ -13,13 +14,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Words, materialize, pieces
+from ._common import Words, bounded_broadcast, materialize, pieces
 from .components import connected_components
 
 #: A bucket of more fingerprints than this is compared in pairs of parts, each pair a row group of its own.
 BUCKET_PART = 4096
 #: Bytes of text that are worked on at a time.
 PIECE = 2 << 20
+#: The least Jaccard similarity of linked sets of shingles, as a fraction.
+SIMILARITY = (4, 5)
+#: Shingles that stand HOT times or more in about SAMPLE distinct texts come last in prefixes, HOTTEST of them at most.
+#: That only sets the order in which shingles are tried, not which pairs are found.
+SAMPLE, HOT, HOTTEST = 20_000, 8, 50_000
 #: XXH64's seed, and the lower case of A to Z.
 SEED = 42
 LOWER = np.arange(256, dtype=np.uint8)
@@ -183,11 +189,158 @@ def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["_s_h1", "_s_h2"]).drop("_s_h1", "_s_h2")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 5, distance: int = 4) -> DataFrame:
+def shingles_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
+    """The sorted distinct 64-bit hashes of each text's word shingles; none for a text without words."""
+    data = LOWER[data]
+    words = Words(data, offsets)
+    lengths = words.ends - words.starts
+    room = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths + 1, out=room[1:])
+    spaced = np.full(room[-1], 32, np.uint8)
+    put = np.ones(room[-1], bool)
+    put[room[1:] - 1] = False
+    spaced[put] = data[words.inside]
+    view, begin, end = memoryview(spaced.tobytes()), room[:-1], room[1:] - 1
+    digest, first = xxhash.xxh64_intdigest, words.first_word.tolist()
+    for a, b in zip(first[:-1], first[1:]):
+        last = max(a + 1, b - shingle + 1)
+        spans = zip(begin[a:last].tolist(), end[min(a + shingle, b) - 1 : b].tolist()) if b > a else ()
+        yield np.unique(np.fromiter((digest(view[x:y], SEED) for x, y in spans), np.uint64)).view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, keep: list[str], shingle: int, hot: dict[int, int] | None = None) -> DataFrame:
+    """The columns ``keep`` with sid (a digest of the set of shingles, 0 if it is empty), size and shingles: all of them,
+    or, if ``hot`` is given, the prefix: of all but the share SIMILARITY, and one more, the rarest first.
+
+    The order is by how often ``hot`` has a shingle, then by hash, the same for all texts; so two sets of that similarity
+    share a shingle of both prefixes.
+    """
+    up, down = SIMILARITY
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType, True) for c in keep), T.StructField("sid", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    names = schema.names
+    sent = None if hot is None else docs.sparkSession.sparkContext.broadcast((np.array(sorted(hot), np.int64), np.array([hot[h] for h in sorted(hot)], np.int64)))
+
+    def prefix(s: np.ndarray) -> np.ndarray:
+        known, often = sent.value
+        n = len(s) + (-up * len(s)) // down + 1 if len(s) else 0
+        rank = np.zeros(len(s), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+            rank = np.where(known[at] == s, often[at], 0)
+        return s[np.lexsort((s, rank))[:n]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in pieces(batches, "_s_text", PIECE):
+            sets = list(shingles_of(data, offsets, shingle))
+            sid = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+            lists = sets if sent is None else [prefix(s) for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
+            values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(sid), pa.array([len(s) for s in sets], pa.int32()), values], names=names)
+
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_s_text")).mapInArrow(run, schema)
+
+
+def hot_shingles(docs: DataFrame, shingle: int) -> dict[int, int]:
+    """How often the most common shingles stand in a sample of distinct texts, drawn by their hash."""
+    step = max(1, docs.count() // SAMPLE)
+    some = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0).distinct()
+    counts = shingle_sets(some, [], shingle).select(F.explode("shingles").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HOT)
+    return {r.h: r.n for r in counts.orderBy(F.col("n").desc(), "h").limit(HOTTEST).collect()}
+
+
+def same_size(a: Column, b: Column) -> Column:
+    """Whether sets of these sizes can be of SIMILARITY."""
+    up, down = SIMILARITY
+    return down * F.least(a, b).cast("long") >= up * F.greatest(a, b).cast("long")
+
+
+def enough(common: Column, a: Column, b: Column) -> Column:
+    """Whether sets of these sizes with so many common shingles have a Jaccard similarity of SIMILARITY or more."""
+    up, down = SIMILARITY
+    return (up + down) * common.cast("long") >= up * (a.cast("long") + b.cast("long"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILARITY or more, a written table. Sets
+    come from one row of each and are shuffled by pair."""
+    pairs = materialize(pairs, "dedup-pairs")
+    ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
+    wanted = materialize(sets.join(ids, F.col("sid") == F.col("i"), "left_semi").select(F.col("h1").alias("_s_k1"), F.col("h2").alias("_s_k2")), "dedup-wanted")
+    rows = docs.join(bounded_broadcast(wanted), (F.col("_s_h1") == F.col("_s_k1")) & (F.col("_s_h2") == F.col("_s_k2")), "left_semi").select("_s_h1", "_s_h2", "text")
+    rows = rows.dropDuplicates(["_s_h1", "_s_h2"])  # rows that are equal in all columns
+    full = materialize(shingle_sets(rows, [], shingle).select("sid", "shingles"), "dedup-sets")
+    left = pairs.join(full.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(full.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+    return materialize(both.where(enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "dedup-links")
+
+
+def across(keyed: DataFrame) -> DataFrame:
+    """Pairs (a, b), each once, of ``keyed`` (sid, size, pos, key, root) that share a key, have different roots and can
+    be of SIMILARITY by their sizes and by how many keys they share up to which places.
+
+    A key's rows over BUCKET_PART are dealt out as pairs of parts to separate groups."""
+    up, down = SIMILARITY
+    own = Window.partitionBy("key")
+    mixed = keyed.withColumns({"n": F.count(F.lit(1)).over(own), "lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo <> hi")
+    parts = F.ceil(F.col("n") / BUCKET_PART)
+    met = mixed.withColumn("own", F.pmod(F.xxhash64("sid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    group = F.struct("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+    lists = met.groupBy(group.alias("g")).agg(F.collect_list(F.struct("sid", "size", "pos", "root", "own")).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+                sid, size, pos, root, own = (rows.values.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                if len(sid) < 2:
+                    continue
+                for at in range(0, len(sid), 256):  # a few rows against all
+                    here = slice(at, at + 256)
+                    ok = (root[here, None] != root[None]) & (sid[here, None] < sid[None])
+                    ok &= down * np.minimum(size[here, None], size[None]).astype(np.int64) >= up * np.maximum(size[here, None], size[None]).astype(np.int64)
+                    if group["p"] != group["q"]:
+                        ok &= own[here, None] != own[None]
+                    x, y = np.nonzero(ok)
+                    x += at
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sid[x], sid[y], size[x], size[y], pos[x], pos[y])], names=["a", "b", "sa", "sb", "pa", "pb"])
+
+    met = lists.select(F.struct("g.p", "g.q").alias("g"), "rows").mapInArrow(run, "a long, b long, sa int, sb int, pa int, pb int")
+    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("sa", "sb", "pa", "pb")])
+    # Beyond the last common place of the prefixes, no more can be common than what follows in the shorter rest.
+    return pairs.where(enough(F.col("n") + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")), F.col("sa"), F.col("sb"))).select("a", "b")
+
+
+def similar_roots(docs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
+    """(sid, root) of every set that is linked to another one, for the written table ``marked`` (row keys, sid, size,
+    shingles: prefixes): links are all pairs of SIMILARITY or more, as far as they change components.
+
+    Equal sets are one. Sets that share a key of their prefixes first meet the least of them; what that links is one
+    component. Then all pairs with a common key from different components meet.
+    """
+    row = F.struct("_s_h1", "_s_h2")
+    sets = marked.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"), F.min(row).alias("row"))
+    sets = materialize(sets.select("sid", "size", "shingles", F.col("row._s_h1").alias("h1"), F.col("row._s_h2").alias("h2")), "dedup-distinct")
+    keyed = sets.select("sid", "size", F.posexplode("shingles").alias("pos", "key")).withColumn("pos", F.col("pos") + 1)
+    own = Window.partitionBy("key")
+    shared = keyed.withColumns({"n": F.count(F.lit(1)).over(own), "least": F.min(F.struct("sid", "size")).over(own)}).where("n > 1").drop("n")
+    shared = materialize(shared, "dedup-keys")
+    stars = shared.where((F.col("sid") != F.col("least.sid")) & same_size(F.col("size"), F.col("least.size"))).select(F.col("sid").alias("a"), F.col("least.sid").alias("b")).distinct()
+    links = verified(stars, docs, sets, shingle)
+    near = materialize(connected_components(links), "dedup-roots")
+    placed = shared.select("sid", "size", "pos", "key").join(near, F.col("sid") == F.col("node"), "left").select("sid", "size", "pos", "key", F.coalesce("root", "sid").alias("root"))
+    more = verified(across(placed), docs, sets, shingle)
+    return connected_components(links.unionByName(more))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """``docs`` with one document of each component, whatever its doc_ids are: the row with the smallest doc_id (null
-    ids last), of rows that share it the one with the least key. All columns are kept. Texts without words are one
-    group; the rest never joins it unless its fingerprint is within reach of zero."""
+    ids last), of rows that share it the one with the least key. All columns are kept.
+
+    Linked are all pairs of texts whose sets of ``shingle`` words have a Jaccard similarity of SIMILARITY or more. Texts
+    without words are one group, which nothing else joins."""
     keyed = row_keys(docs)
-    marked = materialize(fingerprint(keyed, ["doc_id", "_s_h1", "_s_h2"], shingle), "simhash-fp")
-    found = roots(marked, distance).select(F.col("fp").alias("r_fp"), "root")
-    return one_of_each(keyed, marked.join(found, F.col("fp") == F.col("r_fp")))
+    marked = materialize(shingle_sets(keyed, ["doc_id", "_s_h1", "_s_h2"], shingle, hot_shingles(docs, shingle)), "dedup-marked")
+    near = materialize(similar_roots(keyed, marked, shingle), "dedup-roots")
+    rows = marked.select("doc_id", "_s_h1", "_s_h2", "sid").join(near, F.col("sid") == F.col("node"), "left")
+    return one_of_each(keyed, rows.withColumn("root", F.coalesce("root", "sid")))

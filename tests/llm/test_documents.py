@@ -196,6 +196,35 @@ def test_deduplicate_keeps_one_row_of_each_group(spark):
     assert keyed((r.doc_id, r.text) for r in left) == keyed([(7, first), (None, second), (7, third)])
 
 
+def brute_sets(texts, k=5):
+    split = [[w.lower() for w in SPLIT.findall(x)] for x in texts]
+    return [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in split]
+
+
+@pytest.mark.parametrize("part", [8, 4096])
+def test_deduplicate_against_all_pairs(spark, monkeypatch, part):
+    """Copies with more and more words changed, around a similarity of 0.8, all with one line in common."""
+    monkeypatch.setattr(simhash, "BUCKET_PART", part)
+    rng = np.random.default_rng(part)
+    texts = []
+    for _ in range(8):
+        base = [f"w{x}" for x in rng.integers(0, 5000, rng.integers(40, 300))]
+        for _ in range(10):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), rng.integers(0, 1 + len(copy) // 25)):
+                copy[at] = f"w{rng.integers(0, 5000)}"
+            texts.append("one line that stands in every text of this table " + " ".join(copy))
+    sets, group = brute_sets(texts), list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) and group[i] != group[j]:
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    assert 8 < len(set(group)) < len(texts)
+    left = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(group))
+
+
 def test_simhash_odd_rows(spark, odd, nothing):
     docs = odd.collect()
     marked = materialize(simhash.fingerprint(odd, ["doc_id"]), "t")
