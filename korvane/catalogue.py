@@ -355,7 +355,7 @@ def topk_near(spark, d):
 
 @query(f"select vec_id, label, round((1 + {_COS}) / 2, 4) as __score from embeddings e, {_Q} q where (1 + {_COS}) / 2 >= 0.7")
 def topk_threshold(spark, d):
-    return vectors.top_k(table(spark, d, "embeddings"), "embedding", _near(spark, d), 1_000_000, "vec_id", 0.7)
+    return vectors.top_k(table(spark, d, "embeddings"), "embedding", _near(spark, d), None, "vec_id", 0.7)
 
 
 _UNIT = "u as (select vec_id, label, list_transform(embedding, lambda x: x::double / n) as v from (select *, sqrt(list_inner_product(list_transform(embedding, lambda x: x::double), list_transform(embedding, lambda x: x::double))) as n from embeddings))"

@@ -16,13 +16,16 @@ from ..shared import materialize, small
 HEAD, BLOCK = 2048, 4096
 
 
-def top_k(df: DataFrame, vector: str, near: list[float], k: int, order: str, threshold: float | None = None) -> DataFrame:
-    """The k rows most like ``near`` by unit score (4 places), ties by ``order``; the threshold applies first."""
+def top_k(df: DataFrame, vector: str, near: list[float], k: int | None, order: str, threshold: float | None = None) -> DataFrame:
+    """The k rows most like ``near`` by unit score (4 places), ties by ``order``; the threshold applies first. Without k,
+    all rows within the threshold, in no order."""
     target = F.array(*[F.lit(float(x)) for x in near])
     scored = df.where(F.col(vector).isNotNull()).withColumn("_exact", unit_score(F.col(vector), target))
     if threshold is not None:
         scored = scored.where(F.col("_exact") >= threshold)
-    return scored.orderBy(F.col("_exact").desc(), order).limit(k).withColumn("__score", F.round("_exact", 4)).drop("_exact", vector)
+    if k is not None:
+        scored = scored.orderBy(F.col("_exact").desc(), order).limit(k)
+    return scored.withColumn("__score", F.round("_exact", 4)).drop("_exact", vector)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -143,6 +143,15 @@ def test_similarity_recall(spark):
     assert full.where("rank = 1 and left_id = right_id").count() == 40
 
 
+def test_threshold_search_has_no_limit(spark, tmp_path):
+    from korvane.catalogue import QUERIES
+
+    n = 1_000_050
+    vector = F.array(F.lit(1.0), F.lit(0.0)).cast("array<float>")
+    spark.range(n).select(F.col("id").alias("vec_id"), vector.alias("embedding"), F.lit(0).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert QUERIES["topk_threshold"](spark, str(tmp_path)).count() == n
+
+
 def test_zero_vector(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "o long, v array<double>")
     assert [(r.o, r["__score"]) for r in vectors.top_k(df, "v", [1.0, 0.0], 2, "o").collect()] == [(2, 1.0), (1, 0.5)]
