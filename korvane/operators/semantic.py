@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.texts import chunks_of, repaired
-from ..shared import materialize
+from ..shared import materialize, small
 
 #: Texts of one request to an embedding model.
 BATCH = 64
@@ -229,8 +229,13 @@ def reduce_rows(df: DataFrame, text: str, order: str, template: str, model: Chat
 
     keys = list(by)
     level = numbered(df.where(F.col(text).isNotNull()).select(*keys, F.col(order).alias("_o"), F.col(text).alias("_t")), [*keys, "_o"])
-    place = F.col("_n") - F.min("_n").over(_group(keys))
-    level = materialize(level.select(*keys, place.alias("_p"), "_t"), "reduce")
+    level = materialize(level, "reduce-rows")
+    starts = materialize(level.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_n").alias("_start")), "reduce-starts")
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    level = level.join(small(starts), same).select(*keys, (F.col("_n") - F.col("_start")).alias("_p"), "_t")
+    level = materialize(level, "reduce")
     first = True
     while first or level.groupBy(*keys).count().where("count > 1").limit(1).count():
         joined = level.groupBy(*keys, F.floor(F.col("_p") / fan_in).alias("_p")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_t"))), lambda x: x["_t"]), "\n").alias("items"))
@@ -239,12 +244,6 @@ def reduce_rows(df: DataFrame, text: str, order: str, template: str, model: Chat
     return level.select(*keys, F.col("_t").alias("result"))
 
 
-def _group(keys: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*keys)
-
-
 def check_records(df: DataFrame, rules: dict[str, Column], fields: list[str]) -> DataFrame:
     """(field, rows, present, valid): how many rows have a field, and on how many its rule holds (absent counts as
     valid only if the rule says so)."""

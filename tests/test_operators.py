@@ -152,6 +152,19 @@ def test_threshold_search_has_no_limit(spark, tmp_path):
     assert QUERIES["topk_threshold"](spark, str(tmp_path)).count() == n
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_reduce_rows_brings_no_group_together(spark, monkeypatch, by):
+    plans, write = [], semantic.materialize
+    monkeypatch.setattr(semantic, "materialize", lambda df, tag: (plans.append((tag, df._jdf.queryExecution().executedPlan().toString())), write(df, tag))[1])
+    df = spark.createDataFrame([(None if i % 3 == 0 else "ab"[i % 2], i, str(i)) for i in range(60)], "g string, o long, t string")
+    got = semantic.reduce_rows(df, "t", "o", "{items}", semantic.RuleChat(lambda p: "+".join(p.split("\n"))), by, 4).collect()
+    want = {}
+    for r in df.collect():
+        want.setdefault(r.g if by else None, []).append(r.t)
+    assert {(r.g if by else None): r.result for r in got} == {g: "+".join(v) for g, v in want.items()} and len(got) == len(want)
+    assert all("Window" not in plan for tag, plan in plans if tag == "reduce")
+
+
 def test_zero_vector(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0])], "o long, v array<double>")
     assert [(r.o, r["__score"]) for r in vectors.top_k(df, "v", [1.0, 0.0], 2, "o").collect()] == [(2, 1.0), (1, 0.5)]
