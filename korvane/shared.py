@@ -8,14 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A table is broadcast only if a count has shown that it has no more rows than this.
+#: A table is broadcast only if a count has shown that it has no more rows than this; else the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Spark's setting that removes a query's shuffle files once the query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; a temporary folder only where that is unset."""
+    """``spark.checkpoint.dir``, which driver and executors share. Where that is unset, a temporary folder, which only a
+    local master can do with."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_korvane_dir", None) or f"file://{tempfile.mkdtemp(prefix='korvane-')}"
         spark._korvane_dir = base
     return base.rstrip("/")
@@ -26,12 +31,30 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors. What its query has
+    shuffled goes once the table is written."""
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._korvane_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has written, once nothing reads them any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._korvane_path)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows, else as it is."""
+    """``df`` with a broadcast hint if it is counted to have at most ``limit`` rows, else as it is.
+
+    Call it on a written table: the count then is cheap.
+    """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
