@@ -1,49 +1,20 @@
-"""What the operators of this subpackage share: the shared folder, written intermediate tables, Arrow text buffers."""
+"""What the operators of this subpackage share: Arrow text buffers, words, written intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A table is broadcast only if a count has shown that it has no more rows than this; else the join shuffles.
-BROADCAST_ROWS = 1_000_000
-#: Python works through a batch in pieces of about so many bytes of text, so memory does not follow the batch size.
-PIECE_BYTES = 8 << 20
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark, "_korvane_shared", None) or f"file://{tempfile.mkdtemp(prefix='korvane-')}"
-        spark._korvane_shared = base
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/korvane/{tag}-{uuid.uuid4().hex}"
+from ..shared import discard, materialize, new_path, shared_dir
+from ..shared import small as bounded_broadcast
 
+__all__ = ["Words", "binary_array", "bounded_broadcast", "discard", "materialize", "new_path", "per_text", "pieces", "shared_dir", "text_buffer"]
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``limit`` rows, else as it is.
-
-    Call it on a written table: the count then is cheap.
-    """
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+#: Python works through a batch in pieces of about so many bytes of text, so memory does not follow the batch size.
+PIECE_BYTES = 8 << 20
 
 
 def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from korvane.llm import classifier, components, mixing, pieces, rules, simhash, simple8b, tokencount, tokens, vocabulary
 from korvane.llm._common import materialize, text_buffer
+from tests.llm.kneser_ney import Model
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SPLIT = re.compile(r"[^\x20\x09-\x0D]+")
@@ -201,6 +202,18 @@ def brute_sets(texts, k=5):
     return [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set() for w in split]
 
 
+def brute_groups(texts, ids):
+    """The smallest id of each text's group: links are all pairs of a similarity of 0.8 or more."""
+    sets, group = brute_sets(texts), list(ids)
+    for i in range(len(texts)):
+        for j in range(i):
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if group[i] != group[j] and 5 * small >= 4 * large and 9 * len(sets[i] & sets[j]) >= 4 * (small + large):
+                lo, hi = sorted((group[i], group[j]))
+                group = [lo if g == hi else g for g in group]
+    return group
+
+
 @pytest.mark.parametrize("part", [8, 4096])
 def test_deduplicate_against_all_pairs(spark, monkeypatch, part):
     """Copies with more and more words changed, around a similarity of 0.8, all with one line in common."""
@@ -214,12 +227,7 @@ def test_deduplicate_against_all_pairs(spark, monkeypatch, part):
             for at in rng.integers(0, len(copy), rng.integers(0, 1 + len(copy) // 25)):
                 copy[at] = f"w{rng.integers(0, 5000)}"
             texts.append("one line that stands in every text of this table " + " ".join(copy))
-    sets, group = brute_sets(texts), list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])) and group[i] != group[j]:
-                lo, hi = sorted((group[i], group[j]))
-                group = [lo if g == hi else g for g in group]
+    group = brute_groups(texts, list(range(len(texts))))
     assert 8 < len(set(group)) < len(texts)
     left = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(group))
@@ -267,33 +275,68 @@ def test_components_of_paths(spark):
 # Classifier
 
 
-def test_kneser_ney_is_a_distribution(spark):
-    docs = spark.createDataFrame([(1, "en", "the cat sat on the mat. " * 5), (2, "en", "A dog ran; 12 cats sat!"), (3, "de", "der hund und die katze"), (4, None, "x"), (5, "en", None)], "doc_id long, lang string, text string")
-    model = classifier.train(docs).toArrow()
-    import pyarrow.compute as pc
-
-    for lang in ("en", "de", "", "*"):
-        p = np.exp(classifier.dense(model.filter(pc.equal(model["lang"], lang)))).reshape(-1, classifier.CLASSES)
-        assert p.sum(axis=1) == pytest.approx(np.ones(len(p)), abs=2e-3)
-
-
-def test_grams_against_brute_force():
-    texts = ["", "ab", "Ein Ä1 é漢", "x"]
-    data, offsets = text_buffer(pa.array(texts))
-    code, doc = classifier.grams(*classifier.symbols(data, offsets))
-    want = []
-    for i, t in enumerate(texts):
-        s = [classifier.SPACE] * 3 + [classifier.FOLD[c] for c in t.encode("latin-1", "replace")] if t else []
-        want += [(i, sum(x * classifier.CLASSES ** (3 - k) for k, x in enumerate(s[j : j + 4]))) for j in range(len(s) - 3)]
-    assert list(zip(doc.tolist(), code.tolist())) == want
+def check_model(spark, rows, labels, monkeypatch):
+    """Every perplexity, threshold and verdict of ``rows`` (doc_id, lang, text) against plain counting."""
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, lang string, text string"), "t")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    marked = docs.join(classifier.trusted_ids(labels), F.col("doc_id") == F.col("g_id"), "left").select("lang", "text", F.col("g_id").isNotNull().alias("good"), classifier.held_out(classifier.row_hash()).alias("held")).collect()
+    langs = {r.lang or "" for r in marked}
+    trusted = {x: [r.text for r in marked if r.good and not r.held and (r.lang or "") == x] for x in langs}
+    models = {x: Model(t, classifier.ORDER) for x, t in trusted.items() if any(t)}
+    pooled = Model([t for x in trusted.values() for t in x], classifier.ORDER)
+    nats = {(r.lang, r.text): models.get(r.lang or "", pooled).nats(r.text) for r in marked}
+    held = [r for r in marked if r.good and r.held and r.text]
+    mean = {x: round(sum(nats[r.lang, r.text] for r in held if (r.lang or "") == x) / sum(len(r.text) for r in held if (r.lang or "") == x), 9) for x in {r.lang or "" for r in held}}
+    every = round(sum(nats[r.lang, r.text] for r in held) / sum(len(r.text) for r in held), 9)
+    rate = lambda r: (nats[r.lang, r.text] + classifier.PRIOR_SYMBOLS * mean.get(r.lang or "", every)) / (len(r.text or "") + classifier.PRIOR_SYMBOLS)
+    cuts = {}
+    for x in mean:
+        bins = sorted(int(rate(r) / classifier.BIN) for r in held if (r.lang or "") == x)
+        at = next(i for i in range(len(bins)) if i + 1 >= len(bins) * classifier.QUANTILE)
+        cuts[x] = (bins[at] + 1) * classifier.BIN * classifier.MARGIN
+    out = classifier.Classifier(docs, labels, ["text"]).verdicts().select("_q_all.*", "_q_symbols", "_q_perplexity", "_q_threshold", "_q_kept").collect()
+    assert len(out) == len(rows)
+    for r in out:
+        cut = cuts.get(r.lang or "", max(cuts.values()))
+        assert r._q_symbols == len(r.text or "")
+        assert np.log(r._q_perplexity) == pytest.approx(rate(r), rel=1e-9) and np.log(r._q_threshold) == pytest.approx(cut, rel=1e-9)
+        assert r._q_kept == (bool(r.text) and rate(r) <= cut)
+    return out
+
+
+@pytest.mark.parametrize("order", [2, 5])
+def test_kneser_ney_against_counting(spark, monkeypatch, order):
+    """Forty languages, some without trusted text, one without held-out text, texts in several pieces and odd characters."""
+    monkeypatch.setattr(classifier, "ORDER", order)
+    monkeypatch.setattr(classifier, "PIECE", 40)
+    rng = np.random.default_rng(order)
+    rows = []
+    for i in range(700):
+        lang = f"l{i % 40}" if i % 40 else None
+        letters = list("abcd " + chr(0x430 + i % 40) + chr(0x4E00 + i % 40) + "\U0001F642\0")
+        rows.append((i if i % 97 else None, lang, "".join(rng.choice(letters, rng.integers(0, 90))) if i % 50 else None))
+    rows += [rows[3]] * 3 + [(3, "l3", "another text of the same id")]
+    good = [(i, int(i % 7 > 0), int(i % 11 == 0)) for i in range(700) if i % 40 not in (7, 8)]
+    out = check_model(spark, rows, good, monkeypatch)
+    assert 0 < sum(r._q_kept for r in out) < len(out)
+
+
+def test_grams_of_many_characters():
+    """More characters than fit beside each other in one number."""
+    rng = np.random.default_rng(0)
+    text = "".join(map(chr, rng.permutation(np.arange(0x4E00, 0x9F00))[:9000])) * 2
+    gram, which, doc = classifier.grams(*next(classifier.segments([None, text, ""])))
+    padded = classifier.PAD * (classifier.ORDER - 1) + text
+    assert [gram[i].as_py() for i in which[::17]] == [padded[i : i + classifier.ORDER] for i in range(0, len(text), 17)] and set(doc) == {1}
+    assert len(gram) == len(set(gram.to_pylist()))
 
 
 def test_classifier_held_out(spark, sf):
     """Half of the labels train, the other half must be told apart."""
     sf = sf.replace("sf0.001", "sf0.01")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = classifier.Classifier(classifier.trusted_documents(docs, labels.where("doc_id % 2 = 0")))
-    held = model.judge(docs, ["doc_id", "lang"]).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
+    verdicts = classifier.Classifier(docs, labels.where("doc_id % 2 = 0"), []).verdicts().select("_q_all.doc_id", "_q_kept")
+    held = verdicts.join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
     assert held[held.quality == 1]._q_kept.mean() > 0.97
     assert held[held.quality == 0]._q_kept.mean() < 0.3
 
