@@ -205,10 +205,6 @@ def score(docs: DataFrame, counts: Counts, keep: list[str], with_text: bool = Fa
     sizes = sizes.join(trained, F.col("z_lang") == F.col("t_model"), "left")
     blocks = F.ceil(F.coalesce("bytes", F.lit(0)) / (BLOCK * PASSES)) + 1
     sizes = bounded_broadcast(materialize(sizes.select("z_lang", F.coalesce("t_model", F.lit(POOLED)).alias("z_model"), blocks.alias("z_blocks")), "kn-sizes"))
-    needed = count_grams(docs).join(sizes, F.col("lang") == F.col("z_lang")).select(F.col("z_model").alias("model"), "gram").distinct()
-    needed = materialize(needed, "kn-needed")
-    nats = counts.log_probabilities(needed)
-    discard(needed)
     others = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
     rows = docs.select(language().alias("_q_lang"), others.alias("_q_all"), F.col("text").alias("_q_text"), row_hash().alias("_q_hash"), F.spark_partition_id().alias("_q_task"))
     rows = rows.join(sizes, F.col("_q_lang") == F.col("z_lang"))
@@ -233,14 +229,22 @@ def score(docs: DataFrame, counts: Counts, keep: list[str], with_text: bool = Fa
             size += np.bincount(doc, minlength=left.num_rows)
         return left.select(names[:-2]).append_column("_q_nats", pa.array(sums)).append_column("_q_symbols", pa.array(size))
 
+    parts = [rows.where(F.pmod("_q_hash", F.lit(PASSES)) == k).withColumn("_q_block", block).select("_q_lang", "_q_block", "z_model", "_q_all", "_q_hash", "_q_text") for k in range(PASSES)]
+    texts = [part.select("_q_lang", "_q_block", "z_model", "_q_text") for part in parts]
+    asked = [materialize(t.groupBy("_q_lang", "_q_block").applyInArrow(held, "_q_lang string, _q_block long, gram string, z_model string"), "kn-asked") for t in texts]
+    needed = asked[0]
+    for a in asked[1:]:
+        needed = needed.unionByName(a)
+    needed = materialize(needed.select(F.col("z_model").alias("model"), "gram").distinct(), "kn-needed")
+    nats = counts.log_probabilities(needed)
+    discard(needed)
     out = None
-    for k in range(PASSES):
-        part = rows.where(F.pmod("_q_hash", F.lit(PASSES)) == k).withColumn("_q_block", block).select("_q_lang", "_q_block", "z_model", "_q_all", "_q_hash", "_q_text")
-        asked = part.groupBy("_q_lang", "_q_block").applyInArrow(held, "_q_lang string, _q_block long, gram string, z_model string")
-        told = asked.join(nats.withColumnRenamed("gram", "m_gram"), (F.col("z_model") == F.col("model")) & (F.col("gram") == F.col("m_gram")))
+    for part, a in zip(parts, asked):
+        told = a.join(nats.withColumnRenamed("gram", "m_gram"), (F.col("z_model") == F.col("model")) & (F.col("gram") == F.col("m_gram")))
         told = told.select(F.col("_q_lang").alias("g_lang"), F.col("_q_block").alias("g_block"), F.col("gram").alias("g_gram"), "nats")
         scored = part.groupBy("_q_lang", "_q_block").cogroup(told.groupBy("g_lang", "g_block")).applyInArrow(run, out_schema)
         scored = materialize(scored, "kn-scores")
+        discard(a)
         out = scored if out is None else out.unionByName(scored)
     return out
 
