@@ -28,13 +28,31 @@ def keyed(rows):
 
 
 def test_mix_odd_rows(spark, odd, nothing):
-    plan = mixing.plan(odd).collect()
+    odd, nothing = materialize(odd, "t"), materialize(nothing, "t")
+    rows = mixing.numbered_rows(odd)
+    plan = mixing.plan(rows).collect()
     assert sum(r.n for r in plan) == odd.count()
-    assert all(0 <= r.copies <= 2 and r.target <= 2 * r.source_size for r in plan)
+    assert all(0 <= r.times <= 2 * r.n and r.target <= 2 * r.source_size for r in plan)
+    each = mixing.row_copies(rows, mixing.plan(rows)).collect()
+    assert len(each) == odd.count() and sum(r.copies for r in each) == sum(r.times for r in plan) and all(0 <= r.copies <= 2 for r in each)
     mixed = mixing.mix(odd)
     assert mixed.columns == odd.columns
-    assert mixed.count() == sum(r.n * r.copies for r in plan if r.size) and keyed(mixed.collect()) == keyed(mixing.mix(odd).collect())
-    assert mixing.plan(nothing).count() == 0 and mixing.mix(nothing).count() == 0
+    assert mixed.count() == sum(r.times for r in plan) and keyed(mixed.collect()) == keyed(mixing.mix(odd).collect())
+    none = mixing.numbered_rows(nothing)
+    assert mixing.plan(none).count() == 0 and mixing.row_copies(none, mixing.plan(none)).count() == 0 and mixing.mix(nothing).count() == 0
+
+
+def test_mix_of_rows_alike_nears_targets(spark, monkeypatch):
+    """Null ids, repeated rows, equal sizes, one text over and over; runs of a few rows at a time."""
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rows = [(None, "w w w", "a")] * 60 + [(1, "w w w", "a")] + [(2, "x " * 5, "b")] * 50 + [(None, "y " * (1 + i % 3), "b") for i in range(30)] + [(i, "z", None) for i in range(40)] + [(None, None, None)] * 5
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, source string"), "t")
+    each = mixing.row_copies(mixing.numbered_rows(docs), mixing.plan(mixing.numbered_rows(docs)))
+    for r in each.groupBy("src").agg(F.sum(F.col("size") * F.col("copies")).alias("taken"), F.first("target").alias("target"), F.max("copies").alias("most")).collect():
+        assert abs(r.taken - r.target) <= 5 and r.most <= 2
+    assert sorted((r.doc_id is None, r.text) for r in mixing.mix(docs).collect()) == sorted((r.doc_id is None, r.text) for r in mixing.mix(docs).collect())
+    sizes = {None: 0} | {t: len(SPLIT.findall(t)) for _, t, _ in rows if t}
+    assert sum(sizes[r.text] for r in mixing.mix(docs).collect()) == each.agg(F.sum(F.col("size") * F.col("copies"))).first()[0]
 
 
 def test_targets_are_reshared(spark):
@@ -56,8 +74,8 @@ def test_targets_are_reshared(spark):
 
 def test_mix_nears_targets(spark):
     rows = [(i, "w " * (1 + i % 7), "hot" if i % 3 else f"s{i % 11}") for i in range(3000)]
-    plan = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
-    for r in plan.groupBy("src").agg(F.sum(F.col("size") * F.col("copies") * F.col("n")).alias("taken"), F.first("target").alias("target")).collect():
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, source string"), "t")
+    for r in mixing.plan(mixing.numbered_rows(docs)).groupBy("src").agg(F.sum(F.col("size") * F.col("times")).alias("taken"), F.first("target").alias("target")).collect():
         assert abs(r.taken - r.target) <= 15
 
 

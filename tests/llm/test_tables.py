@@ -122,7 +122,7 @@ def test_pipeline(spark, sf):
     stats = rules.with_stats(stages["quality rules"], ["doc_id", "lang"])
     want = rules.judge(stats, rules.cutoffs(stats, labels)).where("_r_kept").select("doc_id").collect()
     assert keyed(r.doc_id for r in want) == keyed(r.doc_id for r in rows)
-    assert docs.count() == mixing.plan(stages["mix sources"]).agg(F.sum(F.col("n") * F.col("copies"))).first()[0]
+    assert docs.count() == mixing.plan(mixing.numbered_rows(stages["mix sources"])).agg(F.sum("times")).first()[0]
     assert docs.where("not round_trip or round_trip is null").count() == 0
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
 
