@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Words, bounded_broadcast, materialize, pieces
+from ._common import Words, bounded_broadcast, discard, materialize, pieces
 from .components import connected_components
 
 #: A bucket of more fingerprints than this is compared in pairs of parts, each pair a row group of its own.
@@ -272,7 +272,9 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -
     full = materialize(shingle_sets(rows, [], shingle).select("sid", "shingles"), "dedup-sets")
     left = pairs.join(full.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(full.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
-    return materialize(both.where(enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "dedup-links")
+    links = materialize(both.where(enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "dedup-links")
+    discard(pairs, wanted, full)
+    return links
 
 
 def across(keyed: DataFrame) -> DataFrame:
@@ -313,23 +315,27 @@ def across(keyed: DataFrame) -> DataFrame:
 
 def similar_roots(docs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
     """(sid, root) of every set that is linked to another one, for the written table ``marked`` (row keys, sid, size,
-    shingles: prefixes): links are all pairs of SIMILARITY or more, as far as they change components.
+    shingles: prefixes), which goes: links are all pairs of SIMILARITY or more, as far as they change components.
 
     Equal sets are one. Sets that share a key of their prefixes first meet the least of them; what that links is one
     component. Then all pairs with a common key from different components meet.
     """
     row = F.struct("_s_h1", "_s_h2")
-    sets = marked.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"), F.min(row).alias("row"))
-    sets = materialize(sets.select("sid", "size", "shingles", F.col("row._s_h1").alias("h1"), F.col("row._s_h2").alias("h2")), "dedup-distinct")
-    keyed = sets.select("sid", "size", F.posexplode("shingles").alias("pos", "key")).withColumn("pos", F.col("pos") + 1)
+    whole = marked.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"), F.min(row).alias("row"))
+    whole = materialize(whole.select("sid", "size", "shingles", F.col("row._s_h1").alias("h1"), F.col("row._s_h2").alias("h2")), "dedup-distinct")
+    sets = materialize(whole.select("sid", "h1", "h2"), "dedup-names")
+    discard(marked)
+    keyed = whole.select("sid", "size", F.posexplode("shingles").alias("pos", "key")).withColumn("pos", F.col("pos") + 1)
     own = Window.partitionBy("key")
     shared = keyed.withColumns({"n": F.count(F.lit(1)).over(own), "least": F.min(F.struct("sid", "size")).over(own)}).where("n > 1").drop("n")
     shared = materialize(shared, "dedup-keys")
+    discard(whole)
     stars = shared.where((F.col("sid") != F.col("least.sid")) & same_size(F.col("size"), F.col("least.size"))).select(F.col("sid").alias("a"), F.col("least.sid").alias("b")).distinct()
     links = verified(stars, docs, sets, shingle)
     near = materialize(connected_components(links), "dedup-roots")
     placed = shared.select("sid", "size", "pos", "key").join(near, F.col("sid") == F.col("node"), "left").select("sid", "size", "pos", "key", F.coalesce("root", "sid").alias("root"))
     more = verified(across(placed), docs, sets, shingle)
+    discard(shared, near, sets)
     return connected_components(links.unionByName(more))
 
 
@@ -341,6 +347,7 @@ def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     without words are one group, which nothing else joins."""
     keyed = row_keys(docs)
     marked = materialize(shingle_sets(keyed, ["doc_id", "_s_h1", "_s_h2"], shingle, hot_shingles(docs, shingle)), "dedup-marked")
+    rows = materialize(marked.select("doc_id", "_s_h1", "_s_h2", "sid"), "dedup-rows")
     near = materialize(similar_roots(keyed, marked, shingle), "dedup-roots")
-    rows = marked.select("doc_id", "_s_h1", "_s_h2", "sid").join(near, F.col("sid") == F.col("node"), "left")
+    rows = rows.join(near, F.col("sid") == F.col("node"), "left")
     return one_of_each(keyed, rows.withColumn("root", F.coalesce("root", "sid")))
