@@ -192,9 +192,9 @@ class Counts:
         return lower.select("model", "gram", (-F.log("p")).alias("nats"))
 
 
-def score(docs: DataFrame, counts: Counts, keep: list[str], with_text: bool = False) -> DataFrame:
+def score(docs: DataFrame, counts: Counts, keep: list[str]) -> DataFrame:
     """A written table of _q_all (the columns ``keep``), _q_hash (``row_hash``), _q_nats (the sum of -log probabilities)
-    and _q_symbols of each whole text, and the text as _q_text if asked for. Null and empty texts have no symbols.
+    and _q_symbols of each whole text. Null and empty texts have no symbols.
 
     A language's texts are dealt out to blocks of about BLOCK bytes by the row's hash, so copies of one text with ids of
     their own spread out; rows that are the same in all of it spread by the task that reads them. ``docs`` must be a
@@ -209,7 +209,7 @@ def score(docs: DataFrame, counts: Counts, keep: list[str], with_text: bool = Fa
     rows = docs.select(language().alias("_q_lang"), others.alias("_q_all"), F.col("text").alias("_q_text"), row_hash().alias("_q_hash"), F.spark_partition_id().alias("_q_task"))
     rows = rows.join(sizes, F.col("_q_lang") == F.col("z_lang"))
     block = F.pmod(F.xxhash64("_q_hash", "_q_task"), F.col("z_blocks"))
-    out_schema = T.StructType([T.StructField("_q_all", rows.schema["_q_all"].dataType), T.StructField("_q_hash", T.LongType()), *([T.StructField("_q_text", T.StringType())] if with_text else []), T.StructField("_q_nats", T.DoubleType()), T.StructField("_q_symbols", T.LongType())])
+    out_schema = T.StructType([T.StructField("_q_all", rows.schema["_q_all"].dataType), T.StructField("_q_hash", T.LongType()), T.StructField("_q_nats", T.DoubleType()), T.StructField("_q_symbols", T.LongType())])
     names, order, piece = out_schema.names, ORDER, PIECE
 
     def held(table: pa.Table) -> pa.Table:
@@ -252,12 +252,12 @@ def score(docs: DataFrame, counts: Counts, keep: list[str], with_text: bool = Fa
 class Classifier:
     """A model of the trusted ones among ``docs``, the scores of all ``docs`` and the thresholds of their languages."""
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, keep: list[str], with_text: bool = False, quantile: float = QUANTILE, margin: float = MARGIN) -> None:
+    def __init__(self, docs: DataFrame, labels: DataFrame, keep: list[str], quantile: float = QUANTILE, margin: float = MARGIN) -> None:
         """One trusted document in HELD_OUT, by the hash of its row, sets thresholds; all the others are counted."""
         ids = trusted_ids(labels)
         trusted = docs.select("doc_id", "lang", "text").join(bounded_broadcast(ids), F.col("doc_id") == F.col("g_id"), "left_semi").where(~held_out(row_hash()))
         self.counts = Counts(trusted, needs_pooled(docs, trusted))
-        self.scores = score(docs, self.counts, [*dict.fromkeys(["doc_id", "lang", *keep])], with_text)
+        self.scores = score(docs, self.counts, [*dict.fromkeys(["doc_id", "lang", *keep])])
         known = self.scores.where(held_out(F.col("_q_hash")) & (F.col("_q_symbols") > 0)).select(F.col("_q_all.doc_id").alias("doc_id"), language_of(F.col("_q_all.lang")).alias("lang"), "_q_nats", "_q_symbols")
         known = materialize(known.join(bounded_broadcast(ids), F.col("doc_id") == F.col("g_id"), "left_semi").drop("doc_id"), "kn-held")
         nats = F.round(F.sum("_q_nats") / F.sum("_q_symbols"), 9)
@@ -280,7 +280,7 @@ class Classifier:
         return out.withColumn("_q_rate", (F.col("_q_nats") + PRIOR_SYMBOLS * mean) / (F.col("_q_symbols") + PRIOR_SYMBOLS)).drop("m_lang", "mean")
 
     def verdicts(self) -> DataFrame:
-        """_q_all (doc_id, lang and ``keep``), _q_text if asked for, _q_symbols, _q_perplexity, _q_threshold, _q_kept.
+        """_q_all (doc_id, lang and ``keep``), _q_hash, _q_symbols, _q_perplexity, _q_threshold, _q_kept.
 
         Null and empty texts have no symbols and are rejected. A language without trusted text is judged by the model
         of all languages, one without held-out text by the loosest threshold and the mean of all; with no trusted text
@@ -290,7 +290,7 @@ class Classifier:
         rated = rated.join(bounded_broadcast(self.cuts), F.col("lang") == F.col("t_lang"), "left")
         cut = F.coalesce("cut", F.lit(self.all_cut))
         rated = rated.withColumn("_q_kept", (F.col("_q_symbols") > 0) & (F.col("_q_rate") <= cut))
-        return rated.withColumn("_q_perplexity", F.exp("_q_rate")).withColumn("_q_threshold", F.exp(cut)).drop("lang", "t_lang", "cut", "_q_nats", "_q_rate", "_q_hash")
+        return rated.withColumn("_q_perplexity", F.exp("_q_rate")).withColumn("_q_threshold", F.exp(cut)).drop("lang", "t_lang", "cut", "_q_nats", "_q_rate")
 
 
 def needs_pooled(docs: DataFrame, counted: DataFrame) -> bool:
@@ -306,11 +306,17 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose perplexity stays within their language's threshold; all columns are kept, whatever their
-    names. Null and empty texts are rejected, repeated rows judged alike; a text of any length is scored whole, in
-    pieces. An empty table stays empty; without labels every text with a character is kept."""
-    kept = Classifier(docs, labels, [c for c in docs.columns if c != "text"], True).verdicts().where("_q_kept")
-    return kept.select(*[F.col("_q_text").alias(c) if c == "text" else F.col("_q_all").getField(c).alias(c) for c in docs.columns])
+    """The documents whose perplexity stays within their language's threshold; all columns are kept, whatever their names.
+
+    Texts stay where they are, the rejected rows' 128-bit keys come to them. Null and empty texts are rejected, repeated
+    rows judged alike; a text of any length is scored whole, in pieces. An empty table stays empty; without labels every
+    text with a character is kept."""
+    second = F.xxhash64(F.lit("second"), "doc_id", "lang", "text")
+    verdicts = Classifier(docs.select("doc_id", "lang", "text", second.alias("_q_second")), labels, ["_q_second"]).verdicts()
+    rejected = materialize(verdicts.where("not _q_kept").select(F.col("_q_hash").alias("r_hash"), F.col("_q_all._q_second").alias("r_second")).distinct(), "kn-rejected")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_q_all"), row_hash().alias("_q_hash"), second.alias("_q_second"))
+    kept = whole.join(bounded_broadcast(rejected), (F.col("_q_hash") == F.col("r_hash")) & (F.col("_q_second") == F.col("r_second")), "left_anti")
+    return kept.select(*[F.col("_q_all").getField(c).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ from .components import connected_components
 BUCKET_PART = 4096
 #: Bytes of text that are worked on at a time.
 PIECE = 2 << 20
+#: Passes in which pairs of sets are verified: only one pass's sets are on disk in shuffles at a time.
+PASSES = 4
 #: The least Jaccard similarity of linked sets of shingles, as a fraction.
 SIMILARITY = (4, 5)
 #: Shingles that stand HOT times or more in about SAMPLE distinct texts come last in prefixes, HOTTEST of them at most.
@@ -262,7 +264,7 @@ def enough(common: Column, a: Column, b: Column) -> Column:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILARITY or more, a written table. Sets
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILARITY or more, in written tables. Sets
     come from one row of each and are shuffled by pair."""
     pairs = materialize(pairs, "dedup-pairs")
     ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
@@ -270,9 +272,13 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -
     rows = docs.join(bounded_broadcast(wanted), (F.col("_s_h1") == F.col("_s_k1")) & (F.col("_s_h2") == F.col("_s_k2")), "left_semi").select("_s_h1", "_s_h2", "text")
     rows = rows.dropDuplicates(["_s_h1", "_s_h2"])  # rows that are equal in all columns
     full = materialize(shingle_sets(rows, [], shingle).select("sid", "shingles"), "dedup-sets")
-    left = pairs.join(full.select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(full.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
-    links = materialize(both.where(enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "dedup-links")
+    links = None
+    for k in range(PASSES):
+        of_pass = lambda c: F.pmod(F.xxhash64(c), F.lit(PASSES)) == k
+        left = pairs.where(of_pass("a")).join(full.where(of_pass("sid")).select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
+        both = left.join(full.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
+        found = materialize(both.where(enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "dedup-links")
+        links = found if links is None else links.unionByName(found)
     discard(pairs, wanted, full)
     return links
 
