@@ -134,7 +134,7 @@ def summarize_percentiles(spark, d):
 
 @query(f"select event_type, {_P} from events group by event_type")
 def percentiles_at_scale(spark, d):
-    out = tables.percentiles_at_scale(table(spark, d, "events"), ["event_type"], "value")
+    out = tables.percentiles(table(spark, d, "events"), ["event_type"], "value")
     return out.select("event_type", *[F.round(f"{p}_value", 4).alias(f"{p}_value") for p in tables.QUANTILES])
 
 
@@ -243,7 +243,7 @@ def sample_seeded(spark, d):
 
 _QUOTAS = """with s as (select event_type as stratum, count(*) as size from events group by 1), t as (select *, sum(size) over () as total, 300 as take from s),
 b as (select *, (size * take) // total as base, (size * take) % total as rest from t)
-select stratum, size, cast(base + case when row_number() over (order by rest desc, sha256(concat_ws('|', '0', coalesce(stratum, '(missing)')))) <= take - sum(base) over () then 1 else 0 end as bigint) as quota from b"""
+select stratum, size, cast(base + case when row_number() over (order by rest desc, sha256('0' || chr(0) || case when stratum is null then 'missing' else 'str' end || chr(0) || coalesce(stratum, ''))) <= take - sum(base) over () then 1 else 0 end as bigint) as quota from b"""
 
 
 @query(_QUOTAS)
@@ -482,7 +482,7 @@ def graph_triples(spark, d):
     return graph.adopt(graph.triples(said, "n_nationkey", "text", semantic.RuleChat(_fact_rule)), "subject", "object", "relation")
 
 
-@query(f"with w as (select conv_id, turn, unnest(string_split_regex(regexp_replace(text, '([.!?。！？][\"''”’)\\]]*)\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n\\s*\\n')) as s from conversations) select conv_id, count(*) as sentences from w where trim(s) <> '' group by conv_id")
+@query(f"with w as (select conv_id, turn, unnest(string_split_regex(regexp_replace(text, '([.!?…。！？][\"''”’)\\]]*)\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n\\s*\\n')) as s from conversations) select conv_id, count(*) as sentences from w where trim(s) <> '' group by conv_id")
 def graph_sentence_windows(spark, d):
     df = table(spark, d, "conversations").select("conv_id", F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
     parts = graph.windows(df, "key", "text", "sentence")

@@ -62,7 +62,7 @@ def chunks(text: Column, budget: int = 2000) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences: cut after a terminator with its closing quotes before white space, and at blank lines."""
-    parts = F.split(F.regexp_replace(text, r"([.!?。！？][\"'”’)\]]*)\s+", "$1\u0001"), "\u0001|\\n\\s*\\n")
+    parts = F.split(F.regexp_replace(text, r"([.!?…。！？][\"'”’)\]]*)\s+", "$1\u0001"), "\u0001|\\n\\s*\\n")
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
 
 
@@ -80,21 +80,62 @@ def html_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t ]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
+#: A string literal of JSON or Python; what stands inside is never changed.
+_STRING = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')""", re.S)
+#: Words of Python that JSON spells otherwise.
+_WORDS = {"True": "true", "False": "false", "None": "null"}
+
+
+def _between(text: str, pattern: str, by) -> str:
+    """``text`` with a pattern replaced outside string literals only."""
+    return "".join(part if i % 2 else re.sub(pattern, by, part) for i, part in enumerate(_STRING.split(text)))
+
+
+def _spans(text: str) -> Iterator[str]:
+    """Where an object or array may stand: the whole text, what a fence holds, from the first bracket to the last one of
+    its kind."""
+    yield text
+    for fenced in re.findall(r"```(?:json)?\s*(.*?)```", text, re.S):
+        yield fenced
+    opened = re.search(r"[\[{]", text)
+    if opened:
+        yield text[opened.start() : text.rfind("}" if opened[0] == "{" else "]") + 1]
+
+
+def _attempts(text: str) -> Iterator[str]:
+    """The text, then with one slip after another mended as well: trailing commas, Python's words, bare keys, quotes."""
+    yield text
+    text = _between(text, r",(\s*[\]}])", r"\1")
+    yield text
+    text = _between(text, r"\b(True|False|None)\b", lambda m: _WORDS[m[1]])
+    yield text
+    text = _between(text, r"([{,]\s*)([A-Za-z_]\w*)(\s*:)", r'\1"\2"\3')
+    yield text
+    yield text.replace("'", '"')
+
+
+def _read(text: str) -> dict | list | None:
+    for read in (json.loads, ast.literal_eval):
+        try:
+            value = read(text.strip())
+        except (ValueError, TypeError, SyntaxError, MemoryError, RecursionError):
+            continue
+        if isinstance(value, (dict, list)):
+            return value
+    return None
+
+
 def repaired(text: str) -> str | None:
-    """Canonical JSON of an object or array that a text holds, with the usual slips mended; None if there is none."""
-    fenced = re.search(r"```(?:json)?\s*(.*?)```", text, re.S)
-    found = re.search(r"[\[{].*[\]}]", text, re.S)
-    for candidate in filter(None, [text, fenced and fenced[1], found and found[0]]):
-        loose = re.sub(r",\s*([\]}])", r"\1", candidate)
-        quoted = re.sub(r"([{,]\s*)([A-Za-z_]\w*)\s*:", r'\1"\2":', loose)
-        for attempt in (candidate, loose, quoted, quoted.replace("'", '"')):
-            for read in (json.loads, ast.literal_eval):
+    """Canonical JSON of an object or array that a text holds, with the usual slips mended outside its string literals;
+    None if there is none."""
+    for span in _spans(text):
+        for attempt in _attempts(span):
+            value = _read(attempt)
+            if value is not None:
                 try:
-                    value = read(attempt.strip())
-                except (ValueError, SyntaxError, MemoryError, RecursionError):
+                    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+                except (TypeError, ValueError):  # sets, bytes and NaN have no JSON
                     continue
-                if isinstance(value, (dict, list)):
-                    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=str)
     return None
 
 

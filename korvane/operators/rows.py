@@ -49,7 +49,10 @@ def quotas(df: DataFrame, n: int, by: str, seed: int = 0) -> DataFrame:
     counts = df.groupBy(F.col(by).alias("stratum")).agg(F.count(F.lit(1)).alias("size"))
     share = F.col("size") * F.lit(take)
     counts = counts.withColumn("base", F.floor(share / F.lit(max(total, 1)))).withColumn("rest", share % F.lit(max(total, 1)))
-    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("stratum").cast("string"), F.lit("(missing)"))), 256)
+    kind = df.schema[by].dataType
+    name = "bool" if isinstance(kind, T.BooleanType) else "int" if isinstance(kind, T.IntegralType) else "float" if isinstance(kind, T.NumericType) else "str"
+    text = F.concat(F.lit(f"{seed}\0"), F.when(F.col("stratum").isNull(), "missing").otherwise(name), F.lit("\0"), F.coalesce(F.col("stratum").cast("string"), F.lit("")))
+    digest = F.sha2(text, 256)
     order = Window.orderBy(F.col("rest").desc(), digest)  # one row for each stratum
     left = F.lit(take) - F.sum("base").over(Window.partitionBy())
     return counts.withColumn("quota", F.col("base") + (F.row_number().over(order) <= left).cast("long")).select("stratum", "size", "quota")

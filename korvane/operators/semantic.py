@@ -188,14 +188,17 @@ def extend_rows(df: DataFrame, template: str, model: ChatModel, schema: str) ->
     invalid keep their old fields."""
     out = validated(ask(df, prompt(template, df), model), schema)
     fields = T.StructType.fromDDL(schema).names
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in fields], *[F.col("_record").getField(f).alias(f) for f in fields])
+    kinds = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(schema).fields}
+    old = lambda f: F.col(f"`{f}`").cast("string").try_cast(kinds[f]) if f in df.columns and df.schema[f].dataType.simpleString() != kinds[f] else F.col(f"`{f}`") if f in df.columns else F.lit(None).cast(kinds[f])
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in fields], *[F.when(F.col("__invalid"), old(f)).otherwise(F.col("_record").getField(f)).alias(f) for f in fields])
 
 
 def filter_rows(df: DataFrame, template: str, model: ChatModel, invert: bool = False) -> DataFrame:
-    """The rows that the model answers yes to (yes, true, or a record with a true ``match``)."""
+    """The rows that the model answers yes to (yes, true, or a record with a true ``match``), or with ``invert`` those that
+    it doesn't. A row without an answer goes neither way."""
     yes = F.lower(F.trim(F.col("_answer"))).rlike(r'^(yes|true)\b|"match"\s*:\s*true')
     out = ask(df, prompt(template, df), model)
-    return out.where(~F.coalesce(yes, F.lit(False)) if invert else F.coalesce(yes, F.lit(False))).drop("_answer")
+    return out.where(~yes if invert else yes).drop("_answer")
 
 
 def filter_long(df: DataFrame, key: str, text: str, template: str, model: ChatModel, budget: int) -> DataFrame:
@@ -223,12 +226,13 @@ def judged_pairs(pairs: DataFrame, template: str, model: ChatModel) -> DataFrame
 
 
 def reduce_rows(df: DataFrame, text: str, order: str, template: str, model: ChatModel, by: list[str] = (), fan_in: int = 20) -> DataFrame:
-    """One answer (``result``) for each group, through a tree: ``fan_in`` texts in order make one answer, answers make
+    """One answer (``result``) for each group, rows with a missing key left out, through a tree: ``fan_in`` texts in order make one answer, answers make
     the next, until one is left. No task gets more than ``fan_in`` texts at a time, however large a group is."""
     from .rows import numbered
 
     keys = list(by)
-    level = numbered(df.where(F.col(text).isNotNull()).select(*keys, F.col(order).alias("_o"), F.col(text).alias("_t")), [*keys, "_o"])
+    keyed = df.where(F.col(text).isNotNull()).dropna(subset=keys) if keys else df.where(F.col(text).isNotNull())
+    level = numbered(keyed.select(*keys, F.col(order).alias("_o"), F.col(text).alias("_t")), [*keys, "_o"])
     level = materialize(level, "reduce-rows")
     starts = materialize(level.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.min("_n").alias("_start")), "reduce-starts")
     same = F.lit(True)

@@ -7,32 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.times import BINS, bin_label, bin_start
+from ..shared import materialize, small
 
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
-def percentile(value: Column, q: float) -> Column:
-    """Exact nearest rank: the sorted value at q * (n - 1), rounded half to even. Null if there is no value."""
-    ordered = F.array_sort(F.collect_list(value))
-    return F.try_element_at(ordered, (F.bround(F.lit(q) * (F.size(ordered) - 1)) + 1).cast("int"))
+def percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float] | None = None) -> DataFrame:
+    """(by, <name>_<value>): exact nearest rank of each group, the sorted value at q * (n - 1), rounded half to even, to
+    4 places; null if a group has no value.
 
-
-def percentiles_at_scale(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float] | None = None) -> DataFrame:
-    """The same percentiles without a group's values in one row: rank them by a sort, then pick the ranks.
-
-    For groups too large to collect: a group's values spread over the sort's range partitions, ranks come from counts
-    of the distinct values before each, which are summed up first.
+    A group's distinct values are counted and spread over range partitions; a value's rank is its place within its
+    partition and what the group has in the partitions before. No row or task holds a whole group.
     """
     quantiles = quantiles or QUANTILES
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
-    picks = [F.min(F.when(F.col("upto") > F.bround(F.lit(q) * (F.col("all") - 1)), F.col("v"))).alias(f"{name}_{value}") for name, q in quantiles.items()]
-    return ranked.groupBy(*by).agg(*picks)
+    keys = [f"_k{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(by, keys)], F.col(f"`{value}`").cast("double").alias("_v"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = materialize(counts.repartitionByRange(parts, *keys, "_v").withColumn("_part", F.spark_partition_id()), "percentiles")
+    per_part = ranged.groupBy(*keys, "_part").agg(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).alias("_in"))
+    ahead = F.coalesce(F.sum("_in").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_part = per_part.select(*[F.col(k).alias(f"{k}p") for k in keys], F.col("_part").alias("_p"), ahead.alias("_ahead"), F.sum("_in").over(Window.partitionBy(*keys)).alias("_all"))
+    same = F.col("_part") == F.col("_p")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}p"))
+    upto = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).over(Window.partitionBy(*keys, "_part").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranged.withColumn("_upto", upto).join(small(materialize(per_part, "percentile-parts")), same).withColumn("_upto", F.col("_upto") + F.col("_ahead"))
+    picks = [F.round(F.min(F.when(F.col("_v").isNotNull() & (F.col("_upto") > F.bround(F.lit(q) * (F.col("_all") - 1))), F.col("_v"))), 4).alias(f"{name}_{value}") for name, q in quantiles.items()]
+    out = ranked.groupBy(*keys).agg(*picks)
+    return out.select(*[F.col(n).alias(k) for k, n in zip(by, keys)], *[F.col(f"`{name}_{value}`") for name in quantiles])
 
 
 def aggregate(name: str, field: str | None, df: DataFrame) -> Column:
-    """``count``, ``sum``, ``avg``, ``min``, ``max``, ``p50``, ``p90``, ``p95``, ``p99`` or ``dcount`` of a field.
+    """``count``, ``sum``, ``avg``, ``min``, ``max`` or ``dcount`` of a field; percentiles come from ``percentiles``.
 
     Numbers only: text and booleans count as missing, even text that spells a number. Results are rounded to 4 places.
     """
@@ -43,7 +50,7 @@ def aggregate(name: str, field: str | None, df: DataFrame) -> Column:
     if name == "dcount":
         return F.count_distinct(c.cast("string")).alias(f"dcount_{field}")
     number = c.cast("double") if isinstance(kind, T.NumericType) else F.lit(None).cast("double")
-    out = percentile(number, QUANTILES[name]) if name in QUANTILES else {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[name](number)
+    out = {"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[name](number)
     return F.round(out, 4).alias(f"{name}_{field}")
 
 
@@ -57,8 +64,26 @@ def summarize(df: DataFrame, aggs: list[tuple[str, str | None]], by: list[str] =
         kind = "string" if isinstance(df.schema[name].dataType, T.StringType) else "time" if not isinstance(df.schema[name].dataType, T.NumericType) else "number"
         df = df.withColumn(f"{name}_bin", bin_label(bin_start(F.col(name), width, kind), width))
         keys.append(f"{name}_bin")
-    columns = [aggregate(a, f, df) for a, f in aggs]
-    return df.groupBy(*[F.col(k) for k in keys] or [F.lit(1).alias("_all")]).agg(*columns).drop("_all")
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(1)), ["_all"]
+    ranks: dict[str, dict[str, float]] = {}
+    for a, f in aggs:
+        if a in QUANTILES and isinstance(df.schema[f].dataType, T.NumericType):
+            ranks.setdefault(f, {})[a] = QUANTILES[a]
+    plain = [aggregate(a, f, df) for a, f in aggs if a not in QUANTILES]
+    nulls = [F.lit(None).cast("double").alias(f"{a}_{f}") for a, f in aggs if a in QUANTILES and f not in ranks]
+    out = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*plain, *nulls) if plain or nulls or not ranks else None
+    for f, quantiles in ranks.items():
+        found = percentiles(df, keys, f, quantiles)
+        if out is None:
+            out = found
+            continue
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            found = found.withColumnRenamed(k, f"_r{i}")
+            same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_r{i}"))
+        out = out.join(found, same).drop(*[f"_r{i}" for i in range(len(keys))])
+    return out.select(*[F.col(f"`{k}`") for k in keys if k != "_all"], *[F.col("count" if a == "count" else f"`{a}_{f}`") for a, f in aggs])
 
 
 def tally(df: DataFrame, field: str, top: int | None = 20, order: str | None = None) -> DataFrame:
@@ -72,12 +97,15 @@ def tally(df: DataFrame, field: str, top: int | None = 20, order: str | None = N
     return (counts.limit(top) if top else counts).drop("_first")
 
 
-def facets(df: DataFrame, fields: list[str], top: int = 20) -> DataFrame:
-    """(facet, value, count): several tallies in one pass, each with its ``top`` values."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.coalesce(F.col(f).cast("string"), F.lit("(missing)")).alias("value")) for f in fields])).alias("p")
-    counts = df.select(pairs).groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("count"))
-    rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.col("count").desc(), "value"))
-    return counts.withColumn("_rank", rank).where(F.col("_rank") <= top).drop("_rank")
+def facets(df: DataFrame, fields: list[str], top: int = 20, order: str | None = None) -> DataFrame:
+    """(facet, value, count): several tallies in one pass, each with its ``top`` values, ties by first appearance in
+    ``order`` (else by value)."""
+    value = lambda f: F.coalesce(F.col(f).cast("string"), F.lit("(missing)"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), value(f).alias("value")) for f in fields])).alias("p")
+    first = F.min("_o") if order else F.min("p.value")
+    counts = df.select(pairs, *([F.col(order).alias("_o")] if order else [])).groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("count"), first.alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("facet").orderBy(F.col("count").desc(), "_first", "value"))
+    return counts.withColumn("_rank", rank).where(F.col("_rank") <= top).drop("_rank", "_first")
 
 
 def by_time(df: DataFrame, field: str, width: str, kind: str = "time") -> DataFrame:

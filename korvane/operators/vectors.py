@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, unit_score
 from ..shared import materialize, small
+from .rows import numbered
 
 #: Rows whose leaders are found at a time, and rows of a block in all-pairs work.
 HEAD, BLOCK = 2048, 4096
+#: Tables of decided rows that are kept apart.
+PARTS = 40
 
 
 def top_k(df: DataFrame, vector: str, near: list[float], k: int | None, order: str, threshold: float | None = None) -> DataFrame:
@@ -81,19 +85,20 @@ def leaders(df: DataFrame, order: str, vector: str, threshold: float) -> DataFra
     """(order, leader): greedy clusters in order; a row joins the first leader whose cosine is ``threshold`` or more, or
     leads a cluster itself. Rows without a vector lead themselves.
 
-    Exact and distributed: the first HEAD undecided rows are settled on the driver, their leaders go to all workers,
-    and every later row that one of them takes is decided; the rest go on. Rounds grow with the number of leaders, not
-    with that of rows.
+    Exact. The first HEAD undecided rows are settled in one go, their leaders (HEAD rows at most) go to all workers, and
+    every later row that one of them takes is decided; the rest go on. Rows go by their places in the order, so rows
+    that repeat an ``order`` or lack one are rows of their own. Rounds grow with the number of leaders, not of rows.
     """
     kind = df.schema[order].dataType.simpleString()
-    rest = materialize(df.select(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v")), "leaders")
-    parts = [rest.where("v is null").select("o", F.col("o").alias("leader"))]
+    rows = numbered(df.select(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v")), ["o", "v"])
+    rest = materialize(rows, "leaders")
+    decided = [rest.where("v is null").select("o", F.col("o").alias("leader"))]
     rest = rest.where("v is not null")
     while True:
-        head = rest.orderBy("o").limit(HEAD).toPandas()
-        if head.empty:
+        head = rest.orderBy("_n").limit(HEAD).toArrow()
+        if not head.num_rows:
             break
-        v, ids = _unit(_stack(head.v)), head.o.tolist()
+        v, ids = _unit(np.array(head["v"].to_pylist(), np.float64)), head["o"].to_pylist()
         chosen: list[int] = []
         settled = []
         for i in range(len(ids)):
@@ -103,36 +108,51 @@ def leaders(df: DataFrame, order: str, vector: str, threshold: float) -> DataFra
             else:
                 chosen.append(i)
                 settled.append((ids[i], ids[i]))
-        spark = df.sparkSession
-        parts.append(spark.createDataFrame(settled, f"o {kind}, leader {kind}"))
+        decided.append(df.sparkSession.createDataFrame(settled, f"o {kind}, leader {kind}"))
         if len(ids) < HEAD:
             break
-        centers, names, last = v[chosen], np.array([ids[i] for i in chosen]), ids[-1]
+        centers, names, last = v[chosen], np.array([ids[i] for i in chosen], object), head["_n"][-1].as_py()
 
         def take(batches: Iterator[pd.DataFrame], centers=centers, names=names) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 near = _unit(_stack(pdf.v)) @ centers.T >= threshold - 1e-12 if len(pdf) else np.zeros((0, 1), bool)
-                first = near.argmax(axis=1)
-                pdf["leader"] = pd.Series(names[first], index=pdf.index).where(pd.Series(near.any(axis=1), index=pdf.index))
+                taken = near.any(axis=1)
+                pdf["leader"] = pd.Series(names[near.argmax(axis=1)], index=pdf.index).where(pd.Series(taken, index=pdf.index))
+                pdf["taken"] = taken
                 yield pdf
 
-        rest = materialize(rest.where(F.col("o") > F.lit(last)).mapInPandas(take, f"o {kind}, v array<double>, leader {kind}"), "leaders")
-        parts.append(rest.where("leader is not null").select("o", "leader"))
-        rest = rest.where("leader is null").select("o", "v")
+        rest = materialize(rest.where(F.col("_n") > last).mapInPandas(take, f"o {kind}, v array<double>, _n long, leader {kind}, taken boolean"), "leaders")
+        decided.append(rest.where("taken").select("o", "leader"))
+        rest = rest.where("not taken").select("o", "v", "_n")
+        if len(decided) > PARTS:
+            decided = [materialize(_union(decided), "leaders")]
+    return _union(decided).withColumnRenamed("o", order)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.withColumnRenamed("o", order)
+    return out
 
 
-def adaptive_threshold(df: DataFrame, order: str, vector: str, rows: int = 200) -> float:
-    """median + 0.35 * (p95 - median) of pairwise cosines, over all pairs of a bounded, seeded sample of rows; 0.99 for
-    fewer than three."""
-    some = df.where(F.col(vector).isNotNull()).orderBy(F.md5(F.col(order).cast("string"))).limit(rows).toPandas()
-    if len(some) < 3:
+def adaptive_threshold(df: DataFrame, order: str, vector: str, budget: int = 20_000) -> float:
+    """median + 0.35 * (p95 - median) of pairwise cosines; 0.99 for fewer than three rows. The pairs of all rows in
+    ``order`` are taken at an even stride if there are more than ``budget``, so every part of the table has its share."""
+    rows = materialize(numbered(df.where(F.col(vector).isNotNull()).select(F.col(order).alias("o"), F.col(vector).alias("v")), ["o", "v"]), "threshold")
+    n = rows.count()
+    if n < 3:
         return 0.99
-    v = _unit(_stack(some[vector]))
-    cosines = np.sort((v @ v.T)[np.triu_indices(len(v), 1)])
+    total = n * (n - 1) // 2
+    pairs = []
+    for p in range(0, total, total // budget + 1 if total > budget else 1):
+        back = total - 1 - p  # pairs after this one; the last rows have 1, 2, 3 ... of them
+        k = (math.isqrt(8 * back + 1) - 1) // 2
+        pairs.append((n - 1 - k, n - (back - k * (k + 1) // 2)))
+    wanted = F.broadcast(df.sparkSession.createDataFrame(pairs, "i long, j long"))  # budget rows at most
+    first = wanted.join(rows.select(F.col("_n").alias("i"), F.col("v").alias("x")), "i")
+    both = first.join(rows.select(F.col("_n").alias("j"), F.col("v").alias("y")), "j")
+    cosines = np.sort(both.select(cosine(F.col("x"), F.col("y")).alias("c")).toPandas()["c"].to_numpy())
     median, p95 = cosines[len(cosines) // 2], cosines[min(len(cosines) - 1, int(0.95 * len(cosines)))]
     return float(median + 0.35 * (p95 - median))
 
@@ -228,7 +248,12 @@ def _mean_distance(rows: DataFrame, order: str, vector: str, neighbours: int) ->
 
 
 def distinct_near(df: DataFrame, order: str, vector: str, threshold: float = 0.9) -> DataFrame:
-    """The rows that lead their cluster of near duplicates (raw cosine)."""
+    """The rows that lead their cluster of near duplicates (raw cosine). Equal vectors are settled first, by the first of
+    them in ``order``, so only different ones are compared."""
+    some = df.where(F.col(vector).isNotNull())
+    exact = some.groupBy(F.col(vector).alias("_v")).agg(F.min(order).alias("_o"))
+    some = some.join(exact, (F.col(vector) == F.col("_v")) & (F.col(order) == F.col("_o")), "left_semi")
+    df = some.unionByName(df.where(F.col(vector).isNull()))
     kept = leaders(df, order, vector, threshold).where(F.col(order) == F.col("leader")).select(order)
     return df.join(kept, order, "left_semi")
 

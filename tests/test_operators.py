@@ -52,11 +52,17 @@ def test_summarize_kinds(spark):
     assert tables.summarize(df.limit(0), [("count", None)]).count() == 0
 
 
-def test_percentiles_agree(spark):
-    df = spark.createDataFrame([(i % 3, float((i * 7919) % 101)) for i in range(500)], "g int, x double")
-    a = {r.g: r for r in tables.summarize(df, [(p, "x") for p in tables.QUANTILES], ["g"]).collect()}
-    b = {r.g: r for r in tables.percentiles_at_scale(df, ["g"], "x").collect()}
-    assert all(a[g][f"{p}_x"] == b[g][f"{p}_x"] for g in a for p in tables.QUANTILES)
+def test_percentiles_against_sorting(spark):
+    """One hot group with ties, a group without values, a null group; more groups than partitions."""
+    data = [("hot", float((i * 7919) % 101)) for i in range(900)] + [(f"g{i % 9}", i / 7) for i in range(100)] + [("none", None), (None, 3.0), (None, None)]
+    df = spark.createDataFrame(data, "g string, x double")
+    got = {r.g: r for r in tables.summarize(df, [("count", None), *((p, "x") for p in tables.QUANTILES)], ["g"]).collect()}
+    for g in {g for g, _ in data}:
+        v = sorted(x for h, x in data if h == g and x is not None)
+        assert got[g]["count"] == sum(h == g for h, _ in data)
+        assert all(got[g][f"{p}_x"] == (round(v[round(q * (len(v) - 1))], 4) if v else None) for p, q in tables.QUANTILES.items())
+    every = sorted(x for _, x in data if x is not None)
+    assert tables.summarize(df, [("p90", "x")]).collect()[0]["p90_x"] == round(every[round(0.9 * (len(every) - 1))], 4)
 
 
 def test_bins(spark):
@@ -160,7 +166,8 @@ def test_reduce_rows_brings_no_group_together(spark, monkeypatch, by):
     got = semantic.reduce_rows(df, "t", "o", "{items}", semantic.RuleChat(lambda p: "+".join(p.split("\n"))), by, 4).collect()
     want = {}
     for r in df.collect():
-        want.setdefault(r.g if by else None, []).append(r.t)
+        if not by or r.g is not None:  # rows with a missing key are left out
+            want.setdefault(r.g if by else None, []).append(r.t)
     assert {(r.g if by else None): r.result for r in got} == {g: "+".join(v) for g, v in want.items()} and len(got) == len(want)
     assert all("Window" not in plan for tag, plan in plans if tag == "reduce")
 
@@ -184,6 +191,10 @@ def test_texts(spark):
     assert df.select(texts.sentences(F.col("t"))).first()[0] == ["One.", '"Two!"', "Three", "Four"]
     assert texts.repaired("x ```json\n{a: 1, 'b': [1,2,],}\n```") == '{"a":1,"b":[1,2]}'
     assert texts.repaired("none") is None
+    assert texts.repaired('{"a": "x, ]", b: 1}') == '{"a":"x, ]","b":1}'
+    assert texts.repaired('{"a": "{b: True,}", "c": True,}') == '{"a":"{b: True,}","c":true}'
+    assert texts.repaired("say {'a': 'it''s', } now") == '{"a":"its"}'
+    assert texts.repaired("Answer: [1, 2,] and more") == "[1,2]"
 
 
 def test_graph(spark):
@@ -311,3 +322,55 @@ kind = "anti"
     assert [tuple(r) for r in pipelines.run(text, df).collect()] == [("a", 5)]
     with pytest.raises(ValueError):
         pipelines.stages('[stage.x]\nverb = "union"\nright = "later"\n')
+
+
+def test_leaders_keep_rows_that_repeat_an_order(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "HEAD", 5)
+    monkeypatch.setattr(vectors, "PARTS", 3)
+    rng = np.random.default_rng(0)
+    data = [(i // 2 if i % 13 else None, rng.normal(size=3).tolist()) for i in range(60)] + [(99, None)]
+    df = spark.createDataFrame(data, "id int, v array<double>")
+    got = [(r.id, r.leader) for r in vectors.leaders(df, "id", "v", 0.8).collect()]
+    unit = [(i, np.array(v) / np.linalg.norm(v), v) for i, v in data if v]
+    chosen, want = [], [(99, 99)]
+    for i, u, _ in sorted(unit, key=lambda x: (x[0] is not None, x[0] or 0, x[2])):
+        near = [j for j, w in chosen if w @ u >= 0.8 - 1e-12]
+        if not near:
+            chosen.append((i, u))
+        want.append((i, near[0] if near else i))
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_adaptive_threshold_strides_over_all_pairs(spark):
+    import numpy as np
+
+    v = np.random.default_rng(1).normal(size=(40, 4))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>")
+    pairs = [(i, j) for i in range(40) for j in range(i + 1, 40)]
+    for budget in (20_000, 100):
+        some = pairs[:: len(pairs) // budget + 1] if len(pairs) > budget else pairs
+        cosines = sorted(float(unit[i] @ unit[j]) for i, j in some)
+        median = cosines[len(cosines) // 2]
+        want = median + 0.35 * (cosines[min(len(cosines) - 1, int(0.95 * len(cosines)))] - median)
+        assert abs(vectors.adaptive_threshold(df, "id", "v", budget) - want) < 1e-9
+
+
+def test_rows_without_an_answer(spark):
+    df = spark.createDataFrame([(1, "yes"), (2, "no"), (3, "bad")], "id int, t string")
+
+    class Model(semantic.ChatModel):
+        def complete(self, prompts):
+            return [None if p == "bad" else p for p in prompts]
+
+    assert [r.id for r in semantic.filter_rows(df, "{t}", Model()).collect()] == [1]
+    assert [r.id for r in semantic.filter_rows(df, "{t}", Model(), invert=True).collect()] == [2]
+    old = spark.createDataFrame([("a", '{"n": 5}'), ("b", "nothing")], "n string, t string")
+
+    class Echo(semantic.ChatModel):
+        def complete(self, prompts):
+            return prompts
+
+    assert sorted(r.n for r in semantic.extend_rows(old, "{t}", Echo(), "n string").collect()) == ["5", "b"]
