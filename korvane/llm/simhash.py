@@ -21,6 +21,8 @@ from .components import connected_components
 BUCKET_PART = 4096
 #: Bytes of text that are worked on at a time.
 PIECE = 2 << 20
+#: Bits of a set's parities.
+BITS = 1024
 #: Passes in which pairs of sets are verified: only one pass's sets are on disk in shuffles at a time.
 PASSES = 4
 #: The least Jaccard similarity of linked sets of shingles, as a fraction.
@@ -210,15 +212,23 @@ def shingles_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator
         yield np.unique(np.fromiter((digest(view[x:y], SEED) for x, y in spans), np.uint64)).view(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits as longs: whether an odd number of the hashes falls to each. A hash that only one of two sets has flips
+    one bit, so the bits of two sets differ in no more places than the sets have hashes of their own."""
+    flips = np.bincount((hashes.view(np.uint64) >> np.uint64(13)) % np.uint64(BITS), minlength=BITS) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, keep: list[str], shingle: int, hot: dict[int, int] | None = None) -> DataFrame:
-    """The columns ``keep`` with sid (a digest of the set of shingles, 0 if it is empty), size and shingles: all of them,
-    or, if ``hot`` is given, the prefix: of all but the share SIMILARITY, and one more, the rarest first.
+    """The columns ``keep`` with sid (a digest of the set of shingles, 0 if it is empty), size, bits (``parities``) and
+    shingles: all of them, or, if ``hot`` is given, the prefix: of all but the share SIMILARITY, and one more, the rarest
+    first.
 
     The order is by how often ``hot`` has a shingle, then by hash, the same for all texts; so two sets of that similarity
     share a shingle of both prefixes.
     """
     up, down = SIMILARITY
-    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType, True) for c in keep), T.StructField("sid", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType, True) for c in keep), T.StructField("sid", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.LongType()))])
     names = schema.names
     sent = None if hot is None else docs.sparkSession.sparkContext.broadcast((np.array(sorted(hot), np.int64), np.array([hot[h] for h in sorted(hot)], np.int64)))
 
@@ -238,7 +248,9 @@ def shingle_sets(docs: DataFrame, keep: list[str], shingle: int, hot: dict[int,
             lists = sets if sent is None else [prefix(s) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(sid), pa.array([len(s) for s in sets], pa.int32()), values], names=names)
+            bits = np.concatenate([np.zeros(0, np.int64), *(parities(s) for s in sets)])
+            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits))
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(sid), pa.array([len(s) for s in sets], pa.int32()), bits, values], names=names)
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_s_text")).mapInArrow(run, schema)
 
@@ -263,10 +275,19 @@ def enough(common: Column, a: Column, b: Column) -> Column:
     return (up + down) * common.cast("long") >= up * (a.cast("long") + b.cast("long"))
 
 
+def may_reach(differing: Column, a: Column, b: Column) -> Column:
+    """Whether sets of these sizes whose parities differ in so many bits can be of SIMILARITY: at least as many hashes
+    belong to one set only."""
+    return enough(F.floor((a + b - differing) / 2), a, b)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILARITY or more, in written tables. Sets
-    come from one row of each and are shuffled by pair."""
-    pairs = materialize(pairs, "dedup-pairs")
+    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILARITY or more, in written tables. Pairs
+    whose parities rule that out go first; the sets of the others come from one row of each and are shuffled by pair."""
+    one = sets.select(F.col("sid").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("x"))
+    other = sets.select(F.col("sid").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("y"))
+    differing = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    pairs = materialize(pairs.join(one, "a").join(other, "b").where(may_reach(differing, F.col("sa"), F.col("sb"))).select("a", "b"), "dedup-pairs")
     ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
     wanted = materialize(sets.join(ids, F.col("sid") == F.col("i"), "left_semi").select(F.col("h1").alias("_s_k1"), F.col("h2").alias("_s_k2")), "dedup-wanted")
     rows = docs.join(bounded_broadcast(wanted), (F.col("_s_h1") == F.col("_s_k1")) & (F.col("_s_h2") == F.col("_s_k2")), "left_semi").select("_s_h1", "_s_h2", "text")
@@ -283,18 +304,30 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -
     return links
 
 
-def across(keyed: DataFrame) -> DataFrame:
-    """Pairs (a, b), each once, of ``keyed`` (sid, size, pos, key, root) that share a key, have different roots and can
-    be of SIMILARITY by their sizes and by how many keys they share up to which places.
+def mixed(keyed: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (sid, size, pos, key) under keys that stand in more than one component of ``links``, a
+    written table with the set's root and its key's least set, ``least`` (sid, size, root), and number of rows, n."""
+    near = materialize(connected_components(links), "dedup-near")
+    placed = keyed.select("sid", "size", "pos", "key").join(near, F.col("sid") == F.col("node"), "left").select("sid", "size", "pos", "key", F.coalesce("root", "sid").alias("root"))
+    own = Window.partitionBy("key")
+    placed = placed.withColumns({"n": F.count(F.lit(1)).over(own), "lo": F.min("root").over(own), "hi": F.max("root").over(own), "least": F.min(F.struct("sid", "size", "root")).over(own)})
+    out = materialize(placed.where("lo <> hi").drop("lo", "hi"), "dedup-mixed")
+    discard(near)
+    return out
+
+
+def across(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), each once, of ``mixed`` rows that share a key, have different roots and can be of SIMILARITY by
+    their sizes, their parities and by how many keys they share up to which places.
 
     A key's rows over BUCKET_PART are dealt out as pairs of parts to separate groups."""
     up, down = SIMILARITY
-    own = Window.partitionBy("key")
-    mixed = keyed.withColumns({"n": F.count(F.lit(1)).over(own), "lo": F.min("root").over(own), "hi": F.max("root").over(own)}).where("lo <> hi")
     parts = F.ceil(F.col("n") / BUCKET_PART)
-    met = mixed.withColumn("own", F.pmod(F.xxhash64("sid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    bits = sets.select(F.col("sid").alias("b_sid"), "bits")
+    met = keyed.join(bits, F.col("sid") == F.col("b_sid"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("sid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     group = F.struct("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    lists = met.groupBy(group.alias("g")).agg(F.collect_list(F.struct("sid", "size", "pos", "root", "own")).alias("rows"))
+    lists = met.groupBy(group.alias("g")).agg(F.collect_list(F.struct("sid", "size", "pos", "root", "own", "bits")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -302,16 +335,23 @@ def across(keyed: DataFrame) -> DataFrame:
                 sid, size, pos, root, own = (rows.values.field(i).to_numpy(zero_copy_only=False) for i in range(5))
                 if len(sid) < 2:
                     continue
+                parity = rows.values.field(5).flatten().to_numpy(zero_copy_only=False).reshape(len(sid), -1).view(np.uint64)
+                wide = size.astype(np.int64)
                 for at in range(0, len(sid), 256):  # a few rows against all
                     here = slice(at, at + 256)
                     ok = (root[here, None] != root[None]) & (sid[here, None] < sid[None])
-                    ok &= down * np.minimum(size[here, None], size[None]).astype(np.int64) >= up * np.maximum(size[here, None], size[None]).astype(np.int64)
+                    ok &= down * np.minimum(wide[here, None], wide[None]) >= up * np.maximum(wide[here, None], wide[None])
                     if group["p"] != group["q"]:
                         ok &= own[here, None] != own[None]
                     x, y = np.nonzero(ok)
                     x += at
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sid[x], sid[y], size[x], size[y], pos[x], pos[y])], names=["a", "b", "sa", "sb", "pa", "pb"])
+                    for a in range(0, len(x), 65536):
+                        i, j = x[a : a + 65536], y[a : a + 65536]
+                        differing = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
+                        can = (up + down) * ((wide[i] + wide[j] - differing) // 2) >= up * (wide[i] + wide[j])
+                        i, j = i[can], j[can]
+                        if len(i):
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sid[i], sid[j], size[i], size[j], pos[i], pos[j])], names=["a", "b", "sa", "sb", "pa", "pb"])
 
     met = lists.select(F.struct("g.p", "g.q").alias("g"), "rows").mapInArrow(run, "a long, b long, sa int, sb int, pa int, pb int")
     pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("sa", "sb", "pa", "pb")])
@@ -321,28 +361,33 @@ def across(keyed: DataFrame) -> DataFrame:
 
 def similar_roots(docs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame:
     """(sid, root) of every set that is linked to another one, for the written table ``marked`` (row keys, sid, size,
-    shingles: prefixes), which goes: links are all pairs of SIMILARITY or more, as far as they change components.
+    bits, shingles: prefixes), which goes: links are all pairs of SIMILARITY or more, as far as they change components.
 
-    Equal sets are one. Sets that share a key of their prefixes first meet the least of them; what that links is one
-    component. Then all pairs with a common key from different components meet.
+    Equal sets are one. First each set meets one other, the least of those it shares a key of its prefix with. Under
+    keys that then still stand in several components, sets meet the least of each key; at last, under keys that stand in
+    several components even so, all pairs from different components meet.
     """
     row = F.struct("_s_h1", "_s_h2")
-    whole = marked.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"), F.min(row).alias("row"))
-    whole = materialize(whole.select("sid", "size", "shingles", F.col("row._s_h1").alias("h1"), F.col("row._s_h2").alias("h2")), "dedup-distinct")
-    sets = materialize(whole.select("sid", "h1", "h2"), "dedup-names")
+    whole = marked.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("shingles").alias("shingles"), F.min(row).alias("row"))
+    whole = materialize(whole.select("sid", "size", "bits", "shingles", F.col("row._s_h1").alias("h1"), F.col("row._s_h2").alias("h2")), "dedup-distinct")
+    sets = materialize(whole.select("sid", "size", "bits", "h1", "h2"), "dedup-names")
     discard(marked)
     keyed = whole.select("sid", "size", F.posexplode("shingles").alias("pos", "key")).withColumn("pos", F.col("pos") + 1)
     own = Window.partitionBy("key")
     shared = keyed.withColumns({"n": F.count(F.lit(1)).over(own), "least": F.min(F.struct("sid", "size")).over(own)}).where("n > 1").drop("n")
     shared = materialize(shared, "dedup-keys")
     discard(whole)
-    stars = shared.where((F.col("sid") != F.col("least.sid")) & same_size(F.col("size"), F.col("least.size"))).select(F.col("sid").alias("a"), F.col("least.sid").alias("b")).distinct()
+    stars = shared.where((F.col("sid") != F.col("least.sid")) & same_size(F.col("size"), F.col("least.size"))).groupBy(F.col("sid").alias("a")).agg(F.min("least.sid").alias("b"))
     links = verified(stars, docs, sets, shingle)
-    near = materialize(connected_components(links), "dedup-roots")
-    placed = shared.select("sid", "size", "pos", "key").join(near, F.col("sid") == F.col("node"), "left").select("sid", "size", "pos", "key", F.coalesce("root", "sid").alias("root"))
-    more = verified(across(placed), docs, sets, shingle)
-    discard(shared, near, sets)
-    return connected_components(links.unionByName(more))
+    left = mixed(shared, links)
+    discard(shared)
+    stars = left.where((F.col("root") != F.col("least.root")) & same_size(F.col("size"), F.col("least.size"))).select(F.col("sid").alias("a"), F.col("least.sid").alias("b")).distinct()
+    links = links.unionByName(verified(stars, docs, sets, shingle))
+    rest = mixed(left, links)
+    links = links.unionByName(verified(across(rest, sets), docs, sets, shingle))
+    out = materialize(connected_components(links), "dedup-roots")
+    discard(left, rest, sets)
+    return out
 
 
 def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -354,6 +399,6 @@ def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     keyed = row_keys(docs)
     marked = materialize(shingle_sets(keyed, ["doc_id", "_s_h1", "_s_h2"], shingle, hot_shingles(docs, shingle)), "dedup-marked")
     rows = materialize(marked.select("doc_id", "_s_h1", "_s_h2", "sid"), "dedup-rows")
-    near = materialize(similar_roots(keyed, marked, shingle), "dedup-roots")
+    near = similar_roots(keyed, marked, shingle)
     rows = rows.join(near, F.col("sid") == F.col("node"), "left")
     return one_of_each(keyed, rows.withColumn("root", F.coalesce("root", "sid")))

@@ -251,6 +251,14 @@ def test_deduplicate_against_all_pairs(spark, monkeypatch, part):
     assert sorted(r.doc_id for r in left.collect()) == sorted(set(group))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.sets(st.integers(0, 400)), st.sets(st.integers(0, 400)))
+def test_parities_differ_in_no_more_bits_than_sets_in_hashes(a, b):
+    mix = lambda s: np.array(sorted(x * 0x9E3779B97F4A7C15 % 2**64 for x in s), np.uint64).view(np.int64)
+    differing = np.bitwise_count((simhash.parities(mix(a)) ^ simhash.parities(mix(b))).view(np.uint64)).sum()
+    assert differing <= len(a ^ b) and (differing - len(a ^ b)) % 2 == 0
+
+
 def test_simhash_odd_rows(spark, odd, nothing):
     docs = odd.collect()
     marked = materialize(simhash.fingerprint(odd, ["doc_id"]), "t")
