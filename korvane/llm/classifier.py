@@ -34,7 +34,7 @@ PRIOR_SYMBOLS = 40
 BIN, MAX_BINS = 0.002, 20_000
 #: Bytes of text in a block, characters that Python works on at a time, and passes over the documents: the shuffled
 #: texts of one pass are on disk at a time.
-BLOCK, PIECE, PASSES = 8 << 20, 2 << 20, 4
+BLOCK, PIECE, PASSES = 8 << 20, 1 << 20, 4
 #: Stands before a text's first character; a NUL in a text counts as NUL.
 PAD, NUL = "\u0002", "\ufffd"
 #: The model of all languages, for those without trusted text.

@@ -18,7 +18,7 @@ from ._common import Words, bounded_broadcast, discard, materialize, pieces
 from .components import connected_components
 
 #: A bucket of more fingerprints than this is compared in pairs of parts, each pair a row group of its own.
-BUCKET_PART = 4096
+BUCKET_PART = 1024
 #: Bytes of text that are worked on at a time.
 PIECE = 2 << 20
 #: Bits of a set's parities.
