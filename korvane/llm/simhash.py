@@ -304,11 +304,25 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -
     return links
 
 
+def merged_keys(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (sid, size, pos, key) under keys of two sets or more, with keys that the same sets share as
+    one: (sid, size, key, pos, w, least), the last of the set's places under them, how many they are and their least set
+    (sid, size).
+
+    Copies share long runs of shingles, so without that each pair would come up once for every shingle. A key is known
+    by the 128 bits of its sets' digests.
+    """
+    own = Window.partitionBy("key")
+    shared = keyed.withColumns({"n": F.count(F.lit(1)).over(own), "least": F.min(F.struct("sid", "size")).over(own), "x1": F.bit_xor(F.xxhash64("sid")).over(own), "x2": F.bit_xor(F.xxhash64(F.lit("second"), "sid")).over(own)})
+    one = shared.where("n > 1").groupBy("x1", "x2", "sid").agg(F.first("size").alias("size"), F.max("pos").alias("pos"), F.count(F.lit(1)).alias("w"), F.first("least").alias("least"))
+    return one.select("sid", "size", F.struct("x1", "x2").alias("key"), "pos", "w", "least")
+
+
 def mixed(keyed: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (sid, size, pos, key) under keys that stand in more than one component of ``links``, a
-    written table with the set's root and its key's least set, ``least`` (sid, size, root), and number of rows, n."""
+    """The rows of ``keyed`` (``merged_keys``) under keys that stand in more than one component of ``links``, a written
+    table with the set's root and its key's least set, ``least`` (sid, size, root), and number of rows, n."""
     near = materialize(connected_components(links), "dedup-near")
-    placed = keyed.select("sid", "size", "pos", "key").join(near, F.col("sid") == F.col("node"), "left").select("sid", "size", "pos", "key", F.coalesce("root", "sid").alias("root"))
+    placed = keyed.select("sid", "size", "pos", "w", "key").join(near, F.col("sid") == F.col("node"), "left").select("sid", "size", "pos", "w", "key", F.coalesce("root", "sid").alias("root"))
     own = Window.partitionBy("key")
     placed = placed.withColumns({"n": F.count(F.lit(1)).over(own), "lo": F.min("root").over(own), "hi": F.max("root").over(own), "least": F.min(F.struct("sid", "size", "root")).over(own)})
     out = materialize(placed.where("lo <> hi").drop("lo", "hi"), "dedup-mixed")
@@ -327,15 +341,15 @@ def across(keyed: DataFrame, sets: DataFrame) -> DataFrame:
     met = keyed.join(bits, F.col("sid") == F.col("b_sid"))
     met = met.withColumn("own", F.pmod(F.xxhash64("sid"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     group = F.struct("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-    lists = met.groupBy(group.alias("g")).agg(F.collect_list(F.struct("sid", "size", "pos", "root", "own", "bits")).alias("rows"))
+    lists = met.groupBy(group.alias("g")).agg(F.collect_list(F.struct("sid", "size", "pos", "root", "own", "w", "bits")).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for group, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
-                sid, size, pos, root, own = (rows.values.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+                sid, size, pos, root, own, w = (rows.values.field(i).to_numpy(zero_copy_only=False) for i in range(6))
                 if len(sid) < 2:
                     continue
-                parity = rows.values.field(5).flatten().to_numpy(zero_copy_only=False).reshape(len(sid), -1).view(np.uint64)
+                parity = rows.values.field(6).flatten().to_numpy(zero_copy_only=False).reshape(len(sid), -1).view(np.uint64)
                 wide = size.astype(np.int64)
                 for at in range(0, len(sid), 256):  # a few rows against all
                     here = slice(at, at + 256)
@@ -351,10 +365,10 @@ def across(keyed: DataFrame, sets: DataFrame) -> DataFrame:
                         can = (up + down) * ((wide[i] + wide[j] - differing) // 2) >= up * (wide[i] + wide[j])
                         i, j = i[can], j[can]
                         if len(i):
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sid[i], sid[j], size[i], size[j], pos[i], pos[j])], names=["a", "b", "sa", "sb", "pa", "pb"])
+                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sid[i], sid[j], size[i], size[j], pos[i], pos[j], w[i])], names=["a", "b", "sa", "sb", "pa", "pb", "w"])
 
-    met = lists.select(F.struct("g.p", "g.q").alias("g"), "rows").mapInArrow(run, "a long, b long, sa int, sb int, pa int, pb int")
-    pairs = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("sa", "sb", "pa", "pb")])
+    met = lists.select(F.struct("g.p", "g.q").alias("g"), "rows").mapInArrow(run, "a long, b long, sa int, sb int, pa int, pb int, w long")
+    pairs = met.groupBy("a", "b").agg(F.sum("w").alias("n"), *[F.max(c).alias(c) for c in ("sa", "sb", "pa", "pb")])
     # Beyond the last common place of the prefixes, no more can be common than what follows in the shorter rest.
     return pairs.where(enough(F.col("n") + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")), F.col("sa"), F.col("sb"))).select("a", "b")
 
@@ -373,9 +387,7 @@ def similar_roots(docs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame
     sets = materialize(whole.select("sid", "size", "bits", "h1", "h2"), "dedup-names")
     discard(marked)
     keyed = whole.select("sid", "size", F.posexplode("shingles").alias("pos", "key")).withColumn("pos", F.col("pos") + 1)
-    own = Window.partitionBy("key")
-    shared = keyed.withColumns({"n": F.count(F.lit(1)).over(own), "least": F.min(F.struct("sid", "size")).over(own)}).where("n > 1").drop("n")
-    shared = materialize(shared, "dedup-keys")
+    shared = materialize(merged_keys(keyed), "dedup-keys")
     discard(whole)
     stars = shared.where((F.col("sid") != F.col("least.sid")) & same_size(F.col("size"), F.col("least.size"))).groupBy(F.col("sid").alias("a")).agg(F.min("least.sid").alias("b"))
     links = verified(stars, docs, sets, shingle)
