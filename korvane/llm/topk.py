@@ -1,9 +1,11 @@
 """Exact top-k search by inner product with cover trees on both sides.
 
-The top level of the tree is fitted on a bounded sample: nodes that cover all vectors, each within its node's radius.
-Pairs of a node of queries and a node of vectors are dropped if no inner product between them can reach the node's
-worst kth score so far. What is left meets in shards; there both sides get deeper cover trees and node pairs are
-dropped in the same way against the running kth scores. Nothing is approximate: the sample only shapes the tree.
+A cover tree's net at level i holds points at least 2**i apart within 2**i of every point, and the nets are nested: the
+net of a level has that of the level above, and every other point of it has its parent there. The top tree is fitted on
+a bounded sample; every vector belongs to its nearest node. A group of queries around a node drops the nodes of vectors
+whose covering radius keeps all inner products below the group's worst kth score so far, then each query does so for
+itself. What is left meets in shards; there both sides get cover trees of their own and node pairs are dropped in the
+same way against the running kth scores. Nothing is approximate: the sample only shapes the tree.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ from pyspark.sql import functions as F
 
 from ._common import materialize
 
-#: Vectors that the top level and the first lower bounds are fitted on, and its number of nodes.
+#: Vectors that the top tree and the first lower bounds are fitted on, and its number of nodes.
 SAMPLE, NODES = 4096, 64
-#: Vectors of a shard, queries that meet a shard at a time, and members of a leaf of the trees within.
-SHARD, QUERY_CHUNK, LEAF, FAN = 1 << 15, 1 << 15, 128, 8
+#: Vectors of a shard, queries that meet a shard at a time, and vectors for each node of the trees within.
+SHARD, QUERY_CHUNK, LEAF = 1 << 15, 1 << 13, 64
+#: Scores are taken for so many queries and vectors at a time.
+ROWS, COLUMNS = 256, 4096
 EMPTY = -(1 << 62)  # can be negated
 
 
@@ -60,17 +64,24 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T if top < 2**63 else (a.astype(object) @ b.astype(object).T).astype(np.int64)
 
 
-def spread(points: np.ndarray, n: int) -> np.ndarray:
-    """Farthest-first choice of up to n points: they cover all points as tightly as they lie apart."""
+def net(points: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Farthest-first choice of up to n points: their indices, each one's distance from those before it (the first:
+    infinite), and each point's nearest choice (its number) and distance.
+
+    The distances fall, so the choices at a distance of 2**i or more are a cover tree's net at level i.
+    """
     x = points.astype(np.float64)
-    chosen, far = [0], np.linalg.norm(x - x[0], axis=1)
+    chosen, apart, node, far = [0], [math.inf], np.zeros(len(x), np.int64), np.linalg.norm(x - x[0], axis=1)
     while len(chosen) < min(n, len(x)):
         i = int(far.argmax())
         if far[i] == 0:
             break
+        d = np.linalg.norm(x - x[i], axis=1)
+        closer = d < far
+        node[closer], far[closer] = len(chosen), d[closer]
         chosen.append(i)
-        far = np.minimum(far, np.linalg.norm(x - x[i], axis=1))
-    return np.array(chosen)
+        apart.append(float(d[chosen[:-1]].min()))
+    return np.array(chosen), np.array(apart), node, far
 
 
 def nearest(points: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,21 +99,43 @@ def ceiling(qc: np.ndarray, qr: float, cc: np.ndarray, cr: np.ndarray) -> np.nda
     return top + 1e-9 * (qn + qr) * (cn + cr) + 1e-6
 
 
-class Tree:
-    """A cover tree: children's centers are spread over their parent's members, each within its covering radius."""
+class Node:
+    """A node of a cover tree: a point at a level, all vectors below it and their covering radius."""
+
+    def __init__(self, points: np.ndarray, at: int, level: int, members: np.ndarray, children: list[Node]) -> None:
+        self.at, self.level, self.members, self.children = at, level, members, children
+        self.center = points[at].astype(np.float64)
+        self.radius = float(np.linalg.norm(points[members].astype(np.float64) - self.center, axis=1).max())
+        self.centers = np.array([c.center for c in children])
+        self.radii = np.array([c.radius for c in children])
 
-    def __init__(self, points: np.ndarray, members: np.ndarray | None = None) -> None:
-        self.members = np.arange(len(points)) if members is None else members
-        own = points[self.members].astype(np.float64)
-        self.center = own[0]
-        self.radius = float(np.linalg.norm(own - self.center, axis=1).max())
-        self.children: list[Tree] = []
-        if len(own) > LEAF and self.radius > 0:
-            node, _ = nearest(own, own[spread(own, FAN)])
-            parts = [self.members[node == k] for k in range(FAN)]
-            self.children = [Tree(points, p) for p in parts if len(p)]
-        self.centers = np.array([c.center for c in self.children])
-        self.radii = np.array([c.radius for c in self.children])
+
+def cover_tree(points: np.ndarray, n: int) -> Node:
+    """The cover tree of up to n points; every point belongs to the leaf of the nearest of them.
+
+    Children of a node at level i are at the next lower level j that splits it, the node's own point first, at least
+    2**j apart (as all nodes of level j are) and within 2**(j + 1) of it.
+    """
+    chosen, apart, node, _ = net(points, n)
+    levels = np.floor(np.log2(apart[1:])).astype(int)
+    below: list[list[int]] = [[] for _ in chosen]
+    level = [int(levels[0]) + 1 if len(levels) else 0, *levels.tolist()]
+    for k in range(1, len(chosen)):
+        above = int(np.searchsorted(-levels, -levels[k - 1], "left")) + 1  # choices of a higher level come first
+        parent = int(np.linalg.norm((points[chosen[:above]] - points[chosen[k]]).astype(np.float64), axis=1).argmin())
+        below[parent].append(k)
+    order = np.argsort(node, kind="stable")
+    own = np.split(order, np.searchsorted(node[order], np.arange(1, len(chosen))))
+
+    def build(k: int, top: int) -> Node:
+        lower = [c for c in below[k] if level[c] < top]
+        if not lower:
+            return Node(points, int(chosen[k]), top, own[k], [])
+        j = max(level[c] for c in lower)
+        children = [build(k, j), *(build(c, j) for c in lower if level[c] == j)]
+        return Node(points, int(chosen[k]), top, np.concatenate([c.members for c in children]), children)
+
+    return build(0, level[0])
 
 
 class Search:
@@ -115,21 +148,25 @@ class Search:
 
     def run(self) -> list[tuple[int, int, int]]:
         if len(self.q) and len(self.c):
-            self.visit(Tree(self.q), Tree(self.c))
+            a, b = (cover_tree(x, math.ceil(len(x) / LEAF)) for x in (self.q, self.c))
+            self.visit(a, b)
         return [(int(self.q_ids[i]), -neg, score) for i, heap in enumerate(self.found) for score, neg in heap]
 
-    def visit(self, a: Tree, b: Tree) -> None:
-        if b.children:
+    def visit(self, a: Node, b: Node) -> None:
+        if b.children and (not a.children or b.radius >= a.radius):
             top = ceiling(a.center, a.radius, b.centers, b.radii)
             for i in np.argsort(-top).tolist():
                 if top[i] >= self.worst[a.members].min():
                     self.visit(a, b.children[i])
         elif a.children:
-            for child in a.children:
-                if ceiling(child.center, child.radius, b.center[None], np.array([b.radius]))[0] >= self.worst[child.members].min():
+            top = ceiling(b.center, b.radius, a.centers, a.radii)
+            for child, most in zip(a.children, top.tolist()):
+                if most >= self.worst[child.members].min():
                     self.visit(child, b)
         else:
-            self.compare(a.members, b.members)
+            for x in range(0, len(a.members), ROWS):
+                for y in range(0, len(b.members), COLUMNS):
+                    self.compare(a.members[x : x + ROWS], b.members[y : y + COLUMNS])
 
     def compare(self, rows: np.ndarray, columns: np.ndarray) -> None:
         scores = products(self.q[rows], self.c[columns])
@@ -146,13 +183,38 @@ class Search:
                 self.worst[i] = max(self.worst[i], heap[0][0])
 
 
+def first_floor(v: np.ndarray, ids: np.ndarray, s: np.ndarray, s_ids: np.ndarray, k: int) -> np.ndarray:
+    """The kth best score of each query among the sample, EMPTY if it has fewer; its own id does not count."""
+    scores = products(v, s)
+    scores[ids[:, None] == s_ids[None]] = EMPTY
+    if scores.shape[1] < k:
+        return np.full(len(v), EMPTY)
+    return -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+
+
+def met_nodes(v: np.ndarray, floor: np.ndarray, centers: np.ndarray, sizes: dict[int, float]) -> list[np.ndarray]:
+    """The nodes (their radii in ``sizes``) that may hold one of each query's best: first those of its group, the
+    queries nearest to the same node, by the group's covering radius and worst floor; then its own."""
+    nodes = np.array(sorted(sizes))
+    cc, cr = centers[nodes].astype(np.float64), np.array([sizes[n] for n in nodes.tolist()])
+    group, far = nearest(v, centers)
+    out: list[np.ndarray] = [nodes[:0]] * len(v)
+    for g in np.unique(group).tolist():
+        mine = np.flatnonzero(group == g)
+        left = np.flatnonzero(ceiling(centers[g].astype(np.float64), float(far[mine].max()), cc, cr) >= floor[mine].min())
+        for i in mine.tolist():
+            out[i] = nodes[left[ceiling(v[i].astype(np.float64), 0.0, cc[left], cr[left]) >= floor[i]]]
+    return out
+
+
 def search(vectors: DataFrame, k: int = 10, is_query: Column | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products of each query with all other rows, ties to the
     smaller vec_id.
 
     ``vectors``: vec_id, v (array of long, no nulls). Rows without a vec_id take no part; a shorter vector counts as
     filled with zeros. Of query rows that repeat a vec_id the smallest vector asks; all rows are candidates, repeated
-    ones each for itself, but none with the query's own vec_id. Fewer candidates than k give fewer rows.
+    ones each for itself, but none with the query's own vec_id. Fewer candidates than k give fewer rows, an empty table
+    none. Other columns, whatever their names, are not read.
     """
     spark = vectors.sparkSession
     rows = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "v")
@@ -163,43 +225,37 @@ def search(vectors: DataFrame, k: int = 10, is_query: Column | None = None) -> D
     if sample.num_rows == 0:
         return spark.createDataFrame([], out_schema)
     s_ids, s = sample["vec_id"].to_numpy(), matrix(sample["v"].combine_chunks(), width)
-    centers = s[spread(s, NODES)]
+    centers = s[net(s, NODES)[0]]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, far = nearest(matrix(batch.column(1), width), centers)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.astype(np.int32)), pa.array(far)], names=["vec_id", "v", "node", "far"])
 
-    def first_bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v, ids = matrix(batch.column(1), width), batch.column(0).to_numpy()
-            node, far = nearest(v, centers)
-            scores = products(v, s)
-            scores[ids[:, None] == s_ids[None]] = EMPTY
-            floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1] if scores.shape[1] >= k else np.full(len(v), EMPTY)
-            floor[(scores != EMPTY).sum(1) < k] = EMPTY
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node.astype(np.int32)), pa.array(far), pa.array(floor.astype(np.int64))], names=["vec_id", "v", "node", "far", "floor"])
-
     placed = materialize(rows.mapInArrow(assign, "vec_id long, v array<long>, node int, far double"), "topk-placed")
+    # At most NODES rows.
+    sized = {r.node: (r.n, r.radius) for r in placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}
+    radii = {n: radius for n, (_, radius) in sized.items()}
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                v, ids = matrix(batch.column(1), width), batch.column(0).to_numpy()
+                floor = first_floor(v, ids, s, s_ids, k)
+                met = pa.array([n.tolist() for n in met_nodes(v, floor, centers, radii)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(floor.astype(np.int64)), met], names=["vec_id", "v", "floor", "nodes"])
+
     asking = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    asking = materialize(asking.mapInArrow(first_bound, "vec_id long, v array<long>, node int, far double, floor long"), "topk-queries")
-    # At most NODES rows each.
-    sizes = {r.node: (r.n, r.radius) for r in placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()}
-    groups = asking.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius"), F.min("floor").alias("floor")).collect()
-    if not groups:
+    asking = materialize(asking.mapInArrow(prune, "vec_id long, v array<long>, floor long, nodes array<int>"), "topk-queries")
+    # At most NODES rows: a node's vectors are dealt to shards, and copied once for each QUERY_CHUNK queries that meet it.
+    counts = asking.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()
+    if not counts:
         return spark.createDataFrame([], out_schema)
-    nodes = sorted(sizes)
-    cc, cr = centers[nodes].astype(np.float64), np.array([sizes[n][1] for n in nodes])
-    pairs = []
-    for g in groups:
-        top = ceiling(centers[g.node].astype(np.float64), g.radius, cc, cr)
-        pairs += [(g.node, n, math.ceil(sizes[n][0] / SHARD)) for n, t in zip(nodes, top.tolist()) if t >= g.floor]
-    chunks = math.ceil(sum(g.n for g in groups) / QUERY_CHUNK)
-    shards = F.broadcast(spark.createDataFrame([(n, math.ceil(sizes[n][0] / SHARD)) for n in nodes], "s_node int, shards int"))
-    met = F.broadcast(spark.createDataFrame(pairs, "q_node int, c_node int, shards int"))
-    q = asking.join(met, F.col("node") == F.col("q_node"))
-    q = q.select("vec_id", "v", "floor", F.col("c_node").alias("node"), F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(chunks)).cast("int").alias("chunk"))
-    c = placed.join(shards, F.col("node") == F.col("s_node")).select("vec_id", "v", "node", F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    plan = F.broadcast(spark.createDataFrame([(r.node, math.ceil(sized[r.node][0] / SHARD), math.ceil(r.n / QUERY_CHUNK)) for r in counts], "node int, shards int, chunks int"))
+    q = asking.select("vec_id", "v", "floor", F.explode("nodes").alias("node")).join(plan, "node")
+    q = q.select("vec_id", "v", "floor", "node", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.pmod(F.xxhash64("vec_id"), "chunks").cast("int").alias("chunk"))
+    c = placed.join(plan, "node").select("vec_id", "v", "node", F.pmod(F.xxhash64("vec_id", "v"), "shards").cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})

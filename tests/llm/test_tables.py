@@ -60,6 +60,43 @@ def test_topk_against_brute_force(spark, seed, monkeypatch):
     assert {tuple(r) for r in topk.search(df).collect()} == want
 
 
+@pytest.mark.parametrize("n", [1, 2, 40, 400])
+def test_cover_tree(n):
+    rng = np.random.default_rng(n)
+    points = np.floor(1000 * rng.normal(size=(n, 3)) * rng.choice([0.01, 1, 30], size=(n, 1))).astype(int)
+    points[n // 2 :] = points[: n - n // 2]  # repeated rows
+    apart = lambda i, j: float(np.linalg.norm(points[i] - points[j]))
+    nets = {}
+
+    def walk(node):
+        nets.setdefault(node.level, set()).add(node.at)
+        assert max(apart(node.at, m) for m in node.members) == pytest.approx(node.radius)
+        if node.children:
+            assert node.children[0].at == node.at  # nesting
+            assert sorted(node.members) == sorted(m for c in node.children for m in c.members)
+            for c in node.children:
+                assert c.level < node.level and apart(c.at, node.at) <= 2.0 ** (c.level + 1)  # covering
+                walk(c)
+
+    root = topk.cover_tree(points, max(n // 4, 1))
+    assert sorted(root.members) == list(range(n))
+    walk(root)
+    for level, here in nets.items():
+        assert all(apart(i, j) >= 2.0**level for i in here for j in here if i != j)  # separation
+
+
+def test_topk_prunes():
+    rng = np.random.default_rng(5)
+    v = np.floor(1024 * (np.repeat(4 * rng.normal(size=(8, 4)), 50, 0) + 0.05 * rng.normal(size=(400, 4)))).astype(int)
+    ids, (chosen, _, node, far) = np.arange(400), topk.net(v, 8)
+    floor = topk.first_floor(v, ids, v, ids, 3)
+    met = topk.met_nodes(v, floor, v[chosen], {i: float(far[node == i].max()) for i in range(8)})
+    scores = v @ v.T
+    np.fill_diagonal(scores, -(1 << 62))
+    assert all(set(node[scores[i] >= floor[i]]) <= set(met[i].tolist()) for i in range(400))  # nothing is lost
+    assert sum(map(len, met)) < 400 * 8 / 2
+
+
 def test_topk_odd_rows(spark):
     inf, nan = float("inf"), float("nan")
     rows = [(0, [1.0, 2.0]), (1, [0.5, None]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, 2.0]), (5, [1.0, 2.0]), (None, [9.0, 9.0]), (6, []), (7, [3.0]), (100, [1.0, 1.0])]
