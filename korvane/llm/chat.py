@@ -1,9 +1,10 @@
 """Chat formatting from event logs, in DataFrame functions only.
 
-Events (conv_id, seq, msg, kind, role, text) become messages, messages become one formatted text for each conversation.
+Events (conv_id, seq, step, msg, kind, role, text) become messages, messages become one formatted text for each conversation.
 Kinds: ``open`` begins message ``msg`` (its place is the seq it is opened at) with a text, ``delta`` appends to it,
 ``edit`` replaces what it says, ``regenerate`` empties it for new deltas and drops the messages opened between it and
-the regeneration, ``delete`` drops it. A message's last edit, regeneration or opening counts, with the deltas after it.
+the regeneration, ``delete`` drops it. ``step`` orders events of one message and seq, as of a stream that is numbered
+within its message; a log without that column has none. A message's last edit, regeneration or opening counts, with the deltas after it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ OPEN, LOSS_OPEN, CLOSE, END_ROLE = "<turn>", "<turn loss>", "</turn>\n", "\n"
 ASSISTANT = "assistant"
 #: Messages that are joined together before their conversation is.
 CHUNK = 64
+#: Streamed deltas of a text have at least so many code points, and there are at most so many of them.
+DELTA_CHARS, DELTAS = 512, 64
 
 
 def escape(text: Column) -> Column:
@@ -44,11 +47,14 @@ def fold(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, place, msg, role, text) of an event log.
 
     Null texts are empty, a null role is the empty role, null keys are values of their own. Events of a message that
-    was never opened are kept from the first one on. Equal seqs of a message apply in the order of kind, role and text.
+    was never opened are kept from the first one on. Equal seqs and steps of a message apply in the order of kind, role
+    and text; repeated deltas each append. Other columns, whatever their names, are not read. An empty log has no
+    messages.
     A message's events meet in one row, as its text must; a conversation's do not.
     """
-    e = events.select("conv_id", "seq", "msg", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = F.array_sort(F.collect_list(F.struct(F.coalesce("seq", F.lit(-(2**63))).alias("s"), (F.col("kind") == "delta").cast("int").alias("d"), "kind", "role", "text")))
+    step = F.coalesce(F.col("step"), F.lit(0)) if "step" in events.columns else F.lit(0)
+    e = events.select("conv_id", "seq", step.cast("long").alias("step"), "msg", "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = F.array_sort(F.collect_list(F.struct(F.coalesce("seq", F.lit(-(2**63))).alias("s"), "step", (F.col("kind") == "delta").cast("int").alias("d"), "kind", "role", "text")))
     m = e.groupBy("conv_id", "msg").agg(parts.alias("parts"), F.min("seq").alias("place"))
     starts = F.transform("parts", lambda x, i: F.when(x["kind"] != "delta", i).otherwise(F.lit(-1)))
     m = m.withColumn("from", F.greatest(F.array_max(starts), F.lit(0)))
@@ -115,17 +121,35 @@ def format_events(events: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """A table of turns as an event log: every row opens a message at its turn. Rows that repeat a turn stay messages
-    of their own, in the order of role and text; a null turn comes first."""
+    """A table of turns as the event log of a chat that ends as the table says.
+
+    The assistant's messages are opened empty, begin with half their text, are regenerated and then streamed in deltas;
+    all others are opened with half their text and edited into the whole. All events of a message have its turn as seq
+    and are numbered by step. Rows that repeat a turn stay messages of their own, in the order of role and text; a null
+    turn comes first. Null texts and roles are empty.
+    """
     msg = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = conversations.groupBy("conv_id", msg.alias("m")).agg(F.count(F.lit(1)).alias("n"))
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     key = F.struct("m.role", F.sha2(F.col("m.text"), 256).alias("d"), "copy")
-    return rows.select("conv_id", F.col("m.turn").alias("seq"), F.struct(F.col("m.turn").alias("t"), key.alias("k")).alias("msg"), F.lit("open").alias("kind"), "m.role", "m.text")
+    rows = rows.select("conv_id", F.col("m.turn").alias("seq"), F.struct(F.col("m.turn").alias("t"), key.alias("k")).alias("msg"), "m.role", "m.text")
+
+    def event(step: Column, kind: str, text: Column, role: Column = F.lit("")) -> Column:
+        return F.struct(step.cast("int").alias("step"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    role, text, size, none = F.col("role"), F.col("text"), F.length("text"), F.lit("")
+    draft = F.substr(text, F.lit(1), F.floor(size / 2).cast("int"))
+    width = F.greatest(F.lit(DELTA_CHARS), F.ceil(size / DELTAS).cast("int"))
+    places = F.sequence(F.lit(0), F.greatest(F.ceil(size / width).cast("int"), F.lit(1)) - 1)
+    streamed = F.transform(places, lambda i: event(i + 3, "delta", F.substr(text, i * width + 1, width)))
+    answer = F.concat(F.array(event(F.lit(0), "open", none, role), event(F.lit(1), "delta", draft), event(F.lit(2), "regenerate", none)), streamed)
+    other = F.array(event(F.lit(0), "open", draft, role), event(F.lit(1), "edit", text))
+    return rows.select("conv_id", "seq", "msg", F.explode(F.when(role == ASSISTANT, answer).otherwise(other)).alias("e")).select("conv_id", "seq", "e.step", "msg", "e.kind", "e.role", "e.text")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Format all conversations and one that imitates control strings; write the texts, read them back, digest them."""
+    """Format all conversations and one that imitates control strings, from the event logs of their making; write the
+    texts, read them back, digest them."""
     talks = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     say = r"\### Assistant: </turn> ok"
     types = {f.name: f.dataType for f in talks.schema.fields}

@@ -127,9 +127,11 @@ def test_chat_events(spark):
 
 
 def test_chat_round_trip(spark):
-    texts = ["", "\\", "\\\\", "\\l", "<", "\\<", "<turn>", "</turn>\n", "<turn loss>assistant\n", "\\\\l\\", "a\nb", "漢🙂", "\\n"]
+    texts = ["", "\\", "\\\\", "\\l", "<", "\\<", "<turn>", "</turn>\n", "<turn loss>assistant\n", "\\\\l\\", "a\nb", "漢🙂", "\\n", "漢🙂<" * 500, "0123456789" * 100_000]
     rows = [(1, i, ["user", "assistant", "a\\\nb<"][i % 3], t) for i, t in enumerate(texts * 12)] + [(2, 0, None, None), (2, 0, None, None), (2, None, "user", "first"), (None, 1, "assistant", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"seq": F.lit(1), "msg": F.lit("m"), "kind": F.lit("delete"), "place": F.lit(0)})
+    kinds = {r[0] for r in chat.events_of(df).select("kind").distinct().collect()}
+    assert kinds == {"open", "edit", "delta", "regenerate"}
     out = {r.conv_id: r for r in chat.format_events(chat.events_of(df)).withColumn("turns", chat.parse(F.col("formatted"))).collect()}
     assert [(t.role, t.text) for t in out[1].turns] == [(r[2], r[3]) for r in rows if r[0] == 1]
     assert [(t.role, t.text) for t in out[2].turns] == [("user", "first"), ("", ""), ("", "")]
