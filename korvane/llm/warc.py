@@ -1,9 +1,10 @@
 """WARC archives with a two-level capture index.
 
 Archives are WARC/1.1 files of one gzip member for each record, so a record can be read by its range alone. The index
-has lines "key, page_id, file, offset, length", sorted by key (the URL with its host reversed), in compressed blocks;
-a sparse directory holds each block's first key and place. A lookup searches the directory by halving, reads one
-block's range, searches its lines by halving and reads one record's range.
+has lines "key, page_id, file, offset, length", sorted by key (the URL with its host reversed) and page_id, in
+compressed blocks; a sparse directory holds each block's first and last key and place. A lookup searches the directory
+by halving, reads one block's range, searches its lines by halving and reads one record's range. Many lookups are
+dealt to the index files by the files' first keys; each file's meet that file's part of the directory.
 
 Files are written by tasks through pyarrow's file systems, under a name of the attempt's own; what the job returns
 names the files that count, so files of lost or repeated attempts are never read.
@@ -14,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote, urlsplit
 
@@ -52,12 +53,16 @@ def digest32(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None) -> bytes:
-    """One compressed record: the response, or a revisit that keeps its HTTP header only."""
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, place: str = "") -> bytes:
+    """One compressed record: the response, or a revisit that keeps its HTTP header only.
+
+    A record's id is its page_id and digest, which only one response has; ``place`` is added for all others, since rows
+    may repeat both.
+    """
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    kind, body, more = ("response", http + payload, "") if refers_to is None else ("revisit", http, f"WARC-Refers-To: <{RECORD_ID}{refers_to}>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")
+    kind, body, more = ("response", http + payload, "") if refers_to is None else ("revisit", http, f"WARC-Refers-To: <{RECORD_ID}{refers_to}:{digest}>\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n")
     head = (
-        f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{RECORD_ID}{'' if page_id is None else page_id}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {_safe(url)}\r\n"
+        f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{RECORD_ID}{'' if page_id is None else page_id}:{digest}{place}>\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: {_safe(url)}\r\n"
         f"WARC-Payload-Digest: sha1:{digest}\r\n{more}Content-Type: application/http; msgtype=response\r\nContent-Length: {len(body)}\r\n\r\n"
     )
     z = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
@@ -77,7 +82,7 @@ def parse(member: bytes) -> dict:
         raise ValueError(f"damaged record {headers['WARC-Record-ID']}")
 
     def page(name: str) -> int | None:
-        text = headers.get(name, "")[len(RECORD_ID) + 1 : -1]
+        text = headers.get(name, "")[len(RECORD_ID) + 1 : -1].split(":")[0]
         return int(text) if text else None
 
     return {"page_id": page("WARC-Record-ID"), "url": headers["WARC-Target-URI"], "payload": payload, "payload_bytes": size, "payload_digest": stated, "record_type": headers["WARC-Type"], "refers_to": page("WARC-Refers-To")}
@@ -100,8 +105,10 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame
     """Write a record for every page to archives below ``path``; returns the captures, a written table.
 
     Of records with equal payloads of ``min_bytes`` or more, the one with the largest page_id (null last) is the
-    response and the others revisit it; of rows that repeat that page_id, one. Null html is an empty payload. Pages
-    stay where they are: only digests are shuffled, and the digests that occur more than once come back by broadcast if
+    response and the others revisit it; of rows that repeat that page_id, one: the last in the order of the scan, so
+    ``pages`` must give its rows in the same order when read again, as a scan of files does. Null html is an empty
+    payload, an empty table gives no archives, other columns are not read. A page of up to 2 GB fits. Pages stay where
+    they are: only digests are shuffled, and the digests that occur more than once come back by broadcast if
     a count shows that they are few, else by a join.
     """
     html = F.coalesce(F.col("html"), F.lit("")).cast("binary")
@@ -122,7 +129,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame
                 done: list[list] = [[], [], [], [], []]
                 out = out or store.open_output_stream(f"{top}/{name}", compression=None, buffer_size=1 << 20)
                 for page_id, url, payload, refers_to in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                    member = record(page_id, url, payload, digest32(payload), refers_to)
+                    lone = refers_to is None and len(payload) >= min_bytes
+                    member = record(page_id, url, payload, digest32(payload), refers_to, "" if lone else f":{name}:{at}")
                     out.write(member)
                     for column, value in zip(done, (url_key(url), page_id, name, at, len(member))):
                         column.append(value)
@@ -135,6 +143,16 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame
     return materialize(rows.mapInArrow(run, "key string, page_id long, file string, offset long, length long"), "warc-captures")
 
 
+#: A null page_id sorts before all others.
+NO_PAGE = -(1 << 63)
+
+
+def place_of(line: str) -> tuple[str, int]:
+    """What an index line is sorted by."""
+    key, page, _ = line.split("\t", 2)
+    return key, int(page) if page else NO_PAGE
+
+
 def write_index(captures: DataFrame, path: str) -> DataFrame:
     """Sort the captures by key into compressed blocks below ``path``; returns the directory, a written table."""
     parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -149,9 +167,10 @@ def write_index(captures: DataFrame, path: str) -> DataFrame:
             nonlocal at
             raw = zlib.compress("\n".join(lines).encode())
             out.write(raw)
-            row = [lines[0].split("\t", 1)[0], lines[-1].split("\t", 1)[0], name, at, len(raw), len(lines)]
+            (first, first_page), (last, last_page) = place_of(lines[0]), place_of(lines[-1])
+            row = [first, first_page, last, last_page, name, at, len(raw), len(lines)]
             at += len(raw)
-            return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["first_key", "last_key", "file", "offset", "length", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["first_key", "first_page", "last_key", "last_page", "file", "offset", "length", "n"])
 
         try:
             for batch in batches:
@@ -167,7 +186,7 @@ def write_index(captures: DataFrame, path: str) -> DataFrame:
             if out:
                 out.close()
 
-    return materialize(ranged.mapInArrow(run, "first_key string, last_key string, file string, offset long, length long, n long"), "warc-directory")
+    return materialize(ranged.mapInArrow(run, "first_key string, first_page long, last_key string, last_page long, file string, offset long, length long, n long"), "warc-directory")
 
 
 def read_block(store, top: str, file: str, offset: int, length: int) -> list[str]:
@@ -175,17 +194,47 @@ def read_block(store, top: str, file: str, offset: int, length: int) -> list[str
         return zlib.decompress(f.read_at(length, offset)).decode().split("\n")
 
 
-def read_captures(directory: DataFrame, path: str) -> DataFrame:
-    """All index lines, by their blocks: (file, offset, length)."""
+def find_captures(requests: DataFrame, directory: DataFrame, path: str) -> DataFrame:
+    """The index lines (file, offset, length) of all captures of the requests (url, page_id), each found by searching.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = _open(path)
+    The files' first places, as many as the index has partitions, deal each request to the file or files that may hold
+    it. There the file's directory is searched by halving, then the one or more blocks that may hold the request, each
+    read by its range. Requests count once, however often they are repeated.
+    """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for place in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                cells = [line.split("\t")[2:] for line in read_block(store, top, *place)]
-                yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.string()), pa.array([int(c[1]) for c in cells], pa.int64()), pa.array([int(c[2]) for c in cells], pa.int64())], names=["file", "offset", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["key", "page"])
+
+    page = F.coalesce(F.col("page_id").cast("long"), F.lit(NO_PAGE))
+    wanted = requests.select("url", page.alias("page")).mapInArrow(keys, "key string, page long").distinct()
+    ends = directory.groupBy("file").agg(F.min(F.struct("first_key", "first_page")).alias("a"), F.max(F.struct("last_key", "last_page")).alias("b")).collect()
+    files = sorted(((r.a[0], r.a[1]), (r.b[0], r.b[1]), r.file) for r in ends)
+    firsts, lasts, names = ([f[i] for f in files] for i in range(3))
 
-    return directory.select("file", "offset", "length").mapInArrow(run, "file string, offset long, length long")
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += [(*want, names[i]) for i in range(bisect_left(lasts, want), bisect_right(firsts, want))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["key", "page", "index"])
+
+    def search(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+        store, top = _open(path)
+        places = sorted(blocks.to_pylist(), key=lambda b: b["offset"])
+        begins, ends = [(b["first_key"], b["first_page"]) for b in places], [(b["last_key"], b["last_page"]) for b in places]
+        now, lines, order, found = -1, [], [], []
+        for want in sorted(zip(asked["key"].to_pylist(), asked["page"].to_pylist())):
+            for i in range(bisect_left(ends, want), bisect_right(begins, want)):
+                if i != now:
+                    now, lines = i, read_block(store, top, places[i]["index"], places[i]["offset"], places[i]["length"])
+                    order = [place_of(line) for line in lines]
+                found += [line.split("\t")[2:] for line in lines[bisect_left(order, want) : bisect_right(order, want)]]
+        return pa.table([pa.array([f[0] for f in found], pa.string()), *(pa.array([int(f[i]) for f in found], pa.int64()) for i in (1, 2))], names=["file", "offset", "length"])
+
+    asked = wanted.mapInArrow(deal, "key string, page long, index string")
+    blocks = directory.select(F.col("file").alias("index"), "first_key", "first_page", "last_key", "last_page", "offset", "length")
+    return asked.groupBy("index").cogroup(blocks.groupBy("index")).applyInArrow(search, "file string, offset long, length long")
 
 
 RECORD_FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -253,11 +302,11 @@ def lookup(directory: DataFrame, path: str, urls: list[str], payload: bool = Tru
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive and index all pages, then read every capture that the index lists."""
+    """Archive and index all pages, then find every page's capture in the index and read it."""
     path = new_path(spark, "warc")
-    captures = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), path)
-    directory = write_index(captures, path)
-    return read_records(read_captures(directory, path), path).drop("url")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    directory = write_index(write_archives(pages, path), path)
+    return read_records(find_captures(pages, directory, path), path).drop("url")
 
 
 ORACLE = """

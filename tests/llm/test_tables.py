@@ -17,7 +17,7 @@ def test_archive(spark):
     path = warc.new_path(spark, "warc")
     captures = warc.write_archives(pages, path)
     directory = warc.write_index(captures, path)
-    got = warc.read_records(warc.read_captures(directory, path), path, payload=True).collect()
+    got = warc.read_records(warc.find_captures(pages, directory, path), path, payload=True).collect()
     assert len(got) == len(PAGES)
     groups = {}
     for page_id, _, html in PAGES:
@@ -32,7 +32,31 @@ def test_archive(spark):
     assert warc.lookup(directory, path, ["http://none/"]).count() == 0
     assert warc.url_key("http://www.Example.com:80/A?b") == "com,example,www)/a?b"
     none = warc.write_archives(pages.limit(0), path + "0")
-    assert warc.read_records(warc.read_captures(warc.write_index(none, path + "0"), path + "0"), path + "0").count() == 0
+    assert warc.read_records(warc.find_captures(pages, warc.write_index(none, path + "0"), path + "0"), path + "0").count() == 0
+
+
+def test_find_captures(spark, monkeypatch):
+    rows = [(i // 2 if i % 7 else None, f"http://h/{i % 5 if i > 200 else 0}", f"p{i % 50}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = warc.new_path(spark, "warc")
+    monkeypatch.setattr(warc, "BLOCK_LINES", 7)
+    directory = warc.write_index(warc.write_archives(pages, path), path)
+    some = [(None, "http://h/0"), (3, "http://H/0"), (3, "http://h/0"), (3, "http://h/4"), (150, f"http://h/{300 % 5}"), (10**9, "http://zz/")]
+    got = warc.read_records(warc.find_captures(spark.createDataFrame(some, "page_id long, url string"), directory, path), path)
+    asked = {(p, u.lower()) for p, u in some}
+    assert keyed((r.page_id, r.url) for r in got.collect()) == keyed((p, u) for p, u, _ in rows if (p, u) in asked)
+    assert warc.read_records(warc.find_captures(pages, directory, path), path).count() == len(rows)
+
+
+def test_record_ids(spark):
+    import zlib
+
+    ids = []
+    for n, place in enumerate(["", ":a:0", ":a:9"]):
+        raw = zlib.decompress(warc.record(5, "u", b"x", warc.digest32(b"x"), "5" if n else None, place), 31)
+        ids += [line for line in raw.split(b"\r\n") if line.startswith(b"WARC-Record-ID")]
+        assert warc.parse(warc.record(5, "u", b"x", warc.digest32(b"x"), "5" if n else None, place))["refers_to"] == (5 if n else None)
+    assert len(set(ids)) == 3
 
 
 def test_lookup_across_blocks(spark, monkeypatch):
