@@ -150,6 +150,7 @@ class Counts:
         y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
         step = {i: F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.5 * i)))) for i in (1, 2, 3)}
         self.discounts = materialize(once.select("model", "length", "letters", *[s.alias(f"d{i}") for i, s in step.items()]), "kn-discounts")
+        self.few = bounded_broadcast(self.discounts)
 
     def contexts(self, length: int) -> DataFrame:
         """(c_model, context, total, d1, d2, d3, weight): what is spared for shorter n-grams after each context."""
@@ -157,7 +158,7 @@ class Counts:
         out = level.groupBy("model", F.substring("gram", 1, length - 1).alias("context")).agg(
             F.sum("n").alias("total"), *[F.count(F.when(F.col("n") == i if i < 3 else F.col("n") >= 3, 1)).alias(f"c{i}") for i in (1, 2, 3)]
         )
-        d = bounded_broadcast(self.discounts).where(F.col("length") == length).select(F.col("model").alias("d_model"), "d1", "d2", "d3")
+        d = self.few.where(F.col("length") == length).select(F.col("model").alias("d_model"), "d1", "d2", "d3")
         out = out.join(d, F.col("model") == F.col("d_model"))
         weight = (F.col("d1") * F.col("c1") + F.col("d2") * F.col("c2") + F.col("d3") * F.col("c3")) / F.col("total")
         return out.select(F.col("model").alias("c_model"), "context", "total", "d1", "d2", "d3", weight.alias("weight"))
@@ -165,22 +166,24 @@ class Counts:
     def log_probabilities(self, needed: DataFrame) -> DataFrame:
         """(model, gram, nats), a written table: -log of the probability of each n-gram's last character after the
         others, for the distinct n-grams ``needed`` (model, gram). Below single characters, all characters of a model's
-        trusted text and one more are alike."""
+        trusted text and one more are alike.
+
+        Tables of n-grams are joined by sorted shards at every size, so none of them comes to the driver to be sent."""
         short = materialize(needed.select("model", F.substring("gram", 2, ORDER - 1).alias("gram")).distinct(), "kn-needs")
         needs = {ORDER: needed, ORDER - 1: short}
         for length in range(ORDER - 2, 0, -1):
             needs[length] = needs[length + 1].select("model", F.substring("gram", 2, length).alias("gram")).distinct()
-        letters = bounded_broadcast(self.discounts).where("length = 1").select(F.col("model").alias("v_model"), "letters")
+        letters = self.few.where("length = 1").select(F.col("model").alias("v_model"), "letters")
         lower, written = None, [short]
         for length in range(1, ORDER + 1):
-            own = self.levels[length].select(F.col("model").alias("o_model"), F.col("gram").alias("o_gram"), "n")
+            own = self.levels[length].select(F.col("model").alias("o_model"), F.col("gram").alias("o_gram"), "n").hint("merge")
             out = needs[length].join(own, (F.col("model") == F.col("o_model")) & (F.col("gram") == F.col("o_gram")), "left")
             out = out.withColumn("head", F.substring("gram", 1, length - 1))
-            out = out.join(self.contexts(length), (F.col("model") == F.col("c_model")) & (F.col("head") == F.col("context")), "left")
+            out = out.join(self.contexts(length).hint("merge"), (F.col("model") == F.col("c_model")) & (F.col("head") == F.col("context")), "left")
             if lower is None:
                 out = out.join(letters, F.col("model") == F.col("v_model"), "left").withColumn("below", 1 / (1 + F.coalesce("letters", F.lit(0))))
             else:
-                below = lower.select(F.col("model").alias("s_model"), F.col("gram").alias("s_gram"), F.col("p").alias("below"))
+                below = lower.select(F.col("model").alias("s_model"), F.col("gram").alias("s_gram"), F.col("p").alias("below")).hint("merge")
                 out = out.withColumn("tail", F.substring("gram", 2, length - 1)).join(below, (F.col("model") == F.col("s_model")) & (F.col("tail") == F.col("s_gram")))
             cut = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
             share = F.coalesce((F.col("n") - cut) / F.col("total"), F.lit(0.0))
@@ -240,7 +243,7 @@ def score(docs: DataFrame, counts: Counts, keep: list[str]) -> DataFrame:
     discard(needed)
     out = None
     for part, a in zip(parts, asked):
-        told = a.join(nats.withColumnRenamed("gram", "m_gram"), (F.col("z_model") == F.col("model")) & (F.col("gram") == F.col("m_gram")))
+        told = a.join(nats.withColumnRenamed("gram", "m_gram").hint("merge"), (F.col("z_model") == F.col("model")) & (F.col("gram") == F.col("m_gram")))
         told = told.select(F.col("_q_lang").alias("g_lang"), F.col("_q_block").alias("g_block"), F.col("gram").alias("g_gram"), "nats")
         scored = part.groupBy("_q_lang", "_q_block").cogroup(told.groupBy("g_lang", "g_block")).applyInArrow(run, out_schema)
         scored = materialize(scored, "kn-scores")
