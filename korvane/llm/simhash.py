@@ -22,7 +22,7 @@ BUCKET_PART = 1024
 #: Bytes of text that are worked on at a time.
 PIECE = 2 << 20
 #: Bits of a set's parities.
-BITS = 1024
+BITS, MOST_BITS = 1024, 8192
 #: Passes in which pairs of sets are verified: only one pass's sets are on disk in shuffles at a time.
 PASSES = 4
 #: The least Jaccard similarity of linked sets of shingles, as a fraction.
@@ -213,12 +213,21 @@ def shingles_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator
 
 
 def parities(hashes: np.ndarray) -> np.ndarray:
-    """BITS bits as longs: whether an odd number of the hashes falls to each. A hash that only one of two sets has flips
-    one bit, so the bits of two sets differ in no more places than the sets have hashes of their own."""
-    flips = np.bincount((hashes.view(np.uint64) >> np.uint64(13)) % np.uint64(BITS), minlength=BITS) & 1
+    """Bits as longs: whether an odd number of the hashes falls to each. A hash that only one of two sets has flips one
+    bit, so the bits of two sets differ in no more places than the sets have hashes of their own.
+
+    There are as many bits as hashes, up to the next power of two, within BITS and MOST_BITS."""
+    width = min(max(1 << max(len(hashes) - 1, 0).bit_length(), BITS), MOST_BITS)
+    flips = np.bincount((hashes.view(np.uint64) >> np.uint64(13)) % np.uint64(width), minlength=width) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def narrowed(bits: Column, longs: Column) -> Column:
+    """Parities as so many longs, or twice as many, as so many: the halves' parities add up."""
+    halves = F.zip_with(F.slice(bits, F.lit(1), longs), F.slice(bits, longs + 1, longs), lambda x, y: x.bitwiseXOR(y))
+    return F.when(F.size(bits) > longs, halves).otherwise(bits)
+
+
 def shingle_sets(docs: DataFrame, keep: list[str], shingle: int, hot: dict[int, int] | None = None) -> DataFrame:
     """The columns ``keep`` with sid (a digest of the set of shingles, 0 if it is empty), size, bits (``parities``) and
     shingles: all of them, or, if ``hot`` is given, the prefix: of all but the share SIMILARITY, and one more, the rarest
@@ -248,8 +257,9 @@ def shingle_sets(docs: DataFrame, keep: list[str], shingle: int, hot: dict[int,
             lists = sets if sent is None else [prefix(s) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
             values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
-            bits = np.concatenate([np.zeros(0, np.int64), *(parities(s) for s in sets)])
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(bits))
+            odd = [parities(s) for s in sets]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in odd])]).astype(np.int32)
+            bits = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *odd])))
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(sid), pa.array([len(s) for s in sets], pa.int32()), bits, values], names=names)
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_s_text")).mapInArrow(run, schema)
@@ -286,8 +296,9 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -
     whose parities rule that out go first; the sets of the others come from one row of each and are shuffled by pair."""
     one = sets.select(F.col("sid").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("x"))
     other = sets.select(F.col("sid").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("y"))
-    differing = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
-    pairs = materialize(pairs.join(one, "a").join(other, "b").where(may_reach(differing, F.col("sa"), F.col("sb"))).select("a", "b"), "dedup-pairs")
+    longs = F.least(F.size("x"), F.size("y"))  # sizes within SIMILARITY have as many bits or twice as many
+    differing = F.aggregate(F.zip_with(narrowed(F.col("x"), longs), narrowed(F.col("y"), longs), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
+    pairs = materialize(pairs.join(one, "a").join(other, "b").where(same_size(F.col("sa"), F.col("sb")) & may_reach(differing, F.col("sa"), F.col("sb"))).select("a", "b"), "dedup-pairs")
     ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
     wanted = materialize(sets.join(ids, F.col("sid") == F.col("i"), "left_semi").select(F.col("h1").alias("_s_k1"), F.col("h2").alias("_s_k2")), "dedup-wanted")
     rows = docs.join(bounded_broadcast(wanted), (F.col("_s_h1") == F.col("_s_k1")) & (F.col("_s_h2") == F.col("_s_k2")), "left_semi").select("_s_h1", "_s_h2", "text")
@@ -320,21 +331,23 @@ def merged_keys(keyed: DataFrame) -> DataFrame:
 
 def mixed(keyed: DataFrame, links: DataFrame) -> DataFrame:
     """The rows of ``keyed`` (``merged_keys``) under keys that stand in more than one component of ``links``, a written
-    table with the set's root and its key's least set, ``least`` (sid, size, root), and number of rows, n."""
+    table with the set's root and its key's number of rows, n."""
     near = materialize(connected_components(links), "dedup-near")
     placed = keyed.select("sid", "size", "pos", "w", "key").join(near, F.col("sid") == F.col("node"), "left").select("sid", "size", "pos", "w", "key", F.coalesce("root", "sid").alias("root"))
     own = Window.partitionBy("key")
-    placed = placed.withColumns({"n": F.count(F.lit(1)).over(own), "lo": F.min("root").over(own), "hi": F.max("root").over(own), "least": F.min(F.struct("sid", "size", "root")).over(own)})
+    placed = placed.withColumns({"n": F.count(F.lit(1)).over(own), "lo": F.min("root").over(own), "hi": F.max("root").over(own)})
     out = materialize(placed.where("lo <> hi").drop("lo", "hi"), "dedup-mixed")
     discard(near)
     return out
 
 
-def across(keyed: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b), each once, of ``mixed`` rows that share a key, have different roots and can be of SIMILARITY by
-    their sizes, their parities and by how many keys they share up to which places.
+def near_pairs(keyed: DataFrame, sets: DataFrame, trees: bool) -> DataFrame:
+    """(a, b, sa, sb, pa, pb, w) of ``mixed`` rows that share a key, have different roots and can be of SIMILARITY by
+    their sizes and their parities: sids, sizes, places and the key's weight, once for each key.
 
-    A key's rows over BUCKET_PART are dealt out as pairs of parts to separate groups."""
+    With ``trees``, only pairs that parities estimate to be of SIMILARITY, and of a key's pairs a forest over its roots,
+    likeliest pairs first: fewer than the key has rows. A key's rows over BUCKET_PART are dealt out as pairs of parts to
+    separate groups."""
     up, down = SIMILARITY
     parts = F.ceil(F.col("n") / BUCKET_PART)
     bits = sets.select(F.col("sid").alias("b_sid"), "bits")
@@ -349,26 +362,67 @@ def across(keyed: DataFrame, sets: DataFrame) -> DataFrame:
                 sid, size, pos, root, own, w = (rows.values.field(i).to_numpy(zero_copy_only=False) for i in range(6))
                 if len(sid) < 2:
                     continue
-                parity = rows.values.field(6).flatten().to_numpy(zero_copy_only=False).reshape(len(sid), -1).view(np.uint64)
+                bits = rows.values.field(6)
+                flat, ends = bits.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(bits.value_lengths().to_numpy())
+                longs = np.diff(ends, prepend=0)
                 wide = size.astype(np.int64)
-                for at in range(0, len(sid), 256):  # a few rows against all
-                    here = slice(at, at + 256)
-                    ok = (root[here, None] != root[None]) & (sid[here, None] < sid[None])
-                    ok &= down * np.minimum(wide[here, None], wide[None]) >= up * np.maximum(wide[here, None], wide[None])
-                    if group["p"] != group["q"]:
-                        ok &= own[here, None] != own[None]
-                    x, y = np.nonzero(ok)
-                    x += at
-                    for a in range(0, len(x), 65536):
-                        i, j = x[a : a + 65536], y[a : a + 65536]
-                        differing = np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64)
-                        can = (up + down) * ((wide[i] + wide[j] - differing) // 2) >= up * (wide[i] + wide[j])
-                        i, j = i[can], j[can]
-                        if len(i):
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sid[i], sid[j], size[i], size[j], pos[i], pos[j], w[i])], names=["a", "b", "sa", "sb", "pa", "pb", "w"])
-
-    met = lists.select(F.struct("g.p", "g.q").alias("g"), "rows").mapInArrow(run, "a long, b long, sa int, sb int, pa int, pb int, w long")
-    pairs = met.groupBy("a", "b").agg(F.sum("w").alias("n"), *[F.max(c).alias(c) for c in ("sa", "sb", "pa", "pb")])
+                tree = np.unique(root, return_inverse=True)[1]
+                for width in np.unique(longs):  # pairs whose shorter bits are so many, the longer ones narrowed
+                    rows_of = lambda k: flat[(ends - longs)[k][:, None] + np.arange(longs[k[0]])] if len(k) else np.zeros((0, 2 * width), np.uint64)  # noqa: B023, E731
+                    same, twice = np.flatnonzero(longs == width), np.flatnonzero(longs == 2 * width)
+                    long = rows_of(twice)
+                    parity = np.concatenate([rows_of(same), long[:, :width] ^ long[:, width:]])
+                    met = np.concatenate([same, twice])
+                    for at in range(0, len(same), 256):  # a few rows against all
+                        here = met[at : min(at + 256, len(same))]
+                        ok = (tree[here, None] != tree[met]) & ((sid[here, None] < sid[met]) | (np.arange(len(met)) >= len(same)))
+                        ok &= down * np.minimum(wide[here, None], wide[met]) >= up * np.maximum(wide[here, None], wide[met])
+                        if group["p"] != group["q"]:
+                            ok &= own[here, None] != own[met]
+                        x, y = np.nonzero(ok)
+                        x += at
+                        step = 65536 * BITS // 64 // int(width)
+                        for a in range(0, len(x), step):
+                            i, j = met[x[a : a + step]], met[y[a : a + step]]
+                            both = wide[i] + wide[j]
+                            differing = np.bitwise_count(parity[x[a : a + step]] ^ parity[y[a : a + step]]).sum(axis=1, dtype=np.int64)
+                            if trees:
+                                picked = forest_of(i, j, unshared(differing, int(width) * 64) / both, tree)
+                            else:
+                                picked = np.flatnonzero((up + down) * ((both - differing) // 2) >= up * both)
+                            i, j = i[picked], j[picked]
+                            i, j = np.where(sid[i] < sid[j], i, j), np.where(sid[i] < sid[j], j, i)
+                            if len(i):
+                                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (sid[i], sid[j], size[i], size[j], pos[i], pos[j], w[i])], names=["a", "b", "sa", "sb", "pa", "pb", "w"])
+
+    return lists.select(F.struct("g.p", "g.q").alias("g"), "rows").mapInArrow(run, "a long, b long, sa int, sb int, pa int, pb int, w long")
+
+
+def unshared(differing: np.ndarray, bits: int) -> np.ndarray:
+    """How many hashes are expected to belong to one of two sets only, if so many of their parities of ``bits`` differ."""
+    return -bits / 2 * np.log(1 - np.minimum(2 * differing, bits - 1) / bits)
+
+
+def forest_of(i: np.ndarray, j: np.ndarray, distance: np.ndarray, tree: np.ndarray) -> np.ndarray:
+    """The pairs (i, j), closest first, that join different trees, of those whose ``distance`` (the share of unshared
+    hashes) stays within SIMILARITY. ``tree`` is each row's tree and is brought up to date."""
+    up, down = SIMILARITY
+    order = np.argsort(distance, kind="stable")
+    order = order[distance[order] <= (down - up) / (down + up)]
+    picked = []
+    while len(order):
+        order = order[tree[i[order]] != tree[j[order]]]
+        if len(order):
+            a, b = tree[i[order[0]]], tree[j[order[0]]]
+            picked.append(order[0])
+            tree[tree == b] = a
+    return np.array(picked, np.int64)
+
+
+def across(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), each once, of ``mixed`` rows that share a key, have different roots and can be of SIMILARITY by
+    their sizes, their parities and by how many keys they share up to which places."""
+    pairs = near_pairs(keyed, sets, trees=False).groupBy("a", "b").agg(F.sum("w").alias("n"), *[F.max(c).alias(c) for c in ("sa", "sb", "pa", "pb")])
     # Beyond the last common place of the prefixes, no more can be common than what follows in the shorter rest.
     return pairs.where(enough(F.col("n") + F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb")), F.col("sa"), F.col("sb"))).select("a", "b")
 
@@ -378,8 +432,8 @@ def similar_roots(docs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame
     bits, shingles: prefixes), which goes: links are all pairs of SIMILARITY or more, as far as they change components.
 
     Equal sets are one. First each set meets one other, the least of those it shares a key of its prefix with. Under
-    keys that then still stand in several components, sets meet the least of each key; at last, under keys that stand in
-    several components even so, all pairs from different components meet.
+    keys that then still stand in several components, these meet by a forest of the pairs that parities call similar; at
+    last, under keys that stand in several components even so, all pairs from different components meet.
     """
     row = F.struct("_s_h1", "_s_h2")
     whole = marked.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("shingles").alias("shingles"), F.min(row).alias("row"))
@@ -393,8 +447,8 @@ def similar_roots(docs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame
     links = verified(stars, docs, sets, shingle)
     left = mixed(shared, links)
     discard(shared)
-    stars = left.where((F.col("root") != F.col("least.root")) & same_size(F.col("size"), F.col("least.size"))).select(F.col("sid").alias("a"), F.col("least.sid").alias("b")).distinct()
-    links = links.unionByName(verified(stars, docs, sets, shingle))
+    trees = near_pairs(left, sets, trees=True).select("a", "b").distinct()
+    links = links.unionByName(verified(trees, docs, sets, shingle))
     rest = mixed(left, links)
     links = links.unionByName(verified(across(rest, sets), docs, sets, shingle))
     out = materialize(connected_components(links), "dedup-roots")
