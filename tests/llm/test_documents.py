@@ -446,3 +446,21 @@ def test_pieces_odd_rows(spark, odd, nothing):
     counts = tokencount.token_counts(odd, PIECES)
     assert keyed(tuple(r) for r in counts.collect()) == keyed((r.doc_id, len(r.piece_ids)) for r in coded.collect())
     assert tokencount.token_counts(nothing, PIECES).count() == pieces.encode_documents(nothing, PIECES).count() == 0
+
+
+def test_parities_of_long_sets_narrow_to_shorter_ones():
+    r = np.random.default_rng(5)
+    hashes = r.integers(-(1 << 62), 1 << 62, 5000)
+    assert [len(simhash.parities(hashes[:n])) * 64 for n in (0, 1024, 1025, 4096, 4097, 5000)] == [1024, 1024, 2048, 4096, 8192, 8192]
+    wide, other = simhash.parities(hashes[:4200]), simhash.parities(hashes[100:4100])
+    narrow = wide[: len(other)] ^ wide[len(other) :]
+    assert np.bitwise_count((narrow ^ other).view(np.uint64)).sum() <= 200
+
+
+def test_long_near_copies_with_different_parities_are_linked(spark):
+    r = np.random.default_rng(6)
+    words, others = ([f"w{x}" for x in r.integers(0, 1 << 40, 2100)] for _ in range(2))
+    # 1, 2 and 3 are near copies on both sides of 2048 shingles; 4 and 5 are alone
+    texts = [words, words[:1950], words[100:], others, words[:1000] + others[:1100]]
+    docs = spark.createDataFrame([(i + 1, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.deduplicate(docs).collect()) == [1, 4, 5]
