@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, mixing, pieces, rules, simhash, tokencount, tokens, topk, warc
+from . import chat, classifier, interaction, mixing, pieces, rules, simhash, tokencount, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat.query,
     "op9_token_counts": tokencount.query,
     "op10_sentencepiece": pieces.query,
+    "op13_filter_audit": interaction.query,
 }
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.ORACLE,
@@ -26,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op5_warc_archive": warc.ORACLE,
     "op6_exact_topk": topk.ORACLE,
     "op8_chat_format": chat.ORACLE,
+    "op13_filter_audit": interaction.ORACLE,
 }
