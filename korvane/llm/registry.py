@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, classifier, interaction, mixing, pieces, rules, simhash, tokencount, tokens, topk, warc
+from . import chat, classifier, codes, interaction, jaccard, mixing, pieces, rules, simhash, tokencount, tokens, topk, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": mixing.query,
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": chat.query,
     "op9_token_counts": tokencount.query,
     "op10_sentencepiece": pieces.query,
+    "op11_vector_codes": codes.query,
+    "op12_ngram_jaccard": jaccard.query,
     "op13_filter_audit": interaction.query,
 }
 ORACLES: dict[str, str] = {
@@ -27,5 +29,7 @@ ORACLES: dict[str, str] = {
     "op5_warc_archive": warc.ORACLE,
     "op6_exact_topk": topk.ORACLE,
     "op8_chat_format": chat.ORACLE,
+    "op11_vector_codes": codes.ORACLE,
+    "op12_ngram_jaccard": jaccard.ORACLE,
     "op13_filter_audit": interaction.ORACLE,
 }
