@@ -6,7 +6,7 @@ shingles is common.
 
 1. A first block of columns (a quarter of the shingles, by hash) drops the sets too many of whose shingles nobody else
    has. Most sets go here, without a pair being formed.
-2. The remaining rows get all their columns. Columns with the same sets become one with a weight, which leaves the
+2. The remaining rows get all their columns, which drop more sets in the same way. Columns with the same sets become one with a weight, which leaves the
    product as it is; a set whose common weight stays below its bound goes.
 3. Columns are ordered, the rarest first. A pair's first common column lies where each set's weight from there on still
    reaches its bound, so only those entries, the heads, bring sets together.
@@ -26,9 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_broadcast, discard, materialize, pieces
+from ._common import Words, bounded_broadcast, discard, materialize, pieces
 from .components import connected_components
-from .simhash import SEED, shingles_of
+from .simhash import LOWER, SEED
 
 #: Two sets link if their common part is at least LINK[0] / LINK[1] of all that either has.
 LINK = (85, 100)
@@ -60,46 +60,92 @@ def text_key(text: Column) -> dict[str, Column]:
     return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit("second"), text)}
 
 
+def stirred(h: np.ndarray) -> np.ndarray:
+    """64-bit hashes stirred so that every bit depends on every other."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
+    return h ^ (h >> np.uint64(33))
+
+
+def shingle_rows(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's distinct shingles as sorted 64-bit hashes, all in a row, and where each text's begin. Every distinct
+    word is hashed once; a shingle's hash comes from those of its words in order and from their number."""
+    data = LOWER[data]
+    words = Words(data, offsets)
+    codes = words.array(data).dictionary_encode()
+    of_word = np.array([xxhash.xxh64_intdigest(w, SEED) for w in codes.dictionary.to_pylist()], np.uint64)
+    h = of_word[codes.indices.to_numpy()] if len(of_word) else np.zeros(0, np.uint64)
+    n_words, n_texts = np.diff(words.first_word), len(offsets) - 1
+    n = np.where(n_words >= shingle, n_words - shingle + 1, np.minimum(n_words, 1))  # shingles of each text, repeats too
+    doc = np.repeat(np.arange(n_texts), n)
+    begin = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + words.first_word[:-1][doc]
+    length = np.minimum(n_words, shingle)[doc]
+    out = stirred(length.astype(np.uint64))
+    for k in range(shingle):
+        inside = length > k
+        out[inside] = stirred(out[inside] * np.uint64(0x9E3779B97F4A7C15) + h[begin[inside] + k])
+    order = np.lexsort((out, doc))
+    out, doc = out[order], doc[order]
+    new = np.append(True, (out[1:] != out[:-1]) | (doc[1:] != doc[:-1]))[: len(out)]
+    return out[new].view(np.int64), np.searchsorted(doc[new], np.arange(n_texts + 1))
+
+
 def incidence(docs: DataFrame, keep: list[str], shingle: int, part: int = 1) -> DataFrame:
     """The columns ``keep`` of ``docs`` with s1 and s2 (128 bits that name the set; equal sets share them), size, and
-    grams: the set's shingles as sorted 64-bit hashes, or those in the first of ``part`` blocks."""
+    grams: the set's shingles as 64-bit hashes, or those in the first of ``part`` blocks."""
     schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *(T.StructField(c, T.LongType()) for c in ("s1", "s2", "size")), T.StructField("grams", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, data, offsets in pieces(batches, "_j_text", PIECE):
-            sets = list(shingles_of(data, offsets, shingle))
-            names = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes(), SEED), np.int64) for s in sets]).reshape(-1, 2)
-            lists = [s[s.view(np.uint64) % np.uint64(part) == 0] for s in sets] if part > 1 else sets
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-            grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *lists])))
-            yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(keep))), pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([len(s) for s in sets], pa.int64()), grams], names=schema.names)
+            grams, at = shingle_rows(data, offsets, shingle)
+            names = np.array([np.frombuffer(xxhash.xxh3_128_digest(grams[a:b].tobytes(), SEED), np.int64) for a, b in zip(at[:-1], at[1:])]).reshape(-1, 2)
+            sizes = pa.array(np.diff(at))
+            if part > 1:
+                chosen = grams.view(np.uint64) % np.uint64(part) == 0
+                at = np.append(0, np.cumsum(chosen))[at]
+                grams = grams[chosen]
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams))
+            yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(keep))), pa.array(names[:, 0]), pa.array(names[:, 1]), sizes, lists], names=schema.names)
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_j_text")).mapInArrow(run, schema)
 
 
-def candidates(marked: DataFrame, link: tuple[int, int]) -> DataFrame:
-    """(s1, s2, row) of the sets of ``marked`` that the first block of columns leaves: not more of a set's shingles stand
-    in that set alone than it can do without. ``row`` names the row with its smallest doc_id.
+def alone(rows: DataFrame, name: str) -> DataFrame:
+    """(a_name, alone): how many shingles of ``rows`` (name, grams) stand in that set alone, where any do.
 
-    Each column is summed up to the least and the largest set in it, so copies of one set are one and a frequent column
+    Each column is summed up to the least and the largest set in it, so rows of one name are one and a frequent column
     costs a row a task.
     """
-    columns = marked.select("s1", F.explode("grams").alias("gram")).groupBy("gram").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"))
-    alone = columns.where("lo = hi").groupBy(F.col("lo").alias("a_s1")).agg(F.count(F.lit(1)).alias("alone"))
+    columns = rows.select(name, F.explode("grams").alias("gram")).groupBy("gram").agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
+    return columns.where("lo = hi").groupBy(F.col("lo").alias("a_name")).agg(F.count(F.lit(1)).alias("alone"))
+
+
+def enough_common(link: tuple[int, int]) -> Column:
+    return F.col("size") - F.coalesce("alone", F.lit(0)) >= needed(F.col("size"), link)
+
+
+def candidates(marked: DataFrame, link: tuple[int, int]) -> DataFrame:
+    """(s1, s2, row), written, of the sets of ``marked`` that the first block of columns leaves: not more of a set's
+    shingles stand in that set alone than it can do without. ``row`` names the row with its smallest doc_id."""
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
     sets = marked.where("size > 0").groupBy("s1", "s2").agg(F.first("size").alias("size"), F.min(row).alias("row"))
-    left = sets.join(alone, F.col("s1") == F.col("a_s1"), "left")
-    return left.where(F.col("size") - F.coalesce("alone", F.lit(0)) >= needed(F.col("size"), link)).select("s1", "s2", "row")
+    left = sets.join(alone(marked, "s1"), F.col("s1") == F.col("a_name"), "left")
+    return materialize(left.where(enough_common(link)).select("s1", "s2", "row"), "jaccard-chosen")
 
 
-def full_rows(docs: DataFrame, chosen: DataFrame, shingle: int) -> DataFrame:
-    """(id, s1, s2, size, grams) of the sets ``chosen``, a written table: their texts are read again, one row of each,
-    and get a number."""
+def full_rows(docs: DataFrame, chosen: DataFrame, shingle: int, link: tuple[int, int]) -> DataFrame:
+    """(id, s1, s2, size, grams), written, of those of the sets ``chosen`` that all their columns leave: their texts are
+    read again, one row of each, and get a number."""
     wanted = chosen.select(F.col("row.doc_id").alias("w_id"), F.col("row.t1").alias("w1"), F.col("row.t2").alias("w2"))
     texts = docs.select("doc_id", "text", *[c.alias(k) for k, c in text_key(F.col("text")).items()])
     texts = texts.join(bounded_broadcast(wanted), (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
-    texts = texts.dropDuplicates(["t1", "t2"])  # rows repeated with the same doc_id
-    return materialize(incidence(texts, [], shingle).withColumn("id", F.monotonically_increasing_id()), "jaccard-rows")
+    rows = materialize(incidence(texts, [], shingle).withColumn("id", F.monotonically_increasing_id()), "jaccard-rows")
+    one = rows.groupBy("s1", "s2").agg(F.min("id").alias("k_id"), F.first("size").alias("size"))  # rows repeated with one doc_id
+    kept = one.join(alone(rows, "id"), F.col("k_id") == F.col("a_name"), "left").where(enough_common(link)).select("k_id")
+    kept = materialize(kept, "jaccard-kept")
+    out = materialize(rows.join(bounded_broadcast(kept), F.col("id") == F.col("k_id"), "left_semi"), "jaccard-rows")
+    discard(rows, kept)
+    return out
 
 
 def merged_columns(rows: DataFrame, link: tuple[int, int]) -> DataFrame:
@@ -210,10 +256,9 @@ def block_links(mixed: DataFrame, entries: DataFrame, link: tuple[int, int]) ->
     return materialize(found, "jaccard-links")
 
 
-def set_roots(docs: DataFrame, marked: DataFrame, shingle: int, link: tuple[int, int]) -> DataFrame:
+def set_roots(docs: DataFrame, chosen: DataFrame, shingle: int, link: tuple[int, int]) -> DataFrame:
     """(s1, s2, root), written, of the sets that link with another one: root is equal for all that links connect."""
-    chosen = materialize(candidates(marked, link), "jaccard-chosen")
-    rows = full_rows(docs, chosen, shingle)
+    rows = full_rows(docs, chosen, shingle, link)
     entries = materialize(merged_columns(rows, link), "jaccard-entries")
     names = materialize(rows.select("id", "s1", "s2"), "jaccard-names")
     discard(chosen, rows)
@@ -241,9 +286,10 @@ def components(docs: DataFrame, shingle: int = 4, link: tuple[int, int] = LINK)
     """
     keyed = docs.select("doc_id", "text", *[c.alias(k) for k, c in text_key(F.col("text")).items()])
     marked = materialize(incidence(keyed, ["doc_id", "t1", "t2"], shingle, FIRST_BLOCK), "jaccard-marked")
-    near = set_roots(docs, marked, shingle, link)
+    chosen = candidates(marked, link)
     rows = materialize(marked.select("doc_id", "s1", "s2", "size"), "jaccard-docs")
     discard(marked)
+    near = set_roots(docs, chosen, shingle, link)
     sets = rows.where("size > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m"))
     rooted = sets.join(near, ["s1", "s2"], "left")
     of_root = rooted.where("root is not null").groupBy(F.col("root").alias("r_root")).agg(F.min("least").alias("r_least"))
