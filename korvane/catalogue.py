@@ -392,10 +392,35 @@ def diff_sides(spark, d):
 def live_board_final(spark, d):
     """The last state of a live board that the table streams through."""
     score = unit_score(F.col("embedding"), F.array(*[F.lit(float(x)) for x in _near(spark, d)]))
-    board = live.Board(20, score, "vec_id")
     stream = live.parquet_stream(spark, d, table(spark, d, "embeddings").schema, name="embeddings.parquet")
-    board.start(stream, new_path(spark, "board")).awaitTermination()
-    return spark.createDataFrame([(o, float(s)) for s, o in board.rows], "vec_id long, s double").select("vec_id", F.round("s", 4).alias("__score"))
+    seen = _streamed(spark, live.board(stream, 20, score, "vec_id"))
+    last = seen.agg(F.max("__snapshot").alias("last"))
+    return seen.join(F.broadcast(last), F.col("__snapshot") == F.col("last")).select("vec_id", F.round("__score", 4).alias("__score"))
+
+
+def _streamed(spark, stream):
+    """A stream's rows once it has ended, as a table."""
+    path = new_path(spark, "stream")
+    live.into_parquet(stream, path, new_path(spark, "stream-state")).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
+
+
+_BEATEN = "(select count(*) from events b where b.event_type is not distinct from a.event_type and b.event_id < a.event_id and b.value >= a.value)"
+
+
+@query(
+    f"""with s as (select event_type, event_id, value, {_BEATEN} < 5 as enters from events a where value is not null),
+n as (select event_type, count(*) as snapshots from s where enters group by event_type),
+r as (select *, row_number() over (partition by event_type order by value desc, event_id) as place from s)
+select r.event_type, snapshots, place as rank, event_id, round(value, 4) as score from r join n on r.event_type is not distinct from n.event_type where place <= 5"""
+)
+def live_board_snapshots(spark, d):
+    """The last snapshot of each event type's live board of five, and how many there were."""
+    stream = live.parquet_stream(spark, d, table(spark, d, "events").schema, name="events.parquet")
+    seen = _streamed(spark, live.board(stream, 5, F.col("value"), "event_id", ["event_type"]))
+    counts = seen.groupBy(F.col("event_type").alias("t")).agg(F.max("__snapshot").alias("snapshots"))
+    last = seen.join(F.broadcast(counts), F.col("event_type").eqNullSafe(F.col("t")) & (F.col("__snapshot") == F.col("snapshots")))
+    return last.select("event_type", "snapshots", F.col("__rank").alias("rank"), "event_id", F.round("__score", 4).alias("score"))
 
 
 @query()

@@ -15,7 +15,12 @@ def _spine(df: DataFrame) -> DataFrame:
 
 def lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(text, __source): lines as they are, without line ends, byte-order marks and blank lines."""
-    df = _spine(spark.read.text(paths))
+    return clean_lines(spark.read.text(paths))
+
+
+def clean_lines(df: DataFrame) -> DataFrame:
+    """``lines`` of a table or stream of text files."""
+    df = _spine(df)
     text = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r$", "")
     return df.select(text.alias("text"), "__source").where(F.trim("text") != "")
 

@@ -282,9 +282,6 @@ def test_streams(spark, tmp_path):
     df = spark.createDataFrame([(i, float(i % 10)) for i in range(40)], "o long, v double")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = live.parquet_stream(spark, str(tmp_path / "in"), df.schema)
-    board = live.Board(3, F.col("v"), "o")
-    board.start(stream, str(tmp_path / "ck")).awaitTermination()
-    assert board.rows == [(9.0, 9), (9.0, 19), (9.0, 29)]
     q = live.count_windows(stream, 10, "v").writeStream.format("memory").queryName("w").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.window_end, r.total) for r in spark.sql("select * from w").collect()) == [(10, 45.0), (20, 45.0), (30, 45.0), (40, 45.0)]
