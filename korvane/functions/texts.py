@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 #: Scripts whose characters are about a token each.
-CJK = r"[぀-ヿ㐀-䶿一-鿿가-힯豈-﫿]"
+CJK = "[\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0002fa1f]"
+_CJK = re.compile(CJK)
 
 
 def token_estimate(text: Column) -> Column:
@@ -22,31 +23,31 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.ceil(F.length(text) / 4), F.regexp_count(text, F.lit(CJK))).cast("long")
 
 
-def _estimate(text: str) -> int:
-    return max(-(-len(text) // 4), len(re.findall(CJK, text)))
+def tokens_of(text: str) -> int:
+    """``token_estimate`` of one text."""
+    return max(-(-len(text) // 4), len(_CJK.findall(text)))
 
 
-def _hard(text: str, budget: int) -> list[str]:
-    size = max(1, int(len(text) * budget / max(1, _estimate(text))))
-    return [text[i : i + size] for i in range(0, len(text), size)]
+def _within(text: str, budget: int) -> Iterator[str]:
+    """The text, or equal cuts of it, as many as it has budgets of tokens."""
+    width = max(len(text) // -(-tokens_of(text) // budget), 1)
+    return (text[i : i + width] for i in range(0, len(text), width))
 
 
 def chunks_of(text: str, budget: int) -> list[str]:
-    """Chunks of at most about ``budget`` tokens that join to the text: paragraphs, else lines, else a hard cut."""
-    if not text:
-        return []
-    if _estimate(text) <= budget:
-        return [text]
-    out, held = [], ""
-    for paragraph in re.findall(r"(?s).+?(?:\n\n+|\Z)", text):
-        units = [paragraph] if _estimate(paragraph) <= budget else paragraph.splitlines(keepends=True)
-        for unit in units:
-            for part in [unit] if _estimate(unit) <= budget else _hard(unit, budget):
-                if held and _estimate(held + part) > budget:
-                    out.append(held)
-                    held = ""
-                held += part
-    return out + [held] if held else out
+    """Chunks of about ``budget`` tokens that join to the text. They end where paragraphs do, or lines if there is only
+    one paragraph; a paragraph or line over the budget is cut evenly. No chunk for empty text."""
+    if tokens_of(text) <= budget:
+        return [text] if text else []
+    units = re.findall(r"(?s).+?(?:\n\n+|\Z)|\n+", text)
+    if len(units) == 1:
+        units = re.findall(r"[^\n]*\n+|[^\n]+", text)
+    out = [""]
+    for part in (p for u in units for p in (_within(u, budget) if tokens_of(u) > budget else [u])):
+        if out[-1] and tokens_of(out[-1] + part) > budget:
+            out.append("")
+        out[-1] += part
+    return out
 
 
 def chunks(text: Column, budget: int = 2000) -> Column:
