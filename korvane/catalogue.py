@@ -9,9 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import fields, predicates, texts, times
+from .functions import fields, predicates, schemas, texts, times
 from .functions.vectors import unit_score
-from .operators import graph, rows, semantic, tables, vectors
+from .operators import asking, graph, observing, packing, reducing, rows, semantic, tables, vectors
 from .plans import pipelines
 from .shared import new_path
 from .streaming import live
@@ -566,6 +566,90 @@ def schema_check_coverage(spark, d):
     return semantic.check_records(df, {"doc_id": F.col("doc_id") >= 0, "lang": F.col("lang").isin("en", "de")}, ["doc_id", "lang"])
 
 
+_TOKENS = "cast(greatest(ceil(length(coalesce(text, '')) / 4), length(regexp_replace(coalesce(text, ''), '[^\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0002fa1f]', '', 'g'))) as bigint)"
+
+
+@query(
+    f"""with recursive t as (select source, doc_id, {_TOKENS} as size, row_number() over (partition by source order by doc_id) as n from documents),
+p as (select source, doc_id, n, doc_id as opener, size as used, size from t where n = 1
+  union all select t.source, t.doc_id, t.n, case when p.used + t.size > 2000 then t.doc_id else p.opener end, case when p.used + t.size > 2000 then t.size else p.used + t.size end, t.size from p join t on t.source is not distinct from p.source and t.n = p.n + 1)
+select source, opener, count(*) as documents, cast(sum(size) as bigint) as tokens from p group by source, opener"""
+)
+def pack_by_budget(spark, d):
+    """Each source's documents in chunks of 2000 tokens: the first of each, how many and how much."""
+    df = table(spark, d, "documents").select("source", "doc_id", texts.token_estimate(F.col("text")).alias("size"))
+    packed = packing.pack(df, ["source"], ["doc_id"], F.col("size"), 2000)
+    return packed.groupBy("source", "_chunk").agg(F.min("doc_id").alias("opener"), F.count(F.lit(1)).alias("documents"), F.sum("size").alias("tokens")).drop("_chunk")
+
+
+def _sum_rule(prompt: str) -> str:
+    return str(sum(int(x) for x in prompt.split("\n")))
+
+
+@query("select role, cast(sum(length(text)) as varchar) as result, count(*) as rows, cast(0 as bigint) as lost from conversations where text is not null and role is not null group by role")
+def reduce_budget(spark, d):
+    """A tree of notes of 500 tokens each whose notes are sums."""
+    df = table(spark, d, "conversations").where("text is not null").select("role", F.length("text").cast("string").alias("size"), F.concat_ws("-", "conv_id", "turn").alias("o"))
+    return reducing.reduce_packed(df, "size", "o", "{items}", "{items}", semantic.RuleChat(_sum_rule), 500, ["role"])
+
+
+_ASKED = "(select count(*) as n, count(distinct lang || '|' || source) as d from documents where lang is not null and source is not null)"
+
+
+@query(
+    f"""select 'first' as run, n as requests, d as distinct, cast(0 as bigint) as hits, d as asked, cast(0 as bigint) as unanswered from {_ASKED}
+union all select 'second', n, d, d, cast(0 as bigint), cast(0 as bigint) from {_ASKED}"""
+)
+def answer_cache_usage(spark, d):
+    """What a model is asked about documents' language and source, and what it is asked in a second run."""
+    cache, model = asking.AnswerCache(spark, new_path(spark, "answers")), semantic.RuleChat(str.upper)
+    question = F.concat("lang", F.lit("|"), "source")
+    runs = [asking.ask_cached(table(spark, d, "documents"), question, model, cache, "upper")[1].withColumn("run", F.lit(name)) for name in ("first", "second")]
+    return runs[0].unionByName(runs[1])
+
+
+@query("select doc_id, contains(text, '#') as matches from documents where text is not null")
+def judge_long_texts(spark, d):
+    """Texts beyond the model's window are judged by chunks, up to the first yes."""
+    df = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    judged = asking.judge_long(df, "text", "{text}", semantic.RuleChat(lambda p: "yes" if "#" in p else "no"), 500)
+    return judged.select("doc_id", F.col("_match").alias("matches"))
+
+
+def _count_rule(prompt: str) -> str:
+    return str(sum(int(x) for x in prompt[6:].split("\n")) if prompt.startswith("merge\n") else prompt[5:].count("#"))
+
+
+@query("select doc_id, cast(length(text) - length(replace(text, '#', '')) as varchar) as result from documents where text is not null")
+def map_long_texts(spark, d):
+    """Texts beyond the model's window are answered by chunks, and the answers merged."""
+    df = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    return asking.map_long(df, "text", "text\n{text}", "merge\n{items}", semantic.RuleChat(_count_rule), 500).select("doc_id", "result")
+
+
+@query(
+    """select '*' as field, cast(null as bigint) as missing, cast(null as bigint) as non_numeric, count(*) as seen, count(*) filter (n_chars > 500) as kept from documents
+union all select 'lang', count(*) filter (lang is null), null, null, null from documents
+union all select 'source', count(*) filter (source is null), count(*) filter (try_cast(source as double) is null and source is not null), null, null from documents
+union all select 'n_chars', count(*) filter (n_chars is null), 0, null, null from documents"""
+)
+def where_observed_counts(spark, d):
+    """What a filter tells about its rows, counted in its own pass."""
+    seen = observing.observe(table(spark, d, "documents"), {"lang": "text", "source": "number", "n_chars": "number"}, new_path(spark, "where"), F.col("n_chars") > 500)
+    seen.rows.write.format("noop").mode("overwrite").save()
+    return seen.table()
+
+
+_PROPS = {"type": "object", "properties": {"k": {"type": "integer", "minimum": 10}}, "required": ["k"], "additionalProperties": False}
+
+
+@query("select event_id, case when k >= 10 then k end as k, k >= 10 as valid, case when k < 10 then 'record.k: is below 10' else '' end as problem from (select event_id, cast(json_extract(props, '$.k') as bigint) as k from events)")
+def schema_typed_props(spark, d):
+    """Records typed by a schema, and what is wrong with the others."""
+    read = schemas.answered(F.col("props"), _PROPS)
+    return table(spark, d, "events").select("event_id", read.alias("a")).select("event_id", F.col("a.record.k").alias("k"), (F.size("a.problems") == 0).alias("valid"), F.array_join("a.problems", ", ").alias("problem"))
+
+
 # Pipelines
 
 
