@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import fields, predicates, schemas, texts, times
 from .functions.vectors import unit_score
-from .operators import asking, graph, observing, packing, reducing, rows, semantic, tables, vectors
+from .operators import asking, entities, graph, observing, packing, reducing, rows, semantic, tables, vectors
 from .plans import pipelines
 from .shared import new_path
 from .streaming import live
@@ -523,6 +523,32 @@ def graph_named_edges(spark, d):
     return graph.name_edges(graph.cooccurrence(found, 2), said, semantic.RuleChat(lambda p: "seen together"))
 
 
+_FAST = r"""with m as (select concat_ws('-', conv_id, turn) as k, text from conversations where text is not null),
+g as (select name from (select k, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z][a-z]{5,}'))) as name from m) group by name having count(distinct k) >= 3),
+t as (select k, unnest(ws) as name, unnest(range(len(ws))) as i from (select k, regexp_extract_all(text, '[\p{L}\p{N}_]+') as ws from m)),
+h as (select k, i, name, case when length(name) > 8 then 'long' else 'short' end as label from t join g using (name)),
+c as (select name, label, count(*) as n, min({'k': k, 'i': i}) as first from h group by name, label),
+f as (select name, label, n, first_value(name) over (partition by label, lower(name) order by n desc, first, name) as canonical from c)
+"""
+
+
+def _fast(spark, d):
+    df = table(spark, d, "conversations").where("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
+    names = entities.capitalised_names(df, "text", "key", 3, "[A-Za-z][a-z]{5,}")
+    return entities.fast_graph(df, "key", "text", names.withColumn("label", F.when(F.length("name") > 8, "long").otherwise("short")), min_weight=3)
+
+
+@query(_FAST + ", w as (select distinct k, canonical as name from h join f using (name, label)) select a.name as source, b.name as target, count(*) as weight, cast(greatest(count(*) - 20, 0) as bigint) as hidden from w a join w b on a.k = b.k and a.name < b.name group by all having count(*) >= 3")
+def graph_fast(spark, d):
+    """What stands together in messages: names from the corpus, longest match, folded within their labels."""
+    return _fast(spark, d).edges.drop("sources")
+
+
+@query(_FAST + " select canonical as name, any_value(label) as label, cast(sum(n) as bigint) as count from f group by canonical")
+def graph_fast_nodes(spark, d):
+    return _fast(spark, d).nodes
+
+
 # Models, offline
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.texts import chunks, sentences
 from ..shared import materialize
+from ..sources import writers
 from . import semantic
 from .rows import numbered
 from .vectors import leaders
@@ -69,12 +70,18 @@ def cooccurrence(found: DataFrame, min_weight: int = 1, names: DataFrame | None
     """(source, target, weight, sources, hidden): pairs of names in one window, source before target; weight counts
     windows, ``sources`` are the first REFS of them. The pairs are the result itself: an edge for each that occurs."""
     names = (folded_names(found) if names is None else names).select("name", "canonical")
-    f = found.join(names, "name").select("window", F.col("canonical").alias("name")).distinct()
-    pairs = f.select("window", F.col("name").alias("source")).join(f.select("window", F.col("name").alias("target")), "window").where("source < target")
-    counts = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
-    place = F.row_number().over(Window.partitionBy("source", "target").orderBy("window"))
-    refs = pairs.withColumn("_p", place).where(F.col("_p") <= REFS).groupBy("source", "target").agg(F.array_sort(F.collect_list("window")).alias("sources"))
-    return counts.join(refs, ["source", "target"]).withColumn("hidden", F.greatest(F.col("weight") - REFS, F.lit(0)))
+    return paired(found.join(names, "name").select("window", F.col("canonical").alias("name")).distinct(), min_weight)
+
+
+def paired(found: DataFrame, min_weight: int = 1) -> DataFrame:
+    """``cooccurrence`` of distinct (window, name). Windows of a pair are summed up to their number and the REFS least of
+    them before they are shuffled."""
+    pairs = found.select("window", F.col("name").alias("source")).join(found.select("window", F.col("name").alias("target")), "window").where("source < target")
+    # A pair's windows are dealt out by a bucket of their own first, so a pair in very many windows is no one task's.
+    least = lambda c: F.slice(F.array_sort(c), 1, REFS)
+    some = pairs.groupBy("source", "target", F.pmod(F.xxhash64("window"), F.lit(64)).alias("_b")).agg(F.count(F.lit(1)).alias("n"), least(F.collect_list("window")).alias("refs"))
+    out = some.groupBy("source", "target").agg(F.sum("n").alias("weight"), least(F.flatten(F.collect_list("refs"))).alias("sources")).where(F.col("weight") >= min_weight)
+    return out.withColumn("hidden", F.greatest(F.col("weight") - REFS, F.lit(0)))
 
 
 def adopt(edges: DataFrame, source: str, target: str, relation: str | None = None, weight: str | None = None) -> DataFrame:
@@ -122,9 +129,18 @@ def density(n_nodes: int, n_edges: int) -> float:
     return 0.0 if n_nodes < 2 else 2 * n_edges / (n_nodes * (n_nodes - 1))
 
 
+def save(nodes: DataFrame, edges: DataFrame, path: str, form: str = "csv") -> None:
+    """The whole graph below ``path``: nodes and edges as "csv" with headers or "json" lines, edges heaviest first."""
+    ranked = edges.orderBy(F.col("weight").desc(), "source", "target")
+    write = {"csv": writers.csv, "json": writers.jsonl}.get(form)
+    if write is None:
+        raise ValueError(f"no such form of a whole graph: {form}")
+    write(nodes.orderBy("name"), f"{path}/nodes")
+    write(ranked, f"{path}/edges")
+
+
 def export(edges: DataFrame, form: str, top: int = 500) -> str:
-    """The ``top`` heaviest edges as text: "dot", "mermaid", "graphml", "html", "csv" or "json". For people to look at, so it is
-    bounded; write the tables for all of it."""
+    """The ``top`` heaviest edges as text to look at: "dot", "mermaid", "graphml" or "html". ``save`` has all of them."""
     rows = edges.orderBy(F.col("weight").desc(), "source", "target").select("source", "target", "weight").limit(top).collect()
     quoted = lambda s: json.dumps(s, ensure_ascii=False)
     names = sorted({r.source for r in rows} | {r.target for r in rows})
@@ -133,11 +149,6 @@ def export(edges: DataFrame, form: str, top: int = 500) -> str:
         return "\n".join(["graph {", *(f"  {quoted(r.source)} -- {quoted(r.target)} [weight={r.weight}];" for r in rows), "}"])
     if form == "mermaid":
         return "\n".join(["graph LR", *(f"  {number[n]}[{quoted(n)}]" for n in names), *(f"  {number[r.source]} ---|{r.weight}| {number[r.target]}" for r in rows)])
-    if form == "csv":
-        cell = lambda s: '"' + str(s).replace('"', '""') + '"'
-        return "\n".join(["source,target,weight", *(f"{cell(r.source)},{cell(r.target)},{r.weight}" for r in rows)])
-    if form == "json":
-        return json.dumps({"nodes": names, "edges": [r.asDict() for r in rows]}, ensure_ascii=False)
     if form == "html":
         from html import escape
 
