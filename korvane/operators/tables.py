@@ -12,30 +12,51 @@ from ..shared import materialize, small
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
-def percentiles(df: DataFrame, by: list[str], value: str, quantiles: dict[str, float] | None = None) -> DataFrame:
+#: Groups whose distinct values are counted to be no more than this in all are ranked by a plain window.
+WINDOW_ROWS = 1_000_000
+
+
+def percentiles(df: DataFrame, by: list[str], values: str | dict[str, dict[str, float]], quantiles: dict[str, float] | None = None) -> DataFrame:
     """(by, <name>_<value>): exact nearest rank of each group, the sorted value at q * (n - 1), rounded half to even, to
-    4 places; null if a group has no value.
+    4 places; null if a group has no value. ``values`` is a field, or quantiles by field: all fields are one pass.
 
-    A group's distinct values are counted and spread over range partitions; a value's rank is its place within its
-    partition and what the group has in the partitions before. No row or task holds a whole group.
+    A group's distinct values are counted first. If a count of these shows that they are few, each group's are ranked in
+    a window; else they are spread over range partitions, and a value's rank is its place within its partition and what
+    the group has in the partitions before. No row holds a whole group, and no task a group of unbounded size.
     """
-    quantiles = quantiles or QUANTILES
+    fields = {values: quantiles or QUANTILES} if isinstance(values, str) else values
     keys = [f"_k{i}" for i in range(len(by))]
-    rows = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(by, keys)], F.col(f"`{value}`").cast("double").alias("_v"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_f"), F.col(f"`{f}`").cast("double").alias("_v")) for i, f in enumerate(fields)]))
+    rows = df.select(*[F.col(f"`{k}`").alias(n) for k, n in zip(by, keys)], cells.alias("_c")).select(*keys, "_c._f", "_c._v")
+    counts = materialize(rows.groupBy(*keys, "_f", "_v").agg(F.count(F.lit(1)).alias("_n")), "percentile-counts")
+    here = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+    rising = F.col("_v").asc_nulls_first()
+    if counts.count() <= WINDOW_ROWS:
+        own = Window.partitionBy(*keys, "_f")
+        ranked = counts.withColumns({"_all": F.sum(here).over(own), "_upto": F.sum(here).over(own.orderBy(rising).rowsBetween(Window.unboundedPreceding, 0))})
+    else:
+        ranked = _ranked_by_ranges(counts, [*keys, "_f"], here, rising)
+    picks = [
+        F.round(F.min(F.when((F.col("_f") == i) & F.col("_v").isNotNull() & (F.col("_upto") > F.bround(F.lit(q) * (F.col("_all") - 1))), F.col("_v"))), 4).alias(f"{name}_{f}")
+        for i, (f, wanted) in enumerate(fields.items()) for name, q in wanted.items()
+    ]
+    out = ranked.groupBy(*keys).agg(*picks)
+    return out.select(*[F.col(n).alias(k) for k, n in zip(by, keys)], *[F.col(f"`{name}_{f}`") for f, wanted in fields.items() for name in wanted])
+
+
+def _ranked_by_ranges(counts: DataFrame, keys: list[str], here: Column, rising: Column) -> DataFrame:
+    """``counts`` with _all, the values of its group, and _upto, those up to its own, through range partitions."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(counts.repartitionByRange(parts, *keys, "_v").withColumn("_part", F.spark_partition_id()), "percentiles")
-    per_part = ranged.groupBy(*keys, "_part").agg(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).alias("_in"))
+    per_part = ranged.groupBy(*keys, "_part").agg(F.sum(here).alias("_in"))
     ahead = F.coalesce(F.sum("_in").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     per_part = per_part.select(*[F.col(k).alias(f"{k}p") for k in keys], F.col("_part").alias("_p"), ahead.alias("_ahead"), F.sum("_in").over(Window.partitionBy(*keys)).alias("_all"))
     same = F.col("_part") == F.col("_p")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"{k}p"))
-    upto = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)).over(Window.partitionBy(*keys, "_part").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = ranged.withColumn("_upto", upto).join(small(materialize(per_part, "percentile-parts")), same).withColumn("_upto", F.col("_upto") + F.col("_ahead"))
-    picks = [F.round(F.min(F.when(F.col("_v").isNotNull() & (F.col("_upto") > F.bround(F.lit(q) * (F.col("_all") - 1))), F.col("_v"))), 4).alias(f"{name}_{value}") for name, q in quantiles.items()]
-    out = ranked.groupBy(*keys).agg(*picks)
-    return out.select(*[F.col(n).alias(k) for k, n in zip(by, keys)], *[F.col(f"`{name}_{value}`") for name in quantiles])
+    upto = F.sum(here).over(Window.partitionBy(*keys, "_part").orderBy(rising).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = ranged.withColumn("_upto", upto).join(small(materialize(per_part, "percentile-parts")), same)
+    return ranked.withColumn("_upto", F.col("_upto") + F.col("_ahead"))
 
 
 def aggregate(name: str, field: str | None, df: DataFrame) -> Column:
@@ -73,16 +94,13 @@ def summarize(df: DataFrame, aggs: list[tuple[str, str | None]], by: list[str] =
     plain = [aggregate(a, f, df) for a, f in aggs if a not in QUANTILES]
     nulls = [F.lit(None).cast("double").alias(f"{a}_{f}") for a, f in aggs if a in QUANTILES and f not in ranks]
     out = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*plain, *nulls) if plain or nulls or not ranks else None
-    for f, quantiles in ranks.items():
-        found = percentiles(df, keys, f, quantiles)
-        if out is None:
-            out = found
-            continue
+    if ranks:
+        found = percentiles(df, keys, ranks)
         same = F.lit(True)
         for i, k in enumerate(keys):
             found = found.withColumnRenamed(k, f"_r{i}")
-            same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_r{i}"))
-        out = out.join(found, same).drop(*[f"_r{i}" for i in range(len(keys))])
+            same = same & F.col(f"`{k}`" if out is not None else f"_r{i}").eqNullSafe(F.col(f"_r{i}"))
+        out = out.join(found, same).drop(*[f"_r{i}" for i in range(len(keys))]) if out is not None else found.withColumnsRenamed({f"_r{i}": k for i, k in enumerate(keys)})
     return out.select(*[F.col(f"`{k}`") for k in keys if k != "_all"], *[F.col("count" if a == "count" else f"`{a}_{f}`") for a, f in aggs])
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, unit_score
-from ..shared import materialize, small
+from ..shared import BROADCAST_ROWS, discard, materialize, small
 from .rows import numbered
 
 #: Rows whose leaders are found at a time, and rows of a block in all-pairs work.
@@ -89,9 +89,17 @@ def leaders(df: DataFrame, order: str, vector: str, threshold: float) -> DataFra
     every later row that one of them takes is decided; the rest go on. Rows go by their places in the order, so rows
     that repeat an ``order`` or lack one are rows of their own. Rounds grow with the number of leaders, not of rows.
     """
-    kind = df.schema[order].dataType.simpleString()
-    rows = numbered(df.select(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v")), ["o", "v"])
-    rest = materialize(rows, "leaders")
+    return _leaders(placed(df, order, vector), order, threshold)
+
+
+def placed(df: DataFrame, order: str, vector: str) -> DataFrame:
+    """(o, v, _n), written: the rows of ``df`` by their places in the order."""
+    return materialize(numbered(df.select(F.col(order).alias("o"), F.col(vector).cast("array<double>").alias("v")), ["o", "v"]), "placed")
+
+
+def _leaders(rest: DataFrame, order: str, threshold: float) -> DataFrame:
+    """``leaders`` of rows that ``placed`` has numbered."""
+    spark, kind = rest.sparkSession, rest.schema["o"].dataType.simpleString()
     decided = [rest.where("v is null").select("o", F.col("o").alias("leader"))]
     rest = rest.where("v is not null")
     while True:
@@ -108,7 +116,7 @@ def leaders(df: DataFrame, order: str, vector: str, threshold: float) -> DataFra
             else:
                 chosen.append(i)
                 settled.append((ids[i], ids[i]))
-        decided.append(df.sparkSession.createDataFrame(settled, f"o {kind}, leader {kind}"))
+        decided.append(spark.createDataFrame(settled, f"o {kind}, leader {kind}"))
         if len(ids) < HEAD:
             break
         centers, names, last = v[chosen], np.array([ids[i] for i in chosen], object), head["_n"][-1].as_py()
@@ -139,20 +147,33 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def adaptive_threshold(df: DataFrame, order: str, vector: str, budget: int = 20_000) -> float:
     """median + 0.35 * (p95 - median) of pairwise cosines; 0.99 for fewer than three rows. The pairs of all rows in
     ``order`` are taken at an even stride if there are more than ``budget``, so every part of the table has its share."""
-    rows = materialize(numbered(df.where(F.col(vector).isNotNull()).select(F.col(order).alias("o"), F.col(vector).alias("v")), ["o", "v"]), "threshold")
-    n = rows.count()
+    return _threshold(placed(df, order, vector), budget)
+
+
+def _threshold(rows: DataFrame, budget: int = 20_000) -> float:
+    """``adaptive_threshold`` of rows that ``placed`` has numbered. The rows that the ``budget`` pairs need, twice as
+    many at most, come to the driver in one pass."""
+    ahead = rows.where("v is null").select("_n")
+    missing = [r[0] for r in ahead.limit(BROADCAST_ROWS + 1).collect()]
+    if len(missing) > BROADCAST_ROWS:  # too many to skip by place: number the others anew
+        return _threshold(materialize(numbered(rows.where("v is not null").select("o", "v"), ["o", "v"]), "threshold"), budget)
+    n = rows.count() - len(missing)
     if n < 3:
         return 0.99
     total = n * (n - 1) // 2
-    pairs = []
-    for p in range(0, total, total // budget + 1 if total > budget else 1):
-        back = total - 1 - p  # pairs after this one; the last rows have 1, 2, 3 ... of them
-        k = (math.isqrt(8 * back + 1) - 1) // 2
-        pairs.append((n - 1 - k, n - (back - k * (k + 1) // 2)))
-    wanted = F.broadcast(df.sparkSession.createDataFrame(pairs, "i long, j long"))  # budget rows at most
-    first = wanted.join(rows.select(F.col("_n").alias("i"), F.col("v").alias("x")), "i")
-    both = first.join(rows.select(F.col("_n").alias("j"), F.col("v").alias("y")), "j")
-    cosines = np.sort(both.select(cosine(F.col("x"), F.col("y")).alias("c")).toPandas()["c"].to_numpy())
+    at = np.arange(0, total, total // budget + 1 if total > budget else 1)
+    back = total - 1 - at  # pairs after this one; the last rows have 1, 2, 3 ... of them
+    k = np.array([(math.isqrt(8 * b + 1) - 1) // 2 for b in back.tolist()])
+    i, j = n - 1 - k, n - (back - k * (k + 1) // 2)  # places, from 1, among the rows with a vector
+    if missing:
+        skipped = np.sort(missing) - np.arange(len(missing))
+        i, j = (x + np.searchsorted(skipped, x, "right") for x in (i, j))
+    wanted = np.union1d(i, j)
+    names = rows.sparkSession.createDataFrame(pd.DataFrame({"w": wanted}))
+    found = rows.join(F.broadcast(names), F.col("_n") == F.col("w")).select("_n", "v").toPandas().sort_values("_n")
+    unit = _unit(_stack(found.v))
+    a, b = (unit[np.searchsorted(wanted, x)] for x in (i, j))
+    cosines = np.sort(np.einsum("ij,ij->i", a, b))
     median, p95 = cosines[len(cosines) // 2], cosines[min(len(cosines) - 1, int(0.95 * len(cosines)))]
     return float(median + 0.35 * (p95 - median))
 
@@ -173,8 +194,9 @@ def merge_to_k(sizes: list[int], centers: np.ndarray, k: int) -> list[int]:
 
 def cluster(df: DataFrame, order: str, vector: str, threshold: float | None = None, k: int | None = None) -> DataFrame:
     """(order, cluster): leader clusters, numbered by falling size (ties: first leader); merged down to ``k`` if given."""
-    threshold = adaptive_threshold(df, order, vector) if threshold is None else threshold
-    found = materialize(leaders(df, order, vector, threshold), "clusters")
+    rows = placed(df, order, vector)
+    found = materialize(_leaders(rows, order, _threshold(rows) if threshold is None else threshold), "clusters")
+    discard(rows)
     if k is not None:
         table = found.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).join(df.select(F.col(order).alias("leader"), vector), "leader").orderBy("leader").toPandas()
         into = merge_to_k(table.n.tolist(), _stack(table[vector]), k)

@@ -345,7 +345,7 @@ def test_adaptive_threshold_strides_over_all_pairs(spark):
 
     v = np.random.default_rng(1).normal(size=(40, 4))
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>")
+    df = spark.createDataFrame([x for i, x in enumerate(v) for x in ([(i, x.tolist())] + [(i, None)] * (i % 3))], "id int, v array<double>")
     pairs = [(i, j) for i in range(40) for j in range(i + 1, 40)]
     for budget in (20_000, 100):
         some = pairs[:: len(pairs) // budget + 1] if len(pairs) > budget else pairs
@@ -371,3 +371,19 @@ def test_rows_without_an_answer(spark):
             return prompts
 
     assert sorted(r.n for r in semantic.extend_rows(old, "{t}", Echo(), "n string").collect()) == ["5", "b"]
+
+
+def test_percentiles_by_window_and_by_ranges(spark, monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), rng.choice([None, *map(float, range(50))]), rng.choice([0.0, -1.5, 7.0])) for _ in range(500)] + [("c", None, 1.0)]
+    df = spark.createDataFrame(data, "g string, x double, y double")
+    fields = {"x": {"p50": 0.5, "p99": 0.99}, "y": {"p90": 0.9}}
+    plain = tables.percentiles(df, ["g"], fields).collect()
+    monkeypatch.setattr(tables, "WINDOW_ROWS", 0)
+    assert sorted(plain) == sorted(tables.percentiles(df, ["g"], fields).collect())
+    rank = lambda vs, q: sorted(vs)[round(q * (len(vs) - 1))] if vs else None
+    for r in plain:
+        xs, ys = [x for g, x, _ in data if g == r.g and x is not None], [y for g, _, y in data if g == r.g]
+        assert (r.p50_x, r.p99_x, r.p90_y) == (rank(xs, 0.5), rank(xs, 0.99), rank(ys, 0.9))
