@@ -455,7 +455,16 @@ def sentence_windows(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(texts.sentences(F.col("text"))).alias("place", "sentence"))
 
 
-@query()
+_HIDDEN = "|".join(rf"<{n}\b(?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>.*?(?:</{n}\s*>|\z)" for n in texts.HIDDEN)
+_PAGE = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?(?:-->|\\z)|<[!?][^>]*>', ' ', 'g'),
+  '(?is){_HIDDEN}', ' ', 'g'), '(?is)</?(?:{texts.BLOCKS})\\b[^>]*>', chr(10), 'g'), '(?is)</?[a-z][^>]*>', '', 'g')"""
+
+
+@query(
+    f"""with t as (select page_id, {_PAGE} as x from pages),
+u as (select page_id, replace(regexp_replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;?', '&', 'g'), chr(160), ' ') as x from t)
+select page_id, regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'), '^\s+|\s+$', '', 'g') as text from u"""
+)
 def pages_html_text(spark, d):
     return table(spark, d, "pages").select("page_id", texts.html_text(F.col("html")).alias("text"))
 
@@ -669,6 +678,12 @@ def where_observed_counts(spark, d):
 _PROPS = {"type": "object", "properties": {"k": {"type": "integer", "minimum": 10}}, "required": ["k"], "additionalProperties": False}
 
 
+@query("with j as (select event_id, props from events) select 1 as position, 'k' as field, 'integer' as types, count(props) as present, count(*) as rows, 100.0::double as coverage, (select json_extract_string(props, '$.k') from j order by event_id limit 1) as example from j")
+def getschema_example(spark, d):
+    """Fields in the order of their first appearance, with their first value."""
+    return tables.json_profile(table(spark, d, "events"), "props", "event_id")
+
+
 @query("select event_id, case when k >= 10 then k end as k, k >= 10 as valid, case when k < 10 then 'record.k: is below 10' else '' end as problem from (select event_id, cast(json_extract(props, '$.k') as bigint) as k from events)")
 def schema_typed_props(spark, d):
     """Records typed by a schema, and what is wrong with the others."""
@@ -676,6 +691,43 @@ def schema_typed_props(spark, d):
     return table(spark, d, "events").select("event_id", read.alias("a")).select("event_id", F.col("a.record.k").alias("k"), (F.size("a.problems") == 0).alias("valid"), F.array_join("a.problems", ", ").alias("problem"))
 
 
+SEMANTIC = """
+[stage.some]
+verb = "compare"
+field = "n_chars"
+op = ">"
+to = 200
+
+[stage.typed]
+verb = "extend"
+prompt = "{lang}:{text}"
+model = "shouts"
+schema = { shout = "boolean", size = "integer" }
+
+[stage.loud]
+verb = "filter"
+prompt = "{shout}"
+model = "yes"
+
+[stage.count]
+verb = "summarize"
+aggs = [["count", ""], ["max", "size"]]
+by = ["lang"]
+"""
+
+
+def _shout_rule(prompt: str) -> str:
+    text = prompt.split(":", 1)[1]
+    return json.dumps({"shout": "True" if "!" in text else "false", "size": str(len(text)), "note": "dropped"})
+
+
+@query("select lang, count(*) as count, cast(max(length(text)) as double) as max_size from documents where n_chars > 200 and contains(text, '!') and lang is not null group by lang")
+def pipeline_semantic(spark, d):
+    """A pipeline that asks models: typed answers, a verdict on them, a summary."""
+    models = {"shouts": semantic.RuleChat(_shout_rule), "yes": semantic.RuleChat(lambda p: "yes" if p == "true" else "no")}
+    return pipelines.run(SEMANTIC, table(spark, d, "documents").where("lang is not null and text is not null"), models)
+
+
 # Pipelines
 
 

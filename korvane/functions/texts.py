@@ -67,18 +67,36 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, F.trim), lambda s: s != "")
 
 
-#: Character references that the readable text resolves.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
-
-
-def html_text(html: Column) -> Column:
-    """Readable text of a page: without scripts, styles and tags, blocks on lines of their own."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|head|noscript|template)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", " ")
-    out = F.regexp_replace(out, r"(?i)</?(p|div|br|li|ul|ol|tr|h[1-6]|section|article|nav|header|footer|table|blockquote|pre)\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", "")
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, r"[ \t ]+", " "), r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
+#: Elements without readable text, and elements that stand on lines of their own.
+HIDDEN = ("script", "style", "head", "noscript", "template")
+BLOCKS = "p|div|br|li|ul|ol|dl|dt|dd|tr|td|th|h[1-6]|section|article|aside|main|nav|header|footer|table|blockquote|pre|form|hr|figure|figcaption"
+#: A tag's attributes: quoted values may hold ">".
+_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
+
+
+def unescaped(text: Column) -> Column:
+    """Character references resolved, all that HTML names and numeric ones; text without "&" stays in the JVM's hands
+    until then and is not looked at."""
+    import html
+
+    @pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+
+    return run(text)
+
+
+def html_text(page: Column) -> Column:
+    """Readable text of a page: without comments, scripts, styles and tags, blocks on lines of their own, references
+    resolved, blanks and empty lines closed up. Null is empty; an element that never ends hides the rest of the page."""
+    out = F.coalesce(page, F.lit(""))
+    out = F.regexp_replace(out, r"(?is)<!--.*?(?:-->|\z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>", " ")
+    for name in HIDDEN:
+        out = F.regexp_replace(out, rf"(?is)<{name}\b{_ATTRIBUTES}>.*?(?:</{name}\s*>|\z)", " ")
+    out = F.regexp_replace(out, rf"(?is)</?(?:{BLOCKS})\b{_ATTRIBUTES}>", "\n")
+    out = F.regexp_replace(out, rf"(?is)</?[a-z]{_ATTRIBUTES}>", "")
+    out = F.regexp_replace(unescaped(out), "[ \t\u00a0]+", " ")
+    return F.regexp_replace(F.regexp_replace(out, r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 #: A string literal of JSON or Python; what stands inside is never changed.

@@ -224,7 +224,7 @@ def judge_long(df: DataFrame, text: str, template: str, model: ChatModel, budget
     return df.mapInPandas(run, schema)
 
 
-def map_long(df: DataFrame, text: str, template: str, merge_template: str, model: ChatModel, budget: int, schema: str | None = None, keep_invalid: bool = False) -> DataFrame:
+def map_long(df: DataFrame, text: str, template: str, merge_template: str, model: ChatModel, budget: int, schema: str | dict | None = None, keep_invalid: bool = False) -> DataFrame:
     """``df`` with the model's answer to its whole column ``text``: as ``result``, or as validated fields of ``schema``.
 
     A text within ``budget`` tokens is asked as it is. A longer one is asked chunk by chunk, and the answers (``{items}``
@@ -261,7 +261,7 @@ def map_long(df: DataFrame, text: str, template: str, merge_template: str, model
     if schema is None:
         return answered.withColumnRenamed("_answer", "result")
     out = validated(answered, schema)
-    taken = set(T.StructType.fromDDL(schema).names)
+    taken = set(out.schema["_record"].dataType.names)
     kept = [F.col(f"`{c}`") for c in df.columns if c not in taken]
     return out.select(*kept, "_record.*", "__invalid", "__error", "__raw") if keep_invalid else out.where("not __invalid").select(*kept, "_record.*")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.fields import json_field
 from ..functions.predicates import ISO, NUMBER
 from ..shared import materialize, small
 
@@ -33,6 +34,25 @@ def mixed_sort_keys(value: Column, desc: bool = False) -> list[Column]:
     return [band, number.desc_nulls_last() if desc else number.asc_nulls_last(), value.desc_nulls_last() if desc else value.asc_nulls_last()]
 
 
+def sort_json(df: DataFrame, record: str, path: str, desc: bool = False, order: list[str] = ()) -> DataFrame:
+    """Stable sort of JSON records (text) by a field whose type may differ from row to row: if every value there is an ISO
+    date or time, by time; else numbers, then text, then anything else by its JSON. ``desc`` turns the order within each
+    of these, missing values come last either way."""
+    value = json_field(F.col(record), path, "variant")
+    kind, text = F.schema_of_variant(value), F.try_variant_get(value, "$", "string")
+    there = value.isNotNull() & (kind != "VOID")
+    keyed = df.withColumns({"_kind": F.when(there, kind), "_text": F.when(there, F.coalesce(text, F.to_json(value)))})
+    is_time = (F.col("_kind") == "STRING") & F.col("_text").rlike(ISO) & F.col("_text").try_cast("timestamp").isNotNull()
+    some = keyed.agg(F.count("_kind").alias("n"), F.count(F.when(is_time, 1)).alias("times")).first()
+    flip = (lambda c: c.desc_nulls_last()) if desc else (lambda c: c.asc_nulls_last())
+    if some.n and some.n == some.times:
+        keys = [flip(F.col("_text").try_cast("timestamp"))]
+    else:
+        number = F.when(F.col("_kind").rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)"), F.col("_text").cast("double"))
+        keys = [F.when(F.col("_kind").isNull(), 3).when(number.isNotNull(), 0).when(F.col("_kind") == "STRING", 1).otherwise(2), flip(number), flip(F.col("_text"))]
+    return keyed.orderBy(*keys, *order).drop("_kind", "_text")
+
+
 def _draw(seed: int, order: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(order).cast("string")))
 

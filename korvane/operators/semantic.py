@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import fields, schemas
 from ..functions.texts import chunks_of, repaired
 from ..shared import materialize, small
 
@@ -135,9 +136,39 @@ def embed(df: DataFrame, text: str, model: EmbeddingModel, into: str = "vector",
 
 
 def prompt(template: str, df: DataFrame) -> Column:
-    """A prompt from a template: ``{field}`` is a column's text, ``{{`` and ``}}`` are braces."""
-    parts = re.split(r"(\{\{|\}\}|\{\w+\})", template)
-    return F.concat(*[F.lit(p[0]) if p in ("{{", "}}") else F.coalesce(F.col(f"`{p[1:-1]}`").cast("string"), F.lit("")) if re.fullmatch(r"\{\w+\}", p) else F.lit(p) for p in parts if p])
+    """A prompt from a template: ``{field}`` is a column's text, or a path into one (``{user.name}``, ``{items[0].sku}``);
+    lists and structs are their JSON, missing values nothing. ``{{`` and ``}}`` are braces. A name that the table does not
+    have is an error."""
+    out = []
+    for part in filter(None, re.split(r"(\{\{|\}\}|\{[^{}\s][^{}]*\})", template)):
+        if part in ("{{", "}}"):
+            out.append(F.lit(part[0]))
+        elif part[0] == "{" and part[-1] == "}" and len(part) > 2:
+            path = part[1:-1]
+            if path not in df.columns and str(fields.hops(path)[0]) not in df.columns:
+                raise ValueError(f"the prompt names {path!r}; there are {', '.join(df.columns)}")
+            out.append(F.coalesce(_as_text(fields.field(df, path), df), F.lit("")))
+        else:
+            out.append(F.lit(part))
+    return F.concat(*out)
+
+
+def _as_text(c: Column, df: DataFrame) -> Column:
+    kind = df.select(c.alias("c")).schema["c"].dataType
+    return F.to_json(c) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else c.cast("string")
+
+
+def payload(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """A row as a block that prompts hold: ``<input>``, a line "field: value" for each value that is there, ``</input>``.
+    Columns that begin with two underscores stay out unless named. Values are escaped as in XML, so none of them can end
+    the block; further lines of a value are indented. A table of one column ``text`` is its plain text."""
+    names = columns or [c for c in df.columns if not c.startswith("__")]
+    escaped = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    if names == ["text"]:
+        body = escaped(F.col("text"))
+    else:
+        body = F.concat_ws("\n", *[F.concat(F.lit(f"{n}: "), F.regexp_replace(escaped(_as_text(F.col(f"`{n}`"), df)), "\r?\n", "\n  ")) for n in names])
+    return F.concat(F.lit("<input>\n"), F.coalesce(body, F.lit("")), F.lit("\n</input>"))
 
 
 def ask(df: DataFrame, question: Column, model: ChatModel, into: str = "_answer") -> DataFrame:
@@ -159,22 +190,38 @@ def capped(df: DataFrame, order: str, max_calls: int) -> DataFrame:
     return df.orderBy(order).limit(max_calls)
 
 
-def validated(answers: DataFrame, schema: str, into: str = "_answer") -> DataFrame:
-    """The answer as a struct ``_record`` of ``schema``, mended and coerced; what fails has ``__invalid`` true, an
-    ``__error`` and the answer as ``__raw``."""
+def mended(text: Column) -> Column:
+    """The JSON object or array that an answer holds, with the usual slips mended."""
 
     @F.pandas_udf("string")
-    def mend(batch: pd.Series) -> pd.Series:
+    def run(batch: pd.Series) -> pd.Series:
         return batch.map(lambda t: repaired(t) if t is not None else None)
 
-    out = answers.withColumn("_json", mend(F.col(into))).withColumn("_record", F.from_json("_json", schema, {"mode": "PERMISSIVE"}))
-    fields = T.StructType.fromDDL(schema).names
-    bad = F.col("_json").isNull() | F.col("_record").isNull() | ~F.exists(F.array(*[F.col("_record").getField(f).isNotNull() for f in fields]), lambda x: x)
-    out = out.withColumn("__invalid", bad).withColumn("__error", F.when(bad, F.when(F.col("_json").isNull(), "no JSON in the answer").otherwise("no field of the schema"))).withColumn("__raw", F.when(bad, F.col(into)))
-    return out.drop("_json", into)
+    return run(text)
 
 
-def map_rows(df: DataFrame, template: str, model: ChatModel, schema: str | None = None, keep_invalid: bool = False) -> DataFrame:
+def validated(answers: DataFrame, schema: str | schemas.Schema, into: str = "_answer") -> DataFrame:
+    """The answer as a struct ``_record``, mended and coerced; what fails has ``__invalid`` true, an ``__error`` and the
+    answer as ``__raw``.
+
+    ``schema`` is columns as in SQL, of which a valid answer has one at least, or a record schema (``functions.schemas``),
+    with which a valid answer agrees in full.
+    """
+    out = answers.withColumn("_json", mended(F.col(into)))
+    if isinstance(schema, str):
+        fields_ = T.StructType.fromDDL(schema).names
+        out = out.withColumn("_record", F.from_json("_json", schema, {"mode": "PERMISSIVE"}))
+        bad = F.col("_record").isNull() | ~F.exists(F.array(*[F.col("_record").getField(f).isNotNull() for f in fields_]), lambda x: x)
+        error = F.lit("no field of the schema")
+    else:
+        out = out.withColumn("_read", schemas.answered(F.col("_json"), schema)).withColumn("_record", F.col("_read.record"))
+        bad, error = F.size("_read.problems") > 0, F.array_join("_read.problems", "; ")
+    bad = F.col("_json").isNull() | bad
+    out = out.withColumn("__invalid", bad).withColumn("__error", F.when(bad, F.when(F.col("_json").isNull(), "no JSON in the answer").otherwise(error))).withColumn("__raw", F.when(bad, F.col(into)))
+    return out.drop("_json", "_read", into)
+
+
+def map_rows(df: DataFrame, template: str, model: ChatModel, schema: str | schemas.Schema | None = None, keep_invalid: bool = False) -> DataFrame:
     """The model's answers instead of the rows: a text ``result``, or the validated fields of ``schema``."""
     answers = ask(df, prompt(template, df), model)
     if schema is None:
@@ -183,14 +230,22 @@ def map_rows(df: DataFrame, template: str, model: ChatModel, schema: str | None
     return out.select("_record.*", "__invalid", "__error", "__raw") if keep_invalid else out.where("not __invalid").select("_record.*")
 
 
-def extend_rows(df: DataFrame, template: str, model: ChatModel, schema: str) -> DataFrame:
+def extend_rows(df: DataFrame, template: str, model: ChatModel, schema: str | schemas.Schema) -> DataFrame:
     """The rows with the validated fields of ``schema`` added; fields of the same name are replaced. Rows whose answer is
-    invalid keep their old fields."""
+    invalid keep their old fields; where old and new values are of different types, both are text then."""
     out = validated(ask(df, prompt(template, df), model), schema)
-    fields = T.StructType.fromDDL(schema).names
-    kinds = {f.name: f.dataType.simpleString() for f in T.StructType.fromDDL(schema).fields}
-    old = lambda f: F.col(f"`{f}`").cast("string").try_cast(kinds[f]) if f in df.columns and df.schema[f].dataType.simpleString() != kinds[f] else F.col(f"`{f}`") if f in df.columns else F.lit(None).cast(kinds[f])
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in fields], *[F.when(F.col("__invalid"), old(f)).otherwise(F.col("_record").getField(f)).alias(f) for f in fields])
+    new = {f.name: f.dataType for f in out.schema["_record"].dataType.fields}
+
+    def merged(f: str, kind: T.DataType) -> Column:
+        answer = F.col("_record").getField(f)
+        if f not in df.columns:
+            return F.when(~F.col("__invalid"), answer)
+        old = F.col(f"`{f}`")
+        if df.schema[f].dataType == kind:
+            return F.when(F.col("__invalid"), old).otherwise(answer)
+        return F.when(F.col("__invalid"), _as_text(old, df)).otherwise(F.to_json(answer) if isinstance(kind, (T.ArrayType, T.StructType)) else answer.cast("string"))
+
+    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in new], *[merged(f, kind).alias(f) for f, kind in new.items()])
 
 
 def filter_rows(df: DataFrame, template: str, model: ChatModel, invert: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.times import BINS, bin_label, bin_start
 from ..shared import materialize, small
+from .rows import numbered
 
 QUANTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
@@ -150,18 +151,25 @@ def schema_profile(df: DataFrame) -> DataFrame:
     return out.withColumn("coverage", F.round(100 * F.try_divide("present", "rows"), 1))
 
 
-def json_profile(df: DataFrame, record: str) -> DataFrame:
+def json_profile(df: DataFrame, record: str, order: str | None = None, width: int = 24) -> DataFrame:
     """(field, types, present, rows, coverage) over JSON records given as text: a field's types joined with "|", null
-    shown only if it is the only one; the share of rows with a value that isn't null."""
-    data = df.select(F.try_parse_json(F.col(record)).alias("d"))
+    shown only if it is the only one; the share of rows with a value that isn't null.
+
+    With ``order``, also position (fields as they first appear, those of one record by name) and example: the first value
+    that isn't null, as text of ``width`` characters at most, cut with "…"."""
+    data = df.select(F.try_parse_json(F.col(record)).alias("d"), *([F.col(order).alias("_o")] if order else []))
     n = data.agg(F.count(F.lit(1)).alias("rows"))
-    pairs = data.where(F.schema_of_variant("d").startswith("OBJECT")).lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("d").outer())).select("key", "value")
+    pairs = data.where(F.schema_of_variant("d").startswith("OBJECT")).lateralJoin(df.sparkSession.tvf.variant_explode_outer(F.col("d").outer())).select("key", "value", *(["_o"] if order else []))
     kind = F.regexp_extract(F.schema_of_variant("value"), r"^([A-Z]+)", 1)
     label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in _JSON_TYPES.items() for x in p]), kind), F.lit("string"))
-    kinds = pairs.where("key is not null").select("key", F.when(F.col("value").isNull(), "null").otherwise(label).alias("kind"))
-    out = kinds.groupBy(F.col("key").alias("field")).agg(F.array_sort(F.collect_set("kind")).alias("k"), F.count(F.when(F.col("kind") != "null", 1)).alias("present"))
+    text = F.coalesce(F.try_variant_get("value", "$", "string"), F.to_json("value"))
+    text = F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 1), F.lit("…"))).otherwise(text)
+    kinds = pairs.where("key is not null").select("key", F.when(F.col("value").isNull() | (kind == "VOID"), "null").otherwise(label).alias("kind"), *(["_o", text.alias("t")] if order else []))
+    first = [F.min("_o").alias("_first"), F.min(F.when(F.col("kind") != "null", F.struct("_o", "t"))).alias("_e")] if order else []
+    out = kinds.groupBy(F.col("key").alias("field")).agg(F.array_sort(F.collect_set("kind")).alias("k"), F.count(F.when(F.col("kind") != "null", 1)).alias("present"), *first)
     shown = F.filter("k", lambda x: x != "null")
-    out = out.select("field", F.array_join(F.when(F.size(shown) > 0, shown).otherwise(F.col("k")), "|").alias("types"), "present")
+    place = [F.row_number().over(Window.orderBy("_first", "field")).alias("position"), F.col("_e.t").alias("example")] if order else []  # a row for each field
+    out = out.select("field", F.array_join(F.when(F.size(shown) > 0, shown).otherwise(F.col("k")), "|").alias("types"), "present", *place)
     return out.join(F.broadcast(n)).withColumn("coverage", F.round(100 * F.try_divide("present", "rows"), 1))
 
 
@@ -176,11 +184,37 @@ def agreement(a: DataFrame, b: DataFrame, on: str, label: str = "label", other:
     Keys must be unique on either side; a key that repeats is an error.
     """
     for side in (a, b):
-        if side.groupBy(on).count().where("count > 1").limit(1).count():
+        if side.where(F.col(on).isNotNull()).groupBy(on).count().where("count > 1").limit(1).count():
             raise ValueError(f"{on} repeats")
     left = a.select(F.col(on), label_text(F.col(label)).alias("a_label"))
     right = b.select(F.col(on), label_text(F.col(other or label)).alias("b_label"))
-    return left.join(right, on).where("a_label is not null and b_label is not null").groupBy("a_label", "b_label").agg(F.count(F.lit(1)).alias("count"))
+    return _confusion(left.join(right, on))
+
+
+def _confusion(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a_label is not null and b_label is not null").groupBy("a_label", "b_label").agg(F.count(F.lit(1)).alias("count"))
+
+
+def agreement_sides(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """One row: how many keys are in both labellings, only in the first and only in the second; missing keys count as
+    only there."""
+    # A missing key is null on its own side too, so rows are told apart by a mark.
+    left, right = a.select(F.col(on).alias("_a"), F.lit(1).alias("_l")), b.select(F.col(on).alias("_b"), F.lit(1).alias("_r"))
+    met = left.join(right, F.col("_a") == F.col("_b"), "full")
+    count = lambda c: F.count(F.when(c, 1))
+    l, r = F.col("_l").isNotNull(), F.col("_r").isNotNull()  # noqa: E741
+    return met.agg(count(l & r).alias("both"), count(l & ~r).alias("a_only"), count(~l & r).alias("b_only"))
+
+
+def agreement_by_order(a: DataFrame, b: DataFrame, order: list[str], label: str = "label", other: str | None = None) -> DataFrame:
+    """The confusion of two labellings of the same rows, told by their places: each side is numbered by ``order`` (range
+    partitions, no single task). Sides of different length are an error."""
+    left = numbered(a.select(*order, label_text(F.col(label)).alias("a_label")), list(order)).select("_n", "a_label")
+    right = numbered(b.select(*order, label_text(F.col(other or label)).alias("b_label")), list(order)).select("_n", "b_label")
+    counts = [f.agg(F.max("_n")).first()[0] or 0 for f in (left, right)]
+    if counts[0] != counts[1]:
+        raise ValueError(f"{counts[0]} rows on one side and {counts[1]} on the other: give a key instead")
+    return _confusion(left.join(right, "_n"))
 
 
 def agreement_statistics(confusion: DataFrame) -> DataFrame:

@@ -269,17 +269,45 @@ def _mean_distance(rows: DataFrame, order: str, vector: str, neighbours: int) ->
     return best.groupBy("o").agg(F.round(F.avg("d"), 4).alias("__distance")).withColumnRenamed("o", order)
 
 
-def distinct_near(df: DataFrame, order: str, vector: str, threshold: float = 0.9) -> DataFrame:
-    """The rows that lead their cluster of near duplicates (raw cosine). Equal vectors are settled first, by the first of
-    them in ``order``, so only different ones are compared."""
-    some = df.where(F.col(vector).isNotNull())
-    exact = some.groupBy(F.col(vector).alias("_v")).agg(F.min(order).alias("_o"))
-    some = some.join(exact, (F.col(vector) == F.col("_v")) & (F.col(order) == F.col("_o")), "left_semi")
-    df = some.unionByName(df.where(F.col(vector).isNull()))
-    kept = leaders(df, order, vector, threshold).where(F.col(order) == F.col("leader")).select(order)
+def near_groups(df: DataFrame, order: str, vector: str, threshold: float = 0.9, text: str | None = None) -> DataFrame:
+    """(order, first, leader), written: for each row the first one, by ``order``, with the same stripped ``text`` (or, not
+    given, the same vector), and the row that leads the near duplicates of that one by raw cosine.
+
+    Rows without text, or vector, are alike to none; first rows without a vector lead themselves.
+    """
+    key = F.sha2(F.trim(F.col(text)), 256) if text else F.when(F.col(vector).isNotNull(), F.to_json(F.struct(vector)))
+    rows = df.select(F.col(order).alias("_o"), key.alias("_k"), F.col(vector).alias("_v"))
+    firsts = rows.where("_k is not null").groupBy(F.col("_k").alias("_fk")).agg(F.min("_o").alias("first"))
+    placed_rows = materialize(rows.join(firsts, F.col("_k") == F.col("_fk"), "left").select("_o", F.coalesce("first", "_o").alias("first"), "_v"), "near-firsts")
+    heads = placed_rows.where("_o = first").select(F.col("_o").alias("h"), "_v")
+    led = leaders(heads, "h", "_v", threshold)
+    out = placed_rows.join(led, F.col("first") == F.col("h")).select(F.col("_o").alias(order), "first", "leader")
+    return materialize(out, "near-groups")
+
+
+def distinct_near(df: DataFrame, order: str, vector: str, threshold: float = 0.9, text: str | None = None) -> DataFrame:
+    """The rows that lead their cluster of near duplicates, of rows with equal ``text`` (not given: equal vectors) the
+    first in ``order``, a column that tells rows apart."""
+    kept = near_groups(df, order, vector, threshold, text).where(F.col(order) == F.col("leader")).select(order)
     return df.join(kept, order, "left_semi")
 
 
+def distinct_near_groups(df: DataFrame, order: str, vector: str, threshold: float = 0.9, text: str | None = None, members: int = 20) -> DataFrame:
+    """(kept, count, duplicates): the kept rows of ``distinct_near`` with how many rows each stands for, itself included,
+    and the first ``members`` others: near ones that are first of their text, then rows equal to the kept one, then rows
+    equal to a near one, each by ``order``."""
+    rows = near_groups(df, order, vector, threshold, text)
+    o = F.col(order)
+    rank = F.when((o == F.col("first")) & (o != F.col("leader")), 0).when(F.col("first") == F.col("leader"), 1).otherwise(2)
+    ranked = rows.where(o != F.col("leader")).select("leader", F.struct(rank.alias("r"), o.alias("o")).alias("m"))
+    # Groups are cut into buckets first, so no task sorts a whole group.
+    head = lambda c: F.slice(F.array_sort(c), 1, members)
+    some = ranked.groupBy("leader", F.pmod(F.xxhash64("m.o"), F.lit(64)).alias("b")).agg(F.count(F.lit(1)).alias("n"), head(F.collect_list("m")).alias("l"))
+    lists = some.groupBy("leader").agg(F.sum("n").alias("n"), F.transform(head(F.flatten(F.collect_list("l"))), lambda m: m["o"]).alias("l"))
+    kept = rows.where(o == F.col("leader")).select(o.alias("kept")).join(lists, F.col("kept") == F.col("leader"), "left")
+    return kept.select("kept", (F.coalesce("n", F.lit(0)) + 1).alias("count"), F.coalesce("l", F.array().cast(lists.schema["l"].dataType)).alias("duplicates"))
+
+
 def geometry(df: DataFrame, stamp: str = "__embedder") -> None:
     """Vectors of different models don't mix: more than one stamp is an error."""
     if df.select(stamp).distinct().limit(2).count() > 1:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import NUMBER
+from ..functions.texts import html_text
 
 
 def _spine(df: DataFrame) -> DataFrame:
@@ -72,10 +73,39 @@ def files(spark: SparkSession, paths: list[str]) -> DataFrame:
         .when(ext.isin("png", "jpg", "jpeg", "gif", "webp") | head.isin("89504E47", "47494638") | head.startswith("FFD8FF"), "image")
         .when(ext.isin("mp3", "wav", "m4a", "flac", "ogg"), "audio").when(ext.isin("mp4", "mov", "mkv", "webm"), "video").otherwise("text")
     )
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "\r\n?", "\n")
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\ufeff|\r\n?", "\n")
+    text = F.when(F.hex(F.substring("content", 1, 3)) == "EFBBBF", F.substring(text, 2, 2**31 - 1)).otherwise(text)
     return df.select("path", kind.alias("kind"), F.when(kind == "text", text).alias("text"), F.when(kind != "text", F.col("content")).alias("content"))
 
 
+def documents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(text, __source, kind, unread): whole files as readable text, a row for each. Text files are decoded (what is no
+    UTF-8 is replaced, line ends become one), HTML files give their readable text, other kinds have none and ``unread``
+    true, so nothing aborts and the caller sees what was left out. Spark deals the files out by size."""
+    df = files(spark, paths)
+    is_html = F.lower("path").rlike(r"\.x?html?$")
+    text = F.when(is_html, html_text(F.col("text"))).otherwise(F.col("text"))
+    return df.select(text.alias("text"), F.col("path").alias("__source"), F.when(is_html, "html").otherwise(F.col("kind")).alias("kind"), F.col("text").isNull().alias("unread"))
+
+
+def read(spark: SparkSession, paths: list[str], as_: str | None = None) -> DataFrame:
+    """Paths as the table that their names call for, or as ``as_`` says: "lines" (text), "records" (JSON lines, any other
+    line is an error), "csv", or "file" (whole documents). All paths must call for the same."""
+    wanted = as_ or _called_for(paths)
+    made = {"lines": lines, "records": records, "csv": csv, "file": documents}.get(wanted)
+    if made is None:
+        raise ValueError(f"files are read as lines, records, csv or file, not {wanted!r}")
+    return made(spark, paths)
+
+
+def _called_for(paths: list[str]) -> str:
+    kinds = {"jsonl": "records", "ndjson": "records", "csv": "csv", "tsv": "csv"}
+    found = {kinds.get(p.rsplit(".", 1)[-1].lower() if "." in p else "", "file") for p in paths}
+    if len(found) != 1:
+        raise ValueError(f"paths call for {', '.join(sorted(found)) or 'nothing'}: say which with as_")
+    return found.pop()
+
+
 def named_files(spark: SparkSession, names: DataFrame, column: str, limit: int = 100_000) -> DataFrame:
     """The files that a bounded table of names lists."""
     found = [r[0] for r in names.select(column).limit(limit + 1).collect()]
