@@ -372,12 +372,28 @@ def outliers_knn(spark, d):
     return vectors.outliers(table(spark, d, "embeddings"), "vec_id", "embedding")
 
 
-@query()
+_LEADERS = """r as (select 1 as n, [{'o': o, 'v': v}] as leaders from u where n = 1
+  union all select u.n, case when len(list_filter(r.leaders, lambda l: list_cosine_similarity(l.v, u.v) >= THRESHOLD - 1e-12)) > 0 then r.leaders else list_append(r.leaders, {'o': u.o, 'v': u.v}) end from r join u on u.n = r.n + 1),
+led as (select l.o, l.v from (select unnest(leaders) as l from (select leaders from r order by n desc limit 1)))"""
+_FIRSTS = "u as materialized (select vec_id as o, v::double[] as v, row_number() over (order by vec_id) as n from (select min(vec_id) as vec_id, embedding as v from embeddings where embedding is not null group by embedding))"
+
+
+@query(f"with recursive {_FIRSTS}, {_LEADERS.replace('THRESHOLD', '0.9')} select o as vec_id from led union all select vec_id from embeddings where embedding is null")
 def distinct_near(spark, d):
     return vectors.distinct_near(table(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id")
 
 
-@query()
+_ALL = "u0 as materialized (select vec_id as o, embedding::double[] as v, row_number() over (order by vec_id, embedding) as n from embeddings where embedding is not null)"
+_THRESHOLD = """(select c[1 + len(c) // 2] + 0.35 * (c[1 + least(len(c) - 1, cast(floor(0.95 * len(c)) as bigint))] - c[1 + len(c) // 2]) from (select list_sort(list(list_cosine_similarity(a.v, b.v))) as c
+  from u0 a join u0 b on a.n < b.n, (select count(*) as m, count(*) * (count(*) - 1) // 2 as total from u0) where ((a.n - 1) * (2 * m - a.n) // 2 + b.n - a.n - 1) % (case when total > 20000 then total // 20000 + 1 else 1 end) = 0))"""
+
+
+@query(
+    f"""with recursive {_ALL}, u as materialized (select u0.*, {_THRESHOLD} as t from u0), {_LEADERS.replace('THRESHOLD', 'u.t')},
+g as (select u.o, min(led.o) as leader from u join led on led.o <= u.o and list_cosine_similarity(led.v, u.v) >= u.t - 1e-12 group by u.o union all select vec_id, vec_id from embeddings where embedding is null),
+s as (select leader, count(*) as size, row_number() over (order by count(*) desc, leader) as place from g group by leader)
+select case when place <= 10 then place end as cluster, cast(sum(size) as bigint) as size, round(sum(size) / (select count(*) from g), 4) as share from s group by 1"""
+)
 def cluster_sizes(spark, d):
     return vectors.cluster_sizes(vectors.cluster(table(spark, d, "embeddings"), "vec_id", "embedding"), 10)
 
@@ -450,7 +466,10 @@ def split_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(texts.chunks(F.col("text"), 500)).alias("segment", "chunk"))
 
 
-@query()
+_SENTENCES = "string_split_regex(regexp_replace(text, '([.!?…。！？][\"''”’)\\]]*)\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n\\s*\\n')"
+
+
+@query(f"select doc_id, unnest(range(len(s))) as place, unnest(s) as sentence from (select doc_id, list_filter(list_transform({_SENTENCES}, lambda x: trim(x)), lambda x: x <> '') as s from documents where text is not null)")
 def sentence_windows(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(texts.sentences(F.col("text"))).alias("place", "sentence"))
 
@@ -523,7 +542,12 @@ def graph_sentence_windows(spark, d):
     return parts.groupBy(F.split("window", "-")[0].cast("long").alias("conv_id")).agg(F.count(F.lit(1)).alias("sentences"))
 
 
-@query()
+@query(
+    """with m as (select distinct concat_ws('-', conv_id, turn) as k, unnest(regexp_extract_all(text, '[A-Z][a-z]+(?:\\s[A-Z][a-z]+)*')) as name from conversations where text is not null),
+n as (select name, count(*) as n from m group by name), f as (select name, first_value(name) over (partition by lower(name) order by n desc, name) as canonical from n),
+w as (select distinct k, canonical as name from m join f using (name))
+select a.name as source, b.name as target, count(*) as weight, 'seen together' as relation from w a join w b on a.k = b.k and a.name < b.name group by all having count(*) >= 2 order by weight desc, source, target limit 20"""
+)
 def graph_named_edges(spark, d):
     """The heaviest co-occurrences, named from their windows by a model."""
     df = table(spark, d, "conversations").where("text is not null").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "text")
