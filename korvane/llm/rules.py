@@ -11,19 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Words, binary_array, bounded_broadcast, materialize, per_text, pieces
+from ._common import Words, binary_array, bounded_broadcast, discard, materialize, per_text, pieces
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Cutoffs of each rule, from the loosest level to the strictest. A document fails a rule above its cutoff.
-LEVELS = {
-    "symbol_ratio": (1.0, 0.7, 0.5, 0.4, 0.3, 0.2, 0.15, 0.1),
-    "dup_line_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.35, 0.3),
-    "upper_ratio": (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
-    "exclaim_ratio": (1.0, 0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3),
-    "mean_word": (40.0, 30.0, 25.0, 22.0, 20.0, 18.0, 16.0, 15.0),
-}
-N_LEVELS = 8
+#: The shares of good documents, in thousandths, that a rule may stand above its cutoff: the candidates of every rule and
+#: stratum, from the loosest to the strictest.
+PER_MILLE = (0, 2, 4, 6, 8, 10, 13, 16, 20, 25, 30)
 #: False rejections of good documents stay below ALPHA in every stratum, with a chance of 1 - DELTA for all strata.
 ALPHA, DELTA = 0.05, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -126,32 +120,34 @@ def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_r_text")).mapInArrow(run, schema)
 
 
-def _ratio(a: str, b: str) -> Column:
-    return F.col(f"_r_{a}") / F.greatest(F.col(f"_r_{b}"), F.lit(1))
-
-
+#: Of each rule: two of STATS, how many steps their ratio's unit has, and the ratio's largest step. A document fails a
+#: rule if its step is above the cutoff of its stratum.
 RULES = {
-    "symbol_ratio": ("n_symbols", "n_words"),
-    "dup_line_ratio": ("n_dup_lines", "n_lines"),
-    "upper_ratio": ("n_upper", "word_chars"),
-    "exclaim_ratio": ("n_exclaim", "n_words"),
-    "mean_word": ("word_chars", "n_words"),
+    "symbol_ratio": ("n_symbols", "n_words", 1000, 10_000),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 1000, 1000),
+    "upper_ratio": ("n_upper", "word_chars", 1000, 1000),
+    "exclaim_ratio": ("n_exclaim", "n_words", 1000, 10_000),
+    "mean_word": ("word_chars", "n_words", 10, 10_000),
 }
+#: Configurations are tried in this order: at each level, one rule after the other goes to the level's candidate.
+N_STEPS = len(PER_MILLE) * len(RULES)
+
+
+def ratio_steps() -> Column:
+    """A document's whole step under each rule, in the order of RULES."""
+    return F.array(*[F.expr(f"least({most}L, ({unit}L * _r_{a}) div greatest(_r_{b}, 1L))") for a, b, unit, most in RULES.values()])
 
 
 def base_failed() -> Column:
     return (F.col("_r_n_words") < MIN_WORDS) | (100 * F.col("_r_n_repeat_words") > MAX_REPEAT_PERCENT * F.col("_r_n_words"))
 
 
-def reject_level() -> Column:
-    """The loosest level at which some rule rejects the document; N_LEVELS if none does."""
-    out = F.lit(N_LEVELS)
-    for level in reversed(range(N_LEVELS)):
-        over = F.lit(False)
-        for rule, (a, b) in RULES.items():
-            over = over | (_ratio(a, b) > F.lit(LEVELS[rule][level]))
-        out = F.when(over, F.lit(level)).otherwise(out)
-    return out
+def first_step(steps: Column, cuts: Column) -> Column:
+    """The first configuration that rejects a document with these ``steps``, N_STEPS if none does; ``cuts`` has the
+    cutoff of configuration level * len(RULES) + rule at that place."""
+    n = len(RULES)
+    fails = F.transform(cuts, lambda c, i: F.when(F.get(steps, (i % n).cast("int")) > c, i).otherwise(N_STEPS))
+    return F.coalesce(F.array_min(fails), F.lit(N_STEPS)).cast("int")
 
 
 def stratum() -> Column:
@@ -160,55 +156,97 @@ def stratum() -> Column:
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """Chance of k or fewer of n, each with chance p: the exact test that the true rate is below p."""
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    return math.fsum(math.exp(x) for x in logs)
+    """Chance of k or fewer of n, each with chance p: the exact test that the true rate is below p. Terms are added from
+    the largest one down until they no longer count."""
+    if k >= n:
+        return 1.0
+    top = min(k, int((n + 1) * p))
+    largest = math.exp(math.lgamma(n + 1) - math.lgamma(top + 1) - math.lgamma(n - top + 1) + top * math.log(p) + (n - top) * math.log1p(-p))
+    total, odds = [largest], p / (1 - p)
+    for places, ratio in ((range(top, 0, -1), lambda i: i / ((n - i + 1) * odds)), (range(top + 1, k + 1), lambda i: (n - i + 1) / i * odds)):
+        term = largest
+        for i in places:
+            term *= ratio(i)
+            total.append(term)
+            if term < largest * 1e-18:
+                break
+    return math.fsum(total)
 
 
 def certify(counts: list[int], n_strata: int, alpha: float, delta: float) -> int:
-    """The strictest level that is certified, -1 if none. counts[level]: good holdouts first rejected at that level; the
-    last entry: those that no level rejects.
+    """The last configuration that is certified, -1 if none. counts[i]: good holdouts first rejected by configuration i;
+    the last entry: those that none rejects.
 
-    Levels are tested in a fixed order, loosest first, until one fails: so the levels of a stratum need no further
-    correction, and Bonferroni's over the strata holds the chance of any wrong certificate below delta.
+    Configurations are tested in their fixed order until one fails: so those of a stratum need no further correction, and
+    Bonferroni's over the strata holds the chance of any wrong certificate below delta.
     """
     n, rejected, best = sum(counts), 0, -1
-    for level in range(len(counts) - 1):
-        rejected += counts[level]
+    for step in range(len(counts) - 1):
+        rejected += counts[step]
         if n == 0 or binomial_tail(rejected, n, alpha) > delta / n_strata:
             break
-        best = level
+        best = step
     return best
 
 
+def candidates(held: DataFrame) -> DataFrame:
+    """(stratum, cuts) for ``held`` (stratum, steps): for each configuration its rule's cutoff, the least step of a good
+    document that the allowed share of them, or less, stands above.
+
+    Documents are counted by step first, so what is sorted is at most a rule's number of steps for each stratum.
+    """
+    counts = held.select("stratum", F.posexplode("steps").alias("rule", "step")).groupBy("stratum", "rule", "step").agg(F.count(F.lit(1)).alias("c"))
+    own = Window.partitionBy("stratum", "rule")
+    above = F.sum("c").over(own.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)) - F.col("c")
+    ranked = counts.withColumns({"above": above, "n": F.sum("c").over(own)})
+    least = [F.min(F.when(1000 * F.col("above") <= share * F.col("n"), F.col("step"))) for share in PER_MILLE]
+    per_rule = ranked.groupBy("stratum", "rule").agg(F.array(*least).alias("levels"))
+    lists = per_rule.groupBy("stratum").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule", "levels"))), lambda x: x["levels"]).alias("rules"))
+    place = F.transform(F.sequence(F.lit(0), F.lit(N_STEPS - 1)), lambda i: F.get(F.get("rules", i % len(RULES)), F.floor(i / len(RULES)).cast("int")))
+    return lists.select("stratum", place.alias("cuts"))
+
+
 def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, level): the strictest certified level of each stratum with good holdouts that pass the base rules.
+    """(stratum, level, cuts): the last certified configuration of each stratum with good holdouts that pass the base
+    rules, and all of its candidates.
 
     ``stats``: doc_id, lang and STATS. Holdouts are the rows of ``labels`` with quality 1; a document labelled more
-    than once counts once and is good if any label says so. The counts cover all of them; a stratum leaves one row of
-    N_LEVELS + 1 counts.
+    than once counts once and is good if any label says so. Holdouts of even doc_ids give the candidates, those of odd
+    ones the certificates, so no document does both. A configuration is certified if an exact binomial test rejects that
+    it would reject a share of ``alpha`` or more of a stratum's good documents, all rules together. The counts cover all
+    holdouts; a stratum leaves one row of N_STEPS + 1 counts. A stratum without even ones has no certificate.
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_g_id")).distinct()
-    held = stats.where(~base_failed()).select("doc_id", stratum().alias("stratum"), reject_level().alias("at")).join(good, F.col("doc_id") == F.col("_g_id"), "left_semi")
-    per_level = held.groupBy("stratum").agg(*[F.count(F.when(F.col("at") == i, 1)).alias(f"c{i}") for i in range(N_LEVELS + 1)])
-    n_strata = F.count(F.lit(1)).over(Window.partitionBy())
-    numbered = per_level.withColumn("n_strata", n_strata)
+    held = stats.where(~base_failed()).join(good, F.col("doc_id") == F.col("_g_id"), "left_semi")
+    held = materialize(held.select("doc_id", stratum().alias("stratum"), ratio_steps().alias("steps")), "rules-held")
+    is_odd = F.col("doc_id").bitwiseAND(F.lit(1).cast(stats.schema["doc_id"].dataType)) == 1
+    cuts = materialize(candidates(held.where(~is_odd)), "rules-candidates").withColumnRenamed("stratum", "c_stratum")
+    tested = held.where(is_odd).join(bounded_broadcast(cuts), F.col("stratum") == F.col("c_stratum"), "left")
+    firsts = tested.select("stratum", F.when(F.col("cuts").isNotNull(), first_step(F.col("steps"), F.col("cuts"))).alias("at"))
+    per_step = firsts.groupBy("stratum").agg(*[F.count(F.when(F.col("at") == i, 1)).alias(f"c{i}") for i in range(N_STEPS + 1)])
+    strata = held.select("stratum").distinct()
+    all_strata = strata.join(per_step.withColumnRenamed("stratum", "p_stratum"), F.col("stratum") == F.col("p_stratum"), "left").drop("p_stratum")
+    numbered = all_strata.withColumn("n_strata", F.count(F.lit(1)).over(Window.partitionBy()))  # a row for each stratum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = b.to_pylist()
-            levels = [certify([r[f"c{i}"] for i in range(N_LEVELS + 1)], r["n_strata"], alpha, delta) for r in rows]
+            levels = [certify([r[f"c{i}"] or 0 for i in range(N_STEPS + 1)], r["n_strata"], alpha, delta) for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array([r["stratum"] for r in rows], pa.string()), pa.array(levels, pa.int32())], names=["stratum", "level"])
 
-    return materialize(numbered.mapInArrow(run, "stratum string, level int"), "rules-cutoffs")
+    levels = numbered.mapInArrow(run, "stratum string, level int")
+    out = materialize(levels.join(cuts, F.col("stratum") == F.col("c_stratum"), "left").select("stratum", "level", "cuts"), "rules-cutoffs")
+    discard(held)
+    return out
 
 
 def judge(stats: DataFrame, cuts: DataFrame) -> DataFrame:
-    """``stats`` with ``_r_level`` (its stratum's level; -1: nothing is certified there, so only the base rules hold),
-    ``_r_base_failed`` and ``_r_kept``."""
-    cuts = bounded_broadcast(cuts.select(F.col("stratum").alias("_r_stratum"), F.col("level").alias("_r_cut")))
-    out = stats.join(cuts, stratum() == F.col("_r_stratum"), "left").withColumn("_r_level", F.coalesce("_r_cut", F.lit(-1))).drop("_r_stratum", "_r_cut")
-    return out.withColumn("_r_base_failed", base_failed()).withColumn("_r_kept", ~F.col("_r_base_failed") & (reject_level() > F.col("_r_level")))
+    """``stats`` with ``_r_level`` (its stratum's configuration; -1: nothing is certified there, so only the base rules
+    hold), ``_r_base_failed`` and ``_r_kept``."""
+    cuts = bounded_broadcast(cuts.select(F.col("stratum").alias("_r_stratum"), F.col("level").alias("_r_cut"), F.col("cuts").alias("_r_cuts")))
+    out = stats.join(cuts, stratum() == F.col("_r_stratum"), "left").withColumn("_r_level", F.coalesce("_r_cut", F.lit(-1)))
+    passes = (F.col("_r_level") < 0) | (first_step(ratio_steps(), F.col("_r_cuts")) > F.col("_r_level"))
+    return out.withColumn("_r_base_failed", base_failed()).withColumn("_r_kept", ~F.col("_r_base_failed") & passes).drop("_r_stratum", "_r_cut", "_r_cuts")
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
@@ -233,12 +271,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[F.col(f"_r_{s}").alias(s) for s in STATS], F.col("_r_level").alias("level"), F.col("_r_base_failed").alias("base_failed"), F.col("_r_kept").alias("kept"))
 
 
-def _level_sql() -> str:
-    sql = []
-    for level in range(N_LEVELS):
-        over = " or ".join(f"{a}::double / greatest({b}, 1) > {LEVELS[rule][level]}::double" for rule, (a, b) in RULES.items())
-        sql.append(f"when {over} then {level}")
-    return f"case {' '.join(sql)} else {N_LEVELS} end"
+def _steps_sql() -> str:
+    return "[" + ", ".join(f"least({most}, ({unit} * {a}) // greatest({b}, 1))" for a, b, unit, most in RULES.values()) + "]"
 
 
 ORACLE = rf"""
@@ -252,13 +286,17 @@ s as (select r, doc_id, stratum, cast(len(ws) as bigint) as n_words, cast(length
         cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, cast(len(ls) as bigint) as n_lines,
         cast(length(regexp_replace(text, '[^A-Z]', '', 'g')) as bigint) as n_upper, cast(length(regexp_replace(text, '[^!]', '', 'g')) as bigint) as n_exclaim
       from w left join p using (r)),
-j as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed, {_level_sql()} as first_fail from s),
-o as (select stratum, first_fail from j where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
-n as (select stratum, count(*) as n, (select count(distinct stratum) from o) as strata from o group by stratum),
-k as (select stratum, level, n, strata, (select count(*) from o where o.stratum = n.stratum and o.first_fail <= level) as k from n, range({N_LEVELS}) v(level)),
-b as (select stratum, level, coalesce((select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))) from range(0, k + 1) v(i)), 1) > {DELTA} / strata as fails from k),
-c as (select stratum, coalesce(min(case when fails then level end), {N_LEVELS}) - 1 as level from b group by stratum)
+j as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words as base_failed, {_steps_sql()} as steps from s),
+o as (select r, doc_id & 1 as odd, stratum, steps from j where not base_failed and doc_id in (select doc_id from labels where quality = 1)),
+b as (select stratum, rule, step, count(*) as c from (select stratum, unnest(range({len(RULES)})) as rule, unnest(steps) as step from o where odd = 0) group by stratum, rule, step),
+a as (select *, sum(c) over (partition by stratum, rule order by step desc) - c as above, sum(c) over (partition by stratum, rule) as n from b),
+cuts as (select stratum, rule, level * {len(RULES)} + rule as place, min(step) as cut from a, (select unnest(range({len(PER_MILLE)})) as level, unnest({list(PER_MILLE)}) as share) where 1000 * above <= share * n group by stratum, rule, level),
+f as (select r, coalesce(min(case when steps[rule + 1] > cut then place end), {N_STEPS}) as first_fail from j join cuts using (stratum) group by r),
+n as (select stratum, count(first_fail) as n, (select count(distinct stratum) from o) as strata from o left join f using (r) where odd = 1 group by stratum),
+k as (select stratum, level, n, strata, (select count(*) from o join f using (r) where odd = 1 and o.stratum = n.stratum and first_fail <= level) as k from n, range({N_STEPS}) v(level) where n > 0),
+e as (select stratum, level, (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA}))) from range(0, k + 1) v(i)) > {DELTA} / strata as fails from k),
+c as (select stratum, coalesce(min(case when fails then level end), {N_STEPS}) - 1 as level from e group by stratum)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper, n_exclaim, cast(coalesce(level, -1) as integer) as level, base_failed,
-  not base_failed and first_fail > coalesce(level, -1) as kept
-from j left join c using (stratum)
+  not base_failed and (coalesce(level, -1) < 0 or coalesce(first_fail, {N_STEPS}) > level) as kept
+from j left join c using (stratum) left join f using (r)
 """

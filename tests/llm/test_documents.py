@@ -1,5 +1,7 @@
 """Operators on documents, against brute force and on odd rows."""
 
+import math
+import random
 import re
 import zlib
 
@@ -117,6 +119,9 @@ def test_rules_odd_rows(spark, odd, labels, nothing):
 def test_certificates():
     assert rules.binomial_tail(0, 100, 0.05) == pytest.approx(0.95**100)
     assert rules.binomial_tail(100, 100, 0.05) == pytest.approx(1)
+    for k, n, p in ((3, 40, 0.05), (30, 40, 0.05), (7, 500, 0.02), (60, 1000, 0.05)):
+        assert rules.binomial_tail(k, n, p) == pytest.approx(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)))
+    assert 0 < rules.binomial_tail(49_000, 1_000_000, 0.05) < 1e-5
     assert rules.certify([0] * 8 + [40], 1, 0.05, 0.05) == -1  # too few holdouts for any certificate
     assert rules.certify([0] * 8 + [200], 1, 0.05, 0.05) == 7
     assert rules.certify([0, 0, 0, 60, 0, 0, 0, 0, 140], 1, 0.05, 0.05) == 2
@@ -132,6 +137,51 @@ def test_certified_cutoffs_hold_on_new_documents():
     assert failed <= 200 * rules.DELTA + 10
 
 
+def ladder(rows):
+    """(level, cuts) of each stratum, for rows (doc_id, stratum, steps) of good documents, by sorting lists."""
+    out, strata = {}, {s for _, s, _ in rows}
+    for stratum in strata:
+        even, odd = ([x for i, s, x in rows if s == stratum and i % 2 == half] for half in (0, 1))
+        if not even or not odd:
+            out[stratum] = (-1, None)
+            continue
+        cuts = []
+        for share in rules.PER_MILLE:
+            for r in range(len(rules.RULES)):
+                values = sorted({x[r] for x in even})
+                cuts.append(next(v for v in values if 1000 * sum(x[r] > v for x in even) <= share * len(even)))
+        first = [next((i for i, c in enumerate(cuts) if x[i % len(rules.RULES)] > c), rules.N_STEPS) for x in odd]
+        level = -1
+        while level + 1 < rules.N_STEPS and sum(math.comb(len(odd), i) * rules.ALPHA**i * (1 - rules.ALPHA) ** (len(odd) - i) for i in range(sum(f <= level + 1 for f in first) + 1)) <= rules.DELTA / len(strata):
+            level += 1
+        out[stratum] = (level, cuts)
+    return out
+
+
+def test_thresholds_against_sorted_lists(spark):
+    """The bound picks other cutoffs in each stratum, strictly within their range in some."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(3000):
+        lang = rng.choice(["a", "a", "b", "c", None])
+        # Even and odd documents of b differ, so its cutoffs fail the test on the way; c has heavy tails.
+        spread = 3 if lang == "b" and i % 2 else 1
+        rows.append((i, lang, 200, 900 + rng.randrange(100) * spread, rng.choice([0, 0, rng.randrange(40) * spread]), rng.randrange(3) * spread, 0, 20, rng.randrange(30) * spread, int(rng.paretovariate(1.2)) if lang == "c" else 1))
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, " + ", ".join(f"_r_{s} long" for s in rules.STATS))
+    labels = stats.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    cuts = rules.cutoffs(stats, labels)
+    place = {s: i for i, s in enumerate(rules.STATS)}
+    steps = [(r[0], r[1] or "", [min(most, unit * r[2 + place[a]] // max(r[2 + place[b]], 1)) for a, b, unit, most in rules.RULES.values()]) for r in rows]
+    want = ladder(steps)
+    assert {r.stratum: (r.level, r.cuts) for r in cuts.collect()} == want
+    levels = {s: level for s, (level, _) in want.items()}
+    assert len(set(levels.values())) > 1 and any(0 <= v < rules.N_STEPS - 1 for v in levels.values())
+    judged = {r.doc_id: r["_r_kept"] for r in rules.judge(stats, cuts).collect()}
+    for i, s, x in steps:
+        level, mine = want[s]
+        assert judged[i] == (not any(x[k % len(rules.RULES)] > c for k, c in enumerate(mine[: level + 1])))
+
+
 # Token files
 
 
