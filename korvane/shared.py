@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,9 +45,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._korvane_path = path
+    for made in _SCOPES.get():
+        made.append(out)
     return out
 
 
+#: The tables written in each ``scope`` that is open.
+_SCOPES: contextvars.ContextVar[tuple[list[DataFrame], ...]] = contextvars.ContextVar("scopes", default=())
+
+
+@contextlib.contextmanager
+def scope(*kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes what ``materialize`` writes within it, at its end; what is to stay is added to the list that it gives."""
+    made: list[DataFrame] = []
+    stay = list(kept)
+    token = _SCOPES.set((*_SCOPES.get(), made))
+    try:
+        yield stay
+    finally:
+        _SCOPES.reset(token)
+        names = {t._korvane_path for t in stay if hasattr(t, "_korvane_path")}
+        discard(*[t for t in made if t._korvane_path not in names])
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of what finished queries have left: Spark's cleaner drops their broadcasts, on the driver and on executors,
+    once the driver's JVM has collected its garbage. For operators of many queries, so a small driver stays small."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables that ``materialize`` has written, once nothing reads them any more."""
     for t in tables:
