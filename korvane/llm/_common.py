@@ -8,10 +8,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from ..shared import discard, materialize, new_path, shared_dir
+from ..shared import discard, materialize, new_path, release, scope, shared_dir
 from ..shared import small as bounded_broadcast
 
-__all__ = ["Words", "binary_array", "bounded_broadcast", "discard", "materialize", "new_path", "per_text", "pieces", "shared_dir", "text_buffer"]
+__all__ = ["Words", "binary_array", "bounded_broadcast", "discard", "materialize", "new_path", "per_text", "pieces", "release", "scope", "shared_dir", "text_buffer"]
 
 #: Python works through a batch in pieces of about so many bytes of text, so memory does not follow the batch size.
 PIECE_BYTES = 8 << 20

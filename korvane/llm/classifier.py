@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bounded_broadcast, discard, materialize
+from ._common import bounded_broadcast, discard, materialize, release
 
 #: Characters of an n-gram.
 ORDER = 5
@@ -151,6 +151,7 @@ class Counts:
         step = {i: F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.coalesce(i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}")), F.lit(0.5 * i)))) for i in (1, 2, 3)}
         self.discounts = materialize(once.select("model", "length", "letters", *[s.alias(f"d{i}") for i, s in step.items()]), "kn-discounts")
         self.few = bounded_broadcast(self.discounts)
+        release(trusted.sparkSession)
 
     def contexts(self, length: int) -> DataFrame:
         """(c_model, context, total, d1, d2, d3, weight): what is spared for shorter n-grams after each context."""
@@ -191,6 +192,7 @@ class Counts:
             if length >= ORDER - 2:
                 lower = materialize(lower, "kn-p")
                 written.append(lower)
+                release(lower.sparkSession)
         discard(*written[:-1])
         return lower.select("model", "gram", (-F.log("p")).alias("nats"))
 
@@ -239,6 +241,7 @@ def score(docs: DataFrame, counts: Counts, keep: list[str]) -> DataFrame:
     for a in asked[1:]:
         needed = needed.unionByName(a)
     needed = materialize(needed.select(F.col("z_model").alias("model"), "gram").distinct(), "kn-needed")
+    release(docs.sparkSession)
     nats = counts.log_probabilities(needed)
     discard(needed)
     out = None
@@ -248,6 +251,7 @@ def score(docs: DataFrame, counts: Counts, keep: list[str]) -> DataFrame:
         scored = part.groupBy("_q_lang", "_q_block").cogroup(told.groupBy("g_lang", "g_block")).applyInArrow(run, out_schema)
         scored = materialize(scored, "kn-scores")
         discard(a)
+        release(docs.sparkSession)
         out = scored if out is None else out.unionByName(scored)
     return out
 

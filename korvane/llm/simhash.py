@@ -97,9 +97,9 @@ def _masks(blocks: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def forest(fps: np.ndarray, parts: np.ndarray | None, distance: int) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
     """Links that connect what fingerprints at most ``distance`` bits apart connect: from each member of a component to
-    the one it was reached from. With ``parts`` (0 or 1 each), only links across or within count alike."""
+    the one it was reached from."""
     left = fps.view(np.uint64)
     links = []
     rest = np.arange(len(fps))
@@ -139,7 +139,7 @@ def near_links(distinct: DataFrame, distance: int = 4, blocks: int | None = None
         for batch in batches:
             links = set()
             for fps in batch.column(0):
-                links.update(forest(fps.values.to_numpy(zero_copy_only=False), None, distance))
+                links.update(forest(fps.values.to_numpy(zero_copy_only=False), distance))
             ab = np.array(sorted(links), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
@@ -178,19 +178,21 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with _s_h1 and _s_h2, a 128-bit key of all columns: rows that are equal in every column share it."""
+    """doc_id and text of ``docs`` with _s_row, the whole row, and _s_h1 and _s_h2, a 128-bit key of all columns: rows
+    that are equal in every column share it. Columns of ``docs`` may have any names."""
     columns = [F.col(f"`{c}`") for c in docs.columns]
     cells = [x for c in columns for x in (c.isNull(), c)]
-    return docs.withColumns({"_s_h1": F.xxhash64(*cells), "_s_h2": F.xxhash64(F.lit("second"), *cells)})
+    return docs.select("doc_id", "text", F.struct(*columns).alias("_s_row"), F.xxhash64(*cells).alias("_s_h1"), F.xxhash64(F.lit("second"), *cells).alias("_s_h2"))
 
 
-def one_of_each(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """``docs`` (with ``row_keys``) with one row of each group, ``grouped`` (doc_id, _s_h1, _s_h2, root): the smallest
-    doc_id, null ids last, then the least key. Picks come from partial aggregates; no task sorts a group."""
+def one_of_each(keyed: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The whole rows of ``keyed`` (``row_keys``), one of each group, ``grouped`` (doc_id, _s_h1, _s_h2, root): the
+    smallest doc_id, null ids last, then the least key. Picks come from partial aggregates; no task sorts a group."""
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_s_h1", "_s_h2")
     kept = grouped.groupBy("root").agg(F.min(row).alias("r")).select(F.col("r._s_h1").alias("_s_k1"), F.col("r._s_h2").alias("_s_k2"))
-    rows = docs.join(kept, (F.col("_s_h1") == F.col("_s_k1")) & (F.col("_s_h2") == F.col("_s_k2")), "left_semi")
-    return rows.dropDuplicates(["_s_h1", "_s_h2"]).drop("_s_h1", "_s_h2")
+    rows = keyed.select("_s_row", "_s_h1", "_s_h2").join(kept, (F.col("_s_h1") == F.col("_s_k1")) & (F.col("_s_h2") == F.col("_s_k2")), "left_semi")
+    rows = rows.dropDuplicates(["_s_h1", "_s_h2"])
+    return rows.select(*[F.col("_s_row").getField(c).alias(c) for c in keyed.schema["_s_row"].dataType.names])
 
 
 def shingles_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator[np.ndarray]:
@@ -461,7 +463,8 @@ def deduplicate(docs: DataFrame, shingle: int = 5) -> DataFrame:
     ids last), of rows that share it the one with the least key. All columns are kept.
 
     Linked are all pairs of texts whose sets of ``shingle`` words have a Jaccard similarity of SIMILARITY or more. Texts
-    without words are one group, which nothing else joins."""
+    without words are one group, which nothing else joins. Rows equal in every column are one. Texts are whole, however
+    long, one at a time; an empty table stays empty; columns keep their names and values, whatever they are called."""
     keyed = row_keys(docs)
     marked = materialize(shingle_sets(keyed, ["doc_id", "_s_h1", "_s_h2"], shingle, hot_shingles(docs, shingle)), "dedup-marked")
     rows = materialize(marked.select("doc_id", "_s_h1", "_s_h2", "sid"), "dedup-rows")
