@@ -35,6 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_TOKENS = "cast(greatest(ceil(length(coalesce(text, '')) / 4), length(regexp_replace(coalesce(text, ''), '[^\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0002fa1f]', '', 'g'))) as bigint)"
+
+
 # Filters and projections
 
 
@@ -466,6 +469,17 @@ def split_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(texts.chunks(F.col("text"), 500)).alias("segment", "chunk"))
 
 
+@query(
+    f"""with t as (select doc_id, text, {_TOKENS} as tokens from documents where text <> '' and not contains(text, chr(10))),
+n as (select *, cast(ceil(tokens / 500) as bigint) as n from t), s as (select *, unnest(range(n)) as i, length(text) // n as width from n)
+select doc_id, cast(i + 1 as integer) as segment, concat(doc_id, ' §', i + 1, '/', n) as label, case when i = n - 1 then substr(text, i * width + 1) else substr(text, i * width + 1, width) end as text from s"""
+)
+def split_labels(spark, d):
+    """Texts of one line in even cuts, with their places."""
+    df = table(spark, d, "documents").where("not contains(text, chr(10))")
+    return rows.split_rows(df.select("doc_id", "text"), "text", 500, "doc_id").select("doc_id", "__source.segment", "__source.label", "text")
+
+
 _SENTENCES = "string_split_regex(regexp_replace(text, '([.!?…。！？][\"''”’)\\]]*)\\s+', '\\1' || chr(1), 'g'), chr(1) || '|\\n\\s*\\n')"
 
 
@@ -625,8 +639,6 @@ def schema_check_coverage(spark, d):
     return semantic.check_records(df, {"doc_id": F.col("doc_id") >= 0, "lang": F.col("lang").isin("en", "de")}, ["doc_id", "lang"])
 
 
-_TOKENS = "cast(greatest(ceil(length(coalesce(text, '')) / 4), length(regexp_replace(coalesce(text, ''), '[^\u2e80-\u9fff\uac00-\ud7af\uf900-\ufaff\uff00-\uffef\U00020000-\U0002fa1f]', '', 'g'))) as bigint)"
-
 
 @query(
     f"""with recursive t as (select source, doc_id, {_TOKENS} as size, row_number() over (partition by source order by doc_id) as n from documents),

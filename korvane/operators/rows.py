@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.fields import json_field
 from ..functions.predicates import ISO, NUMBER
+from ..functions.texts import chunks
 from ..shared import materialize, small
 
 
@@ -151,6 +152,19 @@ def explode_field(df: DataFrame, field: str) -> DataFrame:
     return df.select(*[element if name == field else F.col(f"`{name}`") for name in df.columns])
 
 
+def split_rows(df: DataFrame, text: str, budget: int = 2000, source: str | None = None) -> DataFrame:
+    """A row for each chunk of about ``budget`` tokens of each text, which join to the text: the other columns, the chunk
+    as ``text``, and __source (path, as, segment from 1, label "name §segment/segments"). ``source`` is the column that
+    names a row; without it labels begin with "row". Null and empty texts give no rows."""
+    name = F.coalesce(F.col(f"`{source}`").cast("string"), F.lit("row")) if source else F.lit("row")
+    short = F.regexp_extract(name, r"([^/\\]*)$", 1)
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (text, "text", "__source")]
+    parts = df.select(*others, name.alias("_path"), short.alias("_name"), chunks(F.col(f"`{text}`"), budget).alias("_chunks"))
+    cut = parts.select("*", F.size("_chunks").alias("_n"), F.posexplode("_chunks").alias("_i", "text")).drop("_chunks")
+    spine = F.struct(F.col("_path").alias("path"), F.lit("tokens").alias("as"), (F.col("_i") + 1).alias("segment"), F.concat("_name", F.lit(" §"), F.col("_i") + 1, F.lit("/"), "_n").alias("label"))
+    return cut.withColumn("__source", spine).drop("_path", "_name", "_n", "_i")
+
+
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``_n``, its rows' places (from 1) by ``order``. Places within range partitions are added to the counts
     of the partitions before, so no one task orders all rows."""

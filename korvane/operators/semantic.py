@@ -6,13 +6,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import time
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +23,8 @@ from ..shared import materialize, small
 
 #: Texts of one request to an embedding model.
 BATCH = 64
+#: What a model that names a cluster sees of it: so many texts of so many characters.
+LABEL_TEXTS, LABEL_WIDTH = 8, 200
 
 
 class ChatModel(ABC):
@@ -135,6 +138,26 @@ def embed(df: DataFrame, text: str, model: EmbeddingModel, into: str = "vector",
     return df.mapInPandas(run, schema)
 
 
+def with_vectors(df: DataFrame, text: str, model: EmbeddingModel, into: str = "vector", size: int | None = None) -> DataFrame:
+    """``embed`` that keeps the vectors that rows bring along in the column ``into``: only rows without one are embedded.
+
+    A vector whose ``__embedder`` stamp names another model, or whose length is not ``size`` (if given), is an error once
+    the row is read; vectors without a stamp are taken as they are, and so stamped. Nothing is counted first.
+    """
+    if into not in df.columns:
+        return embed(df, text, model, into)
+    stamp = F.col("__embedder").cast("string") if "__embedder" in df.columns else F.lit(None).cast("string")
+    old = F.col(f"`{into}`").cast("array<double>")
+    wrong = F.when(old.isNotNull() & (stamp != model.name), F.concat(F.lit("a vector of "), stamp, F.lit(f" does not mix with those of {model.name}")))
+    if size is not None:
+        wrong = F.coalesce(wrong, F.when(old.isNotNull() & (F.size(old) != size), F.concat(F.lit("a vector of "), F.size(old).cast("string"), F.lit(f" components among those of {size}"))))
+    checked = F.when(wrong.isNotNull(), F.raise_error(wrong).cast("array<double>")).otherwise(old)
+    rest = [c for c in df.columns if c not in (into, "__embedder")]
+    asked = F.when(F.col(f"`{into}`").isNull(), F.col(f"`{text}`"))
+    made = embed(df.select(*[F.col(f"`{c}`") for c in rest], checked.alias("_old"), asked.alias("_embed")), "_embed", model, into)
+    return made.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col("_old"), F.col(f"`{into}`")).alias(into), "__embedder")
+
+
 def prompt(template: str, df: DataFrame) -> Column:
     """A prompt from a template: ``{field}`` is a column's text, or a path into one (``{user.name}``, ``{items[0].sku}``);
     lists and structs are their JSON, missing values nothing. ``{{`` and ``}}`` are braces. A name that the table does not
@@ -265,9 +288,10 @@ def filter_long(df: DataFrame, key: str, text: str, template: str, model: ChatMo
 
 
 def label_clusters(examples: DataFrame, model: ChatModel | None = None) -> DataFrame:
-    """(cluster, label) from ``vectors.cluster_examples``: the model's name for a cluster, "cluster N" if it has none."""
-    lists = F.array_sort(F.collect_list(F.struct("rank", F.col("example").alias("t"))))
-    seen = examples.groupBy("cluster").agg(F.array_join(F.transform(lists, lambda x: x["t"]), "\n").alias("texts"))
+    """(cluster, label) from ``vectors.cluster_examples``: the model's name for a cluster, "cluster N" if it has none. The
+    model sees LABEL_TEXTS examples at most, the nearest ones, each LABEL_WIDTH characters long at most."""
+    lists = F.array_sort(F.collect_list(F.struct("rank", F.substring("example", 1, LABEL_WIDTH).alias("t"))))
+    seen = examples.where(F.col("rank") <= LABEL_TEXTS).groupBy("cluster").agg(F.array_join(F.transform(lists, lambda x: x["t"]), "\n").alias("texts"))
     plain = F.concat(F.lit("cluster "), F.col("cluster").cast("string"))
     if model is None:
         return seen.select("cluster", plain.alias("label"))
@@ -311,7 +335,22 @@ def check_records(df: DataFrame, rules: dict[str, Column], fields: list[str]) ->
     return once.select("rows", F.explode(row).alias("r")).select("r.field", "rows", "r.present", "r.valid")
 
 
-def manifest(verb: str, options: dict, rows_in: int, rows_out: int) -> str:
-    """What a run did, as JSON; the options' digest tells whether two runs asked the same."""
-    text = json.dumps(options, sort_keys=True, default=str)
-    return json.dumps({"verb": verb, "options": options, "options_sha256": hashlib.sha256(text.encode()).hexdigest(), "rows_in": rows_in, "rows_out": rows_out}, default=str)
+def manifest(verb: str, options: dict, rows_in: int, rows_out: int, prompt: str | None = None, models: dict[str, str] | None = None, usage: dict[str, int] | None = None, seconds: float | None = None) -> str:
+    """What a run did, as JSON; the digests of options and prompt tell whether two runs asked the same."""
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    said = {"verb": verb, "options": options, "options_sha256": digest(json.dumps(options, sort_keys=True, default=str)), "rows_in": rows_in, "rows_out": rows_out}
+    said |= {"prompt": prompt, "prompt_sha256": digest(prompt)} if prompt is not None else {}
+    said |= {k: v for k, v in (("models", models), ("usage", usage), ("seconds", seconds)) if v is not None}
+    return json.dumps(said, default=str)
+
+
+def recorded(verb: str, options: dict, df: DataFrame, apply: Callable[[DataFrame], DataFrame], out: str, record: str, prompt: str | None = None, models: dict[str, str] | None = None) -> dict:
+    """Write ``apply(df)`` as Parquet below ``out``, and what the run did as one line of JSON below ``record``, which it
+    also returns. Rows in and out are counted by the write itself."""
+    began = time.monotonic()
+    seen, made = Observation(f"{record}-in"), Observation(f"{record}-out")
+    rows = apply(df.observe(seen, F.count(F.lit(1)).alias("n"))).observe(made, F.count(F.lit(1)).alias("n"))
+    rows.write.parquet(out)
+    line = manifest(verb, options, seen.get["n"], made.get["n"], prompt, models, seconds=round(time.monotonic() - began, 3))
+    df.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.text(record)
+    return json.loads(line)

@@ -173,9 +173,9 @@ def json_profile(df: DataFrame, record: str, order: str | None = None, width: in
     return out.join(F.broadcast(n)).withColumn("coverage", F.round(100 * F.try_divide("present", "rows"), 1))
 
 
-def label_text(value: Column) -> Column:
-    """Labels as text; null has none."""
-    return value.cast("string")
+def label_text(value: Column, kind: T.DataType | None = None) -> Column:
+    """Labels as text: text as it is, anything else as JSON spells it; null has none."""
+    return F.to_json(value) if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)) else value.cast("string")
 
 
 def agreement(a: DataFrame, b: DataFrame, on: str, label: str = "label", other: str | None = None) -> DataFrame:
@@ -186,8 +186,8 @@ def agreement(a: DataFrame, b: DataFrame, on: str, label: str = "label", other:
     for side in (a, b):
         if side.where(F.col(on).isNotNull()).groupBy(on).count().where("count > 1").limit(1).count():
             raise ValueError(f"{on} repeats")
-    left = a.select(F.col(on), label_text(F.col(label)).alias("a_label"))
-    right = b.select(F.col(on), label_text(F.col(other or label)).alias("b_label"))
+    left = a.select(F.col(on), label_text(F.col(label), a.schema[label].dataType).alias("a_label"))
+    right = b.select(F.col(on), label_text(F.col(other or label), b.schema[other or label].dataType).alias("b_label"))
     return _confusion(left.join(right, on))
 
 
@@ -209,8 +209,8 @@ def agreement_sides(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
 def agreement_by_order(a: DataFrame, b: DataFrame, order: list[str], label: str = "label", other: str | None = None) -> DataFrame:
     """The confusion of two labellings of the same rows, told by their places: each side is numbered by ``order`` (range
     partitions, no single task). Sides of different length are an error."""
-    left = numbered(a.select(*order, label_text(F.col(label)).alias("a_label")), list(order)).select("_n", "a_label")
-    right = numbered(b.select(*order, label_text(F.col(other or label)).alias("b_label")), list(order)).select("_n", "b_label")
+    left = numbered(a.select(*order, label_text(F.col(label), a.schema[label].dataType).alias("a_label")), list(order)).select("_n", "a_label")
+    right = numbered(b.select(*order, label_text(F.col(other or label), b.schema[other or label].dataType).alias("b_label")), list(order)).select("_n", "b_label")
     counts = [f.agg(F.max("_n")).first()[0] or 0 for f in (left, right)]
     if counts[0] != counts[1]:
         raise ValueError(f"{counts[0]} rows on one side and {counts[1]} on the other: give a key instead")

@@ -75,6 +75,8 @@ VERBS: dict[str, Verb] = {
     "diff": lambda df, right, order, vector: vectors.diff(df, right, order, vector),
     "outliers": lambda df, order, vector, n=5: vectors.outliers(df, order, vector, n),
     "embed": lambda df, text, model, into="vector", budget=None: semantic.embed(df, text, model, into, budget),
+    "vectors": lambda df, text, model, into="vector", size=None: semantic.with_vectors(df, text, model, into, size),
+    "split": lambda df, text, budget=2000, source=None: rows.split_rows(df, text, budget, source),
     "map": lambda df, prompt, model, schema=None, keep_invalid=False: semantic.map_rows(df, prompt, model, _schema(schema), keep_invalid),
     "extend": lambda df, prompt, model, schema: semantic.extend_rows(df, prompt, model, _schema(schema)),
     "filter": lambda df, prompt, model, invert=False: semantic.filter_rows(df, prompt, model, invert),

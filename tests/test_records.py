@@ -141,3 +141,39 @@ def test_profile_with_examples(spark):
     df = spark.createDataFrame(data, "o int, j string")
     got = [(r.position, r.field, r.types, r.present, r.example) for r in tables.json_profile(df, "j", "o").orderBy("position").collect()]
     assert got == [(1, "m", "object", 1, '{"q":1}'), (2, "z", "string", 1, "long long long long lon…"), (3, "a", "integer|string", 2, "1")]
+
+
+def test_rows_bring_vectors(spark):
+    model = semantic.HashingEmbedder(4, "m")
+    df = spark.createDataFrame([(1, "a", [1.0, 2.0, 3.0, 4.0], "m"), (2, "b", None, None), (3, None, None, None)], "i int, t string, vector array<double>, __embedder string")
+    got = {r.i: (r.vector, r["__embedder"]) for r in semantic.with_vectors(df, "t", model, size=4).collect()}
+    assert got == {1: ([1.0, 2.0, 3.0, 4.0], "m"), 2: (model.embed(["b"])[0], "m"), 3: (None, "m")}
+    with pytest.raises(Exception, match="a vector of m does not mix with those of other"):
+        semantic.with_vectors(df, "t", semantic.HashingEmbedder(4, "other")).collect()
+    with pytest.raises(Exception, match="a vector of 4 components among those of 3"):
+        semantic.with_vectors(df, "t", semantic.HashingEmbedder(3, "m"), size=3).collect()
+    plain = semantic.with_vectors(df.drop("vector", "__embedder"), "t", model)
+    assert plain.where("vector is not null").count() == 2
+
+
+def test_split_rows(spark):
+    df = spark.createDataFrame([("/x/a.txt", "p\n\n" * 30, 1), ("b", None, 2), ("c", "", 3), (None, "short", 4)], "path string, body string, n int")
+    got = rows.split_rows(df, "body", 5, "path").collect()
+    assert "".join(r.text for r in got if r.n == 1) == "p\n\n" * 30
+    last = [r for r in got if r.n == 1][-1]
+    assert last["__source"].label == f"a.txt §{last['__source'].segment}/{last['__source'].segment}" and last["__source"].path == "/x/a.txt"
+    assert [(r.text, r["__source"].label, r["__source"]["as"]) for r in got if r.n != 1] == [("short", "row §1/1", "tokens")]
+
+
+def test_recorded_runs(spark, tmp_path):
+    df = spark.range(10)
+    said = semantic.recorded("where", {"min": 3}, df, lambda x: x.where("id >= 3"), str(tmp_path / "out"), str(tmp_path / "run"), "p", {"chat": "m"})
+    assert (said["rows_in"], said["rows_out"], said["models"]) == (10, 7, {"chat": "m"})
+    assert json.loads(spark.read.text(str(tmp_path / "run")).first()[0]) == said and spark.read.parquet(str(tmp_path / "out")).count() == 7
+    assert said["options_sha256"] == json.loads(semantic.manifest("where", {"min": 3}, 0, 0))["options_sha256"]
+
+
+def test_label_text(spark):
+    a = spark.createDataFrame([(1, True, [1, 2]), (2, False, None)], "k int, label boolean, l array<int>")
+    assert {tuple(r) for r in tables.agreement(a, a, "k").collect()} == {("true", "true", 1), ("false", "false", 1)}
+    assert [tuple(r) for r in tables.agreement(a, a, "k", "l").collect()] == [("[1,2]", "[1,2]", 1)]
