@@ -386,22 +386,28 @@ def distinct_near(spark, d):
     return vectors.distinct_near(table(spark, d, "embeddings"), "vec_id", "embedding").select("vec_id")
 
 
-_ALL = "u0 as materialized (select vec_id as o, embedding::double[] as v, row_number() over (order by vec_id, embedding) as n from embeddings where embedding is not null)"
 _THRESHOLD = """(select c[1 + len(c) // 2] + 0.35 * (c[1 + least(len(c) - 1, cast(floor(0.95 * len(c)) as bigint))] - c[1 + len(c) // 2]) from (select list_sort(list(list_cosine_similarity(a.v, b.v))) as c
   from u0 a join u0 b on a.n < b.n, (select count(*) as m, count(*) * (count(*) - 1) // 2 as total from u0) where ((a.n - 1) * (2 * m - a.n) // 2 + b.n - a.n - 1) % (case when total > 20000 then total // 20000 + 1 else 1 end) = 0))"""
 
 
-@query(
-    f"""with recursive {_ALL}, u as materialized (select u0.*, {_THRESHOLD} as t from u0), {_LEADERS.replace('THRESHOLD', 'u.t')},
-g as (select u.o, min(led.o) as leader from u join led on led.o <= u.o and list_cosine_similarity(led.v, u.v) >= u.t - 1e-12 group by u.o union all select vec_id, vec_id from embeddings where embedding is null),
-s as (select leader, count(*) as size, row_number() over (order by count(*) desc, leader) as place from g group by leader)
-select case when place <= 10 then place end as cluster, cast(sum(size) as bigint) as size, round(sum(size) / (select count(*) from g), 4) as share from s group by 1"""
-)
+def _clustered(which: str = "true") -> str:
+    """SQL for the clusters of some embeddings: g (o, leader) and s (leader, size, place)."""
+    return f"""with recursive u0 as materialized (select vec_id as o, embedding::double[] as v, row_number() over (order by vec_id, embedding) as n from embeddings where embedding is not null and ({which})),
+u as materialized (select u0.*, {_THRESHOLD} as t from u0), {_LEADERS.replace('THRESHOLD', 'u.t')},
+g as (select u.o, min(led.o) as leader from u join led on led.o <= u.o and list_cosine_similarity(led.v, u.v) >= u.t - 1e-12 group by u.o union all select vec_id, vec_id from embeddings where embedding is null and ({which})),
+s as (select leader, count(*) as size, row_number() over (order by count(*) desc, leader) as place from g group by leader)"""
+
+
+@query(f"{_clustered()} select case when place <= 10 then place end as cluster, cast(sum(size) as bigint) as size, round(sum(size) / (select count(*) from g), 4) as share from s group by 1")
 def cluster_sizes(spark, d):
     return vectors.cluster_sizes(vectors.cluster(table(spark, d, "embeddings"), "vec_id", "embedding"), 10)
 
 
-@query()
+@query(
+    f"""{_clustered("label is not null")}, n as (select count(*) filter (label < 5) as nl, count(*) filter (label >= 5) as nr from embeddings),
+p as (select place as cluster, count(*) filter (label < 5) as l, count(*) filter (label >= 5) as r from g join s using (leader) join embeddings e on e.vec_id = g.o group by place)
+select cluster, round(l / nl, 4) as left_share, round(r / nr, 4) as right_share, case when l / nl - r / nr >= 0.05 and l >= 2 then 'left' when r / nr - l / nl >= 0.05 and r >= 2 then 'right' end as lean from p, n"""
+)
 def diff_sides(spark, d):
     df = table(spark, d, "embeddings")
     return vectors.diff(df.where("label < 5"), df.where("label >= 5"), "vec_id", "embedding")
@@ -442,7 +448,7 @@ def live_board_snapshots(spark, d):
     return last.select("event_type", "snapshots", F.col("__rank").alias("rank"), "event_id", F.round("__score", 4).alias("score"))
 
 
-@query()
+@query(f"{_clustered()} select place as cluster, concat('cluster ', place) as label from s where leader in (select o from u)")
 def cluster_labels(spark, d):
     """Clusters with the members nearest their mean, named without a model."""
     df = table(spark, d, "embeddings")
