@@ -74,14 +74,13 @@ def cooccurrence(found: DataFrame, min_weight: int = 1, names: DataFrame | None
 
 
 def paired(found: DataFrame, min_weight: int = 1) -> DataFrame:
-    """``cooccurrence`` of distinct (window, name). Windows of a pair are summed up to their number and the REFS least of
-    them before they are shuffled."""
+    """``cooccurrence`` of distinct (window, name). Tasks add up a pair's windows, and keep its REFS least ones only, before
+    they shuffle, so a pair in very many windows is no one task's."""
     pairs = found.select("window", F.col("name").alias("source")).join(found.select("window", F.col("name").alias("target")), "window").where("source < target")
-    # A pair's windows are dealt out by a bucket of their own first, so a pair in very many windows is no one task's.
-    least = lambda c: F.slice(F.array_sort(c), 1, REFS)
-    some = pairs.groupBy("source", "target", F.pmod(F.xxhash64("window"), F.lit(64)).alias("_b")).agg(F.count(F.lit(1)).alias("n"), least(F.collect_list("window")).alias("refs"))
-    out = some.groupBy("source", "target").agg(F.sum("n").alias("weight"), least(F.flatten(F.collect_list("refs"))).alias("sources")).where(F.col("weight") >= min_weight)
-    return out.withColumn("hidden", F.greatest(F.col("weight") - REFS, F.lit(0)))
+    counts = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
+    place = F.row_number().over(Window.partitionBy("source", "target").orderBy("window"))  # a limit that Spark applies by task first
+    refs = pairs.withColumn("_p", place).where(F.col("_p") <= REFS).groupBy("source", "target").agg(F.array_sort(F.collect_list("window")).alias("sources"))
+    return counts.join(refs, ["source", "target"]).withColumn("hidden", F.greatest(F.col("weight") - REFS, F.lit(0)))
 
 
 def adopt(edges: DataFrame, source: str, target: str, relation: str | None = None, weight: str | None = None) -> DataFrame:

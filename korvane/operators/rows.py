@@ -80,11 +80,22 @@ def quotas(df: DataFrame, n: int, by: str, seed: int = 0) -> DataFrame:
 
 
 def sample_by(df: DataFrame, n: int, by: str, order: str, seed: int = 0) -> DataFrame:
-    """n rows, each stratum with its quota, drawn within it as in ``sample``."""
-    shares = small(materialize(quotas(df, n, by, seed), "quotas").select(F.col("stratum").alias("_stratum"), F.col("quota").alias("_quota")))
-    drawn = df.join(shares, F.col(by).eqNullSafe(F.col("_stratum"))).withColumn("_draw", _draw(seed, order))
-    rank = F.row_number().over(Window.partitionBy("_stratum").orderBy("_draw", order))
-    return drawn.withColumn("_rank", rank).where("_rank <= _quota").drop("_stratum", "_quota", "_draw", "_rank")
+    """n rows, each stratum with its quota, drawn within it as in ``sample``.
+
+    A stratum's draws are counted in 4096 equal buckets, so that all rows below the bucket where its quota ends stay,
+    those above go, and only that bucket's rows are ranked: no task sorts a stratum.
+    """
+    shares = materialize(quotas(df, n, by, seed), "quotas").select(F.col("stratum").alias("_s"), "quota")
+    drawn = df.withColumn("_draw", _draw(seed, order)).withColumn("_bucket", F.substring("_draw", 1, 3))
+    counts = drawn.groupBy(F.col(f"`{by}`").alias("_stratum"), "_bucket").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("_stratum").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0))
+    ends = counts.withColumn("upto", upto).join(small(shares), F.col("_stratum").eqNullSafe(F.col("_s")))
+    ends = ends.where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("c") < F.col("quota")))
+    ends = small(materialize(ends.select("_stratum", F.col("_bucket").alias("_end"), (F.col("quota") - F.col("upto") + F.col("c")).alias("_take")), "sample-ends"))
+    some = drawn.join(ends, F.col(f"`{by}`").eqNullSafe(F.col("_stratum"))).where(F.col("_bucket") <= F.col("_end"))
+    rank = F.row_number().over(Window.partitionBy("_stratum", "_bucket").orderBy("_draw", order))
+    kept = some.withColumn("_rank", rank).where((F.col("_bucket") < F.col("_end")) | (F.col("_rank") <= F.col("_take")))
+    return kept.drop("_draw", "_bucket", "_stratum", "_end", "_take", "_rank")
 
 
 def key_text(c: Column, kind: T.DataType) -> Column:

@@ -300,10 +300,9 @@ def distinct_near_groups(df: DataFrame, order: str, vector: str, threshold: floa
     o = F.col(order)
     rank = F.when((o == F.col("first")) & (o != F.col("leader")), 0).when(F.col("first") == F.col("leader"), 1).otherwise(2)
     ranked = rows.where(o != F.col("leader")).select("leader", F.struct(rank.alias("r"), o.alias("o")).alias("m"))
-    # Groups are cut into buckets first, so no task sorts a whole group.
-    head = lambda c: F.slice(F.array_sort(c), 1, members)
-    some = ranked.groupBy("leader", F.pmod(F.xxhash64("m.o"), F.lit(64)).alias("b")).agg(F.count(F.lit(1)).alias("n"), head(F.collect_list("m")).alias("l"))
-    lists = some.groupBy("leader").agg(F.sum("n").alias("n"), F.transform(head(F.flatten(F.collect_list("l"))), lambda m: m["o"]).alias("l"))
+    place = F.row_number().over(Window.partitionBy("leader").orderBy("m"))  # a limit that Spark applies by task first
+    first = ranked.withColumn("p", place).where(F.col("p") <= members).groupBy("leader").agg(F.transform(F.array_sort(F.collect_list("m")), lambda m: m["o"]).alias("l"))
+    lists = ranked.groupBy("leader").agg(F.count(F.lit(1)).alias("n")).join(first, "leader")
     kept = rows.where(o == F.col("leader")).select(o.alias("kept")).join(lists, F.col("kept") == F.col("leader"), "left")
     return kept.select("kept", (F.coalesce("n", F.lit(0)) + 1).alias("count"), F.coalesce("l", F.array().cast(lists.schema["l"].dataType)).alias("duplicates"))
 
