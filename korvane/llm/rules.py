@@ -253,7 +253,8 @@ def filter_documents(docs: DataFrame, labels: DataFrame, **risk: float) -> DataF
     """The documents that pass the base rules and their stratum's certified cutoffs; all columns of ``docs`` are kept.
 
     Null and empty texts have no words, so the base rules reject them. Repeated rows are judged alike. Documents with a
-    null doc_id are never holdouts but are judged. With no labels nothing is certified and only the base rules hold.
+    null doc_id are never holdouts but are judged. With no labels nothing is certified and only the base rules hold. A
+    text is worked on whole, alone if it is long; an empty table stays empty; columns may have any names.
     """
     good = bounded_broadcast(materialize(labels.where("quality = 1").select(F.col("doc_id").alias("_g_id")).distinct(), "rules-good"))
     held = docs.join(good, F.col("doc_id") == F.col("_g_id"), "left_semi")

@@ -145,6 +145,8 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0) -> DataFrame
 
 #: A null page_id sorts before all others.
 NO_PAGE = -(1 << 63)
+#: What the name of an index file's directory ends in.
+DIRECTORY = ".dir"
 
 
 def place_of(line: str) -> tuple[str, int]:
@@ -154,14 +156,16 @@ def place_of(line: str) -> tuple[str, int]:
 
 
 def write_index(captures: DataFrame, path: str) -> DataFrame:
-    """Sort the captures by key into compressed blocks below ``path``; returns the directory, a written table."""
+    """Sort the captures by key into compressed blocks below ``path``; returns the directory, a written table. Each index
+    file has its blocks' part of it beside it."""
     parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = captures.select("key", "page_id", "file", "offset", "length").repartitionByRange(parts, "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
+    order = ["key", "page_id", "file", "offset"]  # captures of one key and page may be many: they are told apart by their place
+    ranged = captures.select(*order, "length").repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open(path)
         store.create_dir(top, recursive=True)
-        name, at, out, lines = f"index-{_attempt()}.z", 0, None, []
+        name, at, out, lines, own = f"index-{_attempt()}.z", 0, None, [], []
 
         def block(lines: list[str]) -> pa.RecordBatch:
             nonlocal at
@@ -169,6 +173,7 @@ def write_index(captures: DataFrame, path: str) -> DataFrame:
             out.write(raw)
             (first, first_page), (last, last_page) = place_of(lines[0]), place_of(lines[-1])
             row = [first, first_page, last, last_page, name, at, len(raw), len(lines)]
+            own.append("\t".join(map(str, (first, first_page, last, last_page, at, len(raw)))))
             at += len(raw)
             return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=["first_key", "first_page", "last_key", "last_page", "file", "offset", "length", "n"])
 
@@ -182,6 +187,9 @@ def write_index(captures: DataFrame, path: str) -> DataFrame:
                         lines = []
             if lines:
                 yield block(lines)
+            if own:  # the file's own directory, for searches
+                with store.open_output_stream(f"{top}/{name}{DIRECTORY}") as f:
+                    f.write(zlib.compress("\n".join(own).encode()))
         finally:
             if out:
                 out.close()
@@ -194,12 +202,21 @@ def read_block(store, top: str, file: str, offset: int, length: int) -> list[str
         return zlib.decompress(f.read_at(length, offset)).decode().split("\n")
 
 
+def read_directory(store, top: str, file: str) -> list[tuple[str, int, str, int, int, int]]:
+    """The blocks of an index file in order: first key and page, last key and page, offset, length."""
+    with store.open_input_file(f"{top}/{file}{DIRECTORY}") as f:
+        rows = [line.split("\t") for line in zlib.decompress(f.read()).decode().split("\n")]
+    return [(a, int(p), b, int(q), int(at), int(n)) for a, p, b, q, at, n in rows]
+
+
 def find_captures(requests: DataFrame, directory: DataFrame, path: str) -> DataFrame:
     """The index lines (file, offset, length) of all captures of the requests (url, page_id), each found by searching.
 
     The files' first places, as many as the index has partitions, deal each request to the file or files that may hold
-    it. There the file's directory is searched by halving, then the one or more blocks that may hold the request, each
-    read by its range. Requests count once, however often they are repeated.
+    it. Requests are then sorted as the index is and go by as a stream, over as many tasks as they need: the directory of
+    the file at hand is searched by halving, then the one or more blocks that may hold the request, each read by its
+    range once for all requests in a row. A task holds a file's directory and one block. Requests count once, however
+    often they are repeated.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,22 +236,27 @@ def find_captures(requests: DataFrame, directory: DataFrame, path: str) -> DataF
                 rows += [(*want, names[i]) for i in range(bisect_left(lasts, want), bisect_right(firsts, want))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.string()))], names=["key", "page", "index"])
 
-    def search(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open(path)
-        places = sorted(blocks.to_pylist(), key=lambda b: b["offset"])
-        begins, ends = [(b["first_key"], b["first_page"]) for b in places], [(b["last_key"], b["last_page"]) for b in places]
-        now, lines, order, found = -1, [], [], []
-        for want in sorted(zip(asked["key"].to_pylist(), asked["page"].to_pylist())):
-            for i in range(bisect_left(ends, want), bisect_right(begins, want)):
-                if i != now:
-                    now, lines = i, read_block(store, top, places[i]["index"], places[i]["offset"], places[i]["length"])
-                    order = [place_of(line) for line in lines]
-                found += [line.split("\t")[2:] for line in lines[bisect_left(order, want) : bisect_right(order, want)]]
-        return pa.table([pa.array([f[0] for f in found], pa.string()), *(pa.array([int(f[i]) for f in found], pa.int64()) for i in (1, 2))], names=["file", "offset", "length"])
-
+        file, now, lines, order = None, -1, [], []
+        for batch in batches:
+            found = []
+            for index, *want in zip(*(batch.column(c).to_pylist() for c in ("index", "key", "page"))):
+                if index != file:
+                    file, now, places = index, -1, read_directory(store, top, index)
+                    begins, ends = [p[:2] for p in places], [p[2:4] for p in places]
+                want = tuple(want)
+                for i in range(bisect_left(ends, want), bisect_right(begins, want)):
+                    if i != now:
+                        now, lines = i, read_block(store, top, file, *places[i][4:])
+                        order = [place_of(line) for line in lines]
+                    found += [line.split("\t")[2:] for line in lines[bisect_left(order, want) : bisect_right(order, want)]]
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), *(pa.array([int(f[i]) for f in found], pa.int64()) for i in (1, 2))], names=["file", "offset", "length"])
+
+    parts = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     asked = wanted.mapInArrow(deal, "key string, page long, index string")
-    blocks = directory.select(F.col("file").alias("index"), "first_key", "first_page", "last_key", "last_page", "offset", "length")
-    return asked.groupBy("index").cogroup(blocks.groupBy("index")).applyInArrow(search, "file string, offset long, length long")
+    asked = asked.repartitionByRange(parts, "index", "key", "page").sortWithinPartitions("index", "key", "page")
+    return asked.mapInArrow(search, "file string, offset long, length long")
 
 
 RECORD_FIELDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
