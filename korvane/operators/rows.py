@@ -10,6 +10,7 @@ from ..functions.fields import json_field
 from ..functions.predicates import ISO, NUMBER
 from ..functions.texts import chunks
 from ..shared import materialize, small
+from ..sources import writers
 
 
 def sort_keys(df: DataFrame, field: str, desc: bool = False) -> list[Column]:
@@ -115,6 +116,13 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], kind
     return a.join(b, on, "left_anti").select("left.*") if kind == "anti" else a.join(b, on, {"inner": "inner", "leftouter": "left"}[kind])
 
 
+def join_keeping_unmatched(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], unmatched: str) -> DataFrame:
+    """The inner ``join_on``; the left rows that match nothing are written as JSON lines below ``unmatched``, as they are,
+    rows without a key among them."""
+    writers.jsonl(join_on(left, right, keys, "anti"), unmatched)
+    return join_on(left, right, keys)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """All rows of all frames; columns that a frame lacks are null."""
     out = frames[0]

@@ -37,6 +37,39 @@ def csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.select(*columns).write.csv(path, header=True, sep=sep, escape='"')
 
 
+#: What a name's ending says about the form.
+FORMS = {"jsonl": "jsonl", "ndjson": "jsonl", "json": "jsonl", "csv": "csv", "tsv": "tsv", "txt": "text", "text": "text", "parquet": "parquet"}
+
+
+def form_of(df: DataFrame, path: str, form: str | None = None) -> str:
+    """The form to write in: the one asked for, or what the path's ending says, or text for plain lines (one column
+    ``text``) and JSON lines for anything else. CSV and TSV need named fields, text needs one column of it."""
+    ending = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower()
+    plain = [c for c in df.columns if not c.startswith("__")] == ["text"]
+    found = form or FORMS.get(ending) or ("text" if plain else "jsonl")
+    if found not in set(FORMS.values()):
+        raise ValueError(f"no form {found!r}; there are {', '.join(sorted(set(FORMS.values())))}")
+    if found in ("csv", "tsv") and plain:
+        raise ValueError(f"plain lines have no fields for {found}")
+    if found == "text" and not plain:
+        raise ValueError(f"text is one column, these are {', '.join(df.columns)}")
+    return found
+
+
+def write(df: DataFrame, path: str, form: str | None = None) -> str:
+    """Write ``df`` in the form that ``form_of`` finds, and say which."""
+    found = form_of(df, path, form)
+    if found == "parquet":
+        df.write.parquet(path)
+    elif found == "text":
+        text(df, "text", path)
+    elif found == "jsonl":
+        jsonl(df, path)
+    else:
+        csv(df, path, "\t" if found == "tsv" else ",")
+    return found
+
+
 def target(template: str) -> Column:
     """The template's value for each row: ``{column}`` is a column's text."""
     parts = [p for p in re.split(r"(\{\w+\})", template) if p]

@@ -10,7 +10,7 @@ from korvane.functions import texts
 from korvane.functions.schemas import record_schema
 from korvane.operators import rows, semantic, tables, vectors
 from korvane.plans import pipelines
-from korvane.sources import readers
+from korvane.sources import readers, writers
 
 
 def test_prompts_and_payloads(spark):
@@ -177,3 +177,22 @@ def test_label_text(spark):
     a = spark.createDataFrame([(1, True, [1, 2]), (2, False, None)], "k int, label boolean, l array<int>")
     assert {tuple(r) for r in tables.agreement(a, a, "k").collect()} == {("true", "true", 1), ("false", "false", 1)}
     assert [tuple(r) for r in tables.agreement(a, a, "k", "l").collect()] == [("[1,2]", "[1,2]", 1)]
+
+
+def test_forms(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a")], "i int, text string")
+    for name, form in (("o.jsonl", "jsonl"), ("o.csv", "csv"), ("o.TSV", "tsv"), ("plain", "jsonl"), ("o.parquet", "parquet")):
+        assert writers.write(df, str(tmp_path / name)) == form
+    assert writers.write(df.select("text"), str(tmp_path / "lines")) == "text" and (spark.read.text(str(tmp_path / "lines")).first()[0]) == "a"
+    assert spark.read.csv(str(tmp_path / "o.TSV"), sep="\t", header=True).first().text == "a"
+    for frame, form in ((df, "text"), (df.select("text"), "csv"), (df, "xml")):
+        with pytest.raises(ValueError):
+            writers.write(frame, str(tmp_path / "bad"), form)
+
+
+def test_unmatched_rows_are_kept(spark, tmp_path):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, t string")
+    right = spark.createDataFrame([(1, "x")], "k int, u string")
+    got = rows.join_keeping_unmatched(left, right, [("k", "k")], str(tmp_path / "u")).collect()
+    assert [(r.left.t, r.right.u) for r in got] == [("a", "x")]
+    assert {r.t for r in spark.read.json(str(tmp_path / "u")).collect()} == {"b", "c"}
