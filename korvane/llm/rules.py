@@ -133,9 +133,9 @@ RULES = {
 N_STEPS = len(PER_MILLE) * len(RULES)
 
 
-def ratio_steps() -> Column:
+def rule_steps() -> list[Column]:
     """A document's whole step under each rule, in the order of RULES."""
-    return F.array(*[F.expr(f"least({most}L, ({unit}L * _r_{a}) div greatest(_r_{b}, 1L))") for a, b, unit, most in RULES.values()])
+    return [F.expr(f"least({most}L, ({unit}L * _r_{a}) div greatest(_r_{b}, 1L))") for a, b, unit, most in RULES.values()]
 
 
 def base_failed() -> Column:
@@ -218,7 +218,7 @@ def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     """
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").alias("_g_id")).distinct()
     held = stats.where(~base_failed()).join(good, F.col("doc_id") == F.col("_g_id"), "left_semi")
-    held = materialize(held.select("doc_id", stratum().alias("stratum"), ratio_steps().alias("steps")), "rules-held")
+    held = materialize(held.select("doc_id", stratum().alias("stratum"), F.array(*rule_steps()).alias("steps")), "rules-held")
     is_odd = F.col("doc_id").bitwiseAND(F.lit(1).cast(stats.schema["doc_id"].dataType)) == 1
     cuts = materialize(candidates(held.where(~is_odd)), "rules-candidates").withColumnRenamed("stratum", "c_stratum")
     tested = held.where(is_odd).join(bounded_broadcast(cuts), F.col("stratum") == F.col("c_stratum"), "left")
@@ -243,10 +243,15 @@ def cutoffs(stats: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
 def judge(stats: DataFrame, cuts: DataFrame) -> DataFrame:
     """``stats`` with ``_r_level`` (its stratum's configuration; -1: nothing is certified there, so only the base rules
     hold), ``_r_base_failed`` and ``_r_kept``."""
-    cuts = bounded_broadcast(cuts.select(F.col("stratum").alias("_r_stratum"), F.col("level").alias("_r_cut"), F.col("cuts").alias("_r_cuts")))
+    n = len(RULES)
+    place = [F.col("level") - F.pmod(F.col("level") - r, F.lit(n)) for r in range(n)]  # where each rule has last tightened
+    at_level = [F.when(p >= 0, F.get("cuts", p)).alias(f"_r_e{r}") for r, p in enumerate(place)]
+    cuts = bounded_broadcast(cuts.select(F.col("stratum").alias("_r_stratum"), F.col("level").alias("_r_cut"), *at_level))
     out = stats.join(cuts, stratum() == F.col("_r_stratum"), "left").withColumn("_r_level", F.coalesce("_r_cut", F.lit(-1)))
-    passes = (F.col("_r_level") < 0) | (first_step(ratio_steps(), F.col("_r_cuts")) > F.col("_r_level"))
-    return out.withColumn("_r_base_failed", base_failed()).withColumn("_r_kept", ~F.col("_r_base_failed") & passes).drop("_r_stratum", "_r_cut", "_r_cuts")
+    passes = F.lit(True)
+    for r, step in enumerate(rule_steps()):
+        passes = passes & F.coalesce(step <= F.col(f"_r_e{r}"), F.lit(True))
+    return out.withColumn("_r_base_failed", base_failed()).withColumn("_r_kept", ~F.col("_r_base_failed") & passes).drop("_r_stratum", "_r_cut", *[f"_r_e{r}" for r in range(n)])
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, **risk: float) -> DataFrame:
