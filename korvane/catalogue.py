@@ -417,7 +417,7 @@ def diff_sides(spark, d):
 def live_board_final(spark, d):
     """The last state of a live board that the table streams through."""
     score = unit_score(F.col("embedding"), F.array(*[F.lit(float(x)) for x in _near(spark, d)]))
-    stream = live.parquet_stream(spark, d, table(spark, d, "embeddings").schema, name="embeddings.parquet")
+    stream = live.parquet_stream(spark, d, table(spark, d, "embeddings").schema, 64, "embeddings.parquet")
     seen = _streamed(spark, live.board(stream, 20, score, "vec_id"))
     last = seen.agg(F.max("__snapshot").alias("last"))
     return seen.join(F.broadcast(last), F.col("__snapshot") == F.col("last")).select("vec_id", F.round("__score", 4).alias("__score"))
@@ -441,7 +441,8 @@ select r.event_type, snapshots, place as rank, event_id, round(value, 4) as scor
 )
 def live_board_snapshots(spark, d):
     """The last snapshot of each event type's live board of five, and how many there were."""
-    stream = live.parquet_stream(spark, d, table(spark, d, "events").schema, name="events.parquet")
+    # Snapshots follow the order of ids, which files need not: all files of the table arrive in one batch.
+    stream = live.parquet_stream(spark, d, table(spark, d, "events").schema, 1_000_000, "events.parquet")
     seen = _streamed(spark, live.board(stream, 5, F.col("value"), "event_id", ["event_type"]))
     counts = seen.groupBy(F.col("event_type").alias("t")).agg(F.max("__snapshot").alias("snapshots"))
     last = seen.join(F.broadcast(counts), F.col("event_type").eqNullSafe(F.col("t")) & (F.col("__snapshot") == F.col("snapshots")))

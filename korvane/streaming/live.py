@@ -66,8 +66,9 @@ def board(stream: DataFrame, k: int, score: Column, order: str, by: list[str] =
     """The snapshots of a live board of the k best rows, for each value of ``by`` (or one for all): whenever a row enters
     the board, its rows as they then are, as (by..., __snapshot, __rank, __score, order, record).
 
-    Rows rank by falling score, then by ``order`` (whole numbers that tell their arrival and grow from batch to batch);
-    rows repeated in both count each, and rows of one ``order`` arrive best first. Snapshots are numbered from 1, ranks too; record is the row as JSON. Rows without a
+    Rows rank by falling score, then by ``order`` (whole numbers that tell their arrival within a batch); rows repeated in
+    both count each, and rows of one ``order`` arrive best first. Batches may come in any order: the last board is the
+    same, the snapshots on the way to it are not. Snapshots are numbered from 1, ranks too; record is the row as JSON. Rows without a
     score, with NaN, without an order or below ``threshold`` don't take part. Tasks first drop rows that k earlier ones of
     their batch beat, so the task that keeps a board sees few of its rows; its state is the board and the last number.
     """
@@ -89,7 +90,7 @@ def board(stream: DataFrame, k: int, score: Column, order: str, by: list[str] =
         rows = [((-s, o), r) for s, o, r in zip(*columns)]  # the board, best first
         arrived = []
         for pdf in batches:  # rows that the board as it stands beats stay out whatever comes
-            some = pdf[pdf["_score"] > -rows[-1][0][0]] if len(rows) == k else pdf
+            some = pdf[pdf["_score"] >= -rows[-1][0][0]] if len(rows) == k else pdf
             arrived += [((-s, o), r) for s, o, r in zip(some["_score"], some["_order"], some["record"])]
         arrived.sort(key=lambda x: (x[0][1], x[0][0]))
         out = []
@@ -127,7 +128,12 @@ def _files(spark: SparkSession, files_per_batch: int, name: str | None):
 
 
 def parquet_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int = 1, name: str | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream, a few at a time; with ``name``, files of that name (or pattern) only."""
+    """Parquet files of a folder as a stream, a few at a time; with ``name``, files of that name (or pattern) only, or, if
+    that names a folder of files, those."""
+    if name and not set(name) & set("*?[{"):
+        inner = spark._jvm.org.apache.hadoop.fs.Path(path, name)
+        if inner.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isDirectory(inner):
+            path, name = inner.toString(), None
     return _files(spark, files_per_batch, name).schema(schema).parquet(path)
 
 

@@ -94,3 +94,28 @@ def test_line_and_record_streams(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "r"))
     assert {(r.k, r.t, r["__raw"]) for r in got.collect()} == {(1, "x", None), (None, None, '{"k": "no"}'), (None, None, "not json")}
     assert all(r["__source"].endswith("a.jsonl") for r in got.collect())
+
+
+def test_boards_of_tables_that_are_folders(spark, duck, sf, tmp_path):
+    """Files of a table in any order, a tie across them among the rows that end on the board."""
+    from korvane import catalogue
+    from tests.compare import same
+
+    for name, order in (("embeddings", "vec_id"), ("events", "event_id")):
+        df = spark.read.parquet(f"{sf}/{name}.parquet")
+        df.repartition(3, F.pmod(F.hash(order), F.lit(7))).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for query in ("live_board_final", "live_board_snapshots"):
+        same(catalogue.QUERIES[query](spark, str(tmp_path)), catalogue.ORACLES[query], duck)
+
+
+def test_ties_across_batches(spark, tmp_path):
+    rows = [(5, "a", 2.0), (6, "a", 1.0)], [(1, "a", 1.0)]
+    path = str(tmp_path / "in")
+    schema = spark.createDataFrame([], SCHEMA).schema
+    for at, some in enumerate(rows):
+        spark.createDataFrame(some, SCHEMA).coalesce(1).write.parquet(f"{path}/{at}")
+        board = live.board(live._files(spark, 9, None).schema(schema).parquet(f"{path}/*"), 2, F.col("v"), "o")
+        live.into_parquet(board, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    seen = spark.read.parquet(str(tmp_path / "out")).collect()
+    last = max(r["__snapshot"] for r in seen)
+    assert sorted((r["__rank"], r["o"]) for r in seen if r["__snapshot"] == last) == [(1, 5), (2, 1)]
