@@ -64,7 +64,7 @@ def chunks(text: Column, budget: int = 2000) -> Column:
 def sentences(text: Column) -> Column:
     """Sentences: cut after a terminator with its closing quotes before white space, and at blank lines."""
     parts = F.split(F.regexp_replace(text, r"([.!?…。！？][\"'”’)\]]*)\s+", "$1\u0001"), "\u0001|\\n\\s*\\n")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 #: Elements without readable text, and elements that stand on lines of their own.

@@ -189,6 +189,8 @@ def test_texts(spark):
     assert [r[0] for r in df.select(texts.html_text(F.col("h"))).collect()] == ["Hi you\nA & B", ""]
     df = spark.createDataFrame([('One. "Two!" Three\n\nFour',)], "t string")
     assert df.select(texts.sentences(F.col("t"))).first()[0] == ["One.", '"Two!"', "Three", "Four"]
+    df = spark.createDataFrame([(" ".join(f" {i} then {i}. " for i in range(120)),)], "t string")
+    assert df.select(texts.sentences(F.col("t"))).first()[0] == [f"{i} then {i}." for i in range(120)]
     assert texts.repaired("x ```json\n{a: 1, 'b': [1,2,],}\n```") == '{"a":1,"b":[1,2]}'
     assert texts.repaired("none") is None
     assert texts.repaired('{"a": "x, ]", b: 1}') == '{"a":"x, ]","b":1}'
