@@ -29,22 +29,24 @@ def tokens_of(text: str) -> int:
 
 
 def _within(text: str, budget: int) -> Iterator[str]:
-    """The text, or equal cuts of it, as many as it has budgets of tokens."""
-    width = max(len(text) // -(-tokens_of(text) // budget), 1)
-    return (text[i : i + width] for i in range(0, len(text), width))
+    """Equal cuts of the text, as many as it has budgets of tokens; the last one has what is left over."""
+    n = -(-tokens_of(text) // budget)
+    width = len(text) // n
+    return (text[i * width : (i + 1) * width if i < n - 1 else None] for i in range(n))
 
 
 def chunks_of(text: str, budget: int) -> list[str]:
     """Chunks of about ``budget`` tokens that join to the text. They end where paragraphs do, or lines if there is only
-    one paragraph; a paragraph or line over the budget is cut evenly. No chunk for empty text."""
+    one paragraph; a paragraph or line over the budget is cut evenly, and two of its cuts are never one chunk. No chunk
+    for empty text."""
     if tokens_of(text) <= budget:
         return [text] if text else []
     units = re.findall(r"(?s).+?(?:\n\n+|\Z)|\n+", text)
     if len(units) == 1:
         units = re.findall(r"[^\n]*\n+|[^\n]+", text)
     out = [""]
-    for part in (p for u in units for p in (_within(u, budget) if tokens_of(u) > budget else [u])):
-        if out[-1] and tokens_of(out[-1] + part) > budget:
+    for i, part in (p for u in units for p in enumerate(_within(u, budget) if tokens_of(u) > budget else [u])):
+        if out[-1] and (i or tokens_of(out[-1] + part) > budget):
             out.append("")
         out[-1] += part
     return out

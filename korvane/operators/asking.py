@@ -207,7 +207,7 @@ def _in_turns(pdf: pd.DataFrame, text: str, template: str, model: ChatModel, bud
 
 def judge_long(df: DataFrame, text: str, template: str, model: ChatModel, budget: int) -> DataFrame:
     """``df`` with _match and _asked: whether the model answers yes for any chunk of the column ``text``, and how many
-    chunks it was asked about. ``{field}`` in the template is a column; that of ``text`` is a chunk of at most ``budget``
+    chunks it was asked about. ``{field}`` in the template is a column; that of ``text`` is a chunk of about ``budget``
     tokens. Chunks are asked in order and not beyond the first yes; a chunk that the model finds too long is halved, at
     most MAX_HALVINGS times. No answer at all is null, as is a row without text, which is not asked.
 

@@ -184,6 +184,14 @@ def test_chunks_join(text, budget):
     assert "".join(texts.chunks_of(text, budget)) == text
 
 
+def test_cuts_of_a_line():
+    for n in (2001, 2003, 6002, 40019):  # lines whose length the number of cuts does not divide
+        line = "".join(chr(97 + i % 26) for i in range(n))
+        cuts, width = -(-texts.tokens_of(line) // 500), n // -(-texts.tokens_of(line) // 500)
+        assert [len(c) for c in texts.chunks_of(line, 500)] == [width] * (cuts - 1) + [n - width * (cuts - 1)]
+        assert texts.chunks_of("short\n" + line, 500)[-1] == line[width * (cuts - 1) :]
+
+
 def test_texts(spark):
     df = spark.createDataFrame([("<p>Hi&nbsp;<b>you</b></p><script>x<y</script><div>A &amp; B</div>",), (None,)], "h string")
     assert [r[0] for r in df.select(texts.html_text(F.col("h"))).collect()] == ["Hi you\nA & B", ""]
