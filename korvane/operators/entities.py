@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,12 +122,20 @@ def gazetteer_mentions(df: DataFrame, key: str, text: str, names: DataFrame, fol
         some = mentions_of(df, key, text, _All(finder))
         found = some if found is None else found.unionByName(some)
 
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start").reset_index(drop=True)
-        kept = without_overlap(iter(zip(pdf["start"], pdf["end"], pdf.index)))
-        return pdf.loc[[i for _, _, i in kept]]
-
-    return found.groupBy(key).applyInPandas(resolve, found.schema)
+    def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ends = None, 0  # the text that rows are of, and where its last span taken has ended
+        for batch in batches:
+            kept = []
+            for k, start, end in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if k != last and (k == k or last == last):
+                    last, ends = k, 0
+                kept.append(start >= ends)
+                ends = end if kept[-1] else ends
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    # A text's spans follow each other in a sorted partition, so no group is handed to Python on its own.
+    ordered = found.repartition(F.col(f"`{key}`")).sortWithinPartitions(F.col(f"`{key}`"), "start")
+    return ordered.mapInArrow(resolve, found.schema)
 
 
 @dataclass

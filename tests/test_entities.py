@@ -98,3 +98,14 @@ def test_pairs_of_many_windows(spark):
     df = spark.range(300).select(F.format_string("w%03d", "id").alias("window"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("name"))
     r = graph.paired(df).first()
     assert (r.source, r.target, r.weight, r.hidden, r.sources) == ("a", "b", 300, 280, [f"w{i:03d}" for i in range(20)])
+
+
+def test_shards_of_names_make_no_groups_in_python(spark, monkeypatch):
+    texts = [("a b", f"x{i % 7} a b c x{i % 5} c d a") for i in range(40)]
+    df = spark.createDataFrame([(i if i else None, t) for i, (_, t) in enumerate(texts)], "k long, t string")
+    names = spark.createDataFrame([(n, "l") for n in ("a b", "b c", "c", "a", "b c x1 c", "d a", *(f"x{i}" for i in range(7)))], "name string, label string")
+    plain = sorted(map(tuple, entities.gazetteer_mentions(df, "k", "t", names).collect()), key=repr)
+    monkeypatch.setattr(entities, "SHARD", 4)
+    sharded = entities.gazetteer_mentions(df, "k", "t", names)
+    assert sorted(map(tuple, sharded.collect()), key=repr) == plain
+    assert "FlatMapGroups" not in sharded._jdf.queryExecution().toString()
