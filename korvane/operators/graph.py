@@ -80,7 +80,8 @@ def paired(found: DataFrame, min_weight: int = 1) -> DataFrame:
     counts = pairs.groupBy("source", "target").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= min_weight)
     place = F.row_number().over(Window.partitionBy("source", "target").orderBy("window"))  # a limit that Spark applies by task first
     refs = pairs.withColumn("_p", place).where(F.col("_p") <= REFS).groupBy("source", "target").agg(F.array_sort(F.collect_list("window")).alias("sources"))
-    return counts.join(refs, ["source", "target"]).withColumn("hidden", F.greatest(F.col("weight") - REFS, F.lit(0)))
+    # Every counted pair has references; as a left join, Spark leaves their pass out where nobody reads ``sources``.
+    return counts.join(refs, ["source", "target"], "left").withColumn("hidden", F.greatest(F.col("weight") - REFS, F.lit(0)))
 
 
 def adopt(edges: DataFrame, source: str, target: str, relation: str | None = None, weight: str | None = None) -> DataFrame:

@@ -109,3 +109,11 @@ def test_shards_of_names_make_no_groups_in_python(spark, monkeypatch):
     sharded = entities.gazetteer_mentions(df, "k", "t", names)
     assert sorted(map(tuple, sharded.collect()), key=repr) == plain
     assert "FlatMapGroups" not in sharded._jdf.queryExecution().toString()
+
+
+def test_edges_without_references_are_counted_in_one_pass(spark):
+    found = spark.createDataFrame([(w, n) for w in range(30) for n in "abc"[: 1 + w % 3]], "window long, name string")
+    edges = graph.paired(found, 2)
+    assert sorted((r.source, r.target, r.weight, len(r.sources), r.hidden) for r in edges.collect()) == [("a", "b", 20, 20, 0), ("a", "c", 10, 10, 0), ("b", "c", 10, 10, 0)]
+    plan = edges.drop("sources")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Window" not in plan
