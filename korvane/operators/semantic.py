@@ -13,13 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fields, schemas
 from ..functions.texts import chunks_of, repaired
-from ..shared import materialize, small
+from ..shared import materialize, pieces, small, with_columns
 
 #: Texts of one request to an embedding model.
 BATCH = 64
@@ -124,18 +125,17 @@ def embed(df: DataFrame, text: str, model: EmbeddingModel, into: str = "vector",
     embedded in chunks whose mean counts. Null text has no vector."""
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.ArrayType(T.DoubleType())), T.StructField("__embedder", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            parts = [(i, c) for i, t in enumerate(pdf[text]) if t is not None for c in (chunks_of(t, budget) if budget else [t]) or [t]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, text):
+            parts = [(i, c) for i, t in enumerate(part.column(text).to_pylist()) if t is not None for c in (chunks_of(t, budget) if budget else [t]) or [t]]
             vectors = [v for a in range(0, len(parts), BATCH) for v in model.embed([c for _, c in parts[a : a + BATCH]])]
             own: dict[int, list] = {}
             for (i, _), v in zip(parts, vectors):
                 own.setdefault(i, []).append(v)
-            pdf[into] = [np.mean(own[i], axis=0).tolist() if i in own else None for i in range(len(pdf))]
-            pdf["__embedder"] = model.name
-            yield pdf
+            means = [np.mean(own[i], axis=0).tolist() if i in own else None for i in range(len(part))]
+            yield with_columns(part, schema.names, pa.array(means, pa.list_(pa.float64())), pa.array([model.name] * len(part), pa.string()))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def with_vectors(df: DataFrame, text: str, model: EmbeddingModel, into: str = "vector", size: int | None = None) -> DataFrame:
@@ -195,17 +195,19 @@ def payload(df: DataFrame, columns: list[str] | None = None) -> Column:
 
 
 def ask(df: DataFrame, question: Column, model: ChatModel, into: str = "_answer") -> DataFrame:
-    """``df`` with the model's answer to each row's question. Equal questions of a batch are asked once."""
+    """``df`` with the model's answer to each row's question. Equal questions of a piece of a batch are asked once; a
+    worker holds no more than such a piece as objects, however many rows there are."""
     wide = df.withColumn("_question", question)
     schema = T.StructType([*df.schema.fields, T.StructField(into, T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            distinct = list(dict.fromkeys(pdf["_question"]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, "_question"):
+            questions = part.column("_question").to_pylist()
+            distinct = list(dict.fromkeys(questions))
             answers = dict(zip(distinct, model.complete(distinct)))
-            yield pdf.drop(columns="_question").assign(**{into: pdf["_question"].map(answers)})
+            yield with_columns(part, schema.names, pa.array([answers[q] for q in questions], pa.string()))
 
-    return wide.mapInPandas(run, schema)
+    return wide.mapInArrow(run, schema)
 
 
 def capped(df: DataFrame, order: str, max_calls: int) -> DataFrame:

@@ -8,11 +8,16 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A table is broadcast only if a count has shown that it has no more rows than this; else the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of text that a Python worker turns into objects at a time.
+PIECE = 2 << 20
 #: Spark's setting that removes a query's shuffle files once the query has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -87,3 +92,21 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     Call it on a written table: the count then is cheap.
     """
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, in order, with PIECE bytes of a text column at most, or one row; nothing is copied. Without
+    rows, a batch is one slice."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(ends) or at == 0:
+            before = ends[at - 1] if at else 0
+            to = max(int(np.searchsorted(ends, before + PIECE, "right")), at + 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def with_columns(batch: pa.RecordBatch, names: list[str], *columns: pa.Array) -> pa.RecordBatch:
+    """The first columns of ``batch`` as they are, then these, under the ``names`` of all."""
+    return pa.RecordBatch.from_arrays([*batch.columns[: len(names) - len(columns)], *columns], names=names)

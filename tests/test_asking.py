@@ -194,3 +194,24 @@ def test_reduce_halves_and_loses(spark):
     out = reducing.reduce_packed(df, "t", "o", "{items}", "{items}", Windowed(semantic.RuleChat(rule), 5), 50, ["g"])
     got = {r.g: (r.result, r.rows, r.lost) for r in out.collect()}
     assert got["a"] == ("55", 10, 0) and got["bad"] == (None, 1, 1) and got["long"][1] == 1
+
+
+def test_workers_hold_a_piece_of_a_batch(spark):
+    """Texts of one large Arrow batch are asked some bytes at a time, and each row keeps its own answer."""
+    import pyarrow as pa
+
+    from korvane import shared
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(7)), "t": ["x" * 900_000, None, "y" * 3_000_000, "", "z" * 900_000, "z" * 900_000, "z" * 900_000]})
+    assert [p.column("k").to_pylist() for p in shared.pieces([batch, batch.slice(0, 0)], "t")] == [[0, 1], [2], [3, 4, 5], [6], []]
+    df = spark.createDataFrame([(i, "ab" * (i * 9000), None if i % 3 else i) for i in range(60)], "k long, t string, n long").coalesce(1)
+
+    @dataclass
+    class Sizes(semantic.ChatModel):
+        def complete(self, prompts):
+            return [f"{len(p)} of {sum(map(len, prompts))}" for p in prompts]
+
+    got = semantic.ask(df, F.col("t"), Sizes()).collect()
+    assert all(int(r["_answer"].split(" of ")[0]) == 18000 * r.k and int(r["_answer"].split(" of ")[1]) <= 2 << 20 for r in got) and len(got) == 60
+    for r in asking.map_long(df, "t", "{n}:{t}", "{items}", semantic.RuleChat(lambda p: p.split(":")[0] or "none"), 10**6).collect():
+        assert r.result == ("none" if r.n is None else str(r.n))
