@@ -8,13 +8,13 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.texts import chunks_of, tokens_of
-from ..shared import materialize, small
+from ..shared import materialize, pieces, small, with_columns
 from .semantic import ChatModel, ask, validated
 
 #: How often a chunk that a model finds too long is halved.
@@ -188,12 +188,14 @@ def _first(value: str | None) -> bool:
     return value is not None and re.search(YES, value, re.I) is not None
 
 
-def _in_turns(pdf: pd.DataFrame, text: str, template: str, model: ChatModel, budget: int, early: bool) -> tuple[list[list[str | None]], list[int]]:
+def _in_turns(part: pa.RecordBatch, text: str, template: str, model: ChatModel, budget: int, early: bool) -> tuple[list[list[str | None]], list[int]]:
     """Each row's answers by chunk, and how many chunks were asked. Rows of a batch take turns: all first chunks are one
     call, then the second ones of the rows that are undecided, and so on."""
     done = _first if early else lambda a: False
-    fills = [_filled(template, row, text) for row in pdf.to_dict("records")]
-    chunks = [(chunks_of(t, budget) or [""]) if t is not None else [] for t in pdf[text]]
+    named = [c for c in part.schema.names if f"{{{c}}}" in template and c != text]
+    values = [dict(zip(named, row)) for row in zip(*(part.column(c).to_pylist() for c in named))] if named else [{}] * len(part)
+    fills = [_filled(template, row, text) for row in values]
+    chunks = [(chunks_of(t, budget) or [""]) if t is not None else [] for t in part.column(text).to_pylist()]
     answers: list[list[str | None]] = [[] for _ in chunks]
     asked = [0] * len(chunks)
     going = [i for i, c in enumerate(chunks) if c]
@@ -215,13 +217,13 @@ def judge_long(df: DataFrame, text: str, template: str, model: ChatModel, budget
     """
     schema = T.StructType([*df.schema.fields, T.StructField("_match", T.BooleanType()), T.StructField("_asked", T.LongType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            answers, asked = _in_turns(pdf, text, template, model, budget, True)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, text):
+            answers, asked = _in_turns(part, text, template, model, budget, True)
             match = [True if any(map(_first, a)) else None if all(x is None for x in a) else False for a in answers]
-            yield pdf.assign(_match=pd.Series(match, dtype="object", index=pdf.index), _asked=asked)
+            yield with_columns(part, schema.names, pa.array(match, pa.bool_()), pa.array(asked, pa.int64()))
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def map_long(df: DataFrame, text: str, template: str, merge_template: str, model: ChatModel, budget: int, schema: str | dict | None = None, keep_invalid: bool = False) -> DataFrame:
@@ -248,16 +250,16 @@ def map_long(df: DataFrame, text: str, template: str, merge_template: str, model
             notes = [r[0] if len(r) == 1 else model.complete([merge_template.replace("{items}", "\n".join(r))])[0] or "" for r in runs]
         return model.complete([merge_template.replace("{items}", "\n".join(notes))])[0]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            answers, _ = _in_turns(pdf, text, template, model, budget, False)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, text):
+            answers, _ = _in_turns(part, text, template, model, budget, False)
             out = []
             for found in answers:
                 notes = [a.strip() for a in found if a is not None]
                 out.append(None if not notes else notes[0] if len(found) == 1 else merged(notes))
-            yield pdf.assign(_answer=pd.Series(out, dtype="object", index=pdf.index))
+            yield with_columns(part, wide.names, pa.array(out, pa.string()))
 
-    answered = df.mapInPandas(run, wide)
+    answered = df.mapInArrow(run, wide)
     if schema is None:
         return answered.withColumnRenamed("_answer", "result")
     out = validated(answered, schema)
