@@ -214,6 +214,15 @@ def shingles_of(data: np.ndarray, offsets: np.ndarray, shingle: int) -> Iterator
         yield np.unique(np.fromiter((digest(view[x:y], SEED) for x, y in spans), np.uint64)).view(np.int64)
 
 
+def fingerprint_of_set(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingles by their hashes, as a signed long; zero for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        some = np.ascontiguousarray(hashes[at : at + 65536])
+        ones += np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def parities(hashes: np.ndarray) -> np.ndarray:
     """Bits as longs: whether an odd number of the hashes falls to each. A hash that only one of two sets has flips one
     bit, so the bits of two sets differ in no more places than the sets have hashes of their own.
@@ -231,7 +240,7 @@ def narrowed(bits: Column, longs: Column) -> Column:
 
 
 def shingle_sets(docs: DataFrame, keep: list[str], shingle: int, hot: dict[int, int] | None = None) -> DataFrame:
-    """The columns ``keep`` with sid (a digest of the set of shingles, 0 if it is empty), size, bits (``parities``) and
+    """The columns ``keep`` with sid (a digest of the set of shingles, 0 if it is empty), fp (the set's SimHash), size, bits (``parities``) and
     shingles: all of them, or, if ``hot`` is given, the prefix: of all but the share SIMILARITY, and one more, the rarest
     first.
 
@@ -239,7 +248,7 @@ def shingle_sets(docs: DataFrame, keep: list[str], shingle: int, hot: dict[int,
     share a shingle of both prefixes.
     """
     up, down = SIMILARITY
-    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType, True) for c in keep), T.StructField("sid", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType, True) for c in keep), T.StructField("sid", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bits", T.ArrayType(T.LongType())), T.StructField("shingles", T.ArrayType(T.LongType()))])
     names = schema.names
     sent = None if hot is None else docs.sparkSession.sparkContext.broadcast((np.array(sorted(hot), np.int64), np.array([hot[h] for h in sorted(hot)], np.int64)))
 
@@ -262,7 +271,7 @@ def shingle_sets(docs: DataFrame, keep: list[str], shingle: int, hot: dict[int,
             odd = [parities(s) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in odd])]).astype(np.int32)
             bits = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *odd])))
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(sid), pa.array([len(s) for s in sets], pa.int32()), bits, values], names=names)
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(sid), pa.array([fingerprint_of_set(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), bits, values], names=names)
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_s_text")).mapInArrow(run, schema)
 
@@ -275,6 +284,17 @@ def hot_shingles(docs: DataFrame, shingle: int) -> dict[int, int]:
     return {r.h: r.n for r in counts.orderBy(F.col("n").desc(), "h").limit(HOTTEST).collect()}
 
 
+def simhash_pairs(sets: DataFrame, distance: int = 4) -> DataFrame:
+    """Pairs (a, b) of sids of the written table ``sets`` (sid, fp), enough to connect all whose fingerprints are at most
+    ``distance`` bits apart: fingerprints by ``near_links``, and the sets of one fingerprint with the least of them."""
+    firsts = materialize(sets.groupBy("fp").agg(F.min("sid").alias("first")), "dedup-fingerprints")
+    near = near_links(firsts, distance).withColumnsRenamed({"a": "fa", "b": "fb"})
+    one, other = (firsts.select(F.col("fp").alias(f), F.col("first").alias(x)) for f, x in (("fa", "x"), ("fb", "y")))
+    met = near.join(one, "fa").join(other, "fb").select("x", "y")
+    alike = sets.select("sid", "fp").join(firsts, "fp").where("sid <> first").select(F.col("sid").alias("x"), F.col("first").alias("y"))
+    return met.unionByName(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def same_size(a: Column, b: Column) -> Column:
     """Whether sets of these sizes can be of SIMILARITY."""
     up, down = SIMILARITY
@@ -433,20 +453,21 @@ def similar_roots(docs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame
     """(sid, root) of every set that is linked to another one, for the written table ``marked`` (row keys, sid, size,
     bits, shingles: prefixes), which goes: links are all pairs of SIMILARITY or more, as far as they change components.
 
-    Equal sets are one. First each set meets one other, the least of those it shares a key of its prefix with. Under
+    Equal sets are one. First sets meet whose fingerprints are near (``simhash_pairs``). Fingerprints miss pairs at this
+    similarity, and prefixes find the rest: each set meets one other, the least of those it shares a key of its prefix with. Under
     keys that then still stand in several components, these meet by a forest of the pairs that parities call similar; at
     last, under keys that stand in several components even so, all pairs from different components meet.
     """
     row = F.struct("_s_h1", "_s_h2")
-    whole = marked.where("size > 0").groupBy("sid").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("shingles").alias("shingles"), F.min(row).alias("row"))
-    whole = materialize(whole.select("sid", "size", "bits", "shingles", F.col("row._s_h1").alias("h1"), F.col("row._s_h2").alias("h2")), "dedup-distinct")
-    sets = materialize(whole.select("sid", "size", "bits", "h1", "h2"), "dedup-names")
+    whole = marked.where("size > 0").groupBy("sid").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("shingles").alias("shingles"), F.min(row).alias("row"))
+    whole = materialize(whole.select("sid", "fp", "size", "bits", "shingles", F.col("row._s_h1").alias("h1"), F.col("row._s_h2").alias("h2")), "dedup-distinct")
+    sets = materialize(whole.select("sid", "fp", "size", "bits", "h1", "h2"), "dedup-names")
     discard(marked)
     keyed = whole.select("sid", "size", F.posexplode("shingles").alias("pos", "key")).withColumn("pos", F.col("pos") + 1)
     shared = materialize(merged_keys(keyed), "dedup-keys")
     discard(whole)
     stars = shared.where((F.col("sid") != F.col("least.sid")) & same_size(F.col("size"), F.col("least.size"))).groupBy(F.col("sid").alias("a")).agg(F.min("least.sid").alias("b"))
-    links = verified(stars, docs, sets, shingle)
+    links = verified(simhash_pairs(sets).unionByName(stars).distinct(), docs, sets, shingle)
     left = mixed(shared, links)
     discard(shared)
     trees = near_pairs(left, sets, trees=True).select("a", "b").distinct()

@@ -514,3 +514,21 @@ def test_long_near_copies_with_different_parities_are_linked(spark):
     texts = [words, words[:1950], words[100:], others, words[:1000] + others[:1100]]
     docs = spark.createDataFrame([(i + 1, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(x.doc_id for x in simhash.deduplicate(docs).collect()) == [1, 4, 5]
+
+
+def test_deduplicate_links_near_fingerprints(spark, monkeypatch):
+    """The links of near fingerprints are found, verified, and enough without any from prefixes."""
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join([*words, "w400"]), " ".join(f"v{i}" for i in range(300)), " ".join([*words[:200], *[f"u{i}" for i in range(200)]])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = simhash.materialize(simhash.shingle_sets(docs, ["doc_id"], 5), "test-sets")
+    fps = {r.doc_id: r.fp for r in sets.collect()}
+    sid = {r.sid: r.doc_id for r in sets.collect()}
+    assert ((fps[0] ^ fps[1]) & (2**64 - 1)).bit_count() <= 4
+    assert {frozenset((sid[r.a], sid[r.b])) for r in simhash.simhash_pairs(sets).collect()} == {frozenset((0, 1))}
+    monkeypatch.setattr(simhash, "same_size", lambda a, b: F.lit(True))
+    seen = []
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *rest, real=simhash.verified: seen.append({(r.a, r.b) for r in pairs.collect()}) or real(pairs, *rest))
+    monkeypatch.setattr(simhash, "merged_keys", lambda keyed, real=simhash.merged_keys: real(keyed).where("false"))
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 2, 3]
+    assert len(seen[0]) == 1
