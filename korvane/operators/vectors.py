@@ -15,7 +15,9 @@ from ..shared import BROADCAST_ROWS, discard, materialize, small
 from .rows import numbered
 
 #: Rows whose leaders are found at a time, and rows of a block in all-pairs work.
-HEAD, BLOCK = 2048, 4096
+HEAD, BLOCK = 8192, 4096
+#: Of the former, rows compared with each other at a time on the driver, and with leaders at a time in a task.
+HEAD_BLOCK = 1024
 #: Tables of decided rows that are kept apart.
 PARTS = 40
 
@@ -107,15 +109,8 @@ def _leaders(rest: DataFrame, order: str, threshold: float) -> DataFrame:
         if not head.num_rows:
             break
         v, ids = _unit(np.array(head["v"].to_pylist(), np.float64)), head["o"].to_pylist()
-        chosen: list[int] = []
-        settled = []
-        for i in range(len(ids)):
-            near = np.flatnonzero(v[chosen] @ v[i] >= threshold - 1e-12) if chosen else []
-            if len(near):
-                settled.append((ids[i], ids[chosen[near[0]]]))
-            else:
-                chosen.append(i)
-                settled.append((ids[i], ids[i]))
+        chosen, first = _greedy(v, threshold)
+        settled = [(ids[i], ids[k]) for i, k in enumerate(first.tolist())]
         decided.append(spark.createDataFrame(settled, f"o {kind}, leader {kind}"))
         if len(ids) < HEAD:
             break
@@ -123,9 +118,12 @@ def _leaders(rest: DataFrame, order: str, threshold: float) -> DataFrame:
 
         def take(batches: Iterator[pd.DataFrame], centers=centers, names=names) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                near = _unit(_stack(pdf.v)) @ centers.T >= threshold - 1e-12 if len(pdf) else np.zeros((0, 1), bool)
-                taken = near.any(axis=1)
-                pdf["leader"] = pd.Series(names[near.argmax(axis=1)], index=pdf.index).where(pd.Series(taken, index=pdf.index))
+                unit = _unit(_stack(pdf.v))
+                at, taken = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), bool)
+                for i in range(0, len(pdf), HEAD_BLOCK):
+                    near = unit[i : i + HEAD_BLOCK] @ centers.T >= threshold - 1e-12
+                    at[i : i + HEAD_BLOCK], taken[i : i + HEAD_BLOCK] = near.argmax(axis=1), near.any(axis=1)
+                pdf["leader"] = pd.Series(names[at], index=pdf.index).where(pd.Series(taken, index=pdf.index))
                 pdf["taken"] = taken
                 yield pdf
 
@@ -137,6 +135,28 @@ def _leaders(rest: DataFrame, order: str, threshold: float) -> DataFrame:
     return _union(decided).withColumnRenamed("o", order)
 
 
+def _greedy(v: np.ndarray, threshold: float) -> tuple[list[int], np.ndarray]:
+    """The rows of ``v`` that lead, in order, and each row's leader: the first one near enough. Rows are compared by
+    blocks of HEAD_BLOCK, whole blocks with the leaders before them at once."""
+    chosen: list[int] = []
+    first = np.arange(len(v))
+    for at in range(0, len(v), HEAD_BLOCK):
+        block = v[at : at + HEAD_BLOCK]
+        taken = np.zeros(len(block), bool)
+        if chosen:
+            near = block @ v[chosen].T >= threshold - 1e-12
+            taken = near.any(axis=1)
+            first[at : at + len(block)] = np.where(taken, np.array(chosen)[near.argmax(axis=1)], first[at : at + len(block)])
+        alike = block @ block.T >= threshold - 1e-12
+        for i in np.flatnonzero(~taken).tolist():
+            if not taken[i]:
+                chosen.append(at + i)
+                later = np.flatnonzero(alike[i, i + 1 :] & ~taken[i + 1 :]) + i + 1
+                first[at + later] = at + i
+                taken[later] = True
+    return chosen, first
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:

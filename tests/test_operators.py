@@ -184,6 +184,21 @@ def test_chunks_join(text, budget):
     assert "".join(texts.chunks_of(text, budget)) == text
 
 
+def test_greedy_leaders_by_blocks(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vectors, "HEAD_BLOCK", 7)
+    rng = np.random.default_rng(2)
+    v = vectors._unit(np.concatenate([rng.normal(size=(60, 3)), np.zeros((2, 3)), rng.normal(size=(40, 3))]))
+    chosen, first = vectors._greedy(v, 0.9)
+    want: list[int] = []
+    for i in range(len(v)):
+        near = [k for k in want if v[k] @ v[i] >= 0.9 - 1e-12]
+        want += [] if near else [i]
+        assert first[i] == (near or [i])[0]
+    assert chosen == want
+
+
 def test_cuts_of_a_line():
     for n in (2001, 2003, 6002, 40019):  # lines whose length the number of cuts does not divide
         line = "".join(chr(97 + i % 26) for i in range(n))
