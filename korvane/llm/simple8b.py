@@ -43,13 +43,11 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ok = values < np.uint64(1 << WIDTHS[s])
         if ok.any():
             select[_runs(ok, COUNTS[s]) & (room >= COUNTS[s])] = s
-    step = np.array(COUNTS, np.uint8)[select].tolist()
-    starts, i = [], 0
-    put = starts.append
+    step, mark, i = np.array(COUNTS, np.uint8)[select].tobytes(), bytearray(n), 0
     while i < n:
-        put(i)
+        mark[i] = 1
         i += step[i]
-    starts = np.array(starts, np.int64)
+    starts = np.flatnonzero(np.frombuffer(mark, np.uint8))
     chosen = select[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen).tolist():
@@ -57,8 +55,10 @@ def encode(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if s == 0:
             words[at] |= np.arange(len(at), dtype=np.uint64)
             continue
+        begin, held = starts[at], np.zeros(len(at), np.uint64)
         for k in range(COUNTS[s]):
-            words[at] |= values[starts[at] + k] << np.uint64(WIDTHS[s] * k)
+            held |= values[begin + k] << np.uint64(WIDTHS[s] * k)
+        words[at] |= held
     first = np.searchsorted(starts, np.arange(0, n, BLOCK)).astype(np.uint32)
     return words, first, values[starts[chosen == 0]]
 

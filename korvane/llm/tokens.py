@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,18 +25,23 @@ PIECE = 2 << 20
 FILE_SCHEMA = "shard int, row int, doc_ids array<long>, n_tokens array<int>, words binary, block_at array<int>, escapes binary"
 
 
-def _marks(values: bytes) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[list(values)] = True
-    return out
+#: What a byte is: printable ASCII; an ASCII letter; a pause mark; a space or line break; the first byte of a character of
+#: two, none of which is white space; a later byte of a character.
+_GRAPH, _LETTER, _PAUSE, _GAP, _LEAD, _FOLLOW = 1, 2, 4, 8, 16, 32
+_KINDS = np.zeros(256, np.uint8)
+for _kind, _bytes in ((_GRAPH, range(33, 127)), (_LETTER, [*range(65, 91), *range(97, 123)]), (_PAUSE, b".,;:?!"), (_GAP, b" \n"), (_LEAD, range(0xC3, 0xE0)), (_FOLLOW, range(0x80, 0xC0))):
+    _KINDS[list(_bytes)] |= _kind
+
 
+def _kinds(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(data.tobytes().translate(_KINDS.tobytes()), np.uint8)
 
-_GRAPH = _marks(bytes(range(33, 127)))
-_LETTER = _marks(bytes([*range(65, 91), *range(97, 123)]))
-_PAUSE = _marks(b".,;:?!")
-_GAP = _marks(b" \n")
-_LEAD = _marks(bytes(range(0xC3, 0xE0)))  # of two-byte characters, none of which is white space
-_FOLLOW = _marks(bytes(range(0x80, 0xC0)))
+
+def _ends_char(kinds: np.ndarray) -> np.ndarray:
+    """Whether each byte ends a character that is surely not white space."""
+    out = (kinds & _GRAPH) != 0
+    out[1:] |= ((kinds[1:] & _FOLLOW) != 0) & ((kinds[:-1] & _LEAD) != 0)
+    return out
 
 
 def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -48,13 +54,34 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut = np.zeros(n + 1, bool)
     cut[offsets[:-1]] = True
     if n > 2:
-        after_char = _GRAPH[data] | (_FOLLOW[data] & np.concatenate([[False], _LEAD[data[:-1]]]))
-        before_char = _GRAPH[data] | _LEAD[data]
-        cut[1 : n - 1] |= _GAP[data[1:-1]] & after_char[:-2] & before_char[2:]
-        cut[1:n] |= _PAUSE[data[1:]] & _LETTER[data[:-1]]
+        kinds = _kinds(data)
+        cut[1 : n - 1] |= ((kinds[1:-1] & _GAP) != 0) & _ends_char(kinds)[:-2] & ((kinds[2:] & (_GRAPH | _LEAD)) != 0)
+        cut[1:n] |= ((kinds[1:] & _PAUSE) != 0) & ((kinds[:-1] & _LETTER) != 0)
     return np.flatnonzero(cut[:n])
 
 
+def binary_buffer(values: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values' bytes and offsets (from 0)."""
+    if not len(values):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    _, where, data = values.buffers()
+    offsets = np.frombuffer(where, np.int32, len(values) + 1, values.offset * 4).astype(np.int64)
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def may_join(units: pa.BinaryArray) -> np.ndarray:
+    """Which units may stand next to each other in one text: a space or line break and then text, as ``unit_starts`` cuts
+    it on both sides, and no part of a special token."""
+    data, offsets = binary_buffer(units)
+    out = np.diff(offsets) > 1
+    first, last = offsets[:-1][out], offsets[1:][out] - 1
+    kinds = _kinds(data)
+    out[out] = ((kinds[first] & _GAP) != 0) & ((kinds[first + 1] & (_GRAPH | _LEAD)) != 0) & _ends_char(kinds)[last]
+    special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    out[np.searchsorted(offsets, special, "right") - 1] = False
+    return out
+
+
 class Encoder:
     """The tokenizers library, asked once for each distinct unit of text."""
 
@@ -71,54 +98,71 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        #: The units known so far; after them in ``at`` and ``size`` their ids' places in the pool. Place 0 is the end id.
+        self.known = pa.array([], pa.binary())
         self.pool, self.at, self.size = np.array([self.end_id or 0], np.uint32), np.array([0], np.int64), np.array([1], np.int64)
+        self.met = np.zeros(1, np.int64)  # in how many pieces of text each was met
+
+    def keep_frequent(self, limit: int) -> None:
+        """Forget all but the ``limit`` units that were met most often."""
+        kept = np.sort(np.argpartition(-self.met[1:], limit)[:limit])
+        self.known = self.known.take(pa.array(kept))
+        size = np.append(1, self.size[kept + 1])
+        old, at = np.append(0, self.at[kept + 1]), np.cumsum(size) - size
+        self.pool = self.pool[np.repeat(old - at, size) + np.arange(size.sum())]
+        self.at, self.size, self.met = at, size, np.append(0, self.met[kept + 1])
 
     def _encode(self, texts: list[str]) -> Iterator[list[int]]:
         for i in range(0, len(texts), 64):  # a few at a time: the library's results take far more room than the ids
             yield from [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 64], add_special_tokens=False)]
 
-    def learn(self, units: list[bytes]) -> None:
-        """Encode new units, those that may stand next to each other joined into longer texts."""
-        joint, alone = [], []
-        for u in units:
-            ok = len(u) > 1 and u[0] in b" \n" and _GRAPH[u[1]] and _GRAPH[u[-1]] and b"<|" not in u
-            (joint if ok else alone).append(u)
-        groups = [joint[i : i + 256] for i in range(0, len(joint), 256)]
+    def learn(self, units: pa.BinaryArray) -> np.ndarray:
+        """Encode new units, those that may stand next to each other joined into longer texts, and give their places."""
+        may = may_join(units)
+        joint, alone = np.flatnonzero(may), [np.flatnonzero(~may)]
         ids, sizes, order = [], [], []
-        for group, got in zip(groups, self._encode([b"".join(g).decode() for g in groups])):
+        together = units.take(pa.array(joint))
+        data, offsets = binary_buffer(together)
+        raw, begins = data.tobytes(), np.arange(0, len(together), 256).tolist()
+        bounds = offsets[[*begins, len(together)]].tolist()
+        for i, a, b, got in zip(begins, bounds, bounds[1:], self._encode([raw[a:b].decode() for a, b in zip(bounds, bounds[1:])])):
+            group = joint[i : i + 256]
             flat = np.array(got, np.uint32)
-            ends = np.cumsum([len(u) for u in group])
+            ends = offsets[i + 1 : i + 1 + len(group)] - a
             reach = np.cumsum(self.n_bytes[flat])
             cut = np.searchsorted(reach, ends)
             if len(flat) and cut[-1] < len(reach) and (reach[cut] == ends).all():
                 ids.append(flat)
                 sizes.append(np.diff(np.concatenate([[0], cut + 1])))
-                order += group
+                order.append(group)
             else:
-                alone += group
-        for u, got in zip(alone, self._encode([u.decode() for u in alone])):
+                alone.append(group)
+        order = np.concatenate([*order, *alone])
+        for got in self._encode([u.decode() for u in units.take(pa.array(np.concatenate(alone))).to_pylist()]):
             ids.append(np.array(got, np.uint32))
             sizes.append(np.array([len(got)], np.int64))
-            order.append(u)
-        new = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        new = np.concatenate(sizes)
         begin = len(self.pool) + np.cumsum(new) - new
-        for i, u in enumerate(order, len(self.at)):
-            self.known[u] = i
+        places = np.empty(len(units), np.int64)
+        places[order] = len(self.at) + np.arange(len(order))
+        self.known = pa.concat_arrays([self.known, units.take(pa.array(order))])
         self.at, self.size, self.pool = np.concatenate([self.at, begin]), np.concatenate([self.size, new]), np.concatenate([self.pool, *ids])
+        self.met = np.append(self.met, np.zeros(len(new), np.int64))
+        return places
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, how many each text has), the end id included if there is one."""
         if len(self.known) > CACHE_UNITS:
-            self.forget()
+            self.keep_frequent(CACHE_UNITS // 2)
         starts = unit_starts(data, offsets)
         lengths = np.diff(np.concatenate([starts, [len(data)]]))
         coded = binary_array(data, lengths).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = [u for u in distinct if u not in self.known]
-        if new:
-            self.learn(new)
-        place = np.array([self.known[u] for u in distinct], np.int64)[coded.indices.to_numpy()] if distinct else np.zeros(0, np.int64)
+        found = pc.index_in(coded.dictionary, value_set=self.known)
+        distinct = found.fill_null(-1).to_numpy().astype(np.int64) + 1
+        if found.null_count:
+            distinct[distinct == 0] = self.learn(coded.dictionary.filter(found.is_null()))
+        self.met[distinct] += 1
+        place = distinct[coded.indices.to_numpy()]
         ends = np.searchsorted(starts, offsets[1:])
         if self.end_id is not None:
             place = np.insert(place, ends, 0)

@@ -212,6 +212,37 @@ def test_units_encode_as_whole_texts(texts):
         assert ids[a:b].tolist() == [*coder.tokenizer.encode(t, add_special_tokens=False).ids, 2]
 
 
+class Asked:
+    """A tokenizer that remembers how many texts each call brought."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, []
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts.append(len(texts))
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_units_go_to_the_library_together():
+    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    coder.tokenizer = Asked(library := coder.tokenizer)
+    text = "ein" + "".join(f" {a}{i}{b}" for i in range(500) for a in "öñxÉ" for b in "ßaí")  # 6000 words, 5500 begin or end beyond ASCII
+    ids, counts = coder.encode(*text_buffer(pa.array([text])))
+    assert ids.tolist() == [*library.encode(text, add_special_tokens=False).ids, 2] and counts.tolist() == [len(ids)]
+    assert sum(coder.tokenizer.texts) <= 6000 // 256 + 2
+
+
+def test_frequent_units_are_kept(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_UNITS", 40)
+    coder = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), 2)
+    library, coder.tokenizer = coder.tokenizer, Asked(coder.tokenizer)
+    for i in range(20):
+        texts = ["", "the häufige word, often." + "".join(f" q{i}w{k}" for k in range(15)), "the word"]
+        ids, counts = coder.encode(*text_buffer(pa.array(texts)))
+        assert ids.tolist() == [x for t in texts for x in [*library.encode(t, add_special_tokens=False).ids, 2]] and counts.sum() == len(ids)
+        assert len(coder.known) <= 40 + 20 and coder.tokenizer.texts == [1, 3] + [1] * (len(coder.tokenizer.texts) - 2)  # common units are asked once, new ones as one text
+
+
 def test_token_files(spark, odd, nothing, tmp_path):
     path = f"file://{tmp_path}/t"
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
