@@ -219,28 +219,51 @@ def numbered_columns(x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
     return out
 
 
+def gathered(mixed: DataFrame) -> DataFrame:
+    """The groups (x1, x2) of sets (id, root) that meet, with the number m of their sets, written: any two sets under one
+    column of ``mixed`` are in one group.
+
+    Near copies share many columns, each with most of them. A column's hub is the largest one, of ROWS sets at most, that
+    any of its sets stands in; columns with one hub are one group, so a set's row is sent there once. Where a hub would
+    gather more than ROWS sets, each of its columns stays a group of its own, as larger columns do.
+    """
+    largest = mixed.where(F.col("m") <= ROWS).groupBy("id").agg(F.max(F.struct("m", "x1", "x2")).alias("largest"))
+    hub = mixed.join(largest, "id", "left").groupBy("x1", "x2", "m").agg(F.max("largest").alias("hub"))
+    hub = materialize(hub.select("x1", "x2", *[F.when(F.col("m") <= ROWS, F.col(f"hub.{x}")).otherwise(F.col(x)).alias(h) for x, h in (("x1", "h1"), ("x2", "h2"))]), "jaccard-hubs")
+    under = materialize(mixed.join(bounded_broadcast(hub), ["x1", "x2"]).select("id", "root", "x1", "x2", "h1", "h2"), "jaccard-met")
+    fits = materialize(under.select("id", "h1", "h2").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= ROWS), "jaccard-fits")
+    met = under.join(bounded_broadcast(fits), ["h1", "h2"], "left")
+    groups = materialize(met.select("id", "root", *[F.when(F.col("n").isNull(), F.col(x)).otherwise(F.col(h)).alias(x) for x, h in (("x1", "h1"), ("x2", "h2"))]).distinct(), "jaccard-groups")
+    sizes = materialize(groups.groupBy("x1", "x2").agg(F.count(F.lit(1)).alias("m")), "jaccard-sizes")
+    out = materialize(groups.join(bounded_broadcast(sizes), ["x1", "x2"]), "jaccard-gathered")
+    discard(hub, under, fits, groups, sizes)
+    return out
+
+
 def block_links(mixed: DataFrame, entries: DataFrame, link: tuple[int, int]) -> DataFrame:
     """(a, b), written: links that connect what links under an unsettled head, between different components only.
 
-    Sets under a column meet in blocks of pairs of parts; each block multiplies its whole rows and yields a forest, fewer
+    The sets of a group meet in blocks of pairs of parts; each block multiplies its whole rows and yields a forest, fewer
     links than rows.
     """
     up, down = link
+    groups = gathered(mixed)
     vectors = mixed.select("id").distinct().join(entries.withColumnRenamed("id", "e_id"), F.col("id") == F.col("e_id")).groupBy("id", "size").agg(F.collect_list(F.struct("x1", "x2", "w")).alias("row"))
+    vectors = vectors.select("id", "size", *[F.col(f"row.{c}").alias(c) for c in ("x1", "x2", "w")])  # numbers side by side take less room than structs
     parts = F.ceil(F.col("m") / ROWS)
-    met = mixed.withColumn("own", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    met = groups.withColumn("own", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     met = met.select("id", "root", "own", F.struct("x1", "x2", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).alias("g"))
-    blocks = met.join(vectors, "id").groupBy("g").agg(F.collect_list(F.struct("id", "root", "own", "size", "row")).alias("rows"))
+    blocks = met.join(vectors, "id").groupBy("g").agg(F.collect_list(F.struct("id", "root", "own", "size", *[F.col(c).alias(f"r_{c}") for c in ("x1", "x2", "w")])).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, across in zip(batch.column(0), batch.column(1).to_pylist()):
                 ids, root, own, size = (rows.values.field(i).to_numpy() for i in range(4))
-                lists = rows.values.field(4)
-                flat, n = lists.flatten(), len(ids)
-                at = np.repeat(np.arange(n), pa.compute.list_value_length(lists).to_numpy())
-                cols = numbered_columns(flat.field(0).to_numpy(), flat.field(1).to_numpy())
-                overlap = product(cols, at, flat.field(2).to_numpy().astype(np.float64), n)
+                x1, x2, w = (rows.values.field(i) for i in (4, 5, 6))
+                n = len(ids)
+                at = np.repeat(np.arange(n), pa.compute.list_value_length(x1).to_numpy())
+                cols = numbered_columns(x1.flatten().to_numpy(), x2.flatten().to_numpy())
+                overlap = product(cols, at, w.flatten().to_numpy().astype(np.float64), n)
                 ok = (down * overlap >= up * (size[:, None] + size - overlap)) & (root[:, None] != root) & (np.arange(n)[:, None] < np.arange(n))
                 if across:
                     ok &= own[:, None] != own
@@ -253,7 +276,9 @@ def block_links(mixed: DataFrame, entries: DataFrame, link: tuple[int, int]) ->
                 yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
     found = blocks.where(F.size("rows") > 1).select("rows", (F.col("g.p") != F.col("g.q")).alias("across")).mapInArrow(run, "a long, b long").distinct()
-    return materialize(found, "jaccard-links")
+    out = materialize(found, "jaccard-links")
+    discard(groups)
+    return out
 
 
 def set_roots(docs: DataFrame, chosen: DataFrame, shingle: int, link: tuple[int, int]) -> DataFrame:

@@ -107,3 +107,26 @@ def test_product():
     got = jaccard.product(cols, row, weights[cols].astype(float), 20)
     off = ~np.eye(20, dtype=bool)
     assert (got[off] == expected[off]).all()
+
+
+@pytest.mark.parametrize("rows", [3, 8, 512])
+def test_groups_hold_all_pairs_of_a_column(spark, monkeypatch, rows):
+    monkeypatch.setattr(jaccard, "ROWS", rows)
+    rng = np.random.default_rng(rows)
+    columns = {c: sorted(rng.choice(range(10 * f, 10 * f + 10), rng.integers(2, 10), replace=False).tolist()) for c, f in enumerate(np.repeat(np.arange(6), 12).tolist())}
+    columns |= {100: list(range(0, 60, 10)), 101: list(range(60))}
+    mixed = spark.createDataFrame([(i, i, c, -c, len(ids)) for c, ids in columns.items() for i in ids], "id long, root long, x1 long, x2 long, m long")
+    got = [tuple(r) for r in jaccard.gathered(mixed).select("id", "root", "x1", "x2", "m").collect()]
+    groups = {}
+    for i, root, x1, x2, m in got:
+        assert i == root and x2 == -x1
+        groups.setdefault(x1, []).append((i, m))
+    assert all(len({i for i, _ in g}) == len(g) and {m for _, m in g} == {len(g)} for g in groups.values())
+    assert all(any(set(ids) <= {i for i, _ in g} for g in groups.values()) for ids in columns.values())
+
+
+def test_near_copies_are_sent_to_one_group(spark):
+    """20 sets in each family; its columns hold 14 to 19 of them."""
+    mixed = [(i, i, 1000 * f + c, 0, 19 - c % 6) for f in range(5) for c in range(40) for i in range(20 * f, 20 * f + 20) if (i + c) % 20 < 19 - c % 6]
+    got = jaccard.gathered(spark.createDataFrame(mixed, "id long, root long, x1 long, x2 long, m long"))
+    assert got.count() <= 2 * 100 < len(mixed) // 10
