@@ -65,19 +65,22 @@ def grams(docs: list[int], parts: list[str], order: int = ORDER) -> tuple[pa.Arr
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
     lengths = np.array([len(p) - order + 1 for p in parts])
     at = np.arange(lengths.sum()) + np.repeat(np.arange(len(parts)) * (order - 1), lengths)
-    seen = np.zeros(0x110000, bool)
+    seen = np.zeros(int(codes.max(initial=0)) + 1, bool)  # tables as long as the text needs stay in a core's cache
     seen[codes] = True
     alphabet = np.flatnonzero(seen)
-    place = np.zeros(0x110000, np.uint64)
-    place[alphabet] = np.arange(len(alphabet), dtype=np.uint64)
+    place = np.zeros(len(seen), np.uint32)
+    place[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
     local, bits = place[codes], max(1, len(alphabet).bit_length())
-    key = np.zeros(len(at), np.uint64)
+    n = len(codes) - order + 1  # a number for each place, those across two parts too
+    key = np.zeros(max(n, 0), np.uint64)
     for k in range(order):
         if (k + 1) * bits > 63 and k * bits <= 63:  # too many characters for one number: number what there is so far
             key = pd.factorize(key)[0].astype(np.uint64)
             bits = 21
-        key = (key << np.uint64(bits)) | local[at + k]
-    which, distinct = pd.factorize(key)
+        key <<= np.uint64(bits)
+        key |= local[k : k + n]
+    coded = pa.array(key[at]).dictionary_encode()
+    which, distinct = coded.indices.to_numpy(), coded.dictionary
     first = np.zeros(len(distinct), np.int64)
     first[which[::-1]] = at[::-1]
     letters = np.ascontiguousarray(codes[first[:, None] + np.arange(order)]).view(f"<U{order}").ravel()

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -438,6 +439,18 @@ def test_grams_of_many_characters():
     assert len(gram) == len(set(gram.to_pylist()))
 
 
+def test_grams_tables_follow_the_text():
+    texts = ["a short text of few letters, " * 20, "", "abc", "x"]
+    (docs, parts), = classifier.segments(texts)
+    tracemalloc.start()
+    gram, which, doc = classifier.grams(docs, parts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    padded = [classifier.PAD * 4 + t for t in texts]
+    assert [(d, gram[w].as_py()) for d, w in zip(doc.tolist(), which.tolist())] == [(i, t[k : k + 5]) for i, t in enumerate(padded) for k in range(len(t) - 4)]
+    assert len(gram.unique()) == len(gram) and peak < 1 << 20  # tables of all code points would take 10 MB
+
+
 def test_classifier_held_out(spark, sf):
     """Half of the labels train, the other half must be told apart."""
     sf = sf.replace("sf0.001", "sf0.01")
