@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Words, bounded_broadcast, discard, materialize, pieces
+from ._common import Words, binary_array, bounded_broadcast, discard, materialize, pieces
 from .components import connected_components
 from .simhash import LOWER, SEED
 
@@ -34,6 +34,12 @@ from .simhash import LOWER, SEED
 LINK = (85, 100)
 #: One shingle in so many, by hash, is in the first block of columns.
 FIRST_BLOCK = 4
+#: Bytes of a column's hash by which sets that stand alone in it are found; columns that these bytes mix up count as shared.
+KEY = 5
+#: Columns of a batch of sets that are sent at a time, and the most sets of it.
+SENT, SENT_ROWS = 1 << 20, (1 << 16) - 1
+#: In place of a set's place in its batch: several sets of the batch stand in the column.
+SEVERAL = (1 << 16) - 1
 #: Rows of a block of the product; more sets under one column are dealt out as pairs of parts.
 ROWS = 512
 #: Columns of the product that are multiplied at a time.
@@ -92,8 +98,9 @@ def shingle_rows(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[n
 
 def incidence(docs: DataFrame, keep: list[str], shingle: int, part: int = 1) -> DataFrame:
     """The columns ``keep`` of ``docs`` with s1 and s2 (128 bits that name the set; equal sets share them), size, and
-    grams: the set's shingles as 64-bit hashes, or those in the first of ``part`` blocks."""
-    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *(T.StructField(c, T.LongType()) for c in ("s1", "s2", "size")), T.StructField("grams", T.ArrayType(T.LongType()))])
+    grams: the set's shingles as 64-bit hashes, or the keys (KEY bytes each) of those in the first of ``part`` blocks."""
+    grams_type = T.BinaryType() if part > 1 else T.ArrayType(T.LongType())
+    schema = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), *(T.StructField(c, T.LongType()) for c in ("s1", "s2", "size")), T.StructField("grams", grams_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, data, offsets in pieces(batches, "_j_text", PIECE):
@@ -103,34 +110,135 @@ def incidence(docs: DataFrame, keep: list[str], shingle: int, part: int = 1) ->
             if part > 1:
                 chosen = grams.view(np.uint64) % np.uint64(part) == 0
                 at = np.append(0, np.cumsum(chosen))[at]
-                grams = grams[chosen]
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams))
+                lists = binary_array(packed(keys_of(grams[chosen])), np.diff(at) * KEY)
+            else:
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams))
             yield pa.RecordBatch.from_arrays([*(some.column(i) for i in range(len(keep))), pa.array(names[:, 0]), pa.array(names[:, 1]), sizes, lists], names=schema.names)
 
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("_j_text")).mapInArrow(run, schema)
 
 
-def alone(rows: DataFrame, name: str) -> DataFrame:
-    """(a_name, alone): how many shingles of ``rows`` (name, grams) stand in that set alone, where any do.
+def keys_of(grams: np.ndarray) -> np.ndarray:
+    return grams.view(np.uint64) >> np.uint64(64 - 8 * KEY)
+
+
+def packed(keys: np.ndarray) -> np.ndarray:
+    """The bytes of keys, KEY each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY].ravel()
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data) // KEY, 8), np.uint8)
+    out[:, :KEY] = data.reshape(-1, KEY)
+    return out.view("<u8").ravel()
+
+
+def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column in a row, and the length of each value."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), np.uint8), np.array([len(v) for v in values], np.int64)
 
-    Each column is summed up to the least and the largest set in it, so rows of one name are one and a frequent column
-    costs a row a task.
-    """
-    columns = rows.select(name, F.explode("grams").alias("gram")).groupBy("gram").agg(F.min(name).alias("lo"), F.max(name).alias("hi"))
-    return columns.where("lo = hi").groupBy(F.col("lo").alias("a_name")).agg(F.count(F.lit(1)).alias("alone"))
 
+def set_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the columns that each set of ``grams`` stands in, in a row, and where each set's begin."""
+    if pa.types.is_binary(column.type):
+        data, lengths = column_bytes(column)
+        return unpacked(data), np.append(0, np.cumsum(lengths // KEY))
+    return keys_of(column.flatten().to_numpy()), np.append(0, np.cumsum(pa.compute.list_value_length(column).to_numpy()))
 
-def enough_common(link: tuple[int, int]) -> Column:
-    return F.col("size") - F.coalesce("alone", F.lit(0)) >= needed(F.col("size"), link)
+
+def sent_columns(rows: DataFrame, buckets: int) -> DataFrame:
+    """(batch, bucket, keys, who): what batches of the sets ``rows`` (id, s1, grams) send to each bucket of columns. A
+    column costs a batch KEY + 2 bytes: its key, and the place in the batch (id - batch) of the one set in it, or SEVERAL."""
+
+    def send(ids: np.ndarray, s1: np.ndarray, keys: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        n = len(ids)
+        _, first, which = np.unique(s1, return_index=True, return_inverse=True)
+        once = first[which] == np.arange(n)  # the first of equal sets
+        who = np.repeat(np.arange(n), np.diff(at))
+        keys, who = keys[once[who]], who[once[who]]
+        dealt = (keys % np.uint64(buckets) << np.uint64(8 * KEY)) | keys
+        order = np.argsort(dealt)
+        dealt, who = dealt[order], who[order]
+        begin = np.flatnonzero(np.append(True, dealt[1:] != dealt[:-1])[: len(dealt)])
+        if len(begin):
+            lo, hi = np.minimum.reduceat(who, begin), np.maximum.reduceat(who, begin)
+            who = np.where(lo == hi, lo, SEVERAL)
+        dealt = dealt[begin]
+        some, length = np.unique(dealt >> np.uint64(8 * KEY), return_counts=True)
+        columns = [pa.array(np.full(len(some), ids[0])), pa.array(some.astype(np.int64)), binary_array(packed(dealt), length * KEY), binary_array(who.astype("<u2").view(np.uint8), length * 2)]
+        return pa.RecordBatch.from_arrays(columns, names=["batch", "bucket", "keys", "who"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, s1 = (batch.column(i).to_numpy() for i in (0, 1))
+            keys, at = set_keys(batch.column(2))
+            breaks = [*(np.flatnonzero(np.diff(ids) != 1) + 1), len(ids)]  # a set is found by its batch's first id
+            a = 0
+            while a < len(ids):
+                fits = int(np.searchsorted(at, at[a] + SENT, "right")) - 1
+                b = min(max(fits, a + 1), a + SENT_ROWS, breaks[int(np.searchsorted(breaks, a, "right"))])
+                yield send(ids[a:b], s1[a:b], keys[at[a] : at[b]], at[a : b + 1] - at[a])
+                a = b
+
+    return rows.select("id", "s1", "grams").mapInArrow(run, "batch long, bucket long, keys binary, who binary")
+
+
+def alone(rows: DataFrame, columns: int) -> DataFrame:
+    """(a_id, counts) for the first set of each name in each batch of the sets ``rows`` (id, s1, grams; ids in a row in the
+    order of the table), which stand in about so many ``columns`` in all. counts[n] is how many of its columns n batches
+    sent, each for one set only; so those with n = the number of batches that hold the set are its own alone.
+
+    Sets and columns meet by buckets of columns, then by batches. Each column costs some bytes, whatever the number of
+    sets, buckets and partitions; a frequent one costs a batch no more than another.
+    """
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), columns // SENT + 1)
+
+    def counted(table: pa.Table) -> pa.Table:
+        data, length = column_bytes(table["keys"])
+        keys, who = unpacked(data), column_bytes(table["who"])[0].view("<u2")
+        row = np.repeat(np.arange(len(length)), length // KEY)
+        order = np.argsort(keys)
+        of = np.zeros(len(keys), np.int64)
+        of[order] = np.cumsum(np.append(True, np.diff(keys[order]) != 0)[: len(keys)]) - 1
+        n = np.bincount(of)
+        n[of[who == SEVERAL]] = 0
+        n = np.where(n < 256, n, 0)[of]  # a set in more batches is taken for one without columns of its own
+        row, who, n = row[n > 0], who[n > 0], n[n > 0]
+        each = np.bincount(row, minlength=len(length))
+        columns = [table["batch"].combine_chunks(), binary_array(who.view(np.uint8), each * 2), binary_array(n.astype(np.uint8), each)]
+        return pa.table(columns, names=["batch", "who", "n"])
+
+    def returned(table: pa.Table) -> pa.Table:
+        who, n = column_bytes(table["who"])[0].view("<u2"), column_bytes(table["n"])[0]
+        pair, count = np.unique(who.astype(np.int64) * 256 + n, return_counts=True)
+        places, at = np.unique(pair // 256, return_index=True)
+        width = np.append(at[1:], len(pair))[: len(at)] - 1
+        begin = np.append(0, np.cumsum(pair[width] % 256 + 1))  # counts end with the largest n
+        counts = np.zeros(begin[-1], np.int32)
+        counts[np.repeat(begin[:-1], np.diff(np.append(at, len(pair)))) + pair % 256] = count
+        ids = table["batch"][0].as_py() + places
+        return pa.table([pa.array(ids), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(counts))], names=["a_id", "counts"])
+
+    met = sent_columns(rows, buckets).groupBy("bucket").applyInArrow(counted, "batch long, who binary, n binary")
+    return met.groupBy("batch").applyInArrow(returned, "a_id long, counts array<int>")
+
+
+def common_sets(rows: DataFrame, columns: int, link: tuple[int, int], *more: Column) -> DataFrame:
+    """(s1, s2, size, *more), ``more`` aggregated over its rows, of the sets of ``rows`` (id, s1, s2, size, grams) of which
+    not too many shingles stand in that set alone."""
+    told = rows.drop("grams").join(alone(rows, columns), F.col("id") == F.col("a_id"), "left")
+    sets = told.where("size > 0").groupBy("s1", "s2").agg(F.first("size").alias("size"), F.count("counts").alias("held"), F.first("counts", True).alias("counts"), *more)
+    own = F.coalesce(F.get("counts", F.col("held").cast("int")), F.lit(0))
+    return sets.where(F.col("size") - own >= needed(F.col("size"), link)).drop("held", "counts")
 
 
 def candidates(marked: DataFrame, link: tuple[int, int]) -> DataFrame:
     """(s1, s2, row), written, of the sets of ``marked`` that the first block of columns leaves: not more of a set's
     shingles stand in that set alone than it can do without. ``row`` names the row with its smallest doc_id."""
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t1", "t2")
-    sets = marked.where("size > 0").groupBy("s1", "s2").agg(F.first("size").alias("size"), F.min(row).alias("row"))
-    left = sets.join(alone(marked, "s1"), F.col("s1") == F.col("a_name"), "left")
-    return materialize(left.where(enough_common(link)).select("s1", "s2", "row"), "jaccard-chosen")
+    columns = (marked.agg(F.sum("size")).first()[0] or 0) // FIRST_BLOCK
+    return materialize(common_sets(marked, columns, link, F.min(row).alias("row")).select("s1", "s2", "row"), "jaccard-chosen")
 
 
 def full_rows(docs: DataFrame, chosen: DataFrame, shingle: int, link: tuple[int, int]) -> DataFrame:
@@ -140,8 +248,8 @@ def full_rows(docs: DataFrame, chosen: DataFrame, shingle: int, link: tuple[int,
     texts = docs.select("doc_id", "text", *[c.alias(k) for k, c in text_key(F.col("text")).items()])
     texts = texts.join(bounded_broadcast(wanted), (F.col("t1") == F.col("w1")) & (F.col("t2") == F.col("w2")) & F.col("doc_id").eqNullSafe(F.col("w_id")), "left_semi")
     rows = materialize(incidence(texts, [], shingle).withColumn("id", F.monotonically_increasing_id()), "jaccard-rows")
-    one = rows.groupBy("s1", "s2").agg(F.min("id").alias("k_id"), F.first("size").alias("size"))  # rows repeated with one doc_id
-    kept = one.join(alone(rows, "id"), F.col("k_id") == F.col("a_name"), "left").where(enough_common(link)).select("k_id")
+    columns = rows.agg(F.sum("size")).first()[0] or 0
+    kept = common_sets(rows, columns, link, F.min("id").alias("k_id")).select("k_id")  # one of the rows repeated with one doc_id
     kept = materialize(kept, "jaccard-kept")
     out = materialize(rows.join(bounded_broadcast(kept), F.col("id") == F.col("k_id"), "left_semi"), "jaccard-rows")
     discard(rows, kept)
@@ -310,7 +418,7 @@ def components(docs: DataFrame, shingle: int = 4, link: tuple[int, int] = LINK)
     columns by 128.
     """
     keyed = docs.select("doc_id", "text", *[c.alias(k) for k, c in text_key(F.col("text")).items()])
-    marked = materialize(incidence(keyed, ["doc_id", "t1", "t2"], shingle, FIRST_BLOCK), "jaccard-marked")
+    marked = materialize(incidence(keyed, ["doc_id", "t1", "t2"], shingle, FIRST_BLOCK).withColumn("id", F.monotonically_increasing_id()), "jaccard-marked")
     chosen = candidates(marked, link)
     rows = materialize(marked.select("doc_id", "s1", "s2", "size"), "jaccard-docs")
     discard(marked)

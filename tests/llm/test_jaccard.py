@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -130,3 +131,47 @@ def test_near_copies_are_sent_to_one_group(spark):
     mixed = [(i, i, 1000 * f + c, 0, 19 - c % 6) for f in range(5) for c in range(40) for i in range(20 * f, 20 * f + 20) if (i + c) % 20 < 19 - c % 6]
     got = jaccard.gathered(spark.createDataFrame(mixed, "id long, root long, x1 long, x2 long, m long"))
     assert got.count() <= 2 * 100 < len(mixed) // 10
+
+
+@pytest.mark.parametrize(("sent", "rows"), [(1 << 20, 1000), (200, 1000), (1 << 20, 3)])
+def test_sets_with_columns_of_their_own(spark, monkeypatch, sent, rows):
+    """Copies of a set in one batch and in several, columns of all sets and of few."""
+    monkeypatch.setattr(jaccard, "SENT", sent)
+    monkeypatch.setattr(jaccard, "SENT_ROWS", rows)
+    rng = random.Random(sent + rows)
+    pool = [rng.randrange(-(2**63), 2**63) for _ in range(400)]
+    sets = {s: {pool[0], *rng.choices(pool, k=rng.randrange(20)), *(rng.randrange(-(2**63), 2**63) for _ in range(rng.choice([0, 2, 4, 8])))} for s in range(200)}
+    held = [*sets, *rng.choices(list(sets), k=60), *[7] * 300]
+    rng.shuffle(held)
+    count = {}
+    for grams in sets.values():
+        for g in grams:
+            count[g] = count.get(g, 0) + 1
+    own = {s: sum(count[g] == 1 for g in grams) for s, grams in sets.items()}
+    table = spark.createDataFrame([(s, -s, len(sets[s]), sorted(sets[s])) for s in held], "s1 long, s2 long, size long, grams array<long>")
+    got = jaccard.common_sets(table.withColumn("id", F.monotonically_increasing_id()), sum(len(sets[s]) for s in held), (85, 100), F.count(F.lit(1)).alias("copies")).collect()
+    assert {(r.s1, r.s2, r["size"], r.copies) for r in got if r.s1 != 7} == {(s, -s, len(sets[s]), held.count(s)) for s in sets if s != 7 and len(sets[s]) - own[s] >= -(-85 * len(sets[s]) // 100)}
+    assert 0 < len(got) < len(sets)
+
+
+def test_shuffled_bytes_of_a_column(spark):
+    """Few bytes of the first block's columns are shuffled, with many partitions too."""
+    rng = random.Random(4)
+    docs = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))) for i in range(4000)]
+    keyed = spark.createDataFrame(docs, SCHEMA).select("*", *[c.alias(k) for k, c in jaccard.text_key(F.col("text")).items()])
+    marked = jaccard.materialize(jaccard.incidence(keyed, ["doc_id", "t1", "t2"], 4, jaccard.FIRST_BLOCK).withColumn("id", F.monotonically_increasing_id()), "marked")
+    store, before = spark.sparkContext._jsc.sc().statusStore(), spark.conf.get("spark.sql.shuffle.partitions")
+
+    def written():
+        time.sleep(1)
+        spark.range(1).count()
+        time.sleep(1)
+        return store.executorList(False).head().totalShuffleWrite()
+
+    start = written()
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        assert jaccard.candidates(marked, jaccard.LINK).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert 0 < written() - start < 14 * sum(398 for _ in docs) / jaccard.FIRST_BLOCK
