@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import bounded_broadcast, materialize
+from ._common import bounded_broadcast, materialize, release
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents of a source that are summed up together before their sums are summed up.
@@ -130,6 +130,7 @@ def mix(docs: DataFrame, **options: object) -> DataFrame:
     rows = numbered_rows(docs)
     copies = row_copies(rows, plan(rows, **options)).where("copies > 0").select(F.col("row").alias("_k_at"), "copies")
     copies = materialize(copies, "mix-copies")
+    release(docs.sparkSession)
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_k_all"), F.monotonically_increasing_id().alias("_k_row"))
     out = whole.join(copies, F.col("_k_row") == F.col("_k_at")).withColumn("_k_lap", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return out.select(*[F.col("_k_all").getField(c).alias(c) for c in docs.columns])

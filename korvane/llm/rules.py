@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Words, binary_array, bounded_broadcast, discard, materialize, per_text, pieces
+from ._common import Words, binary_array, bounded_broadcast, discard, materialize, per_text, pieces, release
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -264,6 +264,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, **risk: float) -> DataF
     good = bounded_broadcast(materialize(labels.where("quality = 1").select(F.col("doc_id").alias("_g_id")).distinct(), "rules-good"))
     held = docs.join(good, F.col("doc_id") == F.col("_g_id"), "left_semi")
     cuts = cutoffs(with_stats(held, ["doc_id", "lang"]), labels, **risk)
+    release(docs.sparkSession)
     wide = docs.withColumn("_r_all", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("lang", "text", "_r_all")
     kept = judge(with_stats(wide, ["lang", "_r_all"]), cuts).where("_r_kept")
     return kept.select(*[F.col("_r_all").getField(c).alias(c) for c in docs.columns])

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import Words, bounded_broadcast, discard, materialize, pieces
+from ._common import Words, bounded_broadcast, discard, materialize, pieces, release
 from .components import connected_components
 
 #: A bucket of more fingerprints than this is compared in pairs of parts, each pair a row group of its own.
@@ -23,8 +23,9 @@ BUCKET_PART = 1024
 PIECE = 2 << 20
 #: Bits of a set's parities.
 BITS, MOST_BITS = 1024, 8192
-#: Passes in which pairs of sets are verified: only one pass's sets are on disk in shuffles at a time.
-PASSES = 4
+#: Passes in which pairs of sets are verified: only one pass's sets are on disk in shuffles at a time. So many pairs go in
+#: one pass.
+PASSES, ONE_PASS = 4, 4096
 #: The least Jaccard similarity of linked sets of shingles, as a fraction.
 SIMILARITY = (4, 5)
 #: Shingles that stand HOT times or more in about SAMPLE distinct texts come last in prefixes, HOTTEST of them at most.
@@ -315,20 +316,24 @@ def may_reach(differing: Column, a: Column, b: Column) -> Column:
 
 def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) whose sets of shingles have a Jaccard similarity of SIMILARITY or more, in written tables. Pairs
-    whose parities rule that out go first; the sets of the others come from one row of each and are shuffled by pair."""
+    whose parities rule that out go first; the sets of the others come from one row of each and are shuffled by pair. As
+    few queries run as the pairs need: none beyond the first without any."""
     one = sets.select(F.col("sid").alias("a"), F.col("size").alias("sa"), F.col("bits").alias("x"))
     other = sets.select(F.col("sid").alias("b"), F.col("size").alias("sb"), F.col("bits").alias("y"))
     longs = F.least(F.size("x"), F.size("y"))  # sizes within SIMILARITY have as many bits or twice as many
     differing = F.aggregate(F.zip_with(narrowed(F.col("x"), longs), narrowed(F.col("y"), longs), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n)
     pairs = materialize(pairs.join(one, "a").join(other, "b").where(same_size(F.col("sa"), F.col("sb")) & may_reach(differing, F.col("sa"), F.col("sb"))).select("a", "b"), "dedup-pairs")
+    n = pairs.count()
+    if not n:
+        return pairs
     ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
     wanted = materialize(sets.join(ids, F.col("sid") == F.col("i"), "left_semi").select(F.col("h1").alias("_s_k1"), F.col("h2").alias("_s_k2")), "dedup-wanted")
     rows = docs.join(bounded_broadcast(wanted), (F.col("_s_h1") == F.col("_s_k1")) & (F.col("_s_h2") == F.col("_s_k2")), "left_semi").select("_s_h1", "_s_h2", "text")
     rows = rows.dropDuplicates(["_s_h1", "_s_h2"])  # rows that are equal in all columns
     full = materialize(shingle_sets(rows, [], shingle).select("sid", "shingles"), "dedup-sets")
-    links = None
-    for k in range(PASSES):
-        of_pass = lambda c: F.pmod(F.xxhash64(c), F.lit(PASSES)) == k
+    links, passes = None, 1 if n <= ONE_PASS else PASSES
+    for k in range(passes):
+        of_pass = lambda c: F.pmod(F.xxhash64(c), F.lit(passes)) == k  # noqa: B023, E731
         left = pairs.where(of_pass("a")).join(full.where(of_pass("sid")).select(F.col("sid").alias("a"), F.col("shingles").alias("x")), "a")
         both = left.join(full.select(F.col("sid").alias("b"), F.col("shingles").alias("y")), "b")
         found = materialize(both.where(enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "dedup-links")
@@ -360,6 +365,7 @@ def mixed(keyed: DataFrame, links: DataFrame) -> DataFrame:
     placed = placed.withColumns({"n": F.count(F.lit(1)).over(own), "lo": F.min("root").over(own), "hi": F.max("root").over(own)})
     out = materialize(placed.where("lo <> hi").drop("lo", "hi"), "dedup-mixed")
     discard(near)
+    release(links.sparkSession)
     return out
 
 
@@ -466,16 +472,20 @@ def similar_roots(docs: DataFrame, marked: DataFrame, shingle: int) -> DataFrame
     keyed = whole.select("sid", "size", F.posexplode("shingles").alias("pos", "key")).withColumn("pos", F.col("pos") + 1)
     shared = materialize(merged_keys(keyed), "dedup-keys")
     discard(whole)
+    release(docs.sparkSession)
     stars = shared.where((F.col("sid") != F.col("least.sid")) & same_size(F.col("size"), F.col("least.size"))).groupBy(F.col("sid").alias("a")).agg(F.min("least.sid").alias("b"))
     links = verified(simhash_pairs(sets).unionByName(stars).distinct(), docs, sets, shingle)
     left = mixed(shared, links)
     discard(shared)
-    trees = near_pairs(left, sets, trees=True).select("a", "b").distinct()
-    links = links.unionByName(verified(trees, docs, sets, shingle))
-    rest = mixed(left, links)
-    links = links.unionByName(verified(across(rest, sets), docs, sets, shingle))
+    if not left.isEmpty():
+        trees = near_pairs(left, sets, trees=True).select("a", "b").distinct()
+        links = links.unionByName(verified(trees, docs, sets, shingle))
+        rest = mixed(left, links)
+        if not rest.isEmpty():
+            links = links.unionByName(verified(across(rest, sets), docs, sets, shingle))
+        discard(rest)
     out = materialize(connected_components(links), "dedup-roots")
-    discard(left, rest, sets)
+    discard(left, sets)
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,7 +76,9 @@ def scope(*kept: DataFrame) -> Iterator[list[DataFrame]]:
 
 def release(spark: SparkSession) -> None:
     """Let go of what finished queries have left: Spark's cleaner drops their broadcasts, on the driver and on executors,
-    once the driver's JVM has collected its garbage. For operators of many queries, so a small driver stays small."""
+    once the driver's JVM has collected its garbage, and with it what Python no longer refers to. For operators of many
+    queries, so a small driver stays small."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -576,3 +576,22 @@ def test_deduplicate_links_near_fingerprints(spark, monkeypatch):
     monkeypatch.setattr(simhash, "merged_keys", lambda keyed, real=simhash.merged_keys: real(keyed).where("false"))
     assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 2, 3]
     assert len(seen[0]) == 1
+
+
+@pytest.mark.parametrize("most, passes", [(0, simhash.PASSES), (simhash.ONE_PASS, 1)])
+def test_deduplicate_lets_go_between_its_queries(spark, monkeypatch, most, passes):
+    """A few pairs are verified in one pass, none in no query; the driver lets go every few tables."""
+    done = []
+    monkeypatch.setattr(simhash, "ONE_PASS", most)
+    monkeypatch.setattr(simhash, "release", lambda spark: done.append("release"))
+    monkeypatch.setattr(simhash, "materialize", lambda df, tag, real=simhash.materialize: done.append(tag) or real(df, tag))
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) + tail for i in range(4) for tail in ("", " more")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.deduplicate(docs).collect()) == [0, 2, 4, 6]
+    assert done.count("dedup-links") == passes
+    runs = "".join("|" if x == "release" else "x" for x in done).split("|")
+    assert max(map(len, runs)) <= 10, done
+    alone = spark.createDataFrame([(1, "one two three four five six"), (2, "some other words that stand alone here")], "doc_id long, text string")
+    done.clear()
+    assert sorted(r.doc_id for r in simhash.deduplicate(alone).collect()) == [1, 2]
+    assert not {"dedup-wanted", "dedup-sets", "dedup-links"} & set(done)
